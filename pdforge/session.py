@@ -26,6 +26,7 @@ def get_session(master: str | None = None, app_name: str = "pdforge",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PDFORGE_DRIVER_MEMORY", "16g"))
     )
     if shuffle_partitions is not None:
