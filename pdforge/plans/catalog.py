@@ -467,3 +467,7 @@ FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(40)) g CROSS JOIN rng LEFT
 @register("a16_pd_histogram", A16_SQL)
 def a16_pd_histogram(spark, d):
     return PF.pd_histogram(test_scored(spark, d))
+
+
+# continuation: scalar functions, windows, metrics, attribution, jobs
+from pdforge.plans import catalog_scoring  # noqa: E402,F401
