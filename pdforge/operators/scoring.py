@@ -93,7 +93,12 @@ def override_template(apps: DataFrame, template: DataFrame | dict, fields=K.APPL
     The template is a single row (bounded), read once and inlined as literals,
     so the applications stream through a projection with no join.
     """
-    t = template if isinstance(template, dict) else template.first().asDict()
+    types = {}
+    if isinstance(template, dict):
+        t = template
+    else:
+        t = template.first().asDict()  # the single template row
+        types = {f.name: f.dataType for f in template.schema.fields}
     out = [F.col(c) for c in apps.columns if c not in fields]
     for c in fields:
         if c in apps.columns:
@@ -102,13 +107,16 @@ def override_template(apps: DataFrame, template: DataFrame | dict, fields=K.APPL
             out.append(F.lit(t.get(c)).cast("double").alias(c))
     for c, v in t.items():
         if c not in fields and c not in apps.columns:
-            out.append(F.lit(v).alias(c))
+            lit = F.lit(v).cast(types[c]) if c in types else F.lit(v)
+            out.append(lit.alias(c))
     return apps.select(*out)
 
 
-def score_applications(apps: DataFrame, template: DataFrame, pd_fn=None) -> DataFrame:
+def score_applications(apps: DataFrame, template, pd_fn=None) -> DataFrame:
     """Applications -> template overrides -> features -> PD -> decision columns."""
-    rows = add_features(override_template(apps, template))
+    from pdforge.functions.features import FEATURE_NAMES
+    rows = override_template(apps, template)
+    rows = add_features(rows.drop(*[c for c in FEATURE_NAMES if c in rows.columns]))
     rows = rows.withColumn("pd", pd_fn(rows) if pd_fn else R.formula_pd())
     return score_batch(rows)
 
@@ -121,6 +129,24 @@ def scenario_frame(spark: SparkSession) -> DataFrame:
                                        "revol_util double, delinq_2yrs int")
 
 
+def applications_from_loans(raw: DataFrame, year: int | None = None) -> DataFrame:
+    """Application-form rows taken from raw loans (id, 7 form fields), optionally one issue year."""
+    from pdforge.functions import parsing
+    rows = raw if year is None else raw.where(parsing.issue_year("issue_d") == year)
+    return rows.select(F.col("loan_id").alias("application_id"), F.col("loan_amnt").cast("double"),
+                       parsing.parse_term("term").cast("int").alias("term"), F.col("annual_inc").cast("double"),
+                       F.col("dti").cast("double"), F.col("revol_bal").cast("double"),
+                       F.col("revol_util").cast("double"), F.col("delinq_2yrs").cast("int"))
+
+
+def template_columns(features: DataFrame) -> tuple[list[str], list[str]]:
+    """Numeric and text columns a template row carries (non-feature columns dropped)."""
+    from pdforge.operators.columns import split_feature_types
+    drop = set(K.NON_FEATURE_COLUMNS) | {"loan_id", "split", "pd"}
+    num, cat = split_feature_types(features.drop(*[c for c in drop if c in features.columns]), exclude=())
+    return num, cat
+
+
 def held_out_sample(features: DataFrame, n: int = 1, year: int = K.TEST_YEAR,
                     seed: int = K.RANDOM_SEED) -> DataFrame:
     """N seeded rows of one cohort year, non-feature columns dropped."""

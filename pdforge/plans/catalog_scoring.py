@@ -426,3 +426,116 @@ def b7_cleaning_job(spark, d):
 @register("b8_feature_job", W("features") + "SELECT * FROM features")
 def b8_feature_job(spark, d):
     return features(spark, d)
+
+
+# ---------------------------------------------------------------------------
+# application scoring: template (A14), overrides (P12), scoring (B4),
+# scenarios (B5); the template is fitted on the test cohort's features
+# ---------------------------------------------------------------------------
+TEMPLATE_NUMERIC = [c for c in ("loan_amnt", "term", "annual_inc", "dti", "revol_bal", "revol_util",
+                                "inq_last_6mths", "delinq_2yrs", "open_acc", "total_acc", "total_rev_hi_lim",
+                                "tot_cur_bal", "pub_rec", "mths_since_last_delinq", "mths_since_last_record",
+                                "tax_liens", "inq_last_12m", "num_accts_ever_120_pd", "emp_length_num",
+                                "issue_month", "credit_history_months", "home_ownership_enc",
+                                "verification_status_enc", "application_type_enc", "initial_list_status_enc")]
+TEMPLATE_FEATURES = list(FE.FEATURE_NAMES)
+TEMPLATE_TEXT = ["purpose", "addr_state"]
+
+
+def template(spark, d) -> DataFrame:
+    f = features(spark, d).where(F.col("issue_year") == K.TEST_YEAR)
+    num, cat = SC.template_columns(f)
+    return SC.template_row(f, num, cat)
+
+
+def _mode_sql(c: str) -> str:
+    return (f"(SELECT {c} FROM features WHERE issue_year = {K.TEST_YEAR} GROUP BY {c} "
+            f"ORDER BY count(*) DESC, {c} LIMIT 1)")
+
+
+TEMPLATE_SQL_CTE = ", tpl AS (SELECT " + ", ".join(
+    [f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}" for c in TEMPLATE_NUMERIC + TEMPLATE_FEATURES]
+    + [f"{_mode_sql(c)} AS {c}" for c in TEMPLATE_TEXT]) + f" FROM features WHERE issue_year = {K.TEST_YEAR})\n"
+
+
+@register("a14_template_row", W("features") + TEMPLATE_SQL_CTE + "SELECT * FROM tpl")
+def a14_template_row(spark, d):
+    return template(spark, d)
+
+
+APP_FIELDS = list(K.APPLICATION_FIELDS)
+APPS_SQL_CTE = f""", apps AS (SELECT loan_id AS application_id, CAST(loan_amnt AS DOUBLE) AS loan_amnt,
+  CAST(CAST(replace(trim(term), ' months', '') AS SMALLINT) AS INTEGER) AS term, CAST(annual_inc AS DOUBLE) AS annual_inc,
+  CAST(dti AS DOUBLE) AS dti, CAST(revol_bal AS DOUBLE) AS revol_bal, CAST(revol_util AS DOUBLE) AS revol_util,
+  CAST(delinq_2yrs AS INTEGER) AS delinq_2yrs
+  FROM raw_loans WHERE {O._year('issue_d')} = {K.TEST_YEAR})
+"""
+
+
+def _override_sql(apps: str, extra_cols: list[str], with_features: bool = False) -> str:
+    cols = [f"a.{c}" for c in extra_cols]
+    cols += [f"coalesce(CAST(a.{c} AS DOUBLE), t.{c}) AS {c}" for c in APP_FIELDS]
+    cols += [f"t.{c}" for c in TEMPLATE_NUMERIC + TEMPLATE_TEXT if c not in APP_FIELDS]
+    if with_features:
+        cols += [f"t.{c}" for c in TEMPLATE_FEATURES]
+    return f", ov AS (SELECT {', '.join(cols)} FROM {apps} a, tpl t)\n"
+
+
+def _app_scoring_sql(apps: str, extra_cols: list[str]) -> str:
+    feats = ", ".join(f"{e} AS {n}" for n, e in O.FEATURE_SQL.items())
+    return (_override_sql(apps, extra_cols)
+            + f", ofe AS (SELECT *, {feats} FROM ov)\n"
+            + f", opd AS (SELECT *, {O.PD_SQL} AS pd FROM ofe)\n")
+
+
+APP_OUT_SQL = f"""SELECT application_id, loan_pct_of_income, delinq_score, inquiry_score, open_acct_ratio,
+  round(pd, 4) AS probability_of_default, {O._tier(O.CLAMP, 1)} AS risk_tier,
+  CASE WHEN {N_RULES_SQL} > 0 THEN 'Deny' WHEN pd >= 0.22 THEN 'Refer' ELSE 'Approve' END AS policy_decision
+FROM opd"""
+B4_SQL = W("features") + TEMPLATE_SQL_CTE + APPS_SQL_CTE + _app_scoring_sql("apps", ["application_id"]) + APP_OUT_SQL
+APP_OUT_COLS = ["application_id", "loan_pct_of_income", "delinq_score", "inquiry_score", "open_acct_ratio",
+                "probability_of_default", "risk_tier", "policy_decision"]
+
+
+def applications(spark, d) -> DataFrame:
+    return SC.applications_from_loans(raw(spark, d), K.TEST_YEAR)
+
+
+@register("p12_template_override", W("features") + TEMPLATE_SQL_CTE + APPS_SQL_CTE
+          + _override_sql("apps", ["application_id"], True) + "SELECT * FROM ov")
+def p12_template_override(spark, d):
+    return SC.override_template(applications(spark, d), template(spark, d))
+
+
+@register("b4_application_scoring", B4_SQL)
+def b4_application_scoring(spark, d):
+    return SC.score_applications(applications(spark, d), template(spark, d)).select(*APP_OUT_COLS)
+
+
+SCEN_VALUES = ", ".join(
+    f"({i + 1}, '{n}', {a}, {t}, {inc}, {dti}, {rb}, {ru}, {dq})"
+    for i, (n, a, t, inc, dti, rb, ru, dq) in enumerate(K.SCENARIOS))
+SCEN_CTE = (", scen AS (SELECT CAST(application_id AS BIGINT) AS application_id, scenario, CAST(loan_amnt AS DOUBLE) AS "
+            "loan_amnt, CAST(term AS INTEGER) AS term, CAST(annual_inc AS DOUBLE) AS annual_inc, CAST(dti AS DOUBLE) AS dti, "
+            "CAST(revol_bal AS DOUBLE) AS revol_bal, CAST(revol_util AS DOUBLE) AS revol_util, "
+            "CAST(delinq_2yrs AS INTEGER) AS delinq_2yrs FROM (VALUES " + SCEN_VALUES
+            + ") v(application_id, scenario, loan_amnt, term, annual_inc, dti, revol_bal, revol_util, delinq_2yrs))\n")
+B5_SQL = (W("features") + TEMPLATE_SQL_CTE + SCEN_CTE + _app_scoring_sql("scen", ["application_id", "scenario"])
+          + f"""SELECT application_id, scenario, round({O.PCT_SQL}, 1) AS loan_to_income_pct, {RULES_SQL} AS rule_codes,
+  CASE WHEN {N_RULES_SQL} > 0 THEN 'Deny' WHEN pd >= 0.22 THEN 'Refer' ELSE 'Approve' END AS policy_decision,
+  round(pd, 4) AS probability_of_default, {O._tier(O.CLAMP, 1)} AS risk_tier FROM opd""")
+
+
+@register("b5_scenarios", B5_SQL)
+def b5_scenarios(spark, d):
+    scored_apps = SC.score_applications(SC.scenario_frame(spark), template(spark, d))
+    p = _policy_cols(scored_apps)
+    return p.select("application_id", "scenario", "loan_to_income_pct", "rule_codes", "policy_decision",
+                    "probability_of_default", "risk_tier")
+
+
+@register("st1_stream_scoring", B4_SQL)
+def st1_stream_scoring(spark, d):
+    """Applications arrive as files; a stateless stream scores them against the template."""
+    from pdforge.streaming.scoring_stream import score_application_files
+    return score_application_files(spark, applications(spark, d), template(spark, d)).select(*APP_OUT_COLS)
