@@ -471,3 +471,4 @@ def a16_pd_histogram(spark, d):
 
 # continuation: scalar functions, windows, metrics, attribution, jobs
 from pdforge.plans import catalog_scoring  # noqa: E402,F401
+from pdforge.plans import catalog_models  # noqa: E402,F401
