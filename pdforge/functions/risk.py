@@ -18,19 +18,16 @@ def _c(c) -> Column:
 
 
 def clamp_pd(pd_col) -> Column:
-    """PD clamped to [0, 1]; NaN -> 1.0 as in the original clamp."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(pd_col).cast("double")))
+    """PD clamped to [0, 1]; NaN -> 1.0 as in the original clamp; null stays null."""
+    p = _c(pd_col).cast("double")
+    return F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
 
 
 def _tier_field(p: Column, idx: int) -> Column:
-    expr = None
+    expr = F.when(p.isNull(), F.lit(None).cast("string"))
     for row in K.RISK_TIERS:
         bound, value = row[0], row[idx]
-        if bound is None:
-            expr = expr.otherwise(F.lit(value)) if expr is not None else F.lit(value)
-        else:
-            expr = (expr.when(p < bound, value) if expr is not None
-                    else F.when(p < bound, F.lit(value)))
+        expr = expr.otherwise(F.lit(value)) if bound is None else expr.when(p < bound, F.lit(value))
     return expr
 
 
