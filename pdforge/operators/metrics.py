@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pdforge.operators.stats import prefix_sums
+from pdforge.session import materialize
 
 INF = float("inf")
 
@@ -27,8 +28,10 @@ def curve_table(df: DataFrame, label: str = "label", score: str = "score", **kw)
          .groupBy(F.col(score).cast("double").alias("score"))
          .agg(F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
               F.count(F.when(F.col(label) != 1, 1)).alias("neg")))
-    totals = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()  # one row
+    g = materialize(g, "score_groups")  # read by the totals, the bucketing and the running sums
+    totals = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("D")).first()
     P, N = int(totals["P"] or 0), int(totals["N"] or 0)
+    kw.setdefault("n_max", int(totals["D"]))
     c = prefix_sums(g, [], "score", ["pos", "neg"], descending=True, **kw)
     return c.select("score", "pos", "neg",
                     F.col("pos_before").alias("tp_before"), F.col("neg_before").alias("fp_before"),
@@ -39,13 +42,11 @@ def curve_table(df: DataFrame, label: str = "label", score: str = "score", **kw)
 
 def roc_points(curve: DataFrame) -> DataFrame:
     """M1: (threshold, tp, fp, tpr, fpr) for every distinct score, plus the (inf, 0, 0) start."""
-    spark = curve.sparkSession
     pts = curve.select(F.col("score").alias("threshold"), "tp", "fp", "P", "N")
     P_N = curve.select("P", "N").limit(1)
     start = P_N.select(F.lit(INF).alias("threshold"), F.lit(0).cast("bigint").alias("tp"),
                        F.lit(0).cast("bigint").alias("fp"), "P", "N")
     out = pts.unionByName(start)
-    del spark
     return out.select("threshold", "tp", "fp",
                       (F.col("tp") / F.col("P")).alias("tpr"), (F.col("fp") / F.col("N")).alias("fpr"))
 

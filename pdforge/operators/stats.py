@@ -56,7 +56,7 @@ def _bucket_udf(splits: dict[str, np.ndarray]):
 
 def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
                 descending: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET,
-                max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                max_buckets: int = MAX_BUCKETS, n_max: int | None = None) -> DataFrame:
     """Add ``<c>_before`` = sum of ``c`` over rows strictly before in the order, per group.
 
     ``df`` must have one row per (group, order value) — aggregate first.
@@ -64,12 +64,17 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
     key = F.col(order_col).cast("double")
     t = df.withColumn("_k", -key if descending else key)
 
-    n_max = (t.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0) if group_cols \
-        else t.count()
+    if n_max is None:  # rows of the largest group decide the number of buckets
+        n_max = (t.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0) if group_cols \
+            else t.count()
     n_buckets = int(min(max_buckets, max(1, math.ceil(n_max / max(1, rows_per_bucket)))))
 
     if n_buckets <= 1:
-        t = t.withColumn("_b", F.lit(0))
+        # one bucket: no offsets needed, one window per group
+        w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))) \
+            .orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+        return t.select(*df.columns, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before")
+                                       for c in sum_cols])
     else:
         probs = [i / n_buckets for i in range(1, n_buckets)]
         acc = max(10_000, 20 * n_buckets)
@@ -120,7 +125,7 @@ def quantiles_from_counts(counts: DataFrame, probs: list[float], **kw) -> DataFr
             .groupBy("column", "p")
             .agg(F.max(F.when(in_rank("lo"), F.col("v"))).alias("v_lo"),
                  F.max(F.when(in_rank("hi"), F.col("v"))).alias("v_hi")))
-    return (ranks.join(hits, ["column", "p"], "left")
+    return (F.broadcast(ranks).join(hits, ["column", "p"], "left")
             .select("column", "p",
                     (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo")))
                     .alias("value")))

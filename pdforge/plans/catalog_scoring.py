@@ -283,16 +283,17 @@ def m7_youden_threshold(spark, d):
         .select("youden_threshold", "youden_j")
 
 
-def confusion_sql(t: str, where: str = "split = 'test'") -> str:
-    return f""", cm AS (SELECT count(*) FILTER (WHERE probability_of_default >= {t} AND target = 1) AS tp,
-  count(*) FILTER (WHERE probability_of_default >= {t} AND target <> 1) AS fp,
-  count(*) FILTER (WHERE NOT (probability_of_default >= {t}) AND target <> 1) AS tn,
-  count(*) FILTER (WHERE NOT (probability_of_default >= {t}) AND target = 1) AS fn
+def confusion_sql(t: str, where: str = "split = 'test'", score: str = "probability_of_default", sfx: str = "") -> str:
+    return f""", cm{sfx} AS (SELECT count(*) FILTER (WHERE {score} >= {t} AND target = 1) AS tp,
+  count(*) FILTER (WHERE {score} >= {t} AND target <> 1) AS fp,
+  count(*) FILTER (WHERE NOT ({score} >= {t}) AND target <> 1) AS tn,
+  count(*) FILTER (WHERE NOT ({score} >= {t}) AND target = 1) AS fn
   FROM scored WHERE {where} AND target IS NOT NULL),
-cm2 AS (SELECT *, (tp + tn) / (tp + fp + tn + fn) AS accuracy,
+cm2{sfx} AS (SELECT *, (tp + tn) / (tp + fp + tn + fn) AS accuracy,
   CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
-  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM cm),
-cm3 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM cm2)
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM cm{sfx}),
+cm3{sfx} AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+  FROM cm2{sfx})
 """
 
 
@@ -539,3 +540,45 @@ def st1_stream_scoring(spark, d):
     """Applications arrive as files; a stateless stream scores them against the template."""
     from pdforge.streaming.scoring_stream import score_application_files
     return score_application_files(spark, applications(spark, d), template(spark, d)).select(*APP_OUT_COLS)
+
+
+# ---------------------------------------------------------------------------
+# Metric comparison, PD model (baseline) vs a one-variable DTI scorecard
+# ---------------------------------------------------------------------------
+SCORECARD = "CAST(dti AS DOUBLE) / 100.0"
+BUNDLE_COLS = ["roc_auc", "pr_auc", "gini", "ks_stat_pct", "accuracy", "default_precision", "default_recall",
+               "default_f1", "threshold"]
+
+
+def _bundle_sql(score: str, tag: str) -> str:
+    sc = f"sc_{tag}"
+    base = (curve_ctes("split = 'val'", f"_v{tag}", score) + metrics_sql(f"vt{tag}", f"_v{tag}")
+            + confusion_sql(f"(SELECT youden_threshold FROM vt{tag})", score=score, sfx=tag)
+            + curve_ctes("split = 'test'", f"_t{tag}", score) + metrics_sql(f"mt{tag}", f"_t{tag}"))
+    return base + f""", {sc} AS (SELECT round(roc_auc, 4) AS roc_auc, round(pr_auc, 4) AS pr_auc,
+  round(2.0 * roc_auc - 1.0, 4) AS gini, round(ks_stat_pct, 2) AS ks_stat_pct, round(accuracy, 4) AS accuracy,
+  round(precision, 4) AS default_precision, round(recall, 4) AS default_recall, round(f1, 4) AS default_f1,
+  round((SELECT youden_threshold FROM vt{tag}), 4) AS threshold FROM mt{tag}, cm3{tag})
+"""
+
+
+J2_SQL = (W("scored") + _bundle_sql("probability_of_default", "a") + _bundle_sql(SCORECARD, "b")
+          + "SELECT metric, baseline, challenger, round(challenger - baseline, 4) AS delta FROM ("
+          + " UNION ALL ".join(f"SELECT '{c}' AS metric, CAST(a.{c} AS DOUBLE) AS baseline, "
+                               f"CAST(b.{c} AS DOUBLE) AS challenger FROM sc_a a, sc_b b" for c in BUNDLE_COLS) + ")")
+
+
+def _bundle(s, score_col):
+    val = s.where(F.col("split") == "val").select(F.col("target").cast("int").alias("label"),
+                                                  score_col.alias("score"))
+    test = s.where(F.col("split") == "test").select(F.col("target").cast("int").alias("label"),
+                                                    score_col.alias("score"))
+    return M.metric_bundle(test, M.youden_threshold(val))
+
+
+@register("j2_metric_comparison", J2_SQL)
+def j2_metric_comparison(spark, d):
+    s = scored(spark, d)
+    baseline = _bundle(s, F.col("probability_of_default"))
+    challenger = _bundle(s, F.col("dti").cast("double") / 100.0)
+    return M.compare_models(baseline, challenger)

@@ -17,6 +17,7 @@ from pdforge import constants as K
 from pdforge.functions.features import add_features
 from pdforge.operators import cleaning as CL
 from pdforge.operators import columns as C
+from pdforge.session import materialize
 
 
 @dataclass
@@ -27,7 +28,7 @@ class CleaningResult:
 
 
 def run_cleaning(raw: DataFrame, fit_on: Column | None = None, drop_all_null: bool = True,
-                 **kw) -> CleaningResult:
+                 materialize_prepared: bool = True, **kw) -> CleaningResult:
     """B7 without the sink: returns the cleaned DataFrame and its fitted statistics.
 
     ``fit_on`` restricts the rows used to fit medians / caps (default: all
@@ -35,13 +36,20 @@ def run_cleaning(raw: DataFrame, fit_on: Column | None = None, drop_all_null: bo
     fits on the training years only).
     """
     prepared = CL.prepare_for_imputation(raw)
+    if materialize_prepared:
+        # one pass over the raw joins; stats, null check and the output all read this table
+        prepared = materialize(prepared, "prepared_loans")
     fit_rows = prepared.where(fit_on) if fit_on is not None else prepared
     fit_rows = CL.impute_fixed(fit_rows)
     stats = CL.fit_statistics(fit_rows, **kw)
     cleaned = CL.apply_cleaning(prepared, stats)
     dropped = []
     if drop_all_null:
-        dropped = C.all_null_columns(cleaned)
+        # imputation, capping and encoding never create nulls, so a cleaned column is
+        # all-null exactly when its source is all-null and no median filled it
+        src = C.all_null_columns(prepared)
+        filled = set(K.NEVER_HAPPENED_COLUMNS) | set(K.ZERO_FILL_COLUMNS)
+        dropped = [c for c in src if c in cleaned.columns and c not in filled and stats.medians.get(c) is None]
         cleaned = C.drop_present(cleaned, dropped)
     return CleaningResult(cleaned, stats, dropped)
 

@@ -21,9 +21,9 @@ li AS (
   SELECT l_orderkey,
          count(*) AS n,
          count(*) FILTER (WHERE l_returnflag = 'R') AS n_ret,
-         CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty,
-         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS ext,
-         CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS disc
+         CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS qty,
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS ext,
+         CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / 100.0 / count(*) AS disc
   FROM lineitem GROUP BY l_orderkey
 ),
 raw_loans AS (

@@ -69,3 +69,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
+
+    Used where several actions reuse one expensive intermediate (the joined,
+    de-leaked loan table; the grouped score table): later jobs read columnar
+    files with pruning instead of re-running the joins, and the lineage is cut,
+    so a lost executor costs a re-read, not a recomputation.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -6,7 +6,7 @@ shuffle on ``l_orderkey``), left-joined to ``orders`` (co-partitioned on the
 order key) and inner-joined to ``customer`` and ``nation``. Join strategies
 are left to the planner: small dimensions are broadcast by Spark's own
 size-checked threshold, large ones become sort-merge joins; AQE splits skewed
-partitions. Money sums go through exact decimals so every engine gets the same
+partitions. Money sums run over exact integer cents so every engine gets the same
 bits.
 """
 
@@ -25,8 +25,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _dec_sum(c: str) -> Column:
-    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+def _cents_sum(c: str) -> Column:
+    """Exact sum of a two-decimal money column: integer cents, back to units once."""
+    return F.sum(F.round(F.col(c) * 100).cast("bigint")).cast("double") / 100.0
 
 
 def order_line_stats(lineitem: DataFrame) -> DataFrame:
@@ -36,9 +37,9 @@ def order_line_stats(lineitem: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("n_ret"),
-            _dec_sum("l_quantity").alias("qty"),
-            _dec_sum("l_extendedprice").alias("ext"),
-            _dec_sum("l_discount").alias("disc_sum"),
+            _cents_sum("l_quantity").alias("qty"),
+            _cents_sum("l_extendedprice").alias("ext"),
+            _cents_sum("l_discount").alias("disc_sum"),
         )
         .withColumn("disc", F.col("disc_sum") / F.col("n"))
         .drop("disc_sum")
