@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pdforge import constants as K
 from pdforge.functions import encoding, parsing
 from pdforge.operators import columns as C
-from pdforge.operators.stats import quantiles_from_counts, value_counts_long
+from pdforge.operators.stats import quantile_values, value_counts_long
 from pdforge.session import cut_lineage
 
 RESOLVED_STATUSES = K.DEFAULT_STATUSES + K.NON_DEFAULT_STATUSES
@@ -83,7 +83,7 @@ class CleaningStats:
 
     def to_frame(self, spark) -> DataFrame:
         rows = [(c, self.medians.get(c), self.caps.get(c))
-                for c in sorted(set(self.medians) | set(self.caps))]
+                for c in dict.fromkeys(list(self.medians) + list(self.caps))]
         return spark.createDataFrame(rows, "column string, median double, cap double")
 
     @classmethod
@@ -92,28 +92,36 @@ class CleaningStats:
         return cls({r["column"]: r["median"] for r in rows}, {r["column"]: r["cap"] for r in rows})
 
 
-def fit_statistics_frame(df: DataFrame, median_cols=None, cap_cols=None,
-                         cap_q: float = K.CAP_QUANTILE, **kw) -> DataFrame:
-    """(column, median, cap) as a DataFrame, fitted on ``df``'s rows."""
+def fit_statistics(df: DataFrame, median_cols=None, cap_cols=None, cap_q: float = K.CAP_QUANTILE,
+                   **kw) -> CleaningStats:
+    """Medians of the median columns, then caps at ``cap_q`` of the imputed values.
+
+    One checkpointed (column, value, count) table feeds both passes; the cap
+    pass adds each column's null count at its median instead of re-reading rows.
+    """
     median_cols = [c for c in (median_cols or K.MEDIAN_FILL_COLUMNS) if c in df.columns]
     cap_cols = [c for c in (cap_cols or K.CAP_COLUMNS) if c in df.columns]
     all_cols = list(dict.fromkeys(median_cols + cap_cols))
+    if not all_cols:
+        return CleaningStats({}, {})
     counts = cut_lineage(value_counts_long(df, all_cols))
-    med = (quantiles_from_counts(counts.where(F.col("column").isin(*median_cols)), [0.5], **kw)
-           .select("column", F.col("value").alias("median")))
-    # imputed values: the null rows of a column take its median
-    imputed = (counts.where(F.col("column").isin(*cap_cols))
-               .join(F.broadcast(med), "column", "left")  # one row per column
-               .select("column", F.coalesce("v", "median").alias("v"), "c")
-               .groupBy("column", "v").agg(F.sum("c").alias("c")))
-    cap = (quantiles_from_counts(imputed, [cap_q], **kw)
-           .select("column", F.col("value").alias("cap")))
-    names = df.sparkSession.createDataFrame([(c,) for c in all_cols], "column string")
-    return names.join(med, "column", "left").join(cap, "column", "left")
-
-
-def fit_statistics(df: DataFrame, **kw) -> CleaningStats:
-    return CleaningStats.from_frame(fit_statistics_frame(df, **kw))
+    med = quantile_values(counts.where(F.col("column").isin(*median_cols)), [0.5], **kw) if median_cols else {}
+    medians = {c: med.get((c, 0.5)) for c in median_cols}
+    caps = {}
+    if cap_cols:
+        pairs = [x for c in cap_cols if medians.get(c) is not None for x in (F.lit(c), F.lit(medians[c]))]
+        fill = F.try_element_at(F.create_map(*pairs), F.col("column")) if pairs else F.lit(None).cast("double")
+        imputed = (counts.where(F.col("column").isin(*cap_cols))
+                   .select("column", F.coalesce(F.col("v"), fill).alias("v"), "c")
+                   .groupBy("column", "v").agg(F.sum("c").alias("c")))
+        q = quantile_values(imputed, [cap_q], **kw)
+        caps = {c: q.get((c, float(cap_q))) for c in cap_cols}
+    return CleaningStats(medians, caps)
+
+
+def fit_statistics_frame(df: DataFrame, **kw) -> DataFrame:
+    """(column, median, cap) as a DataFrame (one row per fitted column)."""
+    return fit_statistics(df, **kw).to_frame(df.sparkSession)
 
 
 def impute_fixed(df: DataFrame) -> DataFrame:

@@ -45,14 +45,26 @@ class LinearAttribution:
     def base_value(self) -> float:
         return self.intercept + sum(self.coefs[c] * self.means[c] for c in self.coefs)
 
-    def explain(self, rows: DataFrame, key: str = "loan_id") -> DataFrame:
-        """T12 + X26 + X27: (key, feature, ordinal, feature_value, phi, impact, display_value)."""
+    def contributions(self) -> "F.Column":
+        """Per-row array<struct<feature, ordinal, feature_value, phi>> (wide form)."""
         items = []
         for i, (c, w) in enumerate(self.coefs.items()):
             x = F.col(c).cast("double")
             items.append(F.struct(F.lit(c).alias("feature"), F.lit(i).alias("ordinal"), x.alias("feature_value"),
                                   (F.lit(w) * (x - F.lit(self.means[c]))).alias("phi")))
-        long = rows.select(key, F.inline(F.array(*items)))
+        return F.array(*items)
+
+    def top_factors(self, rows: DataFrame, k: int = 5, key: str = "loan_id") -> DataFrame:
+        """W6 on the wide form: sort each row's own array, no shuffle."""
+        ranked = F.transform(self.contributions(),
+                             lambda s: F.struct((-F.abs(s["phi"])).alias("neg_abs"), s["ordinal"].alias("ordinal"),
+                                                s["feature"].alias("feature")))
+        top = rows.select(key, F.posexplode(F.slice(F.array_sort(ranked), 1, k)).alias("pos", "s"))
+        return top.select(key, (F.col("pos") + 1).cast("int").alias("factor_rank"), F.col("s.feature").alias("feature"))
+
+    def explain(self, rows: DataFrame, key: str = "loan_id") -> DataFrame:
+        """T12 + X26 + X27: (key, feature, ordinal, feature_value, phi, impact, display_value)."""
+        long = rows.select(key, F.inline(self.contributions()))
         return long.withColumns({"impact": _impact(F.col("phi")),
                                  "display_value": F.format_string("%.2f", F.col("feature_value"))})
 
@@ -70,11 +82,11 @@ def importance_ranking(imp: DataFrame) -> DataFrame:
 
 
 def top_factors(attr: DataFrame, k: int = 5, key: str = "loan_id") -> DataFrame:
-    """Top-k factors per loan by |phi| (ties by feature order).
+    """W6 on a long table: top-k factors per loan by |phi| (ties by feature order).
 
-    The per-loan group is the loan's own feature list (bounded by the model's
-    width), sorted as an array inside the row: no shuffle of the long table is
-    needed beyond the one grouping by key.
+    Each loan's group is its own feature list (bounded by the model's width).
+    Prefer ``LinearAttribution.top_factors`` (wide form, no shuffle) when the
+    contributions are still in-row.
     """
     per_loan = attr.groupBy(key).agg(F.collect_list(F.struct(
         (-F.abs("phi")).alias("neg_abs"), F.col("ordinal"), F.col("feature"))).alias("f"))

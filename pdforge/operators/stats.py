@@ -106,29 +106,52 @@ def value_counts_long(df: DataFrame, columns: list[str]) -> DataFrame:
             .groupBy("column", "v").agg(F.count(F.lit(1)).alias("c")))
 
 
-def quantiles_from_counts(counts: DataFrame, probs: list[float], **kw) -> DataFrame:
-    """Exact continuous quantiles per column from a (column, v, c) count table.
+def quantile_values(counts: DataFrame, probs: list[float], **kw) -> dict:
+    """Exact continuous quantiles from a (column, v, c) count table, as {(column, p): value}.
 
-    Result: (column, p, value); value is null for columns with no non-null value.
+    Three small jobs: per-column totals (one row per column), the running
+    counts joined to the broadcast rank table (columns x probs rows), and the
+    hit rows (at most two per column and probability) read back to interpolate.
     """
-    nn = counts.where(F.col("v").isNotNull())
-    totals = counts.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("n"))
-    ranks = (totals.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-             .withColumn("h", (F.col("n") - 1).cast("double") * F.col("p"))
-             .withColumn("lo", F.floor("h"))
-             .withColumn("hi", F.ceil("h")))
-    pref = prefix_sums(nn, ["column"], "v", ["c"], **kw)
+    spark = counts.sparkSession
+    tot = counts.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("n"),
+        F.count(F.col("v")).alias("distinct")).collect()  # one row per column
+    out = {(r["column"], float(p)): None for r in tot for p in probs}
+    ranks = []
+    for r in tot:
+        if r["n"] > 0:
+            for p in probs:
+                h = (r["n"] - 1) * float(p)
+                ranks.append((r["column"], float(p), h, math.floor(h), math.ceil(h)))
+    if not ranks:
+        return out
+    rank_df = spark.createDataFrame(ranks, "column string, p double, h double, lo long, hi long")
+    n_max = max(r["distinct"] for r in tot)
+    pref = prefix_sums(counts.where(F.col("v").isNotNull()), ["column"], "v", ["c"], n_max=n_max, **kw)
     in_rank = lambda r: (F.col("c_before") <= F.col(r)) & (F.col(r) < F.col("c_before") + F.col("c"))
-    hits = (pref.join(F.broadcast(ranks.where(F.col("n") > 0)), "column")
+    hits = (pref.join(F.broadcast(rank_df), "column")  # rank table: columns x probs rows
             .where(in_rank("lo") | in_rank("hi"))
-            .groupBy("column", "p")
-            .agg(F.max(F.when(in_rank("lo"), F.col("v"))).alias("v_lo"),
-                 F.max(F.when(in_rank("hi"), F.col("v"))).alias("v_hi")))
-    return (F.broadcast(ranks).join(hits, ["column", "p"], "left")
-            .select("column", "p",
-                    (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo")))
-                    .alias("value")))
+            .select("column", "p", "v", in_rank("lo").alias("is_lo"), in_rank("hi").alias("is_hi"))
+            .collect())  # at most two rows per (column, p)
+    found = {}
+    for r in hits:
+        d = found.setdefault((r["column"], r["p"]), {})
+        if r["is_lo"]:
+            d["lo"] = r["v"]
+        if r["is_hi"]:
+            d["hi"] = r["v"]
+    for col, p, h, lo, _ in ranks:
+        d = found[(col, p)]
+        out[(col, p)] = d["lo"] + (h - lo) * (d["hi"] - d["lo"])
+    return out
+
+
+def quantiles_from_counts(counts: DataFrame, probs: list[float], **kw) -> DataFrame:
+    """(column, p, value) frame of exact continuous quantiles (null for all-null columns)."""
+    vals = quantile_values(counts, probs, **kw)
+    rows = [(c, p, v) for (c, p), v in sorted(vals.items())]
+    return counts.sparkSession.createDataFrame(rows, "column string, p double, value double")
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], **kw) -> DataFrame:

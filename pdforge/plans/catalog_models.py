@@ -233,6 +233,41 @@ def s7_partitioned_write(spark, d):
     return spark.read.parquet(path).where(F.col("issue_year") == K.TEST_YEAR)
 
 
+@register("s8_small_csv_write", __import__("pdforge.plans.catalog", fromlist=["SQL"]).SQL["a8_tier_validation"])
+def s8_small_csv_write(spark, d):
+    """Tier validation written as one CSV file, read back with its schema (values survive exactly)."""
+    from pdforge.operators.portfolio import tier_validation
+    t = tier_validation(scored(spark, d).where(F.col("split") == "test"))
+    path = io.write_small_csv(t, scratch_path(spark, "tiers_csv"))
+    return io.read_small_csv(spark, path, t.schema)
+
+
+@register("s10_json_write")
+def s10_json_write(spark, d):
+    """Metric bundle plus nested bucket summary written as JSON; returns the written files' rows."""
+    from pdforge.operators import metrics as M
+    from pdforge.operators.portfolio import tier_validation
+    s = scored(spark, d)
+    test = s.where(F.col("split") == "test")
+    bundle = M.metric_bundle(test.select(F.col("target").cast("int").alias("label"),
+                                         F.col("probability_of_default").alias("score")), 0.22)
+    buckets = tier_validation(test).agg(F.collect_list(F.struct("risk_tier", "count", "avg_pd",
+                                                                "actual_default_rate")).alias("bucket_summary"))
+    row = bundle.first().asDict()  # one row of metrics
+    doc = buckets.select(*[F.lit(v).alias(k) for k, v in row.items()], "bucket_summary")
+    path = io.write_json(doc, scratch_path(spark, "comparison"))
+    return spark.read.json(path)
+
+
+@register("s12_model_save")
+def s12_model_save(spark, d):
+    """Save the baseline model and its metadata; list what was written."""
+    m, f, spec = _lr(spark, d)
+    path = scratch_path(spark, "model_save")
+    MD.save_model(m, path)
+    return spark.read.json(f"{path}/metadata")
+
+
 @register("s9_small_csv_roundtrip")
 def s9_small_csv_roundtrip(spark, d):
     from pdforge.operators.portfolio import tier_validation

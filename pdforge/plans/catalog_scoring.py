@@ -336,11 +336,16 @@ def m10_tier_monotonicity(spark, d):
 ATTR = list(K.FORMULA_PD_COEFS)
 
 
-def attribution(spark, d) -> DataFrame:
+def attribution_model(spark, d):
     s = scored(spark, d)
     model = EX.LinearAttribution.fit(s.where(F.col("split") == "train"), K.FORMULA_PD_COEFS,
                                      K.FORMULA_PD_INTERCEPT)
-    return model.explain(s.where(F.col("split") == "test"))
+    return model, s.where(F.col("split") == "test")
+
+
+def attribution(spark, d) -> DataFrame:
+    model, test = attribution_model(spark, d)
+    return model.explain(test)
 
 
 def _means_sql() -> str:
@@ -400,7 +405,8 @@ def w5_top_features(spark, d):
   SELECT loan_id, feature, row_number() OVER (PARTITION BY loan_id ORDER BY abs(phi) DESC, ordinal) AS rk FROM attr)
 WHERE rk <= 5""")
 def w6_top_factors_per_loan(spark, d):
-    return EX.top_factors(attribution(spark, d), 5)
+    model, test = attribution_model(spark, d)
+    return model.top_factors(test, 5)
 
 
 # ---------------------------------------------------------------------------
