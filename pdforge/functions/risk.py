@@ -104,6 +104,21 @@ def rule_codes(pd_col, dti: Column, inq: Column, delinq: Column, pct: Column) ->
                        F.when(pct > K.POLICY_MAX_LOAN_PCT_INCOME, F.lit("LTI")))
 
 
+def any_rule(pd_col, dti: Column, inq: Column, delinq: Column, pct: Column) -> Column:
+    """True when any knock-out rule trips (same tests as ``triggered_rules``, no texts built)."""
+    p = null_if_nan(pd_col)
+    return F.coalesce(p >= K.POLICY_PD_DENY, F.lit(False)) | (dti > K.POLICY_MAX_DTI) | \
+        (inq > K.POLICY_MAX_INQUIRIES) | (delinq > K.POLICY_MAX_DELINQUENCIES) | \
+        F.coalesce(pct > K.POLICY_MAX_LOAN_PCT_INCOME, F.lit(False))
+
+
+def decision_from_flag(denied: Column, pd_col) -> Column:
+    p = null_if_nan(pd_col)
+    return (F.when(denied, F.lit("Deny"))
+            .when(p >= K.POLICY_PD_REFER, F.lit("Refer"))
+            .otherwise(F.lit("Approve")))
+
+
 def decision_from_rules(rules: Column, pd_col) -> Column:
     p = null_if_nan(pd_col)
     return (F.when(F.size(rules) > 0, F.lit("Deny"))

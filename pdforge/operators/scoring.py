@@ -43,13 +43,13 @@ def score_batch(df: DataFrame, pd_col: str = "pd") -> DataFrame:
     """
     x = R.policy_inputs()
     pct = R.loan_pct_income_policy(x["loan_amnt"], x["annual_inc"])
-    rules = R.triggered_rules(F.col(pd_col), x["dti"], x["inq_last_6mths"], x["delinq_2yrs"], pct)
+    denied = R.any_rule(F.col(pd_col), x["dti"], x["inq_last_6mths"], x["delinq_2yrs"], pct)
     return df.withColumns({
         "probability_of_default": R.pd_rounded(pd_col),
         "risk_tier": R.risk_tier(pd_col),
         "credit_grade": R._tier_field(R.clamp_pd(pd_col), 2),
         "recommended_action": R._tier_field(R.clamp_pd(pd_col), 5),
-        "policy_decision": R.decision_from_rules(rules, F.col(pd_col)),
+        "policy_decision": R.decision_from_flag(denied, F.col(pd_col)),
     })
 
 
@@ -67,11 +67,19 @@ def decision_records(df: DataFrame, pd_col: str = "pd", threshold: float = 0.5,
     )
 
 
+def most_frequent(df: DataFrame, c: str):
+    """Mode of a column (ties -> smallest value): a distributed count, then a top-1
+    (TakeOrdered keeps one row per task), so no task ever holds all distinct values."""
+    row = (df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+           .orderBy(F.desc("_n"), F.asc(c)).limit(1).collect())
+    return row[0][c] if row else None
+
+
 def template_row(features: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """One row — median of each numeric column, most frequent value of each text column.
 
-    Medians are exact and distributed (``stats.exact_quantiles``); the mode is
-    ``mode(c, deterministic=True)`` (ties -> smallest value).
+    Medians are exact and distributed (``stats.exact_quantiles``); modes are a
+    grouped count plus top-1 (ties -> smallest value).
     """
     from pdforge.operators.stats import exact_quantiles
 
@@ -80,9 +88,8 @@ def template_row(features: DataFrame, numeric: list[str], categorical: list[str]
     if numeric:
         for r in exact_quantiles(features, numeric, [0.5]).collect():  # one row per column
             values[r["column"]] = r["value"]
-    if categorical:
-        row = features.agg(*[F.mode(c, deterministic=True).alias(c) for c in categorical]).first()
-        values.update(row.asDict())
+    for c in categorical:
+        values[c] = most_frequent(features, c)
     fields = [T.StructField(c, T.DoubleType() if c in numeric else T.StringType()) for c in numeric + categorical]
     return spark.createDataFrame([tuple(values.get(c) for c in numeric + categorical)], T.StructType(fields))
 

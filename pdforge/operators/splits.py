@@ -25,6 +25,14 @@ def split_label(year="issue_year", train_max: int = K.TRAIN_MAX_YEAR, val_year:
             .when(y == test_year, "test"))
 
 
+def split_predicate(name: str, year="issue_year", train_max: int = K.TRAIN_MAX_YEAR, val_year: int = K.VAL_YEAR,
+                    test_year: int = K.TEST_YEAR) -> Column:
+    """The row filter of one split written on the year itself, so it is pushed to the scan
+    (and prunes partitions of a table partitioned by year); a filter on the derived label is not."""
+    y = F.col(year)
+    return {"train": y <= train_max, "val": y == val_year, "test": y == test_year}[name]
+
+
 def with_split(df: DataFrame, **kw) -> DataFrame:
     return df.where(F.col("target").isNotNull()).withColumn("split", split_label(**kw))
 

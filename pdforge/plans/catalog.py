@@ -65,8 +65,18 @@ def scored(spark, d) -> DataFrame:
     return SC.score_batch(SC.with_formula_pd(f))
 
 
+def scored_split(spark, d, name: str, feats: DataFrame | None = None) -> DataFrame:
+    """Scored rows of one split; the filter is on the year, so it reaches the scan.
+
+    Pass ``feats`` to reuse one cleaning run for several splits of the same query.
+    """
+    f = feats if feats is not None else features(spark, d)
+    f = SP.with_split(f.where(SP.split_predicate(name)))
+    return SC.score_batch(SC.with_formula_pd(f))
+
+
 def test_scored(spark, d) -> DataFrame:
-    return scored(spark, d).where(F.col("split") == "test")
+    return scored_split(spark, d, "test")
 
 
 def labelled(df: DataFrame, score: str = "probability_of_default") -> DataFrame:
@@ -269,8 +279,9 @@ def f7_class_counts(spark, d):
 @register("j1_keyed_concat", sql_from("scored", f"""SELECT f.loan_id, f.target, f.loan_amnt, s.probability_of_default, s.risk_tier
 FROM features f JOIN scored s ON f.loan_id = s.loan_id WHERE f.issue_year = {K.TEST_YEAR}"""))
 def j1_keyed_concat(spark, d):
-    f = features(spark, d).where(F.col("issue_year") == K.TEST_YEAR).select("loan_id", "target", "loan_amnt")
-    s = scored(spark, d).select("loan_id", "probability_of_default", "risk_tier")
+    feats = features(spark, d)
+    f = feats.where(F.col("issue_year") == K.TEST_YEAR).select("loan_id", "target", "loan_amnt")
+    s = SC.score_batch(SC.with_formula_pd(SP.with_split(feats))).select("loan_id", "probability_of_default", "risk_tier")
     return f.join(s, "loan_id")
 
 
@@ -452,7 +463,7 @@ def a12_split_sizes(spark, d):
   CAST(sum(1 - CAST(target AS BIGINT)) AS DOUBLE) / sum(CAST(target AS BIGINT)) AS neg_pos_ratio
 FROM features WHERE issue_year <= {K.TRAIN_MAX_YEAR}""")
 def a13_class_ratio(spark, d):
-    f = SP.with_split(features(spark, d)).where(F.col("split") == "train")
+    f = SP.with_split(features(spark, d).where(SP.split_predicate("train")))
     return PF.class_ratio(f)
 
 

@@ -14,7 +14,7 @@ from pdforge.operators import explain as EX
 from pdforge.operators import models as MD
 from pdforge.operators import scoring as SC
 from pdforge.operators import splits as SP
-from pdforge.plans.catalog import features, raw, register, scored
+from pdforge.plans.catalog import features, raw, register, scored, scored_split
 from pdforge.session import scratch_path
 from pdforge.sources import io
 
@@ -29,7 +29,7 @@ def model_data(spark, d):
 
 
 def _split(f, name):
-    return f.where(F.col("split") == name)
+    return f.where(SP.split_predicate(name))
 
 
 def _lr(spark, d):
@@ -237,7 +237,7 @@ def s7_partitioned_write(spark, d):
 def s8_small_csv_write(spark, d):
     """Tier validation written as one CSV file, read back with its schema (values survive exactly)."""
     from pdforge.operators.portfolio import tier_validation
-    t = tier_validation(scored(spark, d).where(F.col("split") == "test"))
+    t = tier_validation(scored_split(spark, d, "test"))
     path = io.write_small_csv(t, scratch_path(spark, "tiers_csv"))
     return io.read_small_csv(spark, path, t.schema)
 
@@ -247,8 +247,7 @@ def s10_json_write(spark, d):
     """Metric bundle plus nested bucket summary written as JSON; returns the written files' rows."""
     from pdforge.operators import metrics as M
     from pdforge.operators.portfolio import tier_validation
-    s = scored(spark, d)
-    test = s.where(F.col("split") == "test")
+    test = scored_split(spark, d, "test")
     bundle = M.metric_bundle(test.select(F.col("target").cast("int").alias("label"),
                                          F.col("probability_of_default").alias("score")), 0.22)
     buckets = tier_validation(test).agg(F.collect_list(F.struct("risk_tier", "count", "avg_pd",
@@ -271,7 +270,7 @@ def s12_model_save(spark, d):
 @register("s9_small_csv_roundtrip")
 def s9_small_csv_roundtrip(spark, d):
     from pdforge.operators.portfolio import tier_validation
-    t = tier_validation(scored(spark, d).where(F.col("split") == "test"))
+    t = tier_validation(scored_split(spark, d, "test"))
     path = io.write_small_csv(t, scratch_path(spark, "tiers_csv"))
     return io.read_small_csv(spark, path, t.schema)
 
@@ -279,7 +278,7 @@ def s9_small_csv_roundtrip(spark, d):
 @register("s11_json_roundtrip")
 def s11_json_roundtrip(spark, d):
     from pdforge.operators.portfolio import tier_validation
-    t = tier_validation(scored(spark, d).where(F.col("split") == "test"))
+    t = tier_validation(scored_split(spark, d, "test"))
     nested = t.agg(F.collect_list(F.struct("risk_tier", "count", "avg_pd", "actual_default_rate"))
                    .alias("bucket_summary"))  # five tier rows
     path = io.write_json(nested, scratch_path(spark, "comparison_json"))

@@ -19,7 +19,7 @@ from pdforge.operators import scoring as SC
 from pdforge.operators import splits as SP
 from pdforge.plans import oracle as O
 from pdforge.plans.catalog import (SPLIT_SQL, TIER_RANK_SQL, W, _portfolio_sql, cleaned, features, labelled,
-                                   prepared, raw, register, scored, test_scored)
+                                   prepared, raw, register, scored, scored_split, test_scored)
 
 # ---------------------------------------------------------------------------
 # Parsing, fills, caps, maps
@@ -219,8 +219,10 @@ def w3_sort_by_year_target(spark, d):
 @register("w7_union_train_val", W("features") + f"""SELECT loan_id, split FROM (SELECT loan_id, {SPLIT_SQL} AS split
 FROM features WHERE target IS NOT NULL) WHERE split IN ('train', 'val')""")
 def w7_union_train_val(spark, d):
-    s = SP.with_split(features(spark, d)).select("loan_id", "split")
-    return s.where(F.col("split") == "train").unionByName(s.where(F.col("split") == "val"))
+    f = features(spark, d)
+    train = SP.with_split(f.where(SP.split_predicate("train"))).select("loan_id", "split")
+    val = SP.with_split(f.where(SP.split_predicate("val"))).select("loan_id", "split")
+    return train.unionByName(val)
 
 
 # ---------------------------------------------------------------------------
@@ -312,9 +314,9 @@ M9_SQL = (W("scored") + curve_ctes("split = 'val'", "_v") + metrics_sql("vt", "_
 
 @register("m9_metric_bundle", M9_SQL)
 def m9_metric_bundle(spark, d):
-    s = scored(spark, d)
-    val = labelled(s.where(F.col("split") == "val"))
-    test = labelled(s.where(F.col("split") == "test"))
+    feats = features(spark, d)
+    val = labelled(scored_split(spark, d, "val", feats))
+    test = labelled(scored_split(spark, d, "test", feats))
     t = M.youden_threshold(val, "label", "score")
     return M.metric_bundle(test, t, "label", "score")
 
@@ -337,10 +339,10 @@ ATTR = list(K.FORMULA_PD_COEFS)
 
 
 def attribution_model(spark, d):
-    s = scored(spark, d)
-    model = EX.LinearAttribution.fit(s.where(F.col("split") == "train"), K.FORMULA_PD_COEFS,
+    feats = features(spark, d)
+    model = EX.LinearAttribution.fit(scored_split(spark, d, "train", feats), K.FORMULA_PD_COEFS,
                                      K.FORMULA_PD_INTERCEPT)
-    return model, s.where(F.col("split") == "test")
+    return model, scored_split(spark, d, "test", feats)
 
 
 def attribution(spark, d) -> DataFrame:
@@ -574,17 +576,17 @@ J2_SQL = (W("scored") + _bundle_sql("probability_of_default", "a") + _bundle_sql
                                f"CAST(b.{c} AS DOUBLE) AS challenger FROM sc_a a, sc_b b" for c in BUNDLE_COLS) + ")")
 
 
-def _bundle(s, score_col):
-    val = s.where(F.col("split") == "val").select(F.col("target").cast("int").alias("label"),
-                                                  score_col.alias("score"))
-    test = s.where(F.col("split") == "test").select(F.col("target").cast("int").alias("label"),
-                                                    score_col.alias("score"))
+def _bundle(spark, d, score_col, feats):
+    val = scored_split(spark, d, "val", feats).select(F.col("target").cast("int").alias("label"),
+                                                      score_col.alias("score"))
+    test = scored_split(spark, d, "test", feats).select(F.col("target").cast("int").alias("label"),
+                                                        score_col.alias("score"))
     return M.metric_bundle(test, M.youden_threshold(val))
 
 
 @register("j2_metric_comparison", J2_SQL)
 def j2_metric_comparison(spark, d):
-    s = scored(spark, d)
-    baseline = _bundle(s, F.col("probability_of_default"))
-    challenger = _bundle(s, F.col("dti").cast("double") / 100.0)
+    feats = features(spark, d)
+    baseline = _bundle(spark, d, F.col("probability_of_default"), feats)
+    challenger = _bundle(spark, d, F.col("dti").cast("double") / 100.0, feats)
     return M.compare_models(baseline, challenger)
