@@ -304,3 +304,27 @@ def s14_write_if_absent(spark, d):
 
 def _unused(df: DataFrame):
     return df
+
+
+@register("b7_cleaning_job_sink")
+def b7_cleaning_job_sink(spark, d):
+    """B7 end to end with its sink and statistics; returns the statistics as one row."""
+    from pdforge.plans.cleaning_job import write_cleaning_job
+    out = scratch_path(spark, "loans_cleaned")
+    st = write_cleaning_job(raw(spark, d), out, stats_path=scratch_path(spark, "cleaning_stats"))
+    keys = ["raw_rows", "raw_columns", "cleaned_rows", "cleaned_columns", "rows_removed", "rows_removed_pct",
+            "default_count", "non_default_count", "default_rate_pct", "file_size_mb"]
+    return spark.createDataFrame([tuple(st[k] for k in keys)],
+                                 "raw_rows long, raw_columns int, cleaned_rows long, cleaned_columns int, "
+                                 "rows_removed long, rows_removed_pct double, default_count long, "
+                                 "non_default_count long, default_rate_pct double, file_size_mb double")
+
+
+@register("b8_feature_job_sink")
+def b8_feature_job_sink(spark, d):
+    """B8 end to end: cleaned table written, features written partitioned by year, pruned read back."""
+    from pdforge.plans.cleaning_job import write_cleaning_job, write_feature_job
+    cleaned_path, feat_path = scratch_path(spark, "loans_cleaned"), scratch_path(spark, "features")
+    write_cleaning_job(raw(spark, d), cleaned_path)
+    write_feature_job(cleaned_path, feat_path, spark)
+    return spark.read.parquet(feat_path).where(F.col("issue_year") == K.TEST_YEAR)

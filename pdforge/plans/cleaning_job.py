@@ -90,3 +90,60 @@ def target_distribution(cleaned: DataFrame) -> DataFrame:
 
 __all__ = ["run_cleaning", "cleaned_loans", "feature_table", "cleaning_statistics",
            "target_distribution", "CleaningResult", "K"]
+
+
+def write_cleaning_job(raw: DataFrame, out_path: str, stats_path: str | None = None,
+                       partition_by: str | None = "issue_year", **kw) -> dict:
+    """B7 with its sink: clean, write Parquet (partitioned by year), return statistics.
+
+    Row and class counts are collected by an ``Observation`` on the write
+    itself (no second pass); the raw count is a metadata-light count of the
+    input. Fitted medians / caps are saved as a small table next to the output
+    so scoring can reuse exactly these values.
+    """
+    from pyspark.sql import Observation
+
+    res = run_cleaning(raw, **kw)
+    obs = Observation("cleaning")
+    observed = res.cleaned.observe(obs, F.count(F.lit(1)).alias("rows"),
+                                   F.count(F.when(F.col("target") == 1, 1)).alias("defaults"))
+    w = observed.write.mode("overwrite")
+    if partition_by and partition_by in res.cleaned.columns:
+        w = w.partitionBy(partition_by)
+    w.parquet(out_path)
+    m = obs.get
+    if stats_path:
+        res.stats.to_frame(raw.sparkSession).coalesce(1).write.mode("overwrite").parquet(stats_path)
+    raw_rows = raw.count()
+    rows, defaults = m["rows"], m["defaults"]
+    size = (raw.sparkSession.read.parquet(out_path).select(F.col("_metadata.file_path").alias("p"),
+                                                          F.col("_metadata.file_size").alias("s"))
+            .distinct().agg(F.sum("s")).first()[0] or 0)
+    return {
+        "raw_rows": raw_rows, "raw_columns": len(raw.columns),
+        "cleaned_rows": rows, "cleaned_columns": len(res.cleaned.columns),
+        "rows_removed": raw_rows - rows,
+        "rows_removed_pct": round((raw_rows - rows) / raw_rows * 100, 1) if raw_rows else 0.0,
+        "default_count": defaults, "non_default_count": rows - defaults,
+        "default_rate_pct": round(defaults / rows * 100, 2) if rows else 0.0,
+        "file_size_mb": round(size / 1024 ** 2, 1), "columns": res.cleaned.columns,
+        "dropped_all_null": res.dropped_all_null,
+    }
+
+
+def write_feature_job(cleaned_path: str, out_path: str, spark=None, partition_by: str | None = "issue_year") -> dict:
+    """B8 with its sink: read cleaned Parquet, add the ten features, write, return statistics."""
+    from pyspark.sql import Observation, SparkSession
+
+    from pdforge.functions.features import FEATURE_NAMES
+
+    spark = spark or SparkSession.getActiveSession()
+    feats = add_features(spark.read.parquet(cleaned_path))
+    obs = Observation("features")
+    w = feats.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+    if partition_by and partition_by in feats.columns:
+        w = w.partitionBy(partition_by)
+    w.parquet(out_path)
+    new = [c for c in feats.columns if c in FEATURE_NAMES]
+    return {"rows": obs.get["rows"], "total_features": len(feats.columns) - 1, "new_features": len(new),
+            "columns": feats.columns}

@@ -48,3 +48,17 @@ def test_fixture_join_strategy_left_to_planner(spark):
     plan = _plan(raw_loans(spark, SF001))
     # dimension joins are broadcast only by the size-checked planner threshold, not by hints
     assert "BroadcastHashJoin" in plan or "SortMergeJoin" in plan
+
+
+def test_year_partition_pruning(spark):
+    from pdforge.plans.catalog import QUERIES
+    df = QUERIES["b8_feature_job_sink"](spark, SF001)
+    plan = _plan(df)
+    assert "PartitionFilters: [isnotnull(issue_year" in plan and "(issue_year" in plan
+    assert df.count() > 0
+
+
+def test_cleaning_job_statistics(spark):
+    row = __import__("pdforge.plans.catalog", fromlist=["QUERIES"]).QUERIES["b7_cleaning_job_sink"](spark, SF001).first()
+    assert row.raw_rows - row.rows_removed == row.cleaned_rows
+    assert row.default_count + row.non_default_count == row.cleaned_rows
