@@ -590,3 +590,11 @@ def j2_metric_comparison(spark, d):
     baseline = _bundle(spark, d, F.col("probability_of_default"), feats)
     challenger = _bundle(spark, d, F.col("dti").cast("double") / 100.0, feats)
     return M.compare_models(baseline, challenger)
+
+
+@register("b7_cleaning_fit_on_train", O.with_ctes("cleaned", fit_where=f"issue_year <= {K.TRAIN_MAX_YEAR}")
+          + "SELECT * FROM cleaned")
+def b7_cleaning_fit_on_train(spark, d):
+    """B7 with medians and caps fitted on the training years only (no validation / test leakage)."""
+    from pdforge.plans.cleaning_job import run_cleaning
+    return run_cleaning(raw(spark, d), fit_on=F.col("issue_year") <= K.TRAIN_MAX_YEAR).cleaned

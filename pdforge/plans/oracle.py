@@ -141,16 +141,17 @@ MEDIAN_COLS = [c for c in K.MEDIAN_FILL_COLUMNS if c in RAW_NUMERIC]
 CAP_COLS = [c for c in K.CAP_COLUMNS if c in RAW_NUMERIC]
 
 
-def _fitted() -> str:
+def _fitted(fit_where: str | None = None) -> str:
     meds = ",\n    ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in MEDIAN_COLS)
     caps = ",\n    ".join(f"quantile_cont(coalesce(p.{c}, m.{c}), {K.CAP_QUANTILE}) AS {c}" for c in CAP_COLS)
+    w = f" WHERE {fit_where}" if fit_where else ""
     return f"""
 med AS (SELECT
     {meds}
-  FROM prepared),
+  FROM prepared{w}),
 cap AS (SELECT
     {caps}
-  FROM prepared p, med m)"""
+  FROM prepared p, med m{w})"""
 
 
 def _cleaned_value(c: str) -> str:
@@ -247,15 +248,18 @@ scored AS (SELECT *,
 losses AS (SELECT *, probability_of_default * {K.DEFAULT_LGD} * ead AS expected_loss FROM scored)"""
 
 
-def with_ctes(*names: str) -> str:
-    """WITH clause up to the named stage: raw_loans, prepared, cleaned, features, scored."""
+def with_ctes(*names: str, fit_where: str | None = None) -> str:
+    """WITH clause up to the named stage: raw_loans, prepared, cleaned, features, scored.
+
+    ``fit_where`` restricts the rows the medians / caps are fitted on.
+    """
     order = ["raw_loans", "prepared", "cleaned", "features", "scored"]
     upto = max(order.index(n) for n in names) if names else 0
     parts = [LOAN_VIEW]
     if upto >= 1:
         parts.append(PREPARED)
     if upto >= 2:
-        parts.append(_fitted())
+        parts.append(_fitted(fit_where))
         parts.append(_cleaned())
     if upto >= 3:
         parts.append(_features())
