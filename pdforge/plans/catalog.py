@@ -15,12 +15,9 @@ from pyspark.sql import functions as F
 
 from pdforge import constants as K
 from pdforge.functions import features as FE
-from pdforge.functions import parsing
-from pdforge.functions import risk as R
 from pdforge.operators import cleaning as CL
 from pdforge.operators import columns as C
 from pdforge.operators import leakage as LK
-from pdforge.operators import metrics as M
 from pdforge.operators import portfolio as PF
 from pdforge.operators import scoring as SC
 from pdforge.operators import splits as SP
@@ -90,9 +87,6 @@ def sql_from(stage: str, body: str) -> str:
     return W(stage) + body
 
 
-RAW_COLS_SQL = "raw_loans"
-
-
 # ---------------------------------------------------------------------------
 # sources
 # ---------------------------------------------------------------------------
@@ -170,13 +164,6 @@ def p7_drop_raw_dates(spark, d):
     return CL.parse_dates(raw(spark, d))
 
 
-MODEL_NUMERIC = None  # filled lazily below
-
-
-def _model_columns(df: DataFrame):
-    return C.split_feature_types(C.drop_non_features(df))
-
-
 @lru_cache(maxsize=1)
 def _feature_numeric_names() -> tuple:
     # the feature table's numeric columns, by construction of the fixture

@@ -24,9 +24,6 @@ from pdforge.plans.catalog import (SPLIT_SQL, TIER_RANK_SQL, W, _portfolio_sql,
 # ---------------------------------------------------------------------------
 # Parsing, fills, caps, maps
 # ---------------------------------------------------------------------------
-P = O.PREPARED
-
-
 @register("x1_term", W("raw_loans") + "SELECT loan_id, CAST(replace(trim(term), ' months', '') AS SMALLINT) AS term FROM raw_loans")
 def x1_term(spark, d):
     return raw(spark, d).select("loan_id", parsing.parse_term("term").alias("term"))

@@ -96,22 +96,20 @@ def write_cleaning_job(raw: DataFrame, out_path: str, stats_path: str | None = N
                        partition_by: str | None = "issue_year", **kw) -> dict:
     """B7 with its sink: clean, write Parquet (partitioned by year), return statistics.
 
-    Row and class counts are collected by an ``Observation`` on the write
-    itself (no second pass); the raw count is a metadata-light count of the
-    input. Fitted medians / caps are saved as a small table next to the output
-    so scoring can reuse exactly these values.
+    Row and class counts come from one aggregate over the written table's
+    ``target`` column (a columnar read of one field). ``Observation`` is not
+    used: once a session has observed a query it holds a non-serializable
+    manager that later breaks closures capturing the session (e.g. a logistic
+    model's training summary). Fitted medians / caps are saved as a small
+    table next to the output so scoring can reuse exactly these values.
     """
-    from pyspark.sql import Observation
-
     res = run_cleaning(raw, **kw)
-    obs = Observation("cleaning")
-    observed = res.cleaned.observe(obs, F.count(F.lit(1)).alias("rows"),
-                                   F.count(F.when(F.col("target") == 1, 1)).alias("defaults"))
-    w = observed.write.mode("overwrite")
+    w = res.cleaned.write.mode("overwrite")
     if partition_by and partition_by in res.cleaned.columns:
         w = w.partitionBy(partition_by)
     w.parquet(out_path)
-    m = obs.get
+    m = (raw.sparkSession.read.parquet(out_path)
+         .agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("target") == 1, 1)).alias("defaults")).first())
     if stats_path:
         res.stats.to_frame(raw.sparkSession).coalesce(1).write.mode("overwrite").parquet(stats_path)
     raw_rows = raw.count()
@@ -133,17 +131,17 @@ def write_cleaning_job(raw: DataFrame, out_path: str, stats_path: str | None = N
 
 def write_feature_job(cleaned_path: str, out_path: str, spark=None, partition_by: str | None = "issue_year") -> dict:
     """B8 with its sink: read cleaned Parquet, add the ten features, write, return statistics."""
-    from pyspark.sql import Observation, SparkSession
+    from pyspark.sql import SparkSession
 
     from pdforge.functions.features import FEATURE_NAMES
 
     spark = spark or SparkSession.getActiveSession()
     feats = add_features(spark.read.parquet(cleaned_path))
-    obs = Observation("features")
-    w = feats.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+    w = feats.write.mode("overwrite")
     if partition_by and partition_by in feats.columns:
         w = w.partitionBy(partition_by)
     w.parquet(out_path)
+    rows = spark.read.parquet(out_path).count()
     new = [c for c in feats.columns if c in FEATURE_NAMES]
-    return {"rows": obs.get["rows"], "total_features": len(feats.columns) - 1, "new_features": len(new),
+    return {"rows": rows, "total_features": len(feats.columns) - 1, "new_features": len(new),
             "columns": feats.columns}

@@ -99,3 +99,9 @@ def test_linear_attribution_additive(spark):
     z = s.select("loan_id", (-F.log(1 / F.col("pd") - 1)).alias("z"))
     for r in tot.join(z, "loan_id").limit(50).collect():
         assert model.base_value() + r.phi == pytest.approx(r.z, abs=1e-9)
+
+
+def test_sink_jobs_then_logistic_model(spark):
+    """Sink jobs must leave the session usable for model pipelines (closures that capture it)."""
+    CAT.QUERIES["b7_cleaning_job_sink"](spark, SF001).collect()
+    assert CAT.QUERIES["t3_logistic_regression"](spark, SF001).count() > 0
