@@ -55,9 +55,25 @@ def hash_order(key: str = "loan_id", seed: int = K.RANDOM_SEED) -> Column:
 
 def deterministic_sample(df: DataFrame, n: int, key: str = "loan_id",
                          seed: int = K.RANDOM_SEED) -> DataFrame:
-    """N rows without replacement; TakeOrdered keeps n rows per task, then merges."""
-    return (df.withColumn("_u", hash_order(key, seed))
-            .orderBy("_u", key).limit(n).drop("_u"))
+    """The n rows with the smallest seeded hash (exact, without replacement).
+
+    A bare ``orderBy.limit(n)`` merges n rows from every task in one task,
+    which grows with the partition count. The hash is uniform on [0, 1), so the
+    n-th smallest value is close to n / N: rows above a threshold a few
+    standard deviations past that are dropped first (the threshold doubles
+    while fewer than n rows pass, which keeps the result exact), and only
+    about n candidates reach the final ordered take.
+    """
+    import math
+
+    t = df.withColumn("_u", hash_order(key, seed))
+    total = t.count()
+    if total <= n:
+        return t.drop("_u")
+    cut = min(1.0, (n + 6.0 * math.sqrt(n) + 16.0) / total)
+    while cut < 1.0 and t.where(F.col("_u") <= cut).count() < n:
+        cut = min(1.0, cut * 2.0)
+    return t.where(F.col("_u") <= cut).orderBy("_u", key).limit(n).drop("_u")
 
 
 def rank_in_group(df: DataFrame, group_cols: list[str], order_col: str, **kw) -> DataFrame:

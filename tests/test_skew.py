@@ -56,3 +56,11 @@ def test_samples_do_not_depend_on_partitioning(spark):
     fa = {(r.loan_id, r.fold) for r in SP.stratified_folds(df.repartition(1), 5).collect()}
     fb = {(r.loan_id, r.fold) for r in SP.stratified_folds(df.repartition(8), 5, rows_per_bucket=100).collect()}
     assert fa == fb
+
+
+def test_prefiltered_sample_equals_full_sort(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(20000)], "loan_id long, target int").repartition(8)
+    got = {r.loan_id for r in SP.deterministic_sample(df, 300).collect()}
+    u = df.withColumn("_u", SP.hash_order("loan_id"))
+    want = {r.loan_id for r in u.orderBy("_u", "loan_id").limit(300).collect()}
+    assert got == want and len(got) == 300
