@@ -80,7 +80,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
         acc = max(10_000, 20 * n_buckets)
         split_rows = (t.groupBy(*group_cols)
                       .agg(F.percentile_approx("_k", probs, acc).alias("_s"))
-                      .select(_group_key(group_cols).alias("_g"), "_s").collect())
+                      .select(_group_key(group_cols).alias("_g"), "_s").collect())  # groups x buckets values: bounded by max_buckets
         splits = {r["_g"]: np.unique(np.asarray(r["_s"], dtype=float)) for r in split_rows}
         t = t.withColumn("_b", _bucket_udf(splits)(_group_key(group_cols), F.col("_k")))
 
