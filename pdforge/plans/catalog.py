@@ -50,7 +50,7 @@ def prepared(spark, d) -> DataFrame:
 
 
 def cleaned(spark, d) -> DataFrame:
-    return run_cleaning(raw(spark, d)).cleaned
+    return run_cleaning(raw(spark, d), materialize_raw=True).cleaned
 
 
 def features(spark, d) -> DataFrame:

@@ -28,13 +28,19 @@ class CleaningResult:
 
 
 def run_cleaning(raw: DataFrame, fit_on: Column | None = None, drop_all_null: bool = True,
-                 materialize_prepared: bool = True, **kw) -> CleaningResult:
+                 materialize_prepared: bool = True, materialize_raw: bool = False, **kw) -> CleaningResult:
     """B7 without the sink: returns the cleaned DataFrame and its fitted statistics.
 
     ``fit_on`` restricts the rows used to fit medians / caps (default: all
     resolved loans, as in the original; e.g. ``F.col('issue_year') <= 1999``
     fits on the training years only).
+
+    ``materialize_raw`` first lands a derived raw table as Parquet (the ingest
+    step of the original flow): the resolved-status filter is then pushed into
+    that scan instead of being evaluated above the joins that derive it.
     """
+    if materialize_raw:
+        raw = materialize(raw, "raw_loans")
     prepared = CL.prepare_for_imputation(raw)
     if materialize_prepared:
         # one pass over the raw joins; stats, null check and the output all read this table
