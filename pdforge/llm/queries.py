@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pdforge.llm import (block_names, license_scan, line_spread, orc_tokens, pack_nnls, source_mix)
+from pdforge.llm import (block_names, byte_gru, license_scan, line_spread, orc_tokens, pack_nnls,
+                         posting_ann, source_mix)
 from pdforge.llm.common import documents
 
 
@@ -14,11 +15,21 @@ def _on_documents(fn):
     return run
 
 
+def _on_embeddings(fn):
+    def run(spark, sf_dir):
+        return fn(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    run.__name__ = fn.__module__.rsplit(".", 1)[-1]
+    run.__doc__ = fn.__doc__
+    return run
+
+
 QUERIES = {
     "op1_license_scan": _on_documents(license_scan.query),
     "op4_pack_nnls": _on_documents(pack_nnls.query),
     "op5_line_spread": _on_documents(line_spread.query),
     "op6_block_names": _on_documents(block_names.query),
+    "op7_posting_ann": _on_embeddings(posting_ann.query),
+    "op8_byte_gru": _on_documents(byte_gru.query),
     "op9_source_mix": _on_documents(source_mix.query),
     "op10_orc_tokens": _on_documents(orc_tokens.query),
 }
