@@ -5,7 +5,8 @@ hold, for each shingle in the first quarter of a set (prefix filter, in one glob
 last), the class, its size and the position. Skipping by position: a pair is only looked at where sizes and
 positions leave room for enough common shingles. Skipping by relation: in a first round each list compares its members
 with one leader only; members that link to it share its component, and what is known of a leader bounds the rest
-(|x & z| <= |c & z| + |x - c|). Star rounds with other leaders repeat until few lists mix components; then every pair
+(|x & z| <= |c & z| + |x - c|). A bitmap of bucket parities bounds it too: sets differ in at least as many
+shingles as their bitmaps in bits. Star rounds with other leaders repeat until few lists mix components; then every pair
 of a list that lies in different components and passes all bounds is verified on the whole texts. So no link between
 components is missed, and a group of thousands of near copies costs a few comparisons a member, not all pairs.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pdforge.llm.common import row_blocks, stored
 from pdforge.llm.graph import components
@@ -30,7 +32,11 @@ from pdforge.llm.graph import components
 N = 5
 #: Link when 100 * common >= PERCENT * union, that is 7 * common >= 3 * (sum of sizes) at 75.
 PERCENT = 75
-FREQUENT, FREQUENT_MOST, BLOCK, STAR_ROUNDS, FILTER_BITS = 32, 200_000, 512, 4, 1 << 22
+FREQUENT, FREQUENT_MOST, BLOCK, FILTER_BITS = 32, 200_000, 512, 1 << 22
+STAR_ROUNDS, HUBS, HUB_LISTS = 2, 8, 2
+#: Longs of a set's bitmap: bit k is the parity of its shingles in bucket k.
+LONGS = 8
+BITS = [f"b{k}" for k in range(LONGS)]
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,6 +96,20 @@ def _fingerprints(s: np.ndarray):
     return _mix(sums ^ size)
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    size = 64 * LONGS
+    odd = np.bincount(((s >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(a) or not len(b):
+        return 0
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
 def _long(x):
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
@@ -97,7 +117,7 @@ def _long(x):
 # ---- index lists -------------------------------------------------------------------------------------------------
 
 def class_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, f1, f2): size and 128-bit fingerprint of each document's set."""
+    """(doc_id, n, f1, f2, b0..): size, 128-bit fingerprint and parity bitmap of each document's set."""
     def run(batches):
         import pyarrow as pa
 
@@ -105,11 +125,13 @@ def class_rows(docs: DataFrame) -> DataFrame:
             for rows, texts in row_blocks(batch):
                 sets = shingle_sets(texts)
                 f = np.array([_fingerprints(s) for s in sets], dtype=np.uint64).reshape(-1, 2)
+                b = np.array([_parities(s) for s in sets], dtype=np.int64).reshape(-1, LONGS)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(_long(f[:, 0].copy())), pa.array(_long(f[:, 1].copy()))],
-                    names=["doc_id", "n", "f1", "f2"])
+                    [rows.column("doc_id"), pa.array([len(s) for s in sets], type=pa.int64()),
+                     pa.array(_long(f[:, 0].copy())), pa.array(_long(f[:, 1].copy())), *[pa.array(b[:, k].copy()) for k in range(LONGS)]],
+                    names=["doc_id", "n", "f1", "f2", *BITS])
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def frequent_shingles(docs: DataFrame):
@@ -262,13 +284,16 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                a = shingle_sets([t or b"" for t in part.column("ta").cast(pa.large_binary()).to_pylist()])
-                b = shingle_sets([t or b"" for t in part.column("tb").cast(pa.large_binary()).to_pylist()])
+            for k in range(0, len(batch), 2048):
+                part = batch.slice(k, 2048)
                 x, z = part.column("x").to_pylist(), part.column("z").to_pylist()
-                same = [int(_long(_fingerprints(s)[0])) == f and int(_long(_fingerprints(t)[0])) == h for s, t, f, h in zip(a, b, x, z)]
-                common = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(a, b)]
+                texts = dict(zip(x, part.column("ta").cast(pa.large_binary()).to_pylist()))
+                texts.update(zip(z, part.column("tb").cast(pa.large_binary()).to_pylist()))
+                sets = dict(zip(texts, shingle_sets([t or b"" for t in texts.values()])))
+                right = {f for f, v in sets.items() if int(_long(_fingerprints(v))[0]) == f}
+                a, b = [sets[f] for f in x], [sets[f] for f in z]
+                same = [f in right and h in right for f, h in zip(x, z)]
+                common = [_common(u, v) for u, v in zip(a, b)]
                 linked = [100 * c >= PERCENT * (len(s) + len(t) - c) for s, t, c in zip(a, b, common)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("x"), part.column("z"), pa.array(common, type=pa.int64()), pa.array(linked), pa.array(same)],
@@ -286,7 +311,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes: doc_id, n, f1, f2, rep; component of each linked class representative)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(class_rows(docs), "nj-rows")
-    classes = stored(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "nj-classes")
+    classes = stored(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(b).alias(b) for b in BITS]), "nj-classes")
     lists = stored(index_lists(docs, frequent_shingles(docs)), "nj-lists")
     pair = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("z"))
     known, comp = None, None
@@ -298,11 +323,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             first = heads.groupBy("g").agg(F.min("f").alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "h")
             star = star.unionByName(heads.join(first, "g").where("f != h").select(*pair(F.col("f"), F.col("h"))))
         else:
-            # lists that mix components: another leader of each component, chosen by hash
-            mixed = _mixed(lists, comp)
-            lead = mixed.groupBy("g").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "f").alias("o"), "f", "n", "pos", "comp")).alias("l"))
-            star = mixed.join(lead, "g").where((F.col("comp") != F.col("l.comp")) & _room(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"))) \
-                .select(*pair(F.col("f"), F.col("l.f")))
+            star = _more_stars(_mixed(lists, comp), turn).select(*pair(F.col("f"), F.col("h")))
         star = star.distinct()
         if known is not None:
             star = star.join(known.select("x", "z"), ["x", "z"], "left_anti")
@@ -321,12 +342,15 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = known.select("x", "z", "common")
     told = told.unionByName(told.select(F.col("z").alias("x"), F.col("x").alias("z"), "common"))
     mixed = mixed.join(told.select(F.col("x").alias("f"), F.col("z").alias("c"), F.col("common").alias("o")), ["f", "c"], "left")
-    mixed = stored(mixed.select("g", "f", "n", "pos", "c", "comp", F.when(F.col("f") == F.col("c"), F.col("n")).otherwise(F.col("o")).alias("o")), "nj-mixed")
+    mixed = mixed.join(classes.select(F.col("f1").alias("f"), F.col("n").alias("n_"), *BITS), "f").where("n = n_")
+    mixed = stored(mixed.select("g", "f", "n", "pos", "c", "comp", *BITS, F.when(F.col("f") == F.col("c"), F.col("n")).otherwise(F.col("o")).alias("o")), "nj-mixed")
     s, t = mixed.alias("s"), mixed.alias("t")
     need = 3 * (F.col("s.n") + F.col("t.n"))
     bound = F.least(F.col("s.o") + F.col("t.n") - F.col("t.o"), F.col("t.o") + F.col("s.n") - F.col("s.o"))
+    differ = sum((F.bit_count(F.col(f"s.{b}").bitwiseXOR(F.col(f"t.{b}"))) for b in BITS), F.lit(0))
     rest = s.join(t, (F.col("s.g") == F.col("t.g")) & (F.col("s.f") < F.col("t.f")) & (F.col("s.comp") != F.col("t.comp"))
                   & _room(F.col("s.n"), F.col("s.pos"), F.col("t.n"), F.col("t.pos"))
+                  & (7 * differ <= F.col("s.n") + F.col("t.n"))
                   & ((F.col("s.c") != F.col("t.c")) | bound.isNull() | (7 * bound >= need))) \
         .select(F.col("s.f").alias("x"), F.col("t.f").alias("z")).distinct().join(known.select("x", "z"), ["x", "z"], "left_anti")
     rest = stored(rest, "nj-rest")
@@ -347,6 +371,22 @@ def _mixed(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
     return t.join(g, "g")
 
 
+def _more_stars(mixed: DataFrame, turn: int) -> DataFrame:
+    """(f, h) to compare next: in each block of a list, classes outside its largest component with ``HUBS`` members of
+    that component, chosen by hash; a class does so in its ``HUB_LISTS`` longest lists."""
+    key = ["g", "block"]
+    big = (mixed.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("k"))
+           .groupBy(*key).agg(F.max(F.struct("k", "comp")).alias("b"), F.sum("k").alias("total"), F.count(F.lit(1)).alias("kinds"))
+           .where("kinds > 1").select(*key, F.col("b.comp").alias("big"), "total"))
+    t = stored(mixed.join(big, key), "nj-stars")
+    order = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(turn), "f"), "f")
+    hubs = (t.where("comp = big").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS)
+            .select(*key, F.col("f").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hpos")))
+    own = Window.partitionBy("f").orderBy(F.desc("total"), F.xxhash64(F.lit(turn), "g"), "g")
+    out = t.where("comp != big").withColumn("r", F.row_number().over(own)).where(F.col("r") <= HUB_LISTS)
+    return out.join(hubs, key).where(4 * F.least("n", "hn") >= 3 * F.greatest("n", "hn")).select("f", "h")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, class_id (smallest doc_id with the same set)."""
     rows, comp = links(docs)
