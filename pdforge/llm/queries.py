@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pdforge.llm import (block_names, byte_gru, license_scan, line_spread, ngram_join, orc_tokens, pack_nnls,
-                         posting_ann, source_mix)
+from pdforge.llm import (block_names, byte_gru, eftrie_lm, license_scan, line_spread, ngram_join, orc_tokens,
+                         pack_nnls, posting_ann, source_mix)
 from pdforge.llm.common import documents
 
 
@@ -26,6 +26,7 @@ def _on_embeddings(fn):
 QUERIES = {
     "op1_license_scan": _on_documents(license_scan.query),
     "op2_ngram_join": _on_documents(ngram_join.query),
+    "op3_eftrie_lm": _on_documents(eftrie_lm.query),
     "op4_pack_nnls": _on_documents(pack_nnls.query),
     "op5_line_spread": _on_documents(line_spread.query),
     "op6_block_names": _on_documents(block_names.query),
