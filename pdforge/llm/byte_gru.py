@@ -191,58 +191,81 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, **settings):
     return names, fit(windows, np.array(labels), np.array(weights, dtype=float), len(names), **settings)
 
 
+def _labeller(model):
+    """A function from texts to (languages, scores), with a memo of windows kept in the worker."""
+    import regex
+
+    letter = regex.compile(r"\p{L}")
+    lettered = bytes(1 if chr(c).isalpha() else 0 for c in range(128)) + b"\1" * 128
+    names, p = model if model else ([], {"o": np.zeros((0, 0))})
+    token = (tuple(names), p["o"].tobytes())
+    home = worker_cache("gru")
+    if home.get("model") != token:
+        home.clear()
+        home.update(model=token, memo={}, rows=np.zeros((0, len(names)), np.float32))
+
+    def learn(new):
+        new.sort(key=len)
+        out = []
+        for i in range(0, len(new), 2048):
+            x, lengths = padded([bytes([EDGE]) + w + bytes([EDGE]) for w in new[i:i + 2048]])
+            out.append(window_scores(p, x, lengths))
+        base = len(home["rows"])
+        home["memo"].update((w, base + i) for i, w in enumerate(new))
+        home["rows"] = np.concatenate([home["rows"], *out])
+
+    def label(texts):
+        preds, scores = ["und"] * len(texts), [0.0] * len(texts)
+        if not names:
+            return preds, scores
+        if len(home["memo"]) > MEMO_WINDOWS:
+            home.update(memo={}, rows=np.zeros((0, len(names)), np.float32))
+        split = [[w for w in runs_of(t) if 1 in w.translate(lettered)] if letter.search(t.decode()) else [] for t in texts]
+        memo = home["memo"]
+        new = [w for w in set().union(*split) if w not in memo]
+        if new:
+            learn(new)
+        for i, runs in enumerate(split):
+            if runs:
+                at = np.fromiter(map(memo.__getitem__, runs), dtype=np.int64, count=len(runs))
+                total = home["rows"][at].sum(axis=0, dtype=np.float64)
+                mean = total / sum(map(len, runs))
+                prob = np.exp(mean - mean.max())
+                best = int(np.argmax(total))
+                preds[i], scores[i] = names[best], float(prob[best] / prob.sum())
+        return preds, scores
+
+    return label
+
+
 def predict(docs: DataFrame, model) -> DataFrame:
     """doc_id, lang_pred and score of each row, over whole texts."""
-    token = None if model is None else hash(tuple(float(x) for x in model[1]["o"].ravel()))
-
     def run(batches):
         import pyarrow as pa
-        import regex
-
-        letter = regex.compile(r"\p{L}")
-        lettered = bytes(1 if chr(c).isalpha() or c >= 0x80 else 0 for c in range(128)) + b"\1" * 128
-        names, p = model if model else ([], None)
-        home = worker_cache("gru")
-        if home.get("model") != token:
-            home.clear()
-            home.update(model=token, memo={}, rows=np.zeros((0, len(names)), np.float32))
-
-        def learn(new):
-            new.sort(key=len)
-            out = []
-            for i in range(0, len(new), 2048):
-                x, lengths = padded([bytes([EDGE]) + w + bytes([EDGE]) for w in new[i:i + 2048]])
-                out.append(window_scores(p, x, lengths))
-            base = len(home["rows"])
-            home["memo"].update((w, base + i) for i, w in enumerate(new))
-            home["rows"] = np.concatenate([home["rows"], *out])
 
+        label = _labeller(model)
         for batch in batches:
             for rows, texts in row_blocks(batch):
-                preds, scores = ["und"] * len(texts), [0.0] * len(texts)
-                if names:
-                    if len(home["memo"]) > MEMO_WINDOWS:
-                        home.update(memo={}, rows=np.zeros((0, len(names)), np.float32))
-                    memo = home["memo"]
-                    split = [runs_of(t) if letter.search(t.decode()) else [] for t in texts]
-                    new = [w for w in set().union(*split) if w not in memo]
-                    if new:
-                        learn(new)
-                    for i, runs in enumerate(split):
-                        if runs:
-                            lettered_runs = [w for w in runs if w.translate(lettered).count(1)]
-                            at = np.fromiter(map(memo.__getitem__, lettered_runs), dtype=np.int64, count=len(lettered_runs))
-                            total = home["rows"][at].sum(axis=0, dtype=np.float64)
-                            mean = total / sum(map(len, lettered_runs))
-                            prob = np.exp(mean - mean.max())
-                            best = int(np.argmax(total))
-                            preds[i], scores[i] = names[best], float(prob[best] / prob.sum())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(preds), pa.array(scores)],
+                preds, scores = label(texts)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(preds, type=pa.string()), pa.array(scores, type=pa.float64())],
                                                  names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, all columns: only ``und`` is rejected."""
+    def run(batches):
+        import pyarrow as pa
+
+        label = _labeller(model)
+        for batch in batches:
+            for rows, texts in row_blocks(batch):
+                yield rows.filter(pa.array([p != "und" for p in label(texts)[0]], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -91,11 +91,11 @@ def mix(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     return rows, stored(plan, "mix-plan")
 
 
-def copies():
-    """Copies of a document, of the columns u, base, cut and closed."""
-    extra = F.when(F.col("cut").isNull(), F.lit(0)).when(F.col("closed"), (F.col("u") <= F.col("cut")).cast("int")) \
-        .otherwise((F.col("u") < F.col("cut")).cast("int"))
-    return F.col("base") + extra
+def copies(mark: str = ""):
+    """Copies of a document, of the columns u, base, cut and closed (names preceded by ``mark``)."""
+    u, base, cut, closed = (F.col(mark + c) for c in ("u", "base", "cut", "closed"))
+    extra = F.when(cut.isNull(), F.lit(0)).when(closed, (u <= cut).cast("int")).otherwise((u < cut).cast("int"))
+    return base + extra
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -106,14 +106,13 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as the mix takes it."""
+    """The mixed corpus: the rows of ``docs``, each as often as the mix takes it; no shuffle of texts."""
     _, plan = mix(docs, seed)
-    p = plan.select(F.col("source").alias("_src"), "base", "cut", "closed")
-    cols = [F.col(f"d.{c}") for c in docs.columns]
-    t = (docs.withColumn("u", draw(F.col("doc_id"), seed)) if "u" not in docs.columns
-         else docs.withColumn("u", draw(F.col("doc_id"), seed))).alias("d")
-    t = t.join(p, F.col("d.source").eqNullSafe(F.col("_src")))
-    return t.select(*cols, F.explode(F.array_repeat(F.lit(1), copies())).alias("_copy")).drop("_copy")
+    p = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "base", "cut", "closed")])
+    t = docs.withColumn("_mix_u", draw(F.col("doc_id"), seed)).alias("d")
+    t = t.join(p, F.col("d.source").eqNullSafe(F.col("_mix_source")))
+    return t.select(*[F.col(f"d.{c}") for c in docs.columns],
+                    F.explode(F.array_repeat(F.lit(1), copies("_mix_"))).alias("_mix_copy")).drop("_mix_copy")
 
 
 SQL = r"""
