@@ -2,7 +2,9 @@
 
 The tokenizer drops white space and never joins characters across it (its normaliser and its word
 pattern are both local to a run without white space), so encoding each run of non-white-space on its own
-gives the ids of the whole text. Runs repeat: each distinct run is encoded once per worker.
+gives the ids of the whole text. Runs repeat: each distinct run is encoded about once per worker. Runs of lower-case
+Latin letters, which the normaliser and the word pattern leave as they are, go to the library's BPE model with a
+white-space splitter instead of both.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pdforge.llm.common import worker_cache
 #: File name among the public tokenizers, and the id that ends each document.
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: The memo is emptied beyond so many runs or bytes of text in it.
-MEMO_WORDS, MEMO_BYTES = 500_000, 32 << 20
+#: A generation of the memo ends at so many runs or bytes of text in it; the one before is kept for look-ups.
+MEMO_WORDS, MEMO_BYTES = 250_000, 16 << 20
 
 
 def tokenizer_path(path: str | None = None) -> str:
@@ -23,34 +25,98 @@ def tokenizer_path(path: str | None = None) -> str:
     return path
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet by its rule: printable Latin-1 bytes stand for themselves, the others for U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 def text_encoder(path: str | None = None, end_id: int = END_ID):
     """A function from texts (UTF-8 bytes) to their ids as little-endian unsigned 32-bit integers,
     the end id included."""
     import os
+    import unicodedata
+    from itertools import chain
 
     import numpy as np
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
     home = worker_cache("tokens")
     path = tokenizer_path(path)
     if path not in home:
-        home[path] = {"tok": Tokenizer.from_file(path), "memo": {}, "bytes": 0}
+        tok = Tokenizer.from_file(path)
+        letters = Tokenizer(tok.model)
+        letters.pre_tokenizer = WhitespaceSplit()
+        vocabulary = tok.get_vocab()
+        closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for piece, i in vocabulary.items():
+            closing[i] = piece.endswith("</w>")
+        home[path] = {"tok": tok, "letters": letters, "closing": closing, "memo": {}, "old": {}, "bytes": 0}
     state = home[path]
-    tok, end = state["tok"], np.array([end_id], dtype="<u4").tobytes()
+    tok, letters, closing = state["tok"], state["letters"], state["closing"]
+    end, table = np.array([end_id], dtype="<u4").tobytes(), byte_letters()
+
+    def core(w: bytes) -> tuple[bytes, bytes]:
+        """A run without a last full stop or comma after a letter, and in lower case if its letters are Latin and
+        composed: the tokenizer cuts there and lowers anyway, so fewer distinct runs need encoding."""
+        tail = b""
+        if w[-1] in b".," and len(w) > 1 and w[-2:-1].isalpha():
+            w, tail = w[:-1], w[-1:]
+        if w.isascii():
+            return (w if b"<|" in w else w.lower()), tail
+        s = w.decode()
+        return (s.lower().encode() if s.isalpha() and max(s) < "\u0250" and unicodedata.is_normalized("NFC", s) else w), tail
+
+    def latin(w: bytes) -> bool:
+        """Lower-case Latin letters alone, composed."""
+        if w.isascii():
+            return w.isalpha() and w.islower()
+        s = w.decode()
+        return s.isalpha() and max(s) < "\u0250" and s == s.lower() and unicodedata.is_normalized("NFC", s)
+
+    def fill(memo: dict, words: list[bytes]) -> None:
+        simple = [w for w in words if latin(w)]
+        if simple:
+            # the last token of each word carries the word end
+            joined = b" ".join(simple).decode("latin-1").translate({b: c for b, c in table.items() if b != 32})
+            ids = np.array(letters.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(closing[ids]) + 1).tolist()
+            if len(ends) == len(simple):
+                raw = ids.tobytes()
+                for w, a, b in zip(simple, [0, *ends], ends):
+                    memo[w] = raw[4 * a:4 * b]
+        rest = [w for w in words if w not in memo]
+        for w, e in zip(rest, tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            memo[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(texts: list[bytes]) -> list[bytes]:
         if len(state["memo"]) > MEMO_WORDS or state["bytes"] > MEMO_BYTES:
-            state["memo"], state["bytes"] = {}, 0
-        memo = state["memo"]
+            state["old"], state["memo"], state["bytes"] = state["memo"], {}, 0
+        memo, old = state["memo"], state["old"]
         runs = [t.split() for t in texts]
-        new = [w for w in set().union(*runs) if w not in memo]
-        if new:
-            for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+        flat = list(chain.from_iterable(runs))
+        ids = list(map(memo.get, flat))
+        if None in ids:
+            missing = [i for i, x in enumerate(ids) if x is None]
+            new = {flat[i] for i in missing}
             state["bytes"] += sum(map(len, new))
-        get = memo.__getitem__
-        return [b"".join(map(get, r)) + end for r in runs]
+            memo.update((w, old[w]) for w in new if w in old)
+            cores = [(w, *core(w)) for w in new if w not in memo]
+            need = {c for _, *pair in cores for c in pair if c and c not in memo}
+            memo.update((w, old[w]) for w in need if w in old)
+            fill(memo, [w for w in need if w not in memo])
+            for w, c, tail in cores:
+                memo[w] = memo[c] + memo[tail] if tail else memo[c]
+            for i in missing:
+                ids[i] = memo[flat[i]]
+        out, begin = [], 0
+        for r in runs:
+            out.append(b"".join(ids[begin:begin + len(r)]) + end)
+            begin += len(r)
+        return out
 
     return encode
