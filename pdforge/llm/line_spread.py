@@ -25,8 +25,9 @@ def _key(line):
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    t = docs.select("doc_id", F.col("source").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return t.where(F.trim("line") != "").select("doc_id", "site", "pos", *_key(F.col("line")))
+    t = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("source").alias("site"),
+                    F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return t.where(F.trim("line") != "").select("doc_id", "th", "site", "pos", *_key(F.col("line")))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
@@ -47,11 +48,12 @@ def query(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, text without boilerplate lines."""
     lines = _lines(docs)
     bad = stored(boilerplate(lines, min_sites).select("h1", "h2"), "line-boilerplate")
-    cut = stored(lines.select("doc_id", "pos", "h1", "h2").join(bad, ["h1", "h2"], "left_semi")
-                 .groupBy("doc_id").agg(F.collect_set("pos").alias("_cut")), "line-cuts")
-    t = docs.select("doc_id", "text").join(cut, "doc_id", "left")
+    cut = stored(lines.select("doc_id", "th", "pos", "h1", "h2").join(bad, ["h1", "h2"], "left_semi")
+                 .groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_cut")), "line-cuts")
+    # the cuts grow with the corpus: the same shuffle join at every size
+    t = docs.select("doc_id", "text").join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))
+                                           & (F.xxhash64("text") == F.col("_th")), "left")
     parts = F.split("text", "\n")
-    # positions are those of lines of every row with this doc_id, so the line itself decides nothing here
     kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("_cut"), i))
     return t.select("doc_id", F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
                     F.coalesce(F.when(F.col("text").isNotNull(), F.size("_cut")), F.lit(0)).cast("long").alias("n_removed"),
