@@ -99,7 +99,7 @@ def distinct_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     keep = stored(exact_groups(docs, block).where("kept").select(
         F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "block-kept")
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    t = docs.alias("d").join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")))
+    t = docs.alias("d").join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")))
     one = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.lit(0)))
     return t.withColumn("_one", one).where("_one = 1").select(*[F.col(f"d.{c}") for c in docs.columns])
 

@@ -256,8 +256,9 @@ def _room(n1, p1, n2, p2):
 def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """(x, z, common, linked) of class pairs (x, z), from the whole texts of one document of each class."""
     spark = docs.sparkSession
-    p = pairs.join(reps.select(F.col("f1").alias("x"), F.col("rep").alias("dx")), "x") \
-        .join(reps.select(F.col("f1").alias("z"), F.col("rep").alias("dz")), "z")
+    # pairs, texts and lists all grow with the corpus: shuffle joins at every size
+    p = pairs.join(reps.select(F.col("f1").alias("x"), F.col("rep").alias("dx")).hint("merge"), "x") \
+        .join(reps.select(F.col("f1").alias("z"), F.col("rep").alias("dz")).hint("merge"), "z")
     p = stored(p.select("x", "z", "dx", "dz"), "nj-pairs")
     ids = p.select(F.col("dx").alias("d")).unionByName(p.select(F.col("dz").alias("d"))).distinct()
     # a bitmap of fixed size keeps most other texts out of the shuffle
@@ -299,8 +300,8 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
                     [part.column("x"), part.column("z"), pa.array(common, type=pa.int64()), pa.array(linked), pa.array(same)],
                     names=["x", "z", "common", "linked", "same"]).filter(pa.array(same)).select(["x", "z", "common", "linked"])
 
-    left = p.join(texts.select(F.col("doc_id").alias("dx"), F.col("text").alias("ta")), "dx")
-    both = left.join(texts.select(F.col("doc_id").alias("dz"), F.col("text").alias("tb")), "dz")
+    left = p.join(texts.select(F.col("doc_id").alias("dx"), F.col("text").alias("ta")).hint("merge"), "dx")
+    both = left.join(texts.select(F.col("doc_id").alias("dz"), F.col("text").alias("tb")).hint("merge"), "dz")
     return stored(both.select("x", "z", "ta", "tb").mapInArrow(counted, "x long, z long, common long, linked boolean")
                   .distinct(), "nj-verified")
 
@@ -341,8 +342,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = _mixed(lists, comp)
     told = known.select("x", "z", "common")
     told = told.unionByName(told.select(F.col("z").alias("x"), F.col("x").alias("z"), "common"))
-    mixed = mixed.join(told.select(F.col("x").alias("f"), F.col("z").alias("c"), F.col("common").alias("o")), ["f", "c"], "left")
-    mixed = mixed.join(classes.select(F.col("f1").alias("f"), F.col("n").alias("n_"), *BITS), "f").where("n = n_")
+    mixed = mixed.join(told.select(F.col("x").alias("f"), F.col("z").alias("c"), F.col("common").alias("o")).hint("merge"), ["f", "c"], "left")
+    mixed = mixed.join(classes.select(F.col("f1").alias("f"), F.col("n").alias("n_"), *BITS).hint("merge"), "f").where("n = n_")
     mixed = stored(mixed.select("g", "f", "n", "pos", "c", "comp", *BITS, F.when(F.col("f") == F.col("c"), F.col("n")).otherwise(F.col("o")).alias("o")), "nj-mixed")
     s, t = mixed.alias("s"), mixed.alias("t")
     need = 3 * (F.col("s.n") + F.col("t.n"))
@@ -366,7 +367,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _mixed(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Entries of lists whose classes lie in more than one component so far."""
     c = comp.select(F.col("id").alias("f"), F.col("component").alias("comp"))
-    t = stored(lists.join(c, "f", "left").withColumn("comp", F.coalesce("comp", "f")), "nj-entries")
+    t = stored(lists.join(c.hint("merge"), "f", "left").withColumn("comp", F.coalesce("comp", "f")), "nj-entries")
     g = t.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("g")
     return t.join(g, "g")
 
@@ -404,4 +405,4 @@ query = join
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the smallest doc_id, all columns."""
     keep = stored(join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct(), "nj-keep")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
