@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pdforge import constants as K
 from pdforge.functions import encoding, parsing
@@ -126,23 +127,34 @@ def fit_statistics_frame(df: DataFrame, **kw) -> DataFrame:
 
 def impute_fixed(df: DataFrame) -> DataFrame:
     """X5 + X6: 'never happened' -> 999, count columns -> 0 (nulls only, NaN kept)."""
-    fills = {c: F.coalesce(F.col(c), F.lit(K.NEVER_HAPPENED_FILL).cast(df.schema[c].dataType))
+    wide = lambda c: T.IntegerType() if isinstance(df.schema[c].dataType, T.ByteType) else df.schema[c].dataType
+    fills = {c: F.coalesce(F.col(c).cast(wide(c)), F.lit(K.NEVER_HAPPENED_FILL).cast(wide(c)))
              for c in K.NEVER_HAPPENED_COLUMNS if c in df.columns}
     fills.update({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType))
                   for c in K.ZERO_FILL_COLUMNS if c in df.columns})
     return df.withColumns(fills) if fills else df
 
 
+def _fractional_type(df: DataFrame, c: str):
+    """Type of a column that can hold a fitted statistic: integers become double."""
+    kind = df.schema[c].dataType
+    return T.DoubleType() if isinstance(kind, T.IntegralType) else kind
+
+
+def _fractional(df: DataFrame, c: str):
+    return F.col(c).cast(_fractional_type(df, c))
+
+
 def impute_medians(df: DataFrame, stats: CleaningStats) -> DataFrame:
     """Null -> fitted median (a column with no values stays null)."""
-    fills = {c: F.coalesce(F.col(c), F.lit(m).cast(df.schema[c].dataType))
+    fills = {c: F.coalesce(_fractional(df, c), F.lit(m).cast(_fractional_type(df, c)))
              for c, m in stats.medians.items() if c in df.columns and m is not None}
     return df.withColumns(fills) if fills else df
 
 
 def cap_outliers(df: DataFrame, stats: CleaningStats) -> DataFrame:
     """Values above the fitted cap become the cap; null stays null."""
-    caps = {c: F.when(F.col(c) > F.lit(q), F.lit(q).cast(df.schema[c].dataType)).otherwise(F.col(c))
+    caps = {c: F.when(F.col(c) > F.lit(q), F.lit(q).cast(_fractional_type(df, c))).otherwise(_fractional(df, c))
             for c, q in stats.caps.items() if c in df.columns and q is not None}
     return df.withColumns(caps) if caps else df
 

@@ -118,6 +118,8 @@ def tree_tables(model) -> list[dict]:
     """Per tree: arrays (feature, threshold, left, right, value, cover) and its weight."""
     out = []
     weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0] * len(model.trees)
+    if type(model).__name__.startswith("GBTClassification"):
+        weights = [2.0 * w for w in weights]  # probability = 1 / (1 + exp(-2 margin)): log-odds are twice the margin
     for t, w in zip(model.trees, weights):
         feats, thr, left, right, value, cover, cats = [], [], [], [], [], [], []
         _flatten_tree(t._java_obj.rootNode(), feats, thr, left, right, value, cover, cats)
@@ -208,8 +210,8 @@ def tree_shap_frame(rows: DataFrame, model, feature_names: list[str], features_c
                     key: str = "loan_id") -> DataFrame:
     """Long-form (key, feature, phi) plus (key, '__base__', base value) per row.
 
-    ``model`` is a fitted GBTClassificationModel / tree model; its margin is
-    base + sum(phi). Runs per partition in ``mapInPandas``; the flattened trees
+    ``model`` is a fitted GBTClassificationModel / tree model; its log-odds (the
+    prediction of other tree models) are base + sum(phi). Runs per partition in ``mapInPandas``; the flattened trees
     travel in the task closure (size fixed by the model).
     """
     from pyspark.ml.functions import vector_to_array

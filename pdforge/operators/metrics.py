@@ -68,11 +68,13 @@ def _prev_precision():
 
 def curve_metrics(curve: DataFrame) -> DataFrame:
     """One row: roc_auc, pr_auc, ks_stat_pct, gini, youden_threshold, youden_j, P, N."""
-    j = F.col("tp") * F.col("N") - F.col("fp") * F.col("P")
+    # products of counts pass 64 bits from about 3e9 rows a class on
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    j = wide("tp") * wide("N") - wide("fp") * wide("P")
     pr_term = (F.col("pos") / F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp")) + _prev_precision()) / 2.0
     agg = curve.agg(
         F.first("P").alias("P"), F.first("N").alias("N"),
-        F.sum(F.col("neg") * (2 * F.col("tp_before") + F.col("pos"))).alias("_auc2"),
+        F.sum((wide("neg") * (2 * wide("tp_before") + wide("pos"))).cast("decimal(38,0)")).alias("_auc2"),
         F.sum(F.when(F.col("pos") > 0, pr_term.cast("decimal(38,12)"))).alias("_pr"),
         F.max(F.abs(j)).alias("_ks"),
         F.max(j).alias("_jmax"),
@@ -87,7 +89,7 @@ def curve_metrics(curve: DataFrame) -> DataFrame:
         .otherwise(F.lit(0.0)).alias("ks_stat_pct"),
         F.when(both, 2.0 * auc - 1.0).alias("gini"),
         F.when(F.col("_jmax") > 0, F.col("_jscore")).otherwise(F.lit(INF)).alias("youden_threshold"),
-        F.when(both, F.greatest(F.col("_jmax"), F.lit(0)).cast("double")
+        F.when(both, F.greatest(F.col("_jmax").cast("double"), F.lit(0.0))
                / (F.col("P").cast("double") * F.col("N"))).alias("youden_j"),
         "P", "N",
     )

@@ -42,11 +42,6 @@ def cohort(df: DataFrame, year: int = K.TEST_YEAR) -> DataFrame:
     return df.where(F.col("issue_year") == year)
 
 
-def train_and_val(df: DataFrame) -> DataFrame:
-    """W7."""
-    return df.where(F.col("split").isin("train", "val"))
-
-
 def hash_order(key: str = "loan_id", seed: int = K.RANDOM_SEED) -> Column:
     """Uniform-looking, seeded, data-determined order in [0, 1)."""
     h = F.xxhash64(F.col(key), F.lit(seed))
@@ -91,7 +86,7 @@ def stratified_quotas(counts: dict, n: int) -> dict:
     raw = {k: n * v / total for k, v in counts.items()}
     q = {k: int(r) for k, r in raw.items()}
     rest = n - sum(q.values())
-    for k in sorted(raw, key=lambda k: (-(raw[k] - q[k]), k))[:rest]:
+    for k in sorted(raw, key=lambda k: (-(raw[k] - q[k]), k is None, k if k is not None else 0))[:rest]:
         q[k] += 1
     return q
 
@@ -102,8 +97,10 @@ def stratified_sample(df: DataFrame, n: int, label: str = "target", key: str = "
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
     quotas = stratified_quotas(counts, n)
     ranked = rank_in_group(df.withColumn("_u", hash_order(key, seed)), [label], "_u", **kw)
-    quota = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])
-    return ranked.where(F.col("_rank") <= F.try_element_at(quota, F.col(label))).drop("_u", "_rank")
+    quota = F.lit(0)
+    for k, v in quotas.items():  # one branch per class; a null label is a class
+        quota = F.when(F.col(label).eqNullSafe(F.lit(k)), F.lit(v)).otherwise(quota)
+    return ranked.where(F.col("_rank") <= quota).drop("_u", "_rank")
 
 
 def stratified_folds(df: DataFrame, k: int = 5, label: str = "target", key: str = "loan_id",

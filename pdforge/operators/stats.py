@@ -90,7 +90,12 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
     offsets = tot.select(*group_cols, "_b",
                          *[F.coalesce(F.sum(c).over(wb), F.lit(0)).alias(f"_{c}_off") for c in sum_cols])
     # offsets has at most (groups x buckets) rows: bounded by parameters, safe to broadcast
-    t = t.join(F.broadcast(offsets), [*group_cols, "_b"])
+    off = offsets.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col("_b").alias("_ob"),
+                         *[f"_{c}_off" for c in sum_cols])
+    on = t["_b"] == off["_ob"]
+    for c in group_cols:  # a null group is a group
+        on = on & t[c].eqNullSafe(off[f"_g_{c}"])
+    t = t.join(F.broadcast(off), on)
     w = Window.partitionBy(*group_cols, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     t = t.select(*df.columns,
                  *[(F.col(f"_{c}_off") + F.coalesce(F.sum(c).over(w), F.lit(0))).alias(f"{c}_before")

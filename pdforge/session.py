@@ -40,13 +40,15 @@ def get_session(master: str | None = None, app_name: str = "pdforge",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is honoured when set; only when it is unset (local
-    tests) a folder under /tmp is configured.
+    ``spark.checkpoint.dir`` is honoured when set; where it is unset, local mode
+    (tests) uses a folder under /tmp and a cluster is refused.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = os.environ.get("PDFORGE_CHECKPOINT_DIR", "/tmp/pdforge-checkpoints")
         os.makedirs(d, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", d)

@@ -82,10 +82,11 @@ def test_tree_attribution_additive(spark):
     names = MD.numeric_inputs(spec) + [f"{c}_idx" for c in spec.categorical]
     gbt = m.model.stages[-1]
     attr = EX.tree_shap_frame(prepared, gbt, names).groupBy("loan_id").agg(F.sum("phi").alias("total"))
-    margin = gbt.transform(prepared).select("loan_id", vector_to_array("rawPrediction")[1].alias("margin"))
-    joined = attr.join(margin, "loan_id").collect()
+    p = vector_to_array("probability")[1]
+    odds = gbt.transform(prepared).select("loan_id", F.log(p / (1 - p)).alias("log_odds"))
+    joined = attr.join(odds, "loan_id").collect()
     assert joined
-    diffs = np.array([r.total - r.margin for r in joined])
+    diffs = np.array([r.total - r.log_odds for r in joined])
     assert np.abs(diffs).max() < 1e-6
 
 
