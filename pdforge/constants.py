@@ -10,14 +10,6 @@ order and wording.
 # ---------------------------------------------------------------------------
 DEFAULT_STATUSES = ["Charged Off", "Default"]
 NON_DEFAULT_STATUSES = ["Fully Paid"]
-EXCLUDE_STATUSES = [
-    "Current",
-    "In Grace Period",
-    "Late (16-30 days)",
-    "Late (31-120 days)",
-    "Does not meet the credit policy. Status:Fully Paid",
-    "Does not meet the credit policy. Status:Charged Off",
-]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — columns dropped before any processing
@@ -134,15 +126,17 @@ ENCODED_CATEGORICALS = {
     "application_type": APPLICATION_TYPE_CODES,
     "initial_list_status": LIST_STATUS_CODES,
 }
-KEPT_CATEGORICALS = ["purpose", "addr_state"]
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES — out-of-time split (original calendar: train <= 2016,
-# val 2017, test 2018; the fixture's calendar is shifted, see FIXTURES.md)
+# FIXED VALUES — out-of-time split; the fixture's calendar is shifted (see FIXTURES.md)
 # ---------------------------------------------------------------------------
-TRAIN_MAX_YEAR = 1999
-VAL_YEAR = 2000
-TEST_YEAR = 2001
+TRAIN_MAX_YEAR = 2016
+VAL_YEAR = 2017
+TEST_YEAR = 2018
+FIXTURE_TRAIN_MAX_YEAR = 1999
+FIXTURE_VAL_YEAR = 2000
+FIXTURE_TEST_YEAR = 2001
+FIXTURE_SPLIT = {"train_max": FIXTURE_TRAIN_MAX_YEAR, "val_year": FIXTURE_VAL_YEAR, "test_year": FIXTURE_TEST_YEAR}
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — risk tiers: (upper PD bound, tier, grade, rate range, description, action)

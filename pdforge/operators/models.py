@@ -28,7 +28,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +45,7 @@ class ModelSpec:
     numeric: list
     categorical: list
     filled: list = field(default_factory=list)  # numeric columns that get a missing indicator
+    max_levels: int = 0  # of the categorical columns, null included
 
 
 def model_frame(features: DataFrame, label: str = "target") -> DataFrame:
@@ -56,7 +57,8 @@ def model_frame(features: DataFrame, label: str = "target") -> DataFrame:
 def infer_spec(df: DataFrame, exclude=("loan_id", "target", "issue_year", "split", LABEL, WEIGHT, "fold", "pd")) -> ModelSpec:
     num, cat = split_feature_types(df, exclude=exclude)
     row = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in num]).first()  # one row
-    return ModelSpec(num, cat, [c for c in num if row[c] > 0])
+    levels = [df.groupBy(c).count().count() for c in cat]
+    return ModelSpec(num, cat, [c for c in num if row[c] > 0], max(levels, default=0))
 
 
 def fill_missing(df: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -122,7 +124,7 @@ def gbt_pipeline(spec: ModelSpec, params: dict | None = None, seed: int = K.RAND
     gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, weightCol=WEIGHT, maxIter=int(p["n_estimators"]),
                         stepSize=float(p["learning_rate"]), maxDepth=depth,
                         minInstancesPerNode=int(p["min_child_samples"]), subsamplingRate=float(p["subsample"]),
-                        featureSubsetStrategy=str(float(p["colsample_bytree"])), maxBins=64, seed=seed)
+                        featureSubsetStrategy=str(float(p["colsample_bytree"])), maxBins=max(64, spec.max_levels + 1), seed=seed)
     if validation_col:
         gbt = gbt.setValidationIndicatorCol(validation_col)
     stages.append(gbt)
@@ -241,7 +243,7 @@ def tune_logistic_regression(cv_rows: DataFrame, spec: ModelSpec, n_iter: int =
     grid = [{lr.regParam: 1.0 / (d["C"] * total_train), lr.maxIter: d["max_iter"]} for d in draws]
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
                         evaluator=BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction",
-                                                                metricName="areaUnderROC"),
+                                                                metricName="areaUnderROC", numBins=0),
                         parallelism=parallelism, seed=seed)
     fitted = cv.fit(data)
     spark = cv_rows.sparkSession
@@ -278,5 +280,3 @@ def tune_gbt(train: DataFrame, val: DataFrame, spec: ModelSpec, n_trials: int =
     best = json.loads(max(results, key=lambda r: r[2])[1])
     return best, res
 
-
-__all__ = ["ParamGridBuilder"]

@@ -30,6 +30,8 @@ from pdforge.session import cut_lineage
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 8192
+#: Small inputs are cut as well, so every size takes the same path.
+MIN_BUCKETS = 8
 
 
 def _group_key(group_cols: list[str]):
@@ -67,22 +69,15 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
     if n_max is None:  # rows of the largest group decide the number of buckets
         n_max = (t.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0) if group_cols \
             else t.count()
-    n_buckets = int(min(max_buckets, max(1, math.ceil(n_max / max(1, rows_per_bucket)))))
-
-    if n_buckets <= 1:
-        # one bucket: no offsets needed, one window per group
-        w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))) \
-            .orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-        return t.select(*df.columns, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before")
-                                       for c in sum_cols])
-    else:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        acc = max(10_000, 20 * n_buckets)
-        split_rows = (t.groupBy(*group_cols)
-                      .agg(F.percentile_approx("_k", probs, acc).alias("_s"))
-                      .select(_group_key(group_cols).alias("_g"), "_s").collect())  # groups x buckets values: bounded by max_buckets
-        splits = {r["_g"]: np.unique(np.asarray(r["_s"], dtype=float)) for r in split_rows}
-        t = t.withColumn("_b", _bucket_udf(splits)(_group_key(group_cols), F.col("_k")))
+    n_buckets = int(min(max_buckets, max(MIN_BUCKETS, math.ceil(n_max / max(1, rows_per_bucket)))))
+
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    acc = max(10_000, 20 * n_buckets)
+    split_rows = (t.groupBy(*group_cols)
+                  .agg(F.percentile_approx("_k", probs, acc).alias("_s"))
+                  .select(_group_key(group_cols).alias("_g"), "_s").collect())  # groups x buckets values: bounded by max_buckets
+    splits = {r["_g"]: np.unique(np.asarray(r["_s"], dtype=float)) for r in split_rows if r["_s"] is not None}
+    t = t.withColumn("_b", _bucket_udf(splits)(_group_key(group_cols), F.col("_k")))
 
     tot = t.groupBy(*group_cols, "_b").agg(*[F.sum(c).alias(c) for c in sum_cols])
     wb = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_b") \

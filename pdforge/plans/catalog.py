@@ -58,7 +58,7 @@ def features(spark, d) -> DataFrame:
 
 
 def scored(spark, d) -> DataFrame:
-    f = SP.with_split(features(spark, d))
+    f = SP.with_split(features(spark, d), **K.FIXTURE_SPLIT)
     return SC.score_batch(SC.with_formula_pd(f))
 
 
@@ -68,7 +68,7 @@ def scored_split(spark, d, name: str, feats: DataFrame | None = None) -> DataFra
     Pass ``feats`` to reuse one cleaning run for several splits of the same query.
     """
     f = feats if feats is not None else features(spark, d)
-    f = SP.with_split(f.where(SP.split_predicate(name)))
+    f = SP.with_split(f.where(SP.split_predicate(name, **K.FIXTURE_SPLIT)), **K.FIXTURE_SPLIT)
     return SC.score_batch(SC.with_formula_pd(f))
 
 
@@ -234,18 +234,18 @@ def f3_drop_null_target(spark, d):
     return features(spark, d).where(F.col("target").isNotNull()).select("loan_id", "target")
 
 
-SPLIT_SQL = (f"CASE WHEN issue_year <= {K.TRAIN_MAX_YEAR} THEN 'train' WHEN issue_year = {K.VAL_YEAR} THEN 'val' "
-             f"WHEN issue_year = {K.TEST_YEAR} THEN 'test' END")
+SPLIT_SQL = (f"CASE WHEN issue_year <= {K.FIXTURE_TRAIN_MAX_YEAR} THEN 'train' WHEN issue_year = {K.FIXTURE_VAL_YEAR} THEN 'val' "
+             f"WHEN issue_year = {K.FIXTURE_TEST_YEAR} THEN 'test' END")
 
 
 @register("f4_out_of_time_split", sql_from("features", f"SELECT loan_id, issue_year, {SPLIT_SQL} AS split FROM features"))
 def f4_out_of_time_split(spark, d):
-    return SP.with_split(features(spark, d)).select("loan_id", "issue_year", "split")
+    return SP.with_split(features(spark, d), **K.FIXTURE_SPLIT).select("loan_id", "issue_year", "split")
 
 
-@register("f5_cohort_year", sql_from("features", f"SELECT loan_id, issue_year, target FROM features WHERE issue_year = {K.TEST_YEAR}"))
+@register("f5_cohort_year", sql_from("features", f"SELECT loan_id, issue_year, target FROM features WHERE issue_year = {K.FIXTURE_TEST_YEAR}"))
 def f5_cohort_year(spark, d):
-    return SP.cohort(features(spark, d)).select("loan_id", "issue_year", "target")
+    return SP.cohort(features(spark, d), K.FIXTURE_TEST_YEAR).select("loan_id", "issue_year", "target")
 
 
 @register("f6_classify_threshold", sql_from("scored", "SELECT loan_id, probability_of_default >= 0.22 AS predicted_default FROM scored"))
@@ -264,11 +264,11 @@ def f7_class_counts(spark, d):
 # joins
 # ---------------------------------------------------------------------------
 @register("j1_keyed_concat", sql_from("scored", f"""SELECT f.loan_id, f.target, f.loan_amnt, s.probability_of_default, s.risk_tier
-FROM features f JOIN scored s ON f.loan_id = s.loan_id WHERE f.issue_year = {K.TEST_YEAR}"""))
+FROM features f JOIN scored s ON f.loan_id = s.loan_id WHERE f.issue_year = {K.FIXTURE_TEST_YEAR}"""))
 def j1_keyed_concat(spark, d):
     feats = features(spark, d)
-    f = feats.where(F.col("issue_year") == K.TEST_YEAR).select("loan_id", "target", "loan_amnt")
-    s = SC.score_batch(SC.with_formula_pd(SP.with_split(feats))).select("loan_id", "probability_of_default", "risk_tier")
+    f = feats.where(F.col("issue_year") == K.FIXTURE_TEST_YEAR).select("loan_id", "target", "loan_amnt")
+    s = SC.score_batch(SC.with_formula_pd(SP.with_split(feats, **K.FIXTURE_SPLIT))).select("loan_id", "probability_of_default", "risk_tier")
     return f.join(s, "loan_id")
 
 
@@ -442,15 +442,15 @@ def a11_portfolio_totals(spark, d):
   CAST(sum(CAST(target AS BIGINT)) AS DOUBLE) / count(target) AS default_rate
 FROM (SELECT *, {SPLIT_SQL} AS split FROM features WHERE target IS NOT NULL) WHERE split IS NOT NULL GROUP BY split""")
 def a12_split_sizes(spark, d):
-    return PF.split_sizes(SP.with_split(features(spark, d)))
+    return PF.split_sizes(SP.with_split(features(spark, d), **K.FIXTURE_SPLIT))
 
 
 @register("a13_class_ratio", W("features") + f"""SELECT CAST(sum(1 - CAST(target AS BIGINT)) AS BIGINT) AS negatives,
   CAST(sum(CAST(target AS BIGINT)) AS BIGINT) AS positives,
   CAST(sum(1 - CAST(target AS BIGINT)) AS DOUBLE) / sum(CAST(target AS BIGINT)) AS neg_pos_ratio
-FROM features WHERE issue_year <= {K.TRAIN_MAX_YEAR}""")
+FROM features WHERE issue_year <= {K.FIXTURE_TRAIN_MAX_YEAR}""")
 def a13_class_ratio(spark, d):
-    f = SP.with_split(features(spark, d).where(SP.split_predicate("train")))
+    f = SP.with_split(features(spark, d).where(SP.split_predicate("train", **K.FIXTURE_SPLIT)), **K.FIXTURE_SPLIT)
     return PF.class_ratio(f)
 
 

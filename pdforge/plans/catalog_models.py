@@ -23,13 +23,13 @@ CHECK_GBT = {"n_estimators": 20}
 
 
 def model_data(spark, d):
-    f = SP.with_split(MD.model_frame(features(spark, d)))
+    f = SP.with_split(MD.model_frame(features(spark, d)), **K.FIXTURE_SPLIT)
     spec = MD.infer_spec(f)
     return f, spec
 
 
 def _split(f, name):
-    return f.where(SP.split_predicate(name))
+    return f.where(SP.split_predicate(name, **K.FIXTURE_SPLIT))
 
 
 def _lr(spark, d):
@@ -88,7 +88,8 @@ def t6_validation_indicator(spark, d):
     f, spec = model_data(spark, d)
     tv = MD.fill_missing(f.where(F.col("split").isin("train", "val")), spec) \
         .withColumn("is_val", F.col("split") == "val")
-    tv, _ = MD.positive_weight(tv)
+    _, ratio = MD.positive_weight(_split(f, "train"))  # class ratio of the training years alone
+    tv = tv.withColumn(MD.WEIGHT, F.when(F.col(MD.LABEL) == 1, ratio).otherwise(1.0))
     model = MD.gbt_pipeline(spec, CHECK_GBT, validation_col="is_val").fit(tv)
     return MD.predict_pd(model, MD.fill_missing(_split(f, "test"), spec)).select("loan_id", "pd")
 
@@ -140,11 +141,9 @@ def t10_tuned_params(spark, d):
                                  "requested string, max_iter int, step_size double, max_depth int, threshold double")
 
 
-def _tree_attribution(spark, d, n_sample=None):
+def _tree_attribution(spark, d):
     m, f, spec = _gbt(spark, d)
     rows = MD.fill_missing(_split(f, "test"), spec)
-    if n_sample:
-        rows = SP.deterministic_sample(rows, n_sample)
     prepared = m.model.stages[0].transform(rows) if spec.categorical else rows
     prepared = m.model.stages[1].transform(prepared)
     names = MD.numeric_inputs(spec) + [f"{c}_idx" for c in spec.categorical]
@@ -153,7 +152,7 @@ def _tree_attribution(spark, d, n_sample=None):
 
 @register("t11_global_attribution")
 def t11_global_attribution(spark, d):
-    attr = _tree_attribution(spark, d, n_sample=2000).where(F.col("feature") != "__base__")
+    attr = _tree_attribution(spark, d).where(F.col("feature") != "__base__")
     return EX.importance_ranking(EX.mean_abs_attribution(attr))
 
 
@@ -169,7 +168,7 @@ def b1_decision_records(spark, d):
 
 @register("b3_held_out_sample")
 def b3_held_out_sample(spark, d):
-    return SC.held_out_sample(features(spark, d), n=1000)
+    return SC.held_out_sample(features(spark, d), n=1000, year=K.FIXTURE_TEST_YEAR)
 
 
 @register("p8_feature_types")
@@ -193,14 +192,14 @@ def w8_seeded_sample(spark, d):
 
 @register("w9_stratified_sample")
 def w9_stratified_sample(spark, d):
-    f = SP.with_split(features(spark, d)).where(F.col("split").isin("train", "val"))
+    f = SP.with_split(features(spark, d), **K.FIXTURE_SPLIT).where(F.col("split").isin("train", "val"))
     n = f.count() // 2
     return SP.stratified_sample(f, n)
 
 
 @register("w10_stratified_folds")
 def w10_stratified_folds(spark, d):
-    f = SP.with_split(features(spark, d)).where(F.col("split").isin("train", "val"))
+    f = SP.with_split(features(spark, d), **K.FIXTURE_SPLIT).where(F.col("split").isin("train", "val"))
     return SP.stratified_folds(f, 5).groupBy("fold", "target").count()
 
 
@@ -230,7 +229,7 @@ def s5_parquet_schema(spark, d):
 @register("s7_partitioned_write")
 def s7_partitioned_write(spark, d):
     path = io.write_table(features(spark, d), scratch_path(spark, "features_by_year"))
-    return spark.read.parquet(path).where(F.col("issue_year") == K.TEST_YEAR)
+    return spark.read.parquet(path).where(F.col("issue_year") == K.FIXTURE_TEST_YEAR)
 
 
 @register("s8_small_csv_write", __import__("pdforge.plans.catalog", fromlist=["SQL"]).SQL["a8_tier_validation"])
@@ -302,10 +301,6 @@ def s14_write_if_absent(spark, d):
     return spark.read.parquet(path)
 
 
-def _unused(df: DataFrame):
-    return df
-
-
 @register("b7_cleaning_job_sink")
 def b7_cleaning_job_sink(spark, d):
     """B7 end to end with its sink and statistics; returns the statistics as one row."""
@@ -327,4 +322,4 @@ def b8_feature_job_sink(spark, d):
     cleaned_path, feat_path = scratch_path(spark, "loans_cleaned"), scratch_path(spark, "features")
     write_cleaning_job(raw(spark, d), cleaned_path)
     write_feature_job(cleaned_path, feat_path, spark)
-    return spark.read.parquet(feat_path).where(F.col("issue_year") == K.TEST_YEAR)
+    return spark.read.parquet(feat_path).where(F.col("issue_year") == K.FIXTURE_TEST_YEAR)

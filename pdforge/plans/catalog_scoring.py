@@ -217,8 +217,8 @@ def w3_sort_by_year_target(spark, d):
 FROM features WHERE target IS NOT NULL) WHERE split IN ('train', 'val')""")
 def w7_union_train_val(spark, d):
     f = features(spark, d)
-    train = SP.with_split(f.where(SP.split_predicate("train"))).select("loan_id", "split")
-    val = SP.with_split(f.where(SP.split_predicate("val"))).select("loan_id", "split")
+    train = SP.with_split(f.where(SP.split_predicate("train", **K.FIXTURE_SPLIT)), **K.FIXTURE_SPLIT).select("loan_id", "split")
+    val = SP.with_split(f.where(SP.split_predicate("val", **K.FIXTURE_SPLIT)), **K.FIXTURE_SPLIT).select("loan_id", "split")
     return train.unionByName(val)
 
 
@@ -449,19 +449,19 @@ TEMPLATE_TEXT = ["purpose", "addr_state"]
 
 
 def template(spark, d) -> DataFrame:
-    f = features(spark, d).where(F.col("issue_year") == K.TEST_YEAR)
+    f = features(spark, d).where(F.col("issue_year") == K.FIXTURE_TEST_YEAR)
     num, cat = SC.template_columns(f)
     return SC.template_row(f, num, cat)
 
 
 def _mode_sql(c: str) -> str:
-    return (f"(SELECT {c} FROM features WHERE issue_year = {K.TEST_YEAR} GROUP BY {c} "
+    return (f"(SELECT {c} FROM features WHERE issue_year = {K.FIXTURE_TEST_YEAR} GROUP BY {c} "
             f"ORDER BY count(*) DESC, {c} LIMIT 1)")
 
 
 TEMPLATE_SQL_CTE = ", tpl AS (SELECT " + ", ".join(
     [f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}" for c in TEMPLATE_NUMERIC + TEMPLATE_FEATURES]
-    + [f"{_mode_sql(c)} AS {c}" for c in TEMPLATE_TEXT]) + f" FROM features WHERE issue_year = {K.TEST_YEAR})\n"
+    + [f"{_mode_sql(c)} AS {c}" for c in TEMPLATE_TEXT]) + f" FROM features WHERE issue_year = {K.FIXTURE_TEST_YEAR})\n"
 
 
 @register("a14_template_row", W("features") + TEMPLATE_SQL_CTE + "SELECT * FROM tpl")
@@ -474,7 +474,7 @@ APPS_SQL_CTE = f""", apps AS (SELECT loan_id AS application_id, CAST(loan_amnt A
   CAST(CAST(replace(trim(term), ' months', '') AS SMALLINT) AS INTEGER) AS term, CAST(annual_inc AS DOUBLE) AS annual_inc,
   CAST(dti AS DOUBLE) AS dti, CAST(revol_bal AS DOUBLE) AS revol_bal, CAST(revol_util AS DOUBLE) AS revol_util,
   CAST(delinq_2yrs AS INTEGER) AS delinq_2yrs
-  FROM raw_loans WHERE {O._year('issue_d')} = {K.TEST_YEAR})
+  FROM raw_loans WHERE {O._year('issue_d')} = {K.FIXTURE_TEST_YEAR})
 """
 
 
@@ -504,7 +504,7 @@ APP_OUT_COLS = ["application_id", "loan_pct_of_income", "delinq_score", "inquiry
 
 
 def applications(spark, d) -> DataFrame:
-    return SC.applications_from_loans(raw(spark, d), K.TEST_YEAR)
+    return SC.applications_from_loans(raw(spark, d), K.FIXTURE_TEST_YEAR)
 
 
 @register("p12_template_override", W("features") + TEMPLATE_SQL_CTE + APPS_SQL_CTE
@@ -589,9 +589,9 @@ def j2_metric_comparison(spark, d):
     return M.compare_models(baseline, challenger)
 
 
-@register("b7_cleaning_fit_on_train", O.with_ctes("cleaned", fit_where=f"issue_year <= {K.TRAIN_MAX_YEAR}")
+@register("b7_cleaning_fit_on_train", O.with_ctes("cleaned", fit_where=f"issue_year <= {K.FIXTURE_TRAIN_MAX_YEAR}")
           + "SELECT * FROM cleaned")
 def b7_cleaning_fit_on_train(spark, d):
     """B7 with medians and caps fitted on the training years only (no validation / test leakage)."""
     from pdforge.plans.cleaning_job import run_cleaning
-    return run_cleaning(raw(spark, d), fit_on=F.col("issue_year") <= K.TRAIN_MAX_YEAR).cleaned
+    return run_cleaning(raw(spark, d), fit_on=F.col("issue_year") <= K.FIXTURE_TRAIN_MAX_YEAR).cleaned

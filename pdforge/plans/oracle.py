@@ -234,8 +234,8 @@ def _scored() -> str:
              f"OR coalesce(delinq_2yrs, 0.0) > 3 OR {PCT_SQL} > 45.0)")
     return f"""
 with_pd AS (SELECT *, {PD_SQL} AS pd,
-    CASE WHEN issue_year <= {K.TRAIN_MAX_YEAR} THEN 'train' WHEN issue_year = {K.VAL_YEAR} THEN 'val'
-         WHEN issue_year = {K.TEST_YEAR} THEN 'test' END AS split
+    CASE WHEN issue_year <= {K.FIXTURE_TRAIN_MAX_YEAR} THEN 'train' WHEN issue_year = {K.FIXTURE_VAL_YEAR} THEN 'val'
+         WHEN issue_year = {K.FIXTURE_TEST_YEAR} THEN 'test' END AS split
   FROM features),
 scored AS (SELECT *,
     round(pd, 4) AS probability_of_default,

@@ -17,7 +17,7 @@ from pdforge.session import scratch_path
 
 
 def scoring_stream(spark: SparkSession, source_dir: str, template, schema=SC.APPLICATION_SCHEMA,
-                   max_files_per_trigger: int = 1) -> DataFrame:
+                   max_files_per_trigger: int = 1000) -> DataFrame:
     """Streaming DataFrame of scored applications read from ``source_dir``."""
     t = template if isinstance(template, dict) else template.first().asDict()  # one template row
     apps = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
@@ -34,10 +34,10 @@ def start_scoring(spark: SparkSession, source_dir: str, sink_dir: str, checkpoin
     return q.start()
 
 
-def score_application_files(spark: SparkSession, apps: DataFrame, template, n_files: int = 4) -> DataFrame:
+def score_application_files(spark: SparkSession, apps: DataFrame, template) -> DataFrame:
     """Land ``apps`` as files, run the stream to completion, return what the sink holds."""
     src = scratch_path(spark, "apps_in")
-    apps.repartition(n_files).write.mode("overwrite").parquet(src)
+    apps.write.mode("overwrite").parquet(src)
     sink, chk = scratch_path(spark, "apps_scored"), scratch_path(spark, "apps_chk")
     schema = spark.read.parquet(src).schema
     q = start_scoring(spark, src, sink, chk, template, schema=schema)
