@@ -7,7 +7,8 @@ goes to its nearest list and, near a border, to others up to a distance ratio (`
 one at least). A query takes the lists within a distance ratio of its nearest; the ratio is the one that reaches
 ``TARGET`` of the true neighbours of sample vectors. A list is searched in blocks of at most ``BLOCK`` vectors and
 queries, so a vector that a third of the rows share never fills one task, and every block's scores are exact double
-inner products; the best are merged per query.
+inner products; the best are merged per query. The nearest ``LEAST_LISTS`` lists are searched first: the k-th score found
+there is a floor, below which the query's other lists return nothing, so rows per query do not grow with the lists.
 
 Inner products are ordered as distances after adding one component sqrt(M^2 - |v|^2) (M the largest norm).
 
@@ -201,7 +202,8 @@ def neighbours(vectors: DataFrame, k: int = K, stride: int = STRIDE) -> DataFram
     c, links, ratio = build(t, n, dim, largest)
     lists = len(c)
 
-    def route(query: bool):
+    def route(query: bool, rest: bool = False):
+        """Lists of vectors, or of queries: the nearest ``LEAST_LISTS`` of each, or the rest with the query's floor."""
         def run(batches):
             import pyarrow as pa
 
@@ -211,12 +213,16 @@ def neighbours(vectors: DataFrame, k: int = K, stride: int = STRIDE) -> DataFram
                     x = _matrix(part.column("v"), dim)
                     if query:
                         r, to = lists_of(_augmented(x, largest, True), c, links, ratio, None, LEAST_LISTS)
+                        near = np.arange(len(r)) - np.searchsorted(r, r) < LEAST_LISTS
+                        r, to = (r[~near], to[~near]) if rest else (r[near], to[near])
                     else:
                         r, to = lists_of(_augmented(x, largest, False), c, links, BORDER, REPLICAS)
                     packed = [row.tobytes() for row in x]
+                    r_ = pa.array(r, type=pa.int64())
+                    floor = [part.column("floor").take(r_)] if rest else []
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(to.astype(np.int32)), part.column("vec_id").take(pa.array(r)), pa.array([packed[j] for j in r], type=pa.binary())],
-                        names=["list", "id", "v"])
+                        [pa.array(to.astype(np.int32)), part.column("vec_id").take(r_), pa.array([packed[j] for j in r], type=pa.binary()), *floor],
+                        names=["list", "id", "v", "floor"][:3 + len(floor)])
         return run
 
     def best(queries: DataFrame, posts: DataFrame) -> DataFrame:
@@ -224,7 +230,7 @@ def neighbours(vectors: DataFrame, k: int = K, stride: int = STRIDE) -> DataFram
         blocks = lambda d, name: d.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
         size = F.broadcast(blocks(queries, "nq").join(blocks(posts, "nb"), "list"))
         q = (queries.join(size, "list").withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int"))
-             .withColumn("vb", F.explode(F.expr("sequence(0, nb - 1)"))).select("list", "qb", "vb", "id", "v"))
+             .withColumn("vb", F.explode(F.expr("sequence(0, nb - 1)"))).select("list", "qb", "vb", "id", "v", *[x for x in queries.columns if x == "floor"]))
         p = (posts.join(size, "list").withColumn("vb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
              .withColumn("qb", F.explode(F.expr("sequence(0, nq - 1)"))).select("list", "qb", "vb", "id", "v"))
 
@@ -236,6 +242,7 @@ def neighbours(vectors: DataFrame, k: int = K, stride: int = STRIDE) -> DataFram
             qx = np.frombuffer(b"".join(a["v"]), dtype=np.float64).reshape(-1, dim)
             vx = np.frombuffer(b"".join(b["v"]), dtype=np.float64).reshape(-1, dim)
             qi, vi = a["id"].to_numpy(), b["id"].to_numpy()
+            floor = a["floor"].to_numpy() if "floor" in a else np.full(len(qx), -np.inf)
             out = []
             for i in range(0, len(qx), 256):
                 s = qx[i:i + 256] @ vx.T
@@ -246,19 +253,28 @@ def neighbours(vectors: DataFrame, k: int = K, stride: int = STRIDE) -> DataFram
                 exact = (qx[i + r] * vx[j]).sum(axis=1)  # the same order of additions for equal vectors
                 order = np.lexsort((vi[j], -exact, r))
                 r, j, exact = r[order], j[order], exact[order]
-                first = np.arange(len(r)) - np.searchsorted(r, r) < k
+                first = (np.arange(len(r)) - np.searchsorted(r, r) < k) & (exact >= floor[i + r])
                 out.append(pd.DataFrame({"query_id": qi[i + r[first]], "vec_id": vi[j[first]], "score": exact[first]}))
             return pd.concat(out)
 
         keys = ["list", "qb", "vb"]
         found = (q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
                  .groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+        return top(found)
+
+    def top(found: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     asked = t.where(F.col("vec_id") % stride == 0)
     posts = stored(t.mapInArrow(route(False), "list int, id long, v binary"), "ann-lists")
-    found = stored(best(stored(asked.mapInArrow(route(True), "list int, id long, v binary"), "ann-probes"), posts), "ann-found")
+    probe = "list int, id long, v binary"
+    nearest = stored(best(stored(asked.mapInArrow(route(True), probe), "ann-probes"), posts), "ann-nearest")
+    floors = (nearest.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor")))
+    floored = asked.join(floors, "vec_id", "left").fillna(float("-inf"), ["floor"])
+    rest = stored(floored.mapInArrow(route(True, rest=True), probe + ", floor double"), "ann-rest")
+    found = stored(top(nearest.drop("rank").unionByName(best(rest, posts).drop("rank"))
+                       .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))), "ann-found")
     want = min(k, t.select("vec_id").distinct().count() - 1)
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= want).select(F.col("query_id").alias("vec_id"))
     short = stored(asked.join(enough, "vec_id", "left_anti"), "ann-short")
