@@ -131,11 +131,10 @@ def gbt_pipeline(spec: ModelSpec, params: dict | None = None, seed: int = K.RAND
     return Pipeline(stages=stages)
 
 
-def predict_pd(model: PipelineModel, df: DataFrame, out: str = "pd") -> DataFrame:
-    """T5: probability of class 1 as a double column."""
+def predict_pd(model: PipelineModel, df: DataFrame, out: str = "pd", keep: tuple = ()) -> DataFrame:
+    """T5: probability of class 1 as a double column, beside ``keep`` of the pipeline's own columns."""
     pred = model.transform(df)
-    keep = [c for c in df.columns]
-    return pred.select(*keep, vector_to_array("probability")[1].alias(out))
+    return pred.select(*df.columns, *keep, vector_to_array("probability")[1].alias(out))
 
 
 @dataclass

@@ -53,6 +53,11 @@ def cleaned(spark, d) -> DataFrame:
     return run_cleaning(raw(spark, d), materialize_raw=True).cleaned
 
 
+def resolved(spark, d) -> DataFrame:
+    """Resolved, parsed loans for queries that read no fitted column: one lazy plan, pruned to what they select."""
+    return CL.prepare_for_imputation(raw(spark, d))
+
+
 def features(spark, d) -> DataFrame:
     return FE.add_features(cleaned(spark, d))
 
@@ -231,7 +236,7 @@ def f2_resolved_loans(spark, d):
 
 @register("f3_drop_null_target", sql_from("features", "SELECT loan_id, target FROM features WHERE target IS NOT NULL"))
 def f3_drop_null_target(spark, d):
-    return features(spark, d).where(F.col("target").isNotNull()).select("loan_id", "target")
+    return resolved(spark, d).where(F.col("target").isNotNull()).select("loan_id", "target")
 
 
 SPLIT_SQL = (f"CASE WHEN issue_year <= {K.FIXTURE_TRAIN_MAX_YEAR} THEN 'train' WHEN issue_year = {K.FIXTURE_VAL_YEAR} THEN 'val' "
@@ -240,12 +245,12 @@ SPLIT_SQL = (f"CASE WHEN issue_year <= {K.FIXTURE_TRAIN_MAX_YEAR} THEN 'train' W
 
 @register("f4_out_of_time_split", sql_from("features", f"SELECT loan_id, issue_year, {SPLIT_SQL} AS split FROM features"))
 def f4_out_of_time_split(spark, d):
-    return SP.with_split(features(spark, d), **K.FIXTURE_SPLIT).select("loan_id", "issue_year", "split")
+    return SP.with_split(resolved(spark, d), **K.FIXTURE_SPLIT).select("loan_id", "issue_year", "split")
 
 
 @register("f5_cohort_year", sql_from("features", f"SELECT loan_id, issue_year, target FROM features WHERE issue_year = {K.FIXTURE_TEST_YEAR}"))
 def f5_cohort_year(spark, d):
-    return SP.cohort(features(spark, d), K.FIXTURE_TEST_YEAR).select("loan_id", "issue_year", "target")
+    return SP.cohort(resolved(spark, d), K.FIXTURE_TEST_YEAR).select("loan_id", "issue_year", "target")
 
 
 @register("f6_classify_threshold", sql_from("scored", "SELECT loan_id, probability_of_default >= 0.22 AS predicted_default FROM scored"))
@@ -330,7 +335,7 @@ def j5_scalar_broadcast(spark, d):
 # ---------------------------------------------------------------------------
 @register("a1_count_by_target", W("cleaned") + "SELECT target, count(*) AS n FROM cleaned GROUP BY target")
 def a1_count_by_target(spark, d):
-    return target_distribution(cleaned(spark, d))
+    return target_distribution(resolved(spark, d))
 
 
 A2_SQL = W("raw_loans") + f"""SELECT raw_rows, cleaned_rows, raw_rows - cleaned_rows AS rows_removed,
@@ -375,12 +380,12 @@ def a5_null_counts(spark, d):
 @register("a6_default_rate_by_year", W("features") + """SELECT issue_year, count(*) AS loans,
   CAST(sum(CAST(target AS BIGINT)) AS DOUBLE) / count(target) AS default_rate FROM features GROUP BY issue_year""")
 def a6_default_rate_by_year(spark, d):
-    return PF.default_rate_by_year(features(spark, d))
+    return PF.default_rate_by_year(resolved(spark, d))
 
 
 @register("a7_distinct_years", W("features") + "SELECT DISTINCT issue_year FROM features")
 def a7_distinct_years(spark, d):
-    return PF.distinct_years(features(spark, d))
+    return PF.distinct_years(resolved(spark, d))
 
 
 TIER_RANK_SQL = "CASE risk_tier " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(K.TIER_ORDER)) + " END"
@@ -442,7 +447,7 @@ def a11_portfolio_totals(spark, d):
   CAST(sum(CAST(target AS BIGINT)) AS DOUBLE) / count(target) AS default_rate
 FROM (SELECT *, {SPLIT_SQL} AS split FROM features WHERE target IS NOT NULL) WHERE split IS NOT NULL GROUP BY split""")
 def a12_split_sizes(spark, d):
-    return PF.split_sizes(SP.with_split(features(spark, d), **K.FIXTURE_SPLIT))
+    return PF.split_sizes(SP.with_split(resolved(spark, d), **K.FIXTURE_SPLIT))
 
 
 @register("a13_class_ratio", W("features") + f"""SELECT CAST(sum(1 - CAST(target AS BIGINT)) AS BIGINT) AS negatives,
@@ -450,7 +455,7 @@ def a12_split_sizes(spark, d):
   CAST(sum(1 - CAST(target AS BIGINT)) AS DOUBLE) / sum(CAST(target AS BIGINT)) AS neg_pos_ratio
 FROM features WHERE issue_year <= {K.FIXTURE_TRAIN_MAX_YEAR}""")
 def a13_class_ratio(spark, d):
-    f = SP.with_split(features(spark, d).where(SP.split_predicate("train", **K.FIXTURE_SPLIT)), **K.FIXTURE_SPLIT)
+    f = SP.with_split(resolved(spark, d).where(SP.split_predicate("train", **K.FIXTURE_SPLIT)), **K.FIXTURE_SPLIT)
     return PF.class_ratio(f)
 
 

@@ -1,5 +1,5 @@
-"""Model-dependent and non-SQL queries (rows-only checks): training, tuning,
-attribution of trees, samples, sinks and loaders."""
+"""Model queries, samples, sinks and loaders: training, tuning, attribution of
+trees. ``oracle_models`` holds the SQL of what SQL can say about them."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ from pdforge.operators import explain as EX
 from pdforge.operators import models as MD
 from pdforge.operators import scoring as SC
 from pdforge.operators import splits as SP
-from pdforge.plans.catalog import features, raw, register, scored, scored_split
+from pdforge.plans import oracle_models as OM
+from pdforge.plans.catalog import A8_SQL, features, raw, register, scored, scored_split
 from pdforge.session import scratch_path
 from pdforge.sources import io
 
@@ -48,32 +49,43 @@ def _test_predictions(m, f, spec):
     return MD.predict_pd(m.model, MD.fill_missing(_split(f, "test"), spec)).select("loan_id", MD.LABEL, "pd")
 
 
-@register("t1_standardize")
+def _probabilities(pred: DataFrame) -> DataFrame:
+    """The scored rows, each with whether its PD is a probability."""
+    return pred.select("loan_id", MD.LABEL, F.col("pd").between(0.0, 1.0).alias("is_probability"))
+
+
+@register("t1_standardize", OM.standardized())
 def t1_standardize(spark, d):
     from pyspark.ml.functions import vector_to_array
     m, f, spec = _lr(spark, d)
     out = m.model.transform(MD.fill_missing(_split(f, "test"), spec))
-    return out.select("loan_id", vector_to_array("_num_std").alias("scaled"))
+    scaled = vector_to_array("_num_std")
+    return out.select("loan_id", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.round(scaled[i], 6).alias("scaled")) for i, c in enumerate(spec.numeric)])))
 
 
-@register("t2_one_hot")
+@register("t2_one_hot", OM.one_hot())
 def t2_one_hot(spark, d):
+    """The hot position of each categorical column; -1 where the level is unseen or null (all zeros)."""
     from pyspark.ml.functions import vector_to_array
     m, f, spec = _lr(spark, d)
     out = m.model.transform(MD.fill_missing(_split(f, "test"), spec))
-    return out.select("loan_id", *[vector_to_array(f"{c}_ohe").alias(f"{c}_ohe") for c in spec.categorical])
+    return out.select("loan_id", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"),
+                 (F.array_position(vector_to_array(f"{c}_ohe"), 1.0) - 1).cast("int").alias("position"))
+        for c in spec.categorical])))
 
 
-@register("t3_logistic_regression")
+@register("t3_logistic_regression", OM.TEST_ROWS)
 def t3_logistic_regression(spark, d):
     m, f, spec = _lr(spark, d)
-    return _test_predictions(m, f, spec)
+    return _probabilities(_test_predictions(m, f, spec))
 
 
-@register("t4_gradient_boosted_trees")
+@register("t4_gradient_boosted_trees", OM.TEST_ROWS)
 def t4_gradient_boosted_trees(spark, d):
     m, f, spec = _gbt(spark, d)
-    return _test_predictions(m, f, spec)
+    return _probabilities(_test_predictions(m, f, spec))
 
 
 @register("t5_predict_pd")
@@ -83,7 +95,7 @@ def t5_predict_pd(spark, d):
         .select("loan_id", "probability_of_default", "risk_tier", "policy_decision")
 
 
-@register("t6_validation_indicator")
+@register("t6_validation_indicator", OM.TEST_ROWS)
 def t6_validation_indicator(spark, d):
     f, spec = model_data(spark, d)
     tv = MD.fill_missing(f.where(F.col("split").isin("train", "val")), spec) \
@@ -91,7 +103,7 @@ def t6_validation_indicator(spark, d):
     _, ratio = MD.positive_weight(_split(f, "train"))  # class ratio of the training years alone
     tv = tv.withColumn(MD.WEIGHT, F.when(F.col(MD.LABEL) == 1, ratio).otherwise(1.0))
     model = MD.gbt_pipeline(spec, CHECK_GBT, validation_col="is_val").fit(tv)
-    return MD.predict_pd(model, MD.fill_missing(_split(f, "test"), spec)).select("loan_id", "pd")
+    return _probabilities(MD.predict_pd(model, MD.fill_missing(_split(f, "test"), spec)))
 
 
 def _both_models(spark, d):
@@ -144,26 +156,36 @@ def t10_tuned_params(spark, d):
 def _tree_attribution(spark, d):
     m, f, spec = _gbt(spark, d)
     rows = MD.fill_missing(_split(f, "test"), spec)
-    prepared = m.model.stages[0].transform(rows) if spec.categorical else rows
-    prepared = m.model.stages[1].transform(prepared)
+    prepared = MD.predict_pd(m.model, rows, keep=("features",))
     names = MD.numeric_inputs(spec) + [f"{c}_idx" for c in spec.categorical]
-    return EX.tree_shap_frame(prepared, m.model.stages[-1], names)
+    return prepared, EX.tree_shap_frame(prepared, m.model.stages[-1], names)
 
 
 @register("t11_global_attribution")
 def t11_global_attribution(spark, d):
-    attr = _tree_attribution(spark, d).where(F.col("feature") != "__base__")
+    attr = _tree_attribution(spark, d)[1].where(F.col("feature") != "__base__")
     return EX.importance_ranking(EX.mean_abs_attribution(attr))
 
 
-@register("t13_tree_attribution")
+@register("t13_tree_attribution", OM.ADDITIVE)
 def t13_tree_attribution(spark, d):
-    return _tree_attribution(spark, d)
+    """Whether base value and attributions of each test row add up to the log-odds of its PD."""
+    prepared, attr = _tree_attribution(spark, d)
+    total = attr.groupBy("loan_id").agg(F.sum("phi").alias("total"))
+    log_odds = F.log(F.col("pd") / (1 - F.col("pd")))
+    return prepared.join(total, "loan_id", "left").select(
+        "loan_id", F.coalesce(F.abs(F.col("total") - log_odds) < 1e-6, F.lit(False)).alias("adds_up"))
 
 
-@register("b1_decision_records")
+@register("b1_decision_records", OM.DECISIONS)
 def b1_decision_records(spark, d):
-    return SC.decision_records(scored(spark, d), "pd", threshold=0.22)
+    """The decision records, their nested parts as columns."""
+    r = SC.decision_records(scored(spark, d), "pd", threshold=0.22)
+    return r.select("loan_id", "model", "threshold", "probability_of_default", "predicted_default",
+                    *[f"risk_bucket.{c}" for c in ("risk_tier", "credit_grade", "recommended_interest_rate",
+                                                   "risk_description", "recommended_action")],
+                    "policy_decision.decision", "policy_decision.comments",
+                    F.size("policy_decision.adverse_action_reasons").alias("n_adverse"))
 
 
 @register("b3_held_out_sample")
@@ -171,14 +193,14 @@ def b3_held_out_sample(spark, d):
     return SC.held_out_sample(features(spark, d), n=1000, year=K.FIXTURE_TEST_YEAR)
 
 
-@register("p8_feature_types")
+@register("p8_feature_types", OM.FEATURE_KINDS)
 def p8_feature_types(spark, d):
     num, cat = C.split_feature_types(C.drop_non_features(features(spark, d)), exclude=("loan_id",))
     return spark.createDataFrame([(c, "numeric") for c in num] + [(c, "categorical") for c in cat],
                                  "column string, kind string")
 
 
-@register("p9_align_features")
+@register("p9_align_features", OM.ALIGNED)
 def p9_align_features(spark, d):
     f = features(spark, d)
     num, cat = C.split_feature_types(C.drop_non_features(f), exclude=("loan_id",))
@@ -197,28 +219,28 @@ def w9_stratified_sample(spark, d):
     return SP.stratified_sample(f, n)
 
 
-@register("w10_stratified_folds")
+@register("w10_stratified_folds", OM.FOLDS)
 def w10_stratified_folds(spark, d):
     f = SP.with_split(features(spark, d), **K.FIXTURE_SPLIT).where(F.col("split").isin("train", "val"))
     return SP.stratified_folds(f, 5).groupBy("fold", "target").count()
 
 
-@register("s3_parquet_sink")
+@register("s3_parquet_sink", OM.RAW_ROWS)
 def s3_parquet_sink(spark, d):
     path = scratch_path(spark, "raw_parquet")
     raw(spark, d).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-@register("s4_export_verify")
+@register("s4_export_verify", OM.EXPORT)
 def s4_export_verify(spark, d):
     csv = io.write_scratch(raw(spark, d), "csv", "raw_csv")
     stats = io.csv_to_parquet(spark, csv, scratch_path(spark, "raw_from_csv"))
-    return spark.createDataFrame([(stats["rows"], stats["columns"], stats["file_size_mb"])],
-                                 "rows long, columns int, file_size_mb double")
+    return spark.createDataFrame([(stats["rows"], stats["columns"], stats["bytes"] > 0)],
+                                 "rows long, columns int, has_bytes boolean")
 
 
-@register("s5_parquet_schema")
+@register("s5_parquet_schema", OM.SCHEMA)
 def s5_parquet_schema(spark, d):
     path = io.write_scratch(raw(spark, d), "parquet", "raw_schema")
     schema = io.scan_schema(spark, path)
@@ -226,13 +248,14 @@ def s5_parquet_schema(spark, d):
                                  "column string, type string")
 
 
-@register("s7_partitioned_write")
+@register("s7_partitioned_write", OM.TEST_YEAR_FEATURES)
 def s7_partitioned_write(spark, d):
     path = io.write_table(features(spark, d), scratch_path(spark, "features_by_year"))
-    return spark.read.parquet(path).where(F.col("issue_year") == K.FIXTURE_TEST_YEAR)
+    back = spark.read.parquet(path).where(F.col("issue_year") == K.FIXTURE_TEST_YEAR)
+    return back.withColumn("issue_year", F.col("issue_year").cast("smallint"))  # a folder name reads as int
 
 
-@register("s8_small_csv_write", __import__("pdforge.plans.catalog", fromlist=["SQL"]).SQL["a8_tier_validation"])
+@register("s8_small_csv_write", A8_SQL)
 def s8_small_csv_write(spark, d):
     """Tier validation written as one CSV file, read back with its schema (values survive exactly)."""
     from pdforge.operators.portfolio import tier_validation
@@ -241,9 +264,9 @@ def s8_small_csv_write(spark, d):
     return io.read_small_csv(spark, path, t.schema)
 
 
-@register("s10_json_write")
+@register("s10_json_write", OM.METRICS_WITH_BUCKETS)
 def s10_json_write(spark, d):
-    """Metric bundle plus nested bucket summary written as JSON; returns the written files' rows."""
+    """Metric bundle plus nested bucket summary written as JSON; read back, one row a bucket."""
     from pdforge.operators import metrics as M
     from pdforge.operators.portfolio import tier_validation
     test = scored_split(spark, d, "test")
@@ -254,19 +277,23 @@ def s10_json_write(spark, d):
     row = bundle.first().asDict()  # one row of metrics
     doc = buckets.select(*[F.lit(v).alias(k) for k, v in row.items()], "bucket_summary")
     path = io.write_json(doc, scratch_path(spark, "comparison"))
-    return spark.read.json(path)
+    return io.read_json(spark, path, doc.schema).select(*row, F.inline("bucket_summary"))
 
 
-@register("s12_model_save")
+@register("s12_model_save", OM.SAVED_MODEL)
 def s12_model_save(spark, d):
-    """Save the baseline model and its metadata; list what was written."""
+    """Save the baseline model and its metadata; the feature lists that the metadata file holds."""
     m, f, spec = _lr(spark, d)
     path = scratch_path(spark, "model_save")
     MD.save_model(m, path)
-    return spark.read.json(f"{path}/metadata")
+    kept = F.from_json("metadata", "name string, numerical_features array<string>, categorical_features array<string>")
+    lists = spark.read.json(f"{path}/metadata").select(kept.alias("m")).select("m.*")
+    kinds = [lists.select("name", F.explode(f"{k}_features").alias("column"), F.lit(kind).alias("kind"))
+             for k, kind in (("numerical", "numeric"), ("categorical", "categorical"))]
+    return kinds[0].unionByName(kinds[1])
 
 
-@register("s9_small_csv_roundtrip")
+@register("s9_small_csv_roundtrip", A8_SQL)
 def s9_small_csv_roundtrip(spark, d):
     from pdforge.operators.portfolio import tier_validation
     t = tier_validation(scored_split(spark, d, "test"))
@@ -274,7 +301,7 @@ def s9_small_csv_roundtrip(spark, d):
     return io.read_small_csv(spark, path, t.schema)
 
 
-@register("s11_json_roundtrip")
+@register("s11_json_roundtrip", OM.BUCKETS)
 def s11_json_roundtrip(spark, d):
     from pdforge.operators.portfolio import tier_validation
     t = tier_validation(scored_split(spark, d, "test"))
@@ -284,16 +311,19 @@ def s11_json_roundtrip(spark, d):
     return io.read_json(spark, path).select(F.inline("bucket_summary"))
 
 
-@register("s13_model_roundtrip")
+@register("s13_model_roundtrip", OM.ROUND_TRIP)
 def s13_model_roundtrip(spark, d):
+    """Whether the model read back gives each test row the PD of the model that was saved."""
     m, f, spec = _lr(spark, d)
     path = scratch_path(spark, "model")
     MD.save_model(m, path)
     back = MD.load_model(path)
-    return MD.predict_pd(back.model, MD.fill_missing(_split(f, "test"), spec)).select("loan_id", "pd")
+    saved = MD.predict_pd(m.model, MD.fill_missing(_split(f, "test"), spec))
+    both = MD.predict_pd(back.model, saved.withColumnRenamed("pd", "saved_pd"))
+    return both.select("loan_id", (F.col("pd") == F.col("saved_pd")).alias("same_pd"))
 
 
-@register("s14_write_if_absent")
+@register("s14_write_if_absent", OM.RAW_ROWS)
 def s14_write_if_absent(spark, d):
     path = scratch_path(spark, "once")
     io.write_table(raw(spark, d), path, partition_by=None, mode="ignore")
@@ -301,25 +331,26 @@ def s14_write_if_absent(spark, d):
     return spark.read.parquet(path)
 
 
-@register("b7_cleaning_job_sink")
+@register("b7_cleaning_job_sink", OM.JOB_SINK)
 def b7_cleaning_job_sink(spark, d):
     """B7 end to end with its sink and statistics; returns the statistics as one row."""
     from pdforge.plans.cleaning_job import write_cleaning_job
     out = scratch_path(spark, "loans_cleaned")
     st = write_cleaning_job(raw(spark, d), out, stats_path=scratch_path(spark, "cleaning_stats"))
     keys = ["raw_rows", "raw_columns", "cleaned_rows", "cleaned_columns", "rows_removed", "rows_removed_pct",
-            "default_count", "non_default_count", "default_rate_pct", "file_size_mb"]
+            "default_count", "non_default_count", "default_rate_pct"]
     return spark.createDataFrame([tuple(st[k] for k in keys)],
                                  "raw_rows long, raw_columns int, cleaned_rows long, cleaned_columns int, "
                                  "rows_removed long, rows_removed_pct double, default_count long, "
-                                 "non_default_count long, default_rate_pct double, file_size_mb double")
+                                 "non_default_count long, default_rate_pct double")
 
 
-@register("b8_feature_job_sink")
+@register("b8_feature_job_sink", OM.TEST_YEAR_FEATURES)
 def b8_feature_job_sink(spark, d):
     """B8 end to end: cleaned table written, features written partitioned by year, pruned read back."""
     from pdforge.plans.cleaning_job import write_cleaning_job, write_feature_job
     cleaned_path, feat_path = scratch_path(spark, "loans_cleaned"), scratch_path(spark, "features")
     write_cleaning_job(raw(spark, d), cleaned_path)
     write_feature_job(cleaned_path, feat_path, spark)
-    return spark.read.parquet(feat_path).where(F.col("issue_year") == K.FIXTURE_TEST_YEAR)
+    back = spark.read.parquet(feat_path).where(F.col("issue_year") == K.FIXTURE_TEST_YEAR)
+    return back.withColumn("issue_year", F.col("issue_year").cast("smallint"))

@@ -19,7 +19,7 @@ from pdforge.operators import scoring as SC
 from pdforge.operators import splits as SP
 from pdforge.plans import oracle as O
 from pdforge.plans.catalog import (SPLIT_SQL, TIER_RANK_SQL, W, _portfolio_sql, cleaned, features, labelled,
-                                   prepared, raw, register, scored, scored_split, test_scored)
+                                   prepared, raw, register, resolved, scored, scored_split, test_scored)
 
 # ---------------------------------------------------------------------------
 # Parsing, fills, caps, maps
@@ -97,7 +97,7 @@ def x9_ordinal_codes(spark, d):
 
 @register("x10_categories", W("cleaned") + "SELECT loan_id, purpose, addr_state FROM cleaned")
 def x10_categories(spark, d):
-    return cleaned(spark, d).select("loan_id", "purpose", "addr_state")
+    return resolved(spark, d).select("loan_id", "purpose", "addr_state")
 
 
 # ---------------------------------------------------------------------------
@@ -209,14 +209,14 @@ def w2_ordered_tiers(spark, d):
 
 @register("w3_sort_by_year_target", W("features") + "SELECT issue_year, target, count(*) AS n FROM features GROUP BY 1, 2")
 def w3_sort_by_year_target(spark, d):
-    return (features(spark, d).groupBy("issue_year", "target").agg(F.count(F.lit(1)).alias("n"))
+    return (resolved(spark, d).groupBy("issue_year", "target").agg(F.count(F.lit(1)).alias("n"))
             .orderBy("issue_year", "target"))
 
 
 @register("w7_union_train_val", W("features") + f"""SELECT loan_id, split FROM (SELECT loan_id, {SPLIT_SQL} AS split
 FROM features WHERE target IS NOT NULL) WHERE split IN ('train', 'val')""")
 def w7_union_train_val(spark, d):
-    f = features(spark, d)
+    f = resolved(spark, d)
     train = SP.with_split(f.where(SP.split_predicate("train", **K.FIXTURE_SPLIT)), **K.FIXTURE_SPLIT).select("loan_id", "split")
     val = SP.with_split(f.where(SP.split_predicate("val", **K.FIXTURE_SPLIT)), **K.FIXTURE_SPLIT).select("loan_id", "split")
     return train.unionByName(val)

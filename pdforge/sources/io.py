@@ -75,8 +75,8 @@ def verify_export(spark: SparkSession, path: str) -> dict:
     stats = back.agg(F.count(F.lit(1)).alias("rows")).first()
     size = (back.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
             .distinct().agg(F.sum("s")).first()[0] or 0)
-    return {"rows": stats["rows"], "columns": len(back.columns), "file_size_mb": round(size / 1024 ** 2, 1),
-            "output": path}
+    return {"rows": stats["rows"], "columns": len(back.columns), "bytes": size,
+            "file_size_mb": round(size / 1024 ** 2, 1), "output": path}
 
 
 def scan_schema(spark: SparkSession, path: str) -> T.StructType:
