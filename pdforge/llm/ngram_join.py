@@ -72,9 +72,10 @@ def shingle_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
     words = _mix((run[ends] - run[starts]) * back[starts])
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     first = np.searchsorted(starts, bounds)
-    grams = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
+    many = max(0, len(words) - n + 1)
+    grams = np.zeros(many, dtype=np.uint64)
     for j in range(n):
-        grams = grams * _ODD + words[j:len(words) - n + 1 + j]
+        grams = grams * _ODD + words[j:many + j]
     grams = _mix(grams)
     out = []
     for a, b in zip(first[:-1], first[1:]):

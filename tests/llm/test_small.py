@@ -158,6 +158,22 @@ def test_ngram_join_against_brute_force(spark):
     assert got == {i: root(i) for i in range(300)}
 
 
+def test_shingles_of_blocks_with_few_words():
+    for words in range(8):
+        text = " ".join(f"w{k}" for k in range(words)).encode()
+        alone, = ngram_join.shingle_sets([text])
+        assert len(alone) == (max(1, words - 4) if words else 0)
+        assert (ngram_join.shingle_sets([b"one two three four five six", text])[1] == alone).all()
+    assert len(ngram_join.shingle_sets([])) == 0 and [len(s) for s in ngram_join.shingle_sets([b"a", b"", b"b c"])] == [1, 0, 1]
+
+
+def test_ngram_join_of_short_rows_alone(spark):
+    docs = [(k, " ".join(f"w{k}_{x}" for x in range(k))) for k in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(6, "doc_id")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.query(frame).collect()}
+    assert got == {k: (min(k, 1), k) for k in range(6)}
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 0), (5, 3), (1000, 1 << 50), (5000, 6000)):
