@@ -3,7 +3,7 @@
 A phrase that may differ by k edits is cut into k + 1 pieces: by the pigeonhole principle any occurrence with at
 most k edits holds one piece unchanged. One Aho-Corasick automaton over all pieces locates candidates in the text
 reduced to its words; around each, exact places are read off, and the regex library's bounded-error matching
-(``{e<=k}``, best match) verifies the rest at word borders and reports span and edits.
+(``{e<=k}``, the next match, improved) verifies the rest at word borders and reports span and edits.
 
 Defined results: null text counts as empty (0 words, no spans); places are counted as often as they occur; rows are
 independent, so repeated rows repeat their result and an empty table gives an empty table; other columns are not read.
@@ -49,7 +49,7 @@ def phrase_scanner(base: dict[str, str], notices: dict[str, str], chars_per_edit
 
     phrases = [(p, label, True) for p, label in base.items()] + [(p, label, False) for p, label in notices.items()]
     budget = [len(p) // chars_per_edit for p, _, _ in phrases]
-    fuzzy = [regex.compile(rf"(?b)(?<!\S)(?:{regex.escape(p, literal_spaces=True)}){{e<={k}}}(?!\S)") if k else None
+    fuzzy = [regex.compile(rf"(?e)(?<!\S)(?:{regex.escape(p, literal_spaces=True)}){{e<={k}}}(?!\S)") if k else None
              for (p, _, _), k in zip(phrases, budget)]
     found: dict[str, list[tuple[int, int]]] = {}
     for i, ((p, _, _), k) in enumerate(zip(phrases, budget)):
@@ -75,6 +75,9 @@ def phrase_scanner(base: dict[str, str], notices: dict[str, str], chars_per_edit
                     spans[-1][0] = min(a, spans[-1][0])
                 else:
                     spans.append([a, b])
+                while len(spans) > 1 and spans[-1][0] <= spans[-2][1]:
+                    a, b = spans.pop()
+                    spans[-1] = [min(a, spans[-1][0]), max(b, spans[-1][1])]
         out = []
         for i, spans in windows.items():
             p, label, is_base = phrases[i]
@@ -95,6 +98,8 @@ def phrase_scanner(base: dict[str, str], notices: dict[str, str], chars_per_edit
                 gaps.append((at, b))
                 if fuzzy[i] is not None:
                     for lo, hi in gaps:
+                        lo += text[lo:lo + 1] == " "  # a gap begins and ends with a whole word
+                        hi -= text[hi - 1:hi] == " "
                         if hi - lo >= len(p) - budget[i]:
                             for m in fuzzy[i].finditer(text[lo:hi]):
                                 if word_border(text, lo + m.start(), lo + m.end()):

@@ -39,6 +39,25 @@ def test_license_scan(odd):
     assert spans == {("mit", 0), ("mit", 1), ("cc-by", 0), ("gpl", 1)}
 
 
+def test_altered_notices_side_by_side():
+    find = license_scan.phrase_scanner(license_scan.BASE, license_scan.NOTICES, license_scan.CHARS_PER_EDIT)
+    gpl = lambda text: [(s["first_word"], s["end_word"], s["edits"]) for s in find(text) if s["label"] == "gpl"]
+    assert gpl("gnu generel publik license or gnu general publik license") == [(0, 4, 2), (5, 9, 1)]
+    assert gpl("gnu general public license nu general public license") == [(0, 4, 0), (4, 8, 1)]
+    assert gpl("gnu general public licens gnu general public license") == [(0, 4, 1), (4, 8, 0)]
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        words, want = [], []
+        for _ in range(int(rng.integers(2, 9))):
+            words += [str(x) for x in rng.choice(["or", "license", "public", "this", "gnu"], int(rng.integers(0, 3)))]
+            notice, edits = list("gnu general public license"), int(rng.integers(0, 4))
+            for i in rng.choice(np.flatnonzero(np.array(notice) != " "), edits, replace=False):
+                notice[i] = "#"
+            want.append((len(words), len(words) + 4, edits))
+            words += "".join(notice).split(" ")
+        assert gpl(" ".join(words)) == want
+
+
 def test_pigeonhole_seeds():
     for k in range(5):
         assert "".join(p for _, p in license_scan.seeds("permission is hereby granted", k)) == "permission is hereby granted"
