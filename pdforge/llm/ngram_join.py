@@ -331,6 +331,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             star = star.join(known.select("x", "z"), ["x", "z"], "left_anti")
         star = stored(star, "nj-star")
         if star.isEmpty():
+            if turn == 0:  # no leader fits; members of the lists may still link with each other
+                continue
             break
         found = verified(docs, star, classes)
         known = found if known is None else stored(known.unionByName(found), "nj-known")
@@ -338,7 +340,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if turn + 1 < STAR_ROUNDS and found.where("linked").isEmpty():
             break
     if known is None:
-        return rows, None
+        if lists.isEmpty():
+            return rows, None
+        known = docs.sparkSession.createDataFrame([], "x long, z long, common long, linked boolean")
     # what is left: pairs of a list in different components, bounded by positions and by what the leader tells
     mixed = _mixed(lists, comp)
     told = known.select("x", "z", "common")
@@ -367,8 +371,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _mixed(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Entries of lists whose classes lie in more than one component so far."""
-    c = comp.select(F.col("id").alias("f"), F.col("component").alias("comp"))
-    t = stored(lists.join(c.hint("merge"), "f", "left").withColumn("comp", F.coalesce("comp", "f")), "nj-entries")
+    if comp is None:  # every class its own component
+        t = lists.withColumn("comp", F.col("f"))
+    else:
+        c = comp.select(F.col("id").alias("f"), F.col("component").alias("comp"))
+        t = stored(lists.join(c.hint("merge"), "f", "left").withColumn("comp", F.coalesce("comp", "f")), "nj-entries")
     g = t.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("g")
     return t.join(g, "g")
 

@@ -193,6 +193,28 @@ def test_ngram_join_of_short_rows_alone(spark):
     assert got == {k: (min(k, 1), k) for k in range(6)}
 
 
+def test_ngram_join_below_a_longer_leader(spark):
+    """Two near copies of an excerpt; a much longer text that holds it leads all lists they share."""
+    a = [f"w{k}" for k in range(60)]
+    b = [*a[:-1], "other"]
+
+    def facts(words):
+        s, = ngram_join.shingle_sets([" ".join(words).encode()])
+        return int(ngram_join._fingerprints(s)[:1].view(np.int64)[0]), set(s[:len(s) // 4 + 1].tolist())
+
+    (fa, pa), (fb, pb) = facts(a), facts(b)
+    for seed in range(2000):
+        long = [*a, *(f"x{seed}_{k}" for k in range(240))]
+        f, p = facts(long)
+        if f < min(fa, fb) and pa & pb <= p:
+            break
+    else:
+        pytest.fail("no such text")
+    docs = [(1, " ".join(long)), (2, " ".join(a)), (3, " ".join(b))]
+    got = {r.doc_id: r.component_id for r in ngram_join.query(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 0), (5, 3), (1000, 1 << 50), (5000, 6000)):
