@@ -4,8 +4,9 @@ The index is fitted on a bounded sample (``SAMPLE`` vectors, by hash of the id):
 of median splits, so lists are balanced, refined by a few rounds of k-means. Centroids are linked to their nearest
 ones in a graph that a beam search walks, in memory of every task (``MAX_LISTS`` centroids at most). Each vector
 goes to its nearest list and, near a border, to others up to a distance ratio (``REPLICAS`` at most, all vectors in
-one at least). A query takes the lists within a distance ratio of its nearest; the ratio is the one that reaches
-``TARGET`` of the true neighbours of sample vectors. A list is searched in blocks of at most ``BLOCK`` vectors and
+one at least). A query takes all lists within a distance ratio of its nearest: where the beam's farthest centroid is
+still within it, the distances to all centroids decide. The ratio is the smallest with which this search, asked by sample
+vectors, reaches lists that hold ``TARGET`` of their true neighbours. A list is searched in blocks of at most ``BLOCK`` vectors and
 queries, so a vector that a third of the rows share never fills one task, and every block's scores are exact double
 inner products; the best are merged per query. The nearest ``LEAST_LISTS`` lists are searched first: the k-th score found
 there is a floor, below which the query's other lists return nothing, so rows per query do not grow with the lists.
@@ -83,7 +84,8 @@ def centroid_graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
         d = _distances(c[i:i + 1024], c)
         d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
         links[i:i + 1024, :degree] = np.argsort(d, axis=1, kind="stable")[:, :degree]
-    links[:, degree] = (np.arange(n) + 1) % n
+    ring = (np.arange(n) + 1) % n
+    links[:, degree] = np.where((links[:, :degree] == ring[:, None]).any(axis=1), np.arange(n), ring)  # no link twice
     return links
 
 
@@ -125,32 +127,63 @@ def graph_search(x: np.ndarray, c: np.ndarray, links: np.ndarray, beam: int = BE
 
 
 def lists_of(x, c, links, ratio: float, most: int | None, least: int = 1, beam: int = BEAM):
-    """(row, list) pairs: the lists within ``ratio`` of each row's nearest distance."""
-    ids, d = graph_search(x, c, links, beam)
-    d = np.sqrt(d)
-    ok = (d <= ratio * d[:, :1]) & (ids >= 0)
-    ok[:, :least] |= ids[:, :least] >= 0
-    if most is not None:
-        ok[:, most:] = False
-    r, k = np.nonzero(ok)
-    return r, ids[r, k]
+    """(row, list) pairs, nearest list first: the lists within ``ratio`` of each row's nearest distance, at most ``most``."""
+    rows, lists = [], []
+
+    def take(at, ids, d):
+        d = np.sqrt(d)
+        ok = (d <= ratio * d[:, :1]) & (ids >= 0)
+        # the farthest centroid of the beam is still within the ratio: more may be
+        wider = ok[:, -1] if ids.shape[1] < len(c) and (most is None or most > ids.shape[1]) else np.zeros(len(at), dtype=bool)
+        ok[:, :least] |= ids[:, :least] >= 0
+        if most is not None:
+            ok[:, most:] = False
+        r, k = np.nonzero(ok & ~wider[:, None])
+        rows.append(at[r])
+        lists.append(ids[r, k])
+        return at[wider]
+
+    todo = take(np.arange(len(x)), *graph_search(x, c, links, beam))
+    for i in range(0, len(todo), 128):
+        d = _distances(x[todo[i:i + 128]], c)
+        ids = np.argsort(d, axis=1, kind="stable")
+        take(todo[i:i + 128], ids, np.take_along_axis(d, ids, axis=1))
+    rows, lists = np.concatenate(rows), np.concatenate(lists)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], lists[order]
 
 
 def search_ratio(x, c, links, target: float = TARGET, k: int = K, queries: int = 300, border: float = BORDER,
                  replicas: int = REPLICAS) -> float:
-    """The distance ratio whose lists hold ``target`` of the true neighbours of some sample vectors."""
-    q = x[np.linspace(0, len(x) - 1, min(queries, len(x))).astype(np.int64)]
-    true = np.argsort(_distances(q, x), axis=1, kind="stable")[:, 1:k + 1]
+    """The smallest distance ratio with which ``lists_of`` finds lists that hold ``target`` of the true neighbours of some
+    sample vectors, asked as queries are."""
+    at = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(np.int64)
+    q = x[at].copy()
+    q[:, -1] = 0.0
+    d = _distances(q, x)
+    d[np.arange(len(q)), at] = np.inf
+    true = np.argsort(d, axis=1, kind="stable")[:, :min(k, len(x) - 1)]
+    if not true.size:
+        return 1.0
     near = np.unique(true)
     rows, lists = lists_of(x[near], c, links, border, replicas)
-    d = np.sqrt(_distances(q, c))
     home = np.full((len(near), replicas), -1, dtype=np.int64)
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    home[rows, place] = lists
-    need = np.where(home[np.searchsorted(near, true)] >= 0,
-                    np.take_along_axis(d[:, None, :], np.maximum(home[np.searchsorted(near, true)], 0), axis=2), np.inf).min(axis=2)
-    ratio = need / np.maximum(d.min(axis=1, keepdims=True), 1e-12)
-    return float(max(1.0, np.quantile(ratio, target))) if ratio.size else 1.0
+    home[rows, np.arange(len(rows)) - np.searchsorted(rows, rows)] = lists
+    home = home[np.searchsorted(near, true)]
+    d = np.sqrt(_distances(q, c))
+    need = np.where(home >= 0, np.take_along_axis(d[:, None, :], np.maximum(home, 0), axis=2), np.inf).min(axis=2)
+    ratios = np.unique(np.maximum(1.0, need / np.maximum(d.min(axis=1, keepdims=True), 1e-12)))
+
+    def reached(ratio):
+        asked = np.zeros((len(q), len(c) + 1), dtype=bool)
+        asked[lists_of(q, c, links, ratio, None, LEAST_LISTS)] = True
+        return asked[np.arange(len(q))[:, None, None], home].any(axis=2).mean()
+
+    lo, hi = 0, len(ratios) - 1  # the last one takes every list that is needed
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if reached(ratios[mid]) >= target else (mid + 1, hi)
+    return float(ratios[lo])
 
 
 # ---- on Spark ----------------------------------------------------------------------------------------------------

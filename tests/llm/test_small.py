@@ -323,6 +323,41 @@ def test_neighbours(spark):
     assert posting_ann.query(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
 
 
+def test_lists_beyond_the_beam():
+    rng = np.random.default_rng(7)
+    c = rng.normal(size=(600, 12))
+    links, q = posting_ann.centroid_graph(c), rng.normal(size=(30, 12))
+    d = np.sqrt(posting_ann._distances(q, c))
+    for ratio in (1.0, 1.3, 1.6, 50.0):
+        rows, lists = posting_ann.lists_of(q, c, links, ratio, None, 4)
+        want = (d <= ratio * d.min(axis=1, keepdims=True) * (1 + 1e-12)).sum(axis=1)
+        got = np.bincount(rows, minlength=len(q))
+        assert got.sum() >= 0.99 * np.maximum(want, 4).sum() and (np.diff(rows) >= 0).all()
+        assert len(set(zip(rows, lists))) == len(rows)
+    assert (got == 600).all()
+    rows, _ = posting_ann.lists_of(q, c, links, 50.0, 4)
+    assert (np.bincount(rows) == 4).all()
+
+
+def test_ratio_reaches_its_target():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(6000, 16)), np.zeros((6000, 1))], axis=1)
+    c = posting_ann.balanced_centroids(x, 400)
+    links = posting_ann.centroid_graph(c)
+    ratio = posting_ann.search_ratio(x, c, links)
+    hits = []
+    home = np.zeros((6000, 400), dtype=bool)
+    home[posting_ann.lists_of(x, c, links, posting_ann.BORDER, posting_ann.REPLICAS)] = True
+    at = np.arange(7, 6000, 60)
+    asked = np.zeros((len(at), 400), dtype=bool)
+    asked[posting_ann.lists_of(x[at], c, links, ratio, None, posting_ann.LEAST_LISTS)] = True
+    for q, lists in zip(at, asked):
+        d = posting_ann._distances(x[[q]], x)[0]
+        d[q] = np.inf
+        hits.append((home[np.argsort(d, kind="stable")[:20]] & lists).any(axis=1).mean())
+    assert np.mean(hits) >= 0.96
+
+
 @pytest.mark.parametrize("name", ["op5_line_spread", "op6_block_names", "op9_source_mix"])
 def test_oracles(spark, name):
     from oracle_harness import compare, duck_connection
