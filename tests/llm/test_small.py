@@ -261,6 +261,15 @@ def test_language_model_sums_to_one(spark, tmp_path):
     assert prefix.count() == 1 and 0.93 < sum(p) < 1.07
 
 
+def test_language_model_keeps_all_ngrams(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(30)], 12)) for _ in range(20)]
+    model = eftrie_lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for order, level in ((2, "l2"), (3, "l3")):
+        want = {tuple(w[k:k + order]) for w in ([*t.split(), " "] for t in texts) for k in range(len(w) - order + 1)}
+        assert sum(s.n for s in eftrie_lm.Children(model[level]).seq) == len(want)
+
+
 def test_line_spread_odd_rows(odd):
     got = line_spread.query(odd, min_sites=2).collect()
     assert len(got) == len(ROWS) and {r.text for r in got if r.doc_id == 1} == {None}
