@@ -255,14 +255,18 @@ def predict(docs: DataFrame, model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, all columns: only ``und`` is rejected."""
+    """The rows of ``docs`` whose text has a language, all columns: only ``und`` is rejected, and where no model could
+    be learned only texts without a letter."""
     def run(batches):
         import pyarrow as pa
+        import regex
 
+        letter = regex.compile(r"\p{L}")
         label = _labeller(model)
         for batch in batches:
             for rows, texts in row_blocks(batch):
-                yield rows.filter(pa.array([p != "und" for p in label(texts)[0]], type=pa.bool_()))
+                keep = [p != "und" for p in label(texts)[0]] if model and model[0] else [bool(letter.search(t.decode())) for t in texts]
+                yield rows.filter(pa.array(keep, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -283,6 +283,11 @@ def test_language_rejects_texts_without_letters(odd):
     assert byte_gru.predict(odd, None).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_without_a_model_keeps_texts_with_letters(odd):
+    for model in (None, byte_gru.train(odd.where("lang is null"), steps=1)):
+        assert set(r[0] for r in byte_gru.accepted(odd, model).collect()) == {4, 5, 6, 7, 8, 10, 11, 12}
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(2)
     p = {k: v.astype(np.float64) for k, v in byte_gru._init(3, 4, rng).items()}
