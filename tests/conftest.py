@@ -1,15 +1,12 @@
 import os
-import sys, os
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
-
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
+HERE = os.path.dirname(os.path.abspath(__file__))
+for folder in (HERE, os.path.dirname(HERE)):
+    if folder not in sys.path:
+        sys.path.insert(0, folder)
 
 
 @pytest.fixture(scope="session")
@@ -17,3 +14,4 @@ def spark():
     from pdforge.session import get_session
     s = get_session("local[*]", app_name="pdforge-tests", shuffle_partitions=8)
     yield s
+    s.stop()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from paths import SF001, SF01
 from pdforge.plans import catalog as CAT
 
 # FIXTURES.md §6 at sf0.01 (counts and decision splits)

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from conftest import SF001  # noqa: E402
+from paths import SF001  # noqa: E402
 from oracle_harness import compare, duck_connection
 
 SUBSET = ["s1_csv_scan", "p2_drop_leakage", "p7_drop_raw_dates", "f2_resolved_loans", "j3_leakage_detection",

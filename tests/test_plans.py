@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from pdforge.operators import cleaning as CL
 from pdforge.operators import scoring as SC
 from pdforge.session import scratch_path
