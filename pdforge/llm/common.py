@@ -20,29 +20,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker (functions are shipped by value,
-    so their module globals do not)."""
-    home = sys.modules.setdefault("_pdforge_worker", types.ModuleType("_pdforge_worker"))
-    return home.__dict__.setdefault(name, {})
+    """A dictionary that lives as long as the Python worker (functions are shipped by value, so their module globals
+    do not). Workers are reused by later stages, so asking for one name frees what other operators held."""
+    home = sys.modules.setdefault("_pdforge_worker", types.ModuleType("_pdforge_worker")).__dict__.setdefault("caches", {})
+    for other in [k for k in home if k != name]:
+        del home[other]
+    return home.setdefault(name, {})
 
 
 def row_blocks(batch, max_bytes: int = 1 << 20, column: str = "text"):
     """(slice, texts as bytes) of an Arrow batch, each slice holding about ``max_bytes`` of text
-    and at least one row; null text counts as empty."""
+    and at least one row; null text counts as empty. Only one slice's texts are Python objects at a time."""
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
+    if not len(batch):
+        return
     col = batch.column(column)
-    col = col.cast(pa.large_binary())
-    sizes = 0
-    begin = 0
-    values = col.to_pylist()
-    for i, v in enumerate(values):
-        sizes += len(v) if v else 0
-        if sizes >= max_bytes:
-            yield batch.slice(begin, i + 1 - begin), [x or b"" for x in values[begin:i + 1]]
-            begin, sizes = i + 1, 0
-    if begin < len(values):
-        yield batch.slice(begin), [x or b"" for x in values[begin:]]
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin, before = 0, 0
+    while begin < len(ends):
+        end = min(int(np.searchsorted(ends, before + max_bytes)) + 1, len(ends))
+        part = batch.slice(begin, end - begin)
+        yield part, [x or b"" for x in part.column(column).cast(pa.large_binary()).to_pylist()]
+        begin, before = end, int(ends[end - 1])
 
 
 def dense_names(keys: DataFrame, cols: list[str], name: str = "name") -> DataFrame:
