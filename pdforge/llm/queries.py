@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pdforge.llm import (block_names, byte_gru, eftrie_lm, hard_negatives, license_scan, line_spread, ngram_join, orc_tokens,
-                         pack_nnls, posting_ann, sentence_pieces, source_mix)
+                         pack_nnls, phrase_tries, posting_ann, sentence_pieces, source_mix)
 from pdforge.llm.common import documents
 
 
@@ -35,6 +35,7 @@ QUERIES = {
     "op9_source_mix": _on_documents(source_mix.query),
     "op10_orc_tokens": _on_documents(orc_tokens.query),
     "op11_hard_negatives": _on_embeddings(hard_negatives.query),
+    "op12_phrase_tries": _on_documents(phrase_tries.query),
     "op13_sentence_pieces": _on_documents(sentence_pieces.query),
 }
 
@@ -43,4 +44,5 @@ SQL = {
     "op6_block_names": block_names.SQL,
     "op9_source_mix": source_mix.SQL,
     "op11_hard_negatives": hard_negatives.SQL,
+    "op12_phrase_tries": phrase_tries.SQL,
 }
