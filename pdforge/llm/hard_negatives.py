@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pdforge.llm.common import stored
 from pdforge.session import scratch_path
 
 ANCHOR_STRIDE, RELABEL_STRIDE, LABELS, SCALE = 100, 7, 10, 256
@@ -93,15 +94,18 @@ def anchor_blocks(rows: DataFrame) -> DataFrame:
 
         n, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            k = (n + np.arange(len(batch))) // ANCHORS
+            at = n + np.arange(len(batch))
             n += len(batch)
-            yield pa.RecordBatch.from_arrays([pa.array((np.int64(part) << 32) + k), *[batch.column(c) for c in ("vec_id", "label", "v")]],
-                                             names=["block", "vec_id", "label", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), part)), pa.array(at), *[batch.column(c) for c in ("vec_id", "label", "v")]],
+                                             names=["part", "at", "vec_id", "label", "v"])
 
-    # ranges of the same key give the same rows, whichever task reads them
-    parts = max(1, -(-one.count() // (ANCHORS // 2)))
-    return one.repartitionByRange(parts, "d", "code", "label", "vec_id").sortWithinPartitions("d", "code", "label", "vec_id") \
-        .mapInArrow(dealt, "block long, vec_id long, label long, v array<double>")
+    # ranges of one order, then places in the whole order by the sizes of the ranges before
+    ordered = stored(one.repartitionByRange(max(1, -(-one.count() // ANCHORS)), "d", "code", "label", "vec_id")
+                     .sortWithinPartitions("d", "code", "label", "vec_id")
+                     .mapInArrow(dealt, "part long, at long, vec_id long, label long, v array<double>"), "anchors")
+    before = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")) \
+        .select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # a row for each range
+    return ordered.join(before, "part").select(F.floor((F.col("base") + F.col("at")) / ANCHORS).alias("block"), "vec_id", "label", "v")
 
 
 # ---- spanning tree -----------------------------------------------------------------------------------------------
@@ -312,9 +316,8 @@ def mine(vectors: DataFrame) -> DataFrame:
     spark = vectors.sparkSession
     sc = spark.sparkContext
     rows = numbered(vectors)
-    anchors_at, out = scratch_path(spark, "llm-anchors"), scratch_path(spark, "llm-negatives")
-    anchor_blocks(rows).write.parquet(anchors_at)
-    anchors = spark.read.parquet(anchors_at)
+    out = scratch_path(spark, "llm-negatives")
+    anchors = stored(anchor_blocks(rows), "anchor-blocks")
     n = rows.count()
     tasks = max(sc.defaultParallelism, -(-n // TASK_ROWS))
     rows = rows.coalesce(tasks)

@@ -1,13 +1,16 @@
 """Collocations counted by double-array tries.
 
-Candidates come level by level (Apriori): sums over hash buckets of word pairs mark the buckets that reach the least
-count in a bitmap of fixed size; word triples are only summed where both their pairs are marked; what both bitmaps
-leave is named as text. Collisions only add candidates, none is lost. Candidates and their words are dealt by hash into
-shards of about ``SHARD`` phrases; a task builds each shard's double-array trie (base, check) over word numbers in
-three digits of 256, nodes with most children placed first and all nodes of a kind at once. One shard at a time is
-broadcast (its size is bounded, whatever the corpus): numpy advances the states of all text positions together, word by
-word and digit by digit, bincounts the accepting states, and Spark sums the tasks' counts. So every frequency comes from
-matching the words themselves. Scores are exact decimals of 38 digits.
+Candidates come level by level (Apriori): words are counted; pairs are summed in buckets of two 32-bit word hashes, so a
+bucket's sum is never below a pair's frequency; triples are only summed where both their pairs' buckets reach the least
+count (a bitmap of fixed size tells). Words of the hashes name the buckets (all words, where hashes collide), and sums and
+word counts bound each score from above. The phrases of the highest bounds, their parts, and the longer phrases that
+could drop them are dealt by hash into shards of at most about ``SHARD`` phrases; a task builds each shard's
+double-array trie (base, check) over word numbers in three digits of 256, nodes with most children first and all nodes
+of a kind at once. One shard is broadcast at a time (its size is bounded, whatever the corpus): numpy advances the states
+of all text positions together, word by word and digit by digit, bincounts the accepting states, and Spark sums the
+tasks' counts. So every frequency returned comes from matching the words themselves. While the last score of a lang's first
+``TOP`` lies below the bound of a phrase not counted yet, those phrases are counted too: nothing is missed, and what is
+broadcast does not grow with the number of frequent phrases. Scores are exact decimals of 38 digits.
 
 Defined results: null text is empty; null lang is ``und`` and meets a lang of that name; rows that repeat count each
 time; ties in score and frequency go by the phrase's bytes; an empty table gives an empty table; columns other than
@@ -26,11 +29,12 @@ from pyspark.sql.window import Window
 from pdforge.llm.common import row_blocks, stored, worker_cache
 
 LEAST, LONGEST, TOP, INSIDE = 10, 3, 2000, 50
-SHARD, FILTER_BITS, HELD, SEEN, SALTS = 1_000_000, 1 << 25, 4_000_000, 1_000_000, 64
+#: Phrases a trie, bits of the bitmap, positions and words held before they are summed, first choice per wanted phrase.
+SHARD, FILTER_BITS, HELD, WORDS, CHOICE, SALTS = 1_000_000, 1 << 25, 2_000_000, 500_000, 4, 16
+HASH_MASK = 0xFFFFFFFF
 DIGITS, DENSE = 3, 32
 BREAK = b"\xff"  # no byte of UTF-8
 _SPLIT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 # ---- words -------------------------------------------------------------------------------------------------------
@@ -52,20 +56,20 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def gram_hashes(lang: str, words: list[bytes]):
-    """(hashes of the words, of the pairs, of the triples at each position, and where these lie within a piece)."""
+def coded(lang: str, words: list[bytes], mask: int):
+    """(distinct words, their hashes, number of each position's word, pair buckets, and where pairs and triples lie
+    within a piece)."""
     import xxhash
 
     names = list(set(words))
     number = dict(zip(names, range(len(names))))
     code = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
-    h = np.array([xxhash.xxh64_intdigest(w) for w in names], dtype=np.uint64)[code]
+    seed = xxhash.xxh32_intdigest(lang.encode())
+    hashes = np.array([xxhash.xxh64_intdigest(w, seed) & mask for w in names], dtype=np.uint64)
+    h = hashes[code]
     word = code != number.get(BREAK, -1)
-    seed = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
-    pair = _mix(h[:-1] * _ODD + h[1:] + seed)
     in2 = word[:-1] & word[1:]
-    triple = _mix(pair[:-1] * _ODD + h[2:])
-    return pair, in2, triple, in2[:-1] & in2[1:]
+    return names, hashes, code, h, (h[:-1] << np.uint64(32)) | h[1:], in2, in2[:-1] & in2[1:]
 
 
 def _long(x):
@@ -74,90 +78,132 @@ def _long(x):
 
 # ---- candidates --------------------------------------------------------------------------------------------------
 
-def marked_buckets(docs: DataFrame, least: int, pairs=None) -> np.ndarray:
-    """Bitmap (``FILTER_BITS`` bits) of the buckets of pairs, or of triples of two marked ``pairs``, that occur ``least``
-    times or more in all."""
-    bits = FILTER_BITS
+def marked(bitmap: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Whether the pair buckets' bits are set."""
+    b = _mix(pair) & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+
+
+def words_and_pairs(docs: DataFrame, least: int) -> DataFrame:
+    """(key, lang, word, c), one pass: words (key: hash) and pair buckets (no word, no lang) of ``least`` occurrences or
+    more, and all words of each lang (no key, no word)."""
+    mask = HASH_MASK
 
     def run(batches):
         import pyarrow as pa
 
-        held, size = [], 0
+        names = ["key", "lang", "word", "c"]
+        held, size, own, n = [], 0, {}, {}
+
+        def pairs():
+            key, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(_long(key)), pa.nulls(len(key), pa.string()), pa.nulls(len(key), pa.string()), pa.array(c)], names=names)
 
         def counted():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(_long(h)), pa.array(c)], names=["h", "c"])
+            rows = [(h, lang, w, c) for lang, part in own.items() for w, (h, c) in part.items()]
+            h, lang, w, c = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(h, type=pa.int64()), pa.array(lang), pa.array(w, type=pa.binary()).cast(pa.string()),
+                                               pa.array(c, type=pa.int64())], names=names)
 
         for batch in batches:
             for lang, words in by_language(batch):
-                if len(words) < 2:
-                    continue
-                pair, in2, triple, in3 = gram_hashes(lang, words)
-                if pairs is None:
-                    new = pair[in2]
-                else:
-                    ok = in2 & marked(pairs.value, pair, bits)
-                    new = triple[in3 & ok[:-1] & ok[1:]]
-                held.append(new)
-                size += len(new)
+                words_, hashes, code, _, pair, in2, _ = coded(lang, words, mask)
+                part = own.setdefault(lang, {})
+                for w, h, c in zip(words_, hashes.tolist(), np.bincount(code, minlength=len(words_)).tolist()):
+                    if w != BREAK:
+                        part[w] = (h, part[w][1] + c if w in part else c)
+                        n[lang] = n.get(lang, 0) + c
+                held.append(pair[in2])
+                size += len(held[-1])
                 if size >= HELD:
-                    yield counted()
+                    yield pairs()
                     held, size = [], 0
+                if sum(map(len, own.values())) >= WORDS:
+                    yield counted()
+                    own.clear()
         if size:
+            yield pairs()
+        if any(own.values()):
             yield counted()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(list(n)), pa.nulls(len(n), pa.string()),
+                                              pa.array(list(n.values()), type=pa.int64())], names=names)
 
-    often = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    bit = F.pmod(F.col("h"), F.lit(bits))
-    # bits / 64 rows at most
-    found = (often.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) & 63 as int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
-    out = np.zeros(bits // 64, dtype=np.int64)
-    out[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
+    return docs.mapInArrow(run, "key long, lang string, word string, c long").groupBy("key", "lang", "word") \
+        .agg(F.sum("c").alias("c")).where((F.col("c") >= least) | F.col("key").isNull())
 
 
-def marked(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    b = h & np.uint64(bits - 1)
-    return (bitmap[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+def pair_bitmap(pairs: DataFrame) -> np.ndarray:
+    """Bitmap of the marked pair buckets: ``FILTER_BITS`` bits, so ``FILTER_BITS`` / 64 rows at most."""
+    bits = FILTER_BITS
 
+    def run(batches):
+        import pyarrow as pa
 
-def candidates(docs: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase): every phrase of 2 or 3 words that may occur ``least`` times, with few others."""
-    sc = docs.sparkSession.sparkContext
-    two = sc.broadcast(marked_buckets(docs, least))
-    three = sc.broadcast(marked_buckets(docs, least, two))
-    bits = FILTER_BITS
+        out = np.zeros(bits // 64, dtype=np.uint64)
+        for batch in batches:
+            b = _mix(batch.column("key").to_numpy().view(np.uint64)) & np.uint64(bits - 1)
+            np.bitwise_or.at(out, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at].view(np.int64))], names=["w", "b"])
+
+    found = pairs.mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def triples(docs: DataFrame, shared, least: int) -> DataFrame:
+    """(key, h3, s): buckets of triples, both pairs marked, with ``least`` occurrences or more."""
+    mask = HASH_MASK
 
     def run(batches):
         import pyarrow as pa
 
-        seen = set()
+        keys, thirds, size = [], [], 0
+
+        def counted():
+            # 96 bits: number the pairs first
+            pair, back = np.unique(np.concatenate(keys), return_inverse=True)
+            both, c = np.unique((back.astype(np.uint64) << np.uint64(32)) | np.concatenate(thirds), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(_long(pair[(both >> np.uint64(32)).astype(np.int64)])),
+                                               pa.array(_long(both & np.uint64(0xFFFFFFFF))), pa.array(c)], names=["key", "h3", "c"])
+
         for batch in batches:
             for lang, words in by_language(batch):
-                if len(words) < 2:
+                if len(words) < 3:
                     continue
-                pair, in2, triple, in3 = gram_hashes(lang, words)
-                ok = in2 & marked(two.value, pair, bits)
-                at = np.flatnonzero(ok)
-                out = []
-                for h, at, n in ((pair[at], at, 2), _third(triple, in3, ok, marked, three.value, bits)):
-                    h, first = np.unique(h, return_index=True)
-                    for x, a in zip(h.tolist(), at[first].tolist()):
-                        if (x, n) not in seen:
-                            seen.add((x, n))
-                            out.append(b" ".join(words[a:a + n]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out)), pa.array(out, type=pa.binary()).cast(pa.string())], names=["lang", "phrase"])
-                if len(seen) > SEEN:
-                    seen.clear()
-
-    return docs.mapInArrow(run, "lang string, phrase string").distinct()
-
-
-def _third(triple, in3, ok, marked, bitmap, bits):
-    at = np.flatnonzero(in3 & ok[:-1] & ok[1:])
-    at = at[marked(bitmap, triple[at], bits)]
-    return triple[at], at, 3
+                _, _, _, h, pair, in2, in3 = coded(lang, words, mask)
+                ok = in2 & marked(shared.value, pair)
+                at = np.flatnonzero(in3 & ok[:-1] & ok[1:])
+                keys.append(pair[at])
+                thirds.append(h[at + 2])
+                size += len(at)
+                if size >= HELD:
+                    yield counted()
+                    keys, thirds, size = [], [], 0
+        if size:
+            yield counted()
+
+    return docs.mapInArrow(run, "key long, h3 long, c long").groupBy("key", "h3").agg(F.sum("c").alias("s")).where(F.col("s") >= least)
+
+
+def candidates(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """((lang, phrase, s, bound) of every phrase that may occur ``least`` times, (lang, n))."""
+    one = stored(words_and_pairs(docs, least), "pt-pairs")
+    pairs = one.where("key IS NOT NULL AND word IS NULL").select("key", F.col("c").alias("s"))
+    shared = docs.sparkSession.sparkContext.broadcast(pair_bitmap(pairs))
+    three = stored(triples(docs, shared, least), "pt-triples")
+    shared.unpersist()
+    word = lambda k: one.where("word IS NOT NULL").select(F.col("key").alias(f"h{k}"), "lang", F.col("word").alias(f"w{k}"), F.col("c").alias(f"f{k}"))
+    halves = [F.expr("shiftrightunsigned(key, 32)").alias("h1"), F.expr("key & 4294967295").alias("h2")]
+    # a phrase is no more frequent than its bucket, nor a part less frequent than the phrase
+    up = lambda c: F.least(F.lit(1e6), c * (1e6 * (1 + 1e-9)))
+    two = pairs.select(*halves, "s").join(word(1), "h1").join(word(2), ["lang", "h2"])
+    two = two.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "s", up(F.col("s") / F.col("f1") * (F.col("s") / F.col("f2"))).alias("bound"))
+    more = three.select(*halves, "h3", "s").join(word(1), "h1").join(word(2), ["lang", "h2"]).join(word(3), ["lang", "h3"])
+    more = more.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "s", up(F.col("s") / F.greatest("f1", "f3")).alias("bound"))
+    return stored(two.unionByName(more), "pt-candidates"), one.where("key IS NULL").select("lang", F.col("c").alias("n"))
 
 
 # ---- double-array tries ------------------------------------------------------------------------------------------
@@ -292,24 +338,23 @@ def _trie(shared, key: str) -> dict:
     return home[key]
 
 
-def shard_counts(docs: DataFrame, shared, key: str, totals: bool) -> DataFrame:
-    """(state, lang, c): occurrences of one shard's phrases by accepting state, and with ``totals`` all words by lang."""
+def shard_counts(docs: DataFrame, shared, key: str) -> DataFrame:
+    """(state, f): occurrences of one shard's phrases by accepting state."""
     def run(batches):
         import pyarrow as pa
 
         t = _trie(shared, key)
         base, check = t["base"], t["check"]
-        counts, n = np.zeros(len(base), dtype=np.int64), {}
+        counts = np.zeros(len(base), dtype=np.int64)
         held, size = [], 0
         for batch in batches:
             for lang, words in by_language(batch):
-                n[lang] = n.get(lang, 0) + len(words) - words.count(BREAK)
                 if lang not in t["words"]:
                     continue
                 number = np.fromiter(map(t["words"][lang].__getitem__, words), dtype=np.int64, count=len(words))
                 pos = np.flatnonzero(number >= 0)
                 state = np.zeros(len(pos), dtype=np.int64)
-                for k in range(LONGEST):
+                for _ in range(LONGEST):
                     on, state = advance(base, check, state, number[pos])
                     held.append(state)
                     size += len(state)
@@ -323,75 +368,102 @@ def shard_counts(docs: DataFrame, shared, key: str, totals: bool) -> DataFrame:
         if size:
             counts += np.bincount(np.concatenate(held), minlength=len(base))
         hit = np.flatnonzero((counts > 0) & t["accept"])
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.nulls(len(hit), pa.string()), pa.array(counts[hit])], names=["state", "lang", "c"])
-        if totals and n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), -1)), pa.array(list(n), type=pa.string()), pa.array(np.array(list(n.values())))],
-                                             names=["state", "lang", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit])], names=["state", "c"])
 
-    return docs.mapInArrow(run, "state long, lang string, c long").groupBy("state", "lang").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "state long, c long").groupBy("state").agg(F.sum("c").alias("f"))
 
 
-def frequencies(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, f) of all candidates and their words, (lang, n))."""
-    docs = docs.select("text", "lang")
-    found = stored(candidates(docs, least), "pt-candidates")
-    words = found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))
-    entries = stored(found.unionByName(words).distinct(), "pt-entries")
-    shards = max(1, -(-entries.count() // SHARD))
-    tries = stored(shard_tries(entries.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))), "pt-tries")
+def frequencies(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(lang, phrase, f) of ``phrases`` (distinct lang, phrase; a stored table) that occur."""
+    shards = max(1, -(-phrases.count() // SHARD))
+    tries = stored(shard_tries(phrases.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))), "pt-tries")
     sc = docs.sparkSession.sparkContext
-    parts, totals = [], None
+    out = phrases.select("lang", "phrase", F.lit(0).cast("long").alias("f")).limit(0)
     for k in range(shards):
         raw = {r.name: bytes(r.blob) for r in tries.where((F.col("shard") == k) & F.col("name").isNotNull()).select("name", "blob").collect()}
-        if not raw:  # no candidate at all, or an empty shard
+        if not raw:  # an empty shard
             continue
         shared = sc.broadcast(raw)  # about 25 bytes a phrase of SHARD
-        counted = stored(shard_counts(docs, shared, tries.inputFiles()[0] + f"#{k}", totals is None), "pt-counts")
+        counted = stored(shard_counts(docs, shared, tries.inputFiles()[0] + f"#{k}"), "pt-counts")
         shared.unpersist()
-        totals = counted.where("state = -1").select("lang", F.col("c").alias("n")) if totals is None else totals
         own = tries.where((F.col("shard") == k) & F.col("phrase").isNotNull()).select("state", "lang", "phrase")
-        parts.append(own.join(counted.where("state >= 0").select("state", F.col("c").alias("f")).hint("merge"), "state").select("lang", "phrase", "f"))
-    if not parts:
-        spark = docs.sparkSession
-        return spark.createDataFrame([], "lang string, phrase string, f long"), spark.createDataFrame([], "lang string, n long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return stored(out, "pt-frequencies"), totals
+        out = out.unionByName(own.join(counted.hint("merge"), "state").select("lang", "phrase", "f"))
+    return out
 
 
 # ---- scores ------------------------------------------------------------------------------------------------------
 
-def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of every candidate that stays."""
-    f, n = frequencies(docs, least)
+def _parts(t: DataFrame) -> DataFrame:
+    """(lang, phrase): the phrases and all their shorter parts."""
     w = F.split("phrase", " ")
-    often = f.withColumn("w", w).where((F.size("w") > 1) & (F.col("f") >= least)).withColumnRenamed("f", "a")
+    runs = F.expr("flatten(transform(sequence(1, size(w)), n -> transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))))")
+    return t.withColumn("w", w).select("lang", F.explode(runs).alias("phrase")).distinct()
+
+
+def _held_pairs(t: DataFrame) -> DataFrame:
+    """``t`` with one row for each pair (``phrase``) that a phrase of three words (``long``) holds."""
+    w = F.split("long", " ")
+    pairs = F.array_distinct(F.array(F.array_join(F.slice(w, 1, 2), " "), F.array_join(F.slice(w, 2, 2), " ")))
+    return t.withColumnRenamed("phrase", "long").where(F.size(w) == 3).withColumn("phrase", F.explode(pairs))
+
+
+def _scores(chosen: DataFrame, f: DataFrame, least: int, inside: int) -> DataFrame:
+    """(lang, phrase, a, l, r, score) of the chosen phrases that stay."""
+    often = chosen.select("lang", "phrase").join(f.withColumnRenamed("f", "a").hint("merge"), ["lang", "phrase"]) \
+        .where(F.col("a") >= least).withColumn("w", F.split("phrase", " "))
     cut = often.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
-    cut = cut.withColumn("head", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ")) \
-        .withColumn("rest", F.expr("array_join(slice(w, k + 1, size(w)), ' ')"))
-    part = f.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l"))
-    tail = f.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
-    both = cut.join(part.hint("merge"), ["lang", "head"]).join(tail.hint("merge"), ["lang", "rest"])
+    cut = cut.withColumn("head", F.expr("array_join(slice(w, 1, k), ' ')")).withColumn("rest", F.expr("array_join(slice(w, k + 1, size(w)), ' ')"))
+    both = cut.join(f.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")).hint("merge"), ["lang", "head"]) \
+        .join(f.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")).hint("merge"), ["lang", "rest"])
     both = both.withColumn("score", F.expr("(cast(a as decimal(18,0)) * cast(a as decimal(18,0)) * cast(1000000 as decimal(7,0)))"
                                            " div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"))
     best = both.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("s")) \
         .select("lang", "phrase", "a", "s.score", "s.l", "s.r")
-    longer = often.where(F.size("w") == 3).select("lang", "a", F.explode(F.array(
-        F.concat_ws(" ", F.col("w")[0], F.col("w")[1]), F.concat_ws(" ", F.col("w")[1], F.col("w")[2]))).alias("phrase")) \
-        .groupBy("lang", "phrase").agg(F.max("a").alias("over"))
-    kept = best.join(longer.hint("merge"), ["lang", "phrase"], "left").where(F.col("over").isNull() | (100 * F.col("over") < inside * F.col("a")))
-    return kept.join(n, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
+    over = _held_pairs(f.where(F.col("f") >= least)).groupBy("lang", "phrase").agg(F.max("f").alias("over"))
+    return best.join(over.hint("merge"), ["lang", "phrase"], "left").where(F.col("over").isNull() | (100 * F.col("over") < inside * F.col("a"))) \
+        .drop("over")
+
+
+def _ranked(t: DataFrame, order: list, top: int) -> DataFrame:
+    """``t`` with the rank within its lang, the first ``top`` rows; a lang's rows are cut in ``SALTS`` parts first."""
+    salt = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
+    part = t.withColumn("r_", F.row_number().over(salt)).where(F.col("r_") <= top).drop("r_")
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
 def query(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = INSIDE) -> DataFrame:
     """Each lang's first ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
-    c = collocations(docs, least, inside)
+    docs = docs.select("text", "lang")
+    known, n = candidates(docs, least)
+    holds = _held_pairs(known.select("lang", "phrase", F.col("s").alias("s3")))
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
-    part = c.withColumn("salt", salt).withColumn("r_", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("r_") <= top)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    return part.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    bounds = {}  # one number a lang: phrases whose bound reaches it are counted
+    for r in _ranked(known, [F.desc("bound"), "phrase"], CHOICE * top).groupBy("lang").agg(F.min("bound").alias("b")).collect():
+        bounds[r.lang] = r.b
+    f = asked = scored = None
+    while bounds:
+        level = docs.sparkSession.createDataFrame(list(bounds.items()), "lang string, b double")
+        chosen = stored(known.join(F.broadcast(level), "lang").where("bound >= b").select("lang", "phrase", "s"), "pt-chosen")
+        size = chosen.select("lang", "phrase", F.col("s").alias("a"))
+        if f is not None:  # a bucket may hold more than the phrase
+            size = size.join(f.hint("merge"), ["lang", "phrase"], "left").select("lang", "phrase", F.coalesce("f", "a").alias("a"))
+        longer = holds.join(size.hint("merge"), ["lang", "phrase"]).where(100 * F.col("s3") >= inside * F.col("a"))
+        need = _parts(chosen).unionByName(longer.select("lang", F.col("long").alias("phrase"))).distinct()
+        if asked is not None:
+            need = need.join(asked.hint("merge"), ["lang", "phrase"], "left_anti")
+        need = stored(need, "pt-need")
+        if not need.isEmpty():
+            new = frequencies(docs, need)
+            f = stored(new if f is None else f.unionByName(new), "pt-frequencies")
+            asked = need if asked is None else asked.unionByName(need)
+        elif scored == bounds:
+            break
+        done = stored(_scores(chosen, f, least, inside), "pt-scores")
+        low = {r.lang: float(r.score) for r in _ranked(done, order, top).where(F.col("rank") == top).collect()}
+        scored, bounds = bounds, {lang: min(b, low.get(lang, -1.0)) for lang, b in bounds.items()}
+    if f is None:
+        return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
+    return _ranked(done, order, top).join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 SQL = """
