@@ -30,7 +30,9 @@ from pdforge.llm.common import row_blocks, stored, worker_cache
 
 LEAST, LONGEST, TOP, INSIDE = 10, 3, 2000, 50
 #: Phrases a trie, bits of the bitmap, positions and words held before they are summed, first choice per wanted phrase.
-SHARD, FILTER_BITS, HELD, WORDS, CHOICE, SALTS = 1_000_000, 1 << 25, 2_000_000, 500_000, 4, 16
+SHARD, FILTER_BITS, HELD, WORDS, CHOICE, SALTS = 1_000_000, 1 << 25, 1_000_000, 100_000, 4, 16
+#: Rows a batch to Spark, bytes of text a block.
+ROWS, BLOCK = 1 << 16, 1 << 19
 HASH_MASK = 0xFFFFFFFF
 DIGITS, DENSE = 3, 32
 BREAK = b"\xff"  # no byte of UTF-8
@@ -39,9 +41,9 @@ _SPLIT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
 
 # ---- words -------------------------------------------------------------------------------------------------------
 
-def by_language(batch):
+def by_language(batch, block: int = BLOCK):
     """(lang, words) of each language in a block of an Arrow batch; ``BREAK`` stands between pieces and texts."""
-    for rows, texts in row_blocks(batch):
+    for rows, texts in row_blocks(batch, block):
         groups = {}
         for lang, t in zip(rows.column("lang").to_pylist(), texts):
             groups.setdefault("und" if lang is None else lang, []).append(t)
@@ -97,7 +99,10 @@ def words_and_pairs(docs: DataFrame, least: int) -> DataFrame:
 
         def pairs():
             key, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(_long(key)), pa.nulls(len(key), pa.string()), pa.nulls(len(key), pa.string()), pa.array(c)], names=names)
+            held.clear()
+            for k in range(0, len(key), ROWS):
+                none = pa.nulls(len(key[k:k + ROWS]), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(_long(key[k:k + ROWS])), none, none, pa.array(c[k:k + ROWS])], names=names)
 
         def counted():
             rows = [(h, lang, w, c) for lang, part in own.items() for w, (h, c) in part.items()]
@@ -116,13 +121,13 @@ def words_and_pairs(docs: DataFrame, least: int) -> DataFrame:
                 held.append(pair[in2])
                 size += len(held[-1])
                 if size >= HELD:
-                    yield pairs()
-                    held, size = [], 0
+                    yield from pairs()
+                    size = 0
                 if sum(map(len, own.values())) >= WORDS:
                     yield counted()
                     own.clear()
         if size:
-            yield pairs()
+            yield from pairs()
         if any(own.values()):
             yield counted()
         if n:
@@ -166,8 +171,12 @@ def triples(docs: DataFrame, shared, least: int) -> DataFrame:
             # 96 bits: number the pairs first
             pair, back = np.unique(np.concatenate(keys), return_inverse=True)
             both, c = np.unique((back.astype(np.uint64) << np.uint64(32)) | np.concatenate(thirds), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(_long(pair[(both >> np.uint64(32)).astype(np.int64)])),
-                                               pa.array(_long(both & np.uint64(0xFFFFFFFF))), pa.array(c)], names=["key", "h3", "c"])
+            keys.clear()
+            thirds.clear()
+            for k in range(0, len(both), ROWS):
+                b = both[k:k + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(_long(pair[(b >> np.uint64(32)).astype(np.int64)])), pa.array(_long(b & np.uint64(0xFFFFFFFF))),
+                                                  pa.array(c[k:k + ROWS])], names=["key", "h3", "c"])
 
         for batch in batches:
             for lang, words in by_language(batch):
@@ -180,10 +189,10 @@ def triples(docs: DataFrame, shared, least: int) -> DataFrame:
                 thirds.append(h[at + 2])
                 size += len(at)
                 if size >= HELD:
-                    yield counted()
-                    keys, thirds, size = [], [], 0
+                    yield from counted()
+                    size = 0
         if size:
-            yield counted()
+            yield from counted()
 
     return docs.mapInArrow(run, "key long, h3 long, c long").groupBy("key", "h3").agg(F.sum("c").alias("s")).where(F.col("s") >= least)
 
