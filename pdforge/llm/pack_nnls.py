@@ -26,15 +26,20 @@ from pdforge.llm.tokens import END_ID, text_encoder
 
 WINDOW, UNIT, DEPTH = 4096, 64, 6
 PIECES = "doc_id long, doc_tokens long, start long, length int, ids binary"
+DIGESTS = "doc_id long, doc_tokens long, start long, length int, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, tokenizer: str | None = None,
-           end_id: int = END_ID) -> DataFrame:
-    """Pieces of each document: (doc_id, doc_tokens, start, length, ids as little-endian uint32)."""
+           end_id: int = END_ID, digests: bool = False) -> DataFrame:
+    """Pieces of each document: (doc_id, doc_tokens, start, length, ids as little-endian uint32), or with ``digests``
+    the CRC-32 of the ids in their place, so that no ids leave the task."""
     def run(batches):
+        from zlib import crc32
+
         import pyarrow as pa
 
         encode = text_encoder(tokenizer, end_id)
+        last, of = ("ids_crc32", pa.int64()) if digests else ("ids", pa.binary())
         for batch in batches:
             for rows, texts in row_blocks(batch):
                 out = []
@@ -42,13 +47,14 @@ def pieces(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, tokenizer: s
                     n = len(ids) // 4
                     rest = n % window
                     cuts = [*range(0, n - rest + 1, window), n - rest + rest // unit * unit, n]
-                    out += [(doc, n, a, b - a, ids[4 * a:4 * b]) for a, b in zip(cuts, cuts[1:]) if b > a]
+                    parts = [(doc, n, a, b - a, ids[4 * a:4 * b]) for a, b in zip(cuts, cuts[1:]) if b > a]
+                    out += [(*p[:4], crc32(p[4])) for p in parts] if digests else parts
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                    names=["doc_id", "doc_tokens", "start", "length", "ids"])
+                    [pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), of))],
+                    names=["doc_id", "doc_tokens", "start", "length", last])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGESTS if digests else PIECES)
 
 
 @lru_cache
@@ -189,7 +195,8 @@ def pack(rows: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = D
                                          - F.col("_n")).alias("_base")))
     base = stored(base, "pack-blocks")
     t = t.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_block").orderBy(*order)) - 1)
-    t = t.join(base, ["length", "_block"]).withColumn("_rank", F.col("_base") + F.col("_r")).drop("_base", "_r", "_block")
+    # both sides lie by (length, block) already
+    t = t.join(base.hint("merge"), ["length", "_block"]).withColumn("_rank", F.col("_base") + F.col("_r")).drop("_base", "_r", "_block")
     # the plan has a few thousand rows at most, whatever the corpus
     t = t.join(F.broadcast(plan_rows), "length").where((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     k = F.col("_rank") - F.col("_lo")
@@ -216,7 +223,6 @@ def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
 
 
 def query(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    rows = pieces(docs, tokenizer=tokenizer)
-    rows = stored(rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
+    rows = stored(pieces(docs, tokenizer=tokenizer, digests=True), "pieces")
     return pack(rows).select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens",
                              "sequence_id", F.col("offset").cast("long").alias("offset"))

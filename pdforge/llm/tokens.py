@@ -15,7 +15,7 @@ from pdforge.llm.common import worker_cache
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: A generation of the memo ends at so many runs or bytes of text in it; the one before is kept for look-ups.
-MEMO_WORDS, MEMO_BYTES = 250_000, 16 << 20
+MEMO_WORDS, MEMO_BYTES = 400_000, 16 << 20
 
 
 def tokenizer_path(path: str | None = None) -> str:
@@ -60,26 +60,23 @@ def text_encoder(path: str | None = None, end_id: int = END_ID):
     tok, letters, closing = state["tok"], state["letters"], state["closing"]
     end, table = np.array([end_id], dtype="<u4").tobytes(), byte_letters()
 
-    def core(w: bytes) -> tuple[bytes, bytes]:
+    def core(w: bytes) -> tuple[bytes, bytes, bool]:
         """A run without a last full stop or comma after a letter, and in lower case if its letters are Latin and
-        composed: the tokenizer cuts there and lowers anyway, so fewer distinct runs need encoding."""
+        composed: the tokenizer cuts there and lowers anyway, so fewer distinct runs need encoding. Last, whether the
+        rest is nothing but such letters."""
         tail = b""
         if w[-1] in b".," and len(w) > 1 and w[-2:-1].isalpha():
             w, tail = w[:-1], w[-1:]
         if w.isascii():
-            return (w if b"<|" in w else w.lower()), tail
+            return (w if b"<|" in w else w.lower()), tail, w.isalpha()
         s = w.decode()
-        return (s.lower().encode() if s.isalpha() and max(s) < "\u0250" and unicodedata.is_normalized("NFC", s) else w), tail
+        if s.isalpha() and max(s) < "\u0250" and unicodedata.is_normalized("NFC", s):
+            low = s.lower()
+            return low.encode(), tail, low.isalpha() and max(low) < "\u0250" and unicodedata.is_normalized("NFC", low)
+        return w, tail, False
 
-    def latin(w: bytes) -> bool:
-        """Lower-case Latin letters alone, composed."""
-        if w.isascii():
-            return w.isalpha() and w.islower()
-        s = w.decode()
-        return s.isalpha() and max(s) < "\u0250" and s == s.lower() and unicodedata.is_normalized("NFC", s)
-
-    def fill(memo: dict, words: list[bytes]) -> None:
-        simple = [w for w in words if latin(w)]
+    def fill(memo: dict, simple: list[bytes], words: list[bytes]) -> None:
+        """Encodes runs of lower-case composed Latin letters (``simple``) and others (``words``) into the memo."""
         if simple:
             # the last token of each word carries the word end
             joined = b" ".join(simple).decode("latin-1").translate({b: c for b, c in table.items() if b != 32})
@@ -89,8 +86,9 @@ def text_encoder(path: str | None = None, end_id: int = END_ID):
                 raw = ids.tobytes()
                 for w, a, b in zip(simple, [0, *ends], ends):
                     memo[w] = raw[4 * a:4 * b]
-        rest = [w for w in words if w not in memo]
-        for w, e in zip(rest, tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            else:
+                words = [*words, *simple]
+        for w, e in zip(words, tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
             memo[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(texts: list[bytes]) -> list[bytes]:
@@ -98,25 +96,41 @@ def text_encoder(path: str | None = None, end_id: int = END_ID):
             state["old"], state["memo"], state["bytes"] = state["memo"], {}, 0
         memo, old = state["memo"], state["old"]
         runs = [t.split() for t in texts]
-        flat = list(chain.from_iterable(runs))
-        ids = list(map(memo.get, flat))
-        if None in ids:
-            missing = [i for i, x in enumerate(ids) if x is None]
-            new = {flat[i] for i in missing}
+        # a block's distinct runs are looked up once in the large memo, its tokens in a small dictionary
+        own = dict.fromkeys(chain.from_iterable(runs))
+        new = []
+        for w in own:
+            ids = memo.get(w)
+            if ids is None:
+                ids = old.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                memo[w] = ids
+                state["bytes"] += len(w)
+            own[w] = ids
+        if new:
             state["bytes"] += sum(map(len, new))
-            memo.update((w, old[w]) for w in new if w in old)
-            cores = [(w, *core(w)) for w in new if w not in memo]
-            need = {c for _, *pair in cores for c in pair if c and c not in memo}
-            memo.update((w, old[w]) for w in need if w in old)
-            fill(memo, [w for w in need if w not in memo])
+            simple, others, cores = set(), set(), []
+            for w in new:
+                if w.isalpha() and w.islower():  # ASCII letters alone
+                    simple.add(w)
+                else:
+                    c, tail, plain = core(w)
+                    cores.append((w, c, tail))
+                    if c not in memo:
+                        (simple if plain else others).add(c)
+                    if tail and tail not in memo:
+                        others.add(tail)
+            for held in (simple, others):
+                known = [w for w in held if w in old]
+                memo.update((w, old[w]) for w in known)
+                held.difference_update(known)
+            fill(memo, list(simple), list(others))
             for w, c, tail in cores:
                 memo[w] = memo[c] + memo[tail] if tail else memo[c]
-            for i in missing:
-                ids[i] = memo[flat[i]]
-        out, begin = [], 0
-        for r in runs:
-            out.append(b"".join(ids[begin:begin + len(r)]) + end)
-            begin += len(r)
-        return out
+            own.update((w, memo[w]) for w in new)
+        get = own.__getitem__
+        return [b"".join(map(get, r)) + end for r in runs]
 
     return encode
