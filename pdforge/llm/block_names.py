@@ -11,8 +11,9 @@ Rounds: log2 of the blocks of the longest text; each moves 8-byte names, and doc
 one name. Hot names (a text that a third of the rows share) are counted before the shuffle, and joins read
 written tables so that skewed partitions are split.
 
-Defined results: null counts as the empty text (one empty block), so null and '' are equal; of rows that repeat
-the kept doc_id one stays; other columns are not read; an empty table gives an empty table.
+Defined results: null counts as the empty text (one empty block), so null and '' are equal; a null doc_id comes before
+all others; of rows that repeat the kept doc_id one stays, the same in every run; columns other than doc_id and text are
+not read, whatever their names (``distinct_documents`` carries them along); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -96,12 +97,13 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, one per distinct text, all columns."""
-    keep = stored(exact_groups(docs, block).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "block-kept")
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    t = docs.alias("d").join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")))
-    one = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.lit(0)))
-    return t.withColumn("_one", one).where("_one = 1").select(*[F.col(f"d.{c}") for c in docs.columns])
+    keep = stored(exact_groups(docs, block).where("kept").select("doc_id", "text_sha256"), "block-kept")
+    # the whole row travels as one struct, so no column name can clash
+    t = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    t = t.join(keep.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256")))
+    # rows that repeat id and text differ in other columns at most: the first by a hash of the row
+    one = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.xxhash64("row"), F.hash("row")))
+    return t.select("row", one.alias("place")).where("place = 1").select("row.*")
 
 
 query = exact_groups

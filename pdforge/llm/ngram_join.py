@@ -10,13 +10,14 @@ shingles as their bitmaps in bits. Star rounds with other leaders repeat until f
 of a list that lies in different components and passes all bounds is verified on the whole texts. So no link between
 components is missed, and a group of thousands of near copies costs a few comparisons a member, not all pairs.
 
-Frequent shingles are found by counts inside tasks; their number is bounded (``FREQUENT_MOST``) and only sets the order
-of shingles and how lists are dealt out, never which pairs are found. Lists of frequent shingles are dealt out in
-blocks by class.
+Frequent shingles are found by counts of all shingles inside tasks; their number is bounded (``FREQUENT_MOST``) and only
+sets the order of shingles and how lists are dealt out, never which pairs are found. Lists of frequent shingles are
+dealt out in blocks by class, and no entry of such a list is left out.
 
 Defined results: null text, empty text and text without words have an empty set and link with nothing; fewer than N
-words are one shingle of all of them; rows with equal sets share a component, as do rows that repeat a doc_id; an empty
-table gives an empty table; columns other than doc_id and text are not read.
+words are one shingle of all of them; rows with equal sets share a component, as do rows that repeat a doc_id; a null
+doc_id links like any other and comes after all ids, so a component is named null only where it has no id (ids of 2^62
+and more are reserved for this); an empty table gives an empty table; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pdforge.llm.common import row_blocks, stored
+from pdforge.llm.common import row_blocks, stored, worker_cache
 from pdforge.llm.graph import components
 
 N = 5
@@ -34,6 +35,9 @@ N = 5
 PERCENT = 75
 FREQUENT, FREQUENT_MOST, BLOCK, FILTER_BITS = 32, 200_000, 512, 1 << 22
 STAR_ROUNDS, HUBS, HUB_LISTS = 2, 8, 2
+#: Added to the block numbers of a list that is dealt out.
+SPLIT = 1 << 30
+NO_ID = 1 << 62
 #: Longs of a set's bitmap: bit k is the parity of its shingles in bucket k.
 LONGS = 8
 BITS = [f"b{k}" for k in range(LONGS)]
@@ -50,26 +54,28 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int):
-    p = np.full(n, base, dtype=np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    held = worker_cache("shingles")
+    if base not in held or len(held[base]) < n:
+        p = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        p[0] = 1
+        held[base] = np.cumprod(p, dtype=np.uint64)
+    return held[base][:n]
 
 
-def shingle_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text.
+def flat_sets(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes, offsets): the sorted distinct shingle hashes of each text, one after the other.
 
     Words are hashed by differences of one running polynomial over all bytes (modulo 2^64, odd base), mixed, and
     combined per shingle.
     """
     base = 0xD1342543DE82EF95
-    joined = np.frombuffer(b" ".join(t.lower() for t in texts) + b" ", dtype=np.uint8)
+    joined = np.frombuffer(b" ".join(texts).lower() + b" ", dtype=np.uint8)
     space = (joined == 32) | ((joined >= 9) & (joined <= 13))
     before = np.concatenate([[True], space[:-1]])
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * _powers(base, len(joined)), dtype=np.uint64)])
-    back = _powers(pow(base, -1, 1 << 64), len(joined))
-    words = _mix((run[ends] - run[starts]) * back[starts])
+    words = _mix((run[ends] - run[starts]) * _powers(pow(base, -1, 1 << 64), len(joined))[starts])
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     first = np.searchsorted(starts, bounds)
     many = max(0, len(words) - n + 1)
@@ -78,9 +84,13 @@ def shingle_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
         grams = grams * _ODD + words[j:many + j]
     grams = _mix(grams)
     out = []
-    for a, b in zip(first[:-1], first[1:]):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= n:
-            out.append(np.unique(grams[a:b - n + 1]))
+            s = np.sort(grams[a:b - n + 1])
+            if len(s) > 1:
+                new = s[1:] != s[:-1]
+                s = s if new.all() else np.concatenate([s[:1], s[1:][new]])
+            out.append(s)
         elif b > a:
             h = np.full(1, b - a, dtype=np.uint64)
             for w in words[a:b]:
@@ -88,19 +98,37 @@ def shingle_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
             out.append(_mix(h + np.uint64(n)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
-    return out
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in out])]).astype(np.int64)
+    return np.concatenate([*out, np.zeros(0, dtype=np.uint64)]), offsets
+
+
+def shingle_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    flat, at = flat_sets(texts, n)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def _fingerprints(s: np.ndarray):
-    size = np.uint64(len(s))
-    sums = np.array([_mix(s + _ODD).sum(dtype=np.uint64), _mix(s * _ODD + np.uint64(3)).sum(dtype=np.uint64)])
-    return _mix(sums ^ size)
+def all_fingerprints(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two 64-bit fingerprints of each set, as rows."""
+    out = np.zeros((len(at) - 1, 2), dtype=np.uint64)
+    size = (at[1:] - at[:-1]).astype(np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        for k, x in enumerate((_mix(flat + _ODD), _mix(flat * _ODD + np.uint64(3)))):
+            out[full, k] = np.add.reduceat(x, at[:-1][full])
+    return _mix(out ^ size[:, None])
 
 
-def _parities(s: np.ndarray) -> np.ndarray:
-    size = 64 * LONGS
-    odd = np.bincount(((s >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _fingerprints(s: np.ndarray) -> np.ndarray:
+    return all_fingerprints(s, np.array([0, len(s)]))[0]
+
+
+def all_parities(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The parity bitmap of each set, ``LONGS`` longs a row."""
+    size, rows = 64 * LONGS, len(at) - 1
+    of = np.repeat(np.arange(rows), at[1:] - at[:-1])
+    odd = np.bincount(of * size + ((flat >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=rows * size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(rows, LONGS)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -124,11 +152,10 @@ def class_rows(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for rows, texts in row_blocks(batch):
-                sets = shingle_sets(texts)
-                f = np.array([_fingerprints(s) for s in sets], dtype=np.uint64).reshape(-1, 2)
-                b = np.array([_parities(s) for s in sets], dtype=np.int64).reshape(-1, LONGS)
+                flat, at = flat_sets(texts)
+                f, b = all_fingerprints(flat, at), all_parities(flat, at)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([len(s) for s in sets], type=pa.int64()),
+                    [rows.column("doc_id"), pa.array(at[1:] - at[:-1]),
                      pa.array(_long(f[:, 0].copy())), pa.array(_long(f[:, 1].copy())), *[pa.array(b[:, k].copy()) for k in range(LONGS)]],
                     names=["doc_id", "n", "f1", "f2", *BITS])
 
@@ -149,10 +176,8 @@ def frequent_shingles(docs: DataFrame):
 
         for batch in batches:
             for _, texts in row_blocks(batch):
-                for s in shingle_sets(texts):
-                    low = s[s < np.uint64(int(0.3 * 2 ** 64))]  # only the first quarter of a set is indexed
-                    held.append(low)
-                    size += len(low)
+                held.append(flat_sets(texts)[0])
+                size += len(held[-1])
                 if size > 2_000_000:
                     yield counted()
                     held, size = [], 0
@@ -180,24 +205,28 @@ def index_lists(docs: DataFrame, frequent) -> DataFrame:
         for batch in batches:
             for _, texts in row_blocks(batch):
                 cols = [[], [], [], []]
-                for s in shingle_sets(texts):
-                    if not len(s):
-                        continue
-                    f = int(_fingerprints(s)[0])
-                    if f in seen:  # another copy in this task
+                flat, at_ = flat_sets(texts)
+                prints = all_fingerprints(flat, at_)[:, 0].tolist()
+                late_all, many_all = np.zeros(len(flat), dtype=bool), None
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
+                    late_all = often[at] == flat
+                    many_all = many[at]
+                for a, b, f in zip(at_[:-1].tolist(), at_[1:].tolist(), prints):
+                    if a == b or f in seen:  # no set, or another copy in this task
                         continue
                     seen.add(f)
+                    s, late = flat[a:b], late_all[a:b]
                     p = len(s) // 4 + 1
                     block = np.zeros(p, dtype=np.int32)
                     prefix = s[:p]
-                    if len(often):
-                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                        late = often[at] == s
-                        prefix = np.concatenate([s[~late], s[late]])[:p]
-                        at = np.minimum(np.searchsorted(often, prefix), len(often) - 1)
-                        late = often[at] == prefix
-                        blocks = np.left_shift(1, np.ceil(np.log2(np.maximum(1, many[at] / BLOCK))).astype(np.int64))
-                        block = np.where(late, np.uint64(f) % blocks.astype(np.uint64), np.uint64(0)).astype(np.int32)
+                    if late.any():
+                        order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:p]
+                        prefix, late = s[order], late[order]
+                        blocks = np.left_shift(1, np.ceil(np.log2(np.maximum(1, many_all[a:b][order] / BLOCK))).astype(np.int64))
+                        # a list in several blocks is marked: no entry of it may go because it is alone in its block
+                        split = np.where(blocks > 1, SPLIT, 0) + (np.uint64(f) % blocks.astype(np.uint64)).astype(np.int64)
+                        block = np.where(late, split, 0).astype(np.int32)
                     cols[0].append(prefix)
                     cols[1].append(block)
                     cols[2].append(np.full(p, f, dtype=np.uint64))
@@ -220,7 +249,7 @@ def index_lists(docs: DataFrame, frequent) -> DataFrame:
             fresh = new | np.concatenate([[True], f[1:] != f[:-1]])
             g, b, f, x, new = g[fresh], b[fresh], f[fresh], x[fresh], new[fresh]
             lead = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-            alone = new & np.concatenate([new[1:], [True]])
+            alone = new & np.concatenate([new[1:], [True]]) & (b < SPLIT)
             i = np.flatnonzero(~alone)
             c = lead[i]
             low = (1 << 32) - 1
@@ -291,8 +320,9 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 x, z = part.column("x").to_pylist(), part.column("z").to_pylist()
                 texts = dict(zip(x, part.column("ta").cast(pa.large_binary()).to_pylist()))
                 texts.update(zip(z, part.column("tb").cast(pa.large_binary()).to_pylist()))
-                sets = dict(zip(texts, shingle_sets([t or b"" for t in texts.values()])))
-                right = {f for f, v in sets.items() if int(_long(_fingerprints(v))[0]) == f}
+                flat, at = flat_sets([t or b"" for t in texts.values()])
+                sets = {f: flat[i:j] for f, i, j in zip(texts, at[:-1], at[1:])}
+                right = {f for f, g in zip(texts, _long(all_fingerprints(flat, at)[:, 0]).tolist()) if f == g}
                 a, b = [sets[f] for f in x], [sets[f] for f in z]
                 same = [f in right and h in right for f, h in zip(x, z)]
                 common = [_common(u, v) for u, v in zip(a, b)]
@@ -309,9 +339,14 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 # ---- the join ----------------------------------------------------------------------------------------------------
 
+def _key():
+    """The doc_id, or for a null one a number of its text beyond all ids (``NO_ID`` and more)."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61)))
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes: doc_id, n, f1, f2, rep; component of each linked class representative)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(_key().alias("doc_id"), "text")
     rows = stored(class_rows(docs), "nj-rows")
     classes = stored(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(b).alias(b) for b in BITS]), "nj-classes")
     lists = stored(index_lists(docs, frequent_shingles(docs)), "nj-lists")
@@ -396,15 +431,20 @@ def _more_stars(mixed: DataFrame, turn: int) -> DataFrame:
     return out.join(hubs, key).where(4 * F.least("n", "hn") >= 3 * F.greatest("n", "hn")).select("f", "h")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, class_id (smallest doc_id with the same set)."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, n_shingles, component, class_id) of every document; ids of ``NO_ID`` and more stand for null."""
     rows, comp = links(docs)
     own = stored(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id")), "nj-own")
     t = rows.join(own, ["f1", "f2", "n"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    if comp is None:
-        return t.select("doc_id", F.col("n").alias("n_shingles"), F.col("class_id").alias("component_id"), "class_id")
-    return (t.join(comp, F.col("class_id") == F.col("id"), "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id"))
+    t = t.withColumn("component", F.col("class_id")) if comp is None else t.join(comp, F.col("class_id") == F.col("id"), "left") \
+        .withColumn("component", F.coalesce("component", "class_id"))
+    return t.select(F.col("doc_id").alias("key"), F.col("n").alias("n_shingles"), "component", "class_id")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, class_id (smallest doc_id with the same set)."""
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return keyed(docs).select(known("key").alias("doc_id"), "n_shingles", known("component").alias("component_id"), known("class_id").alias("class_id"))
 
 
 query = join
@@ -412,5 +452,5 @@ query = join
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the smallest doc_id, all columns."""
-    keep = stored(join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct(), "nj-keep")
-    return docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    keep = stored(keyed(docs).where("key = component").select("key").distinct(), "nj-keep")
+    return docs.select(F.struct(*docs.columns).alias("row"), _key().alias("key")).join(keep.hint("merge"), "key").select("row.*")

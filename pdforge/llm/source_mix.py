@@ -8,7 +8,8 @@ source is moved to the draw at which its taken words come nearest to the target:
 those of the Bernoulli copies, only the threshold is settled on the words actually drawn.
 
 Defined results: null text has size 0; null source is a group of its own, ordered last; size 0 sources have
-target 0 and take nothing; rows with equal doc_id share a draw; an empty table gives an empty table.
+target 0 and take nothing; rows with equal doc_id share a draw; a null doc_id draws by
+its text; an empty table gives an empty table; other columns, whatever their names, are carried along.
 One row per source is sorted in one task (sources, not documents).
 """
 
@@ -25,8 +26,9 @@ BUCKETS = 4096
 
 
 def draw(doc_id, seed: str = SEED):
-    """u in [0, 1): 52 bits of md5(seed:doc_id)."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), doc_id.cast("string"))), 1, 13), 16, 10).cast("double") / 2.0 ** 52
+    """u in [0, 1): 52 bits of md5(seed:doc_id); without a doc_id, of the text's md5."""
+    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 13), 16, 10).cast("double") / 2.0 ** 52
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, total=TOTAL, max_rate: int = MAX_RATE) -> DataFrame:
@@ -91,9 +93,9 @@ def mix(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     return rows, stored(plan, "mix-plan")
 
 
-def copies(mark: str = ""):
-    """Copies of a document, of the columns u, base, cut and closed (names preceded by ``mark``)."""
-    u, base, cut, closed = (F.col(mark + c) for c in ("u", "base", "cut", "closed"))
+def copies():
+    """Copies of a document, of the columns u, base, cut and closed."""
+    u, base, cut, closed = (F.col(c) for c in ("u", "base", "cut", "closed"))
     extra = F.when(cut.isNull(), F.lit(0)).when(closed, (u <= cut).cast("int")).otherwise((u < cut).cast("int"))
     return base + extra
 
@@ -108,11 +110,9 @@ def query(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it; no shuffle of texts."""
     _, plan = mix(docs, seed)
-    p = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "base", "cut", "closed")])
-    t = docs.withColumn("_mix_u", draw(F.col("doc_id"), seed)).alias("d")
-    t = t.join(p, F.col("d.source").eqNullSafe(F.col("_mix_source")))
-    return t.select(*[F.col(f"d.{c}") for c in docs.columns],
-                    F.explode(F.array_repeat(F.lit(1), copies("_mix_"))).alias("_mix_copy")).drop("_mix_copy")
+    t = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("of"), draw(F.col("doc_id"), seed).alias("u"))
+    t = t.join(plan.select("source", "base", "cut", "closed"), F.col("of").eqNullSafe(F.col("source")))
+    return t.select("row", F.explode(F.array_repeat(F.lit(1), copies())).alias("copy")).select("row.*")
 
 
 SQL = r"""

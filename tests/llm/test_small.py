@@ -394,3 +394,88 @@ def test_pipeline_against_brute_force(spark):
     for r in rows:
         by_seq[r.sequence_id] += r.length
     assert max(by_seq.values()) <= 4096
+
+
+def _components(docs):
+    sets = [{tuple(t.lower().split()[k:k + 5]) for k in range(max(1, len(t.split()) - 4))} if t.split() else set() for _, t in docs]
+    up = list(range(len(docs)))
+
+    def root(a):
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    classes = defaultdict(list)
+    for k, s in enumerate(sets):
+        classes[frozenset(s)].append(k)
+    kinds = [(s, v) for s, v in classes.items() if s]
+    for s, v in kinds:
+        for k in v[1:]:
+            up[root(k)] = root(v[0])
+    for i, (s, v) in enumerate(kinds):
+        for t, w in kinds[:i]:
+            c = len(s & t)
+            if 100 * c >= 75 * (len(s) + len(t) - c):
+                up[root(v[0])] = root(w[0])
+    least = defaultdict(lambda: 1 << 60)
+    for k, (d, _) in enumerate(docs):
+        least[root(k)] = min(least[root(k)], d)
+    return [(d, least[root(k)]) for k, (d, _) in enumerate(docs)]
+
+
+def test_ngram_join_of_many_copies(spark):
+    """1,200 copies of a text of 8 words and one near copy that shares exactly three of four shingles."""
+    docs = [(k, "one two three four five six seven eight") for k in range(1200)] + [(5000, "one two three four five six seven")]
+    got = {r.doc_id: r.component_id for r in ngram_join.query(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert set(got.values()) == {0} and len(got) == 1201
+
+
+def test_ngram_join_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    rng = np.random.default_rng(11)
+    common = [f"c{k}" for k in range(30)]
+    docs = []
+    for i in range(400):
+        w = [f"w{x}" for x in rng.integers(0, 60, int(rng.integers(4, 40)))]
+        if i % 3:
+            w = list(docs[int(rng.integers(0, i))][1].split())
+            for _ in range(int(rng.integers(0, 3))):
+                if w:
+                    w[int(rng.integers(0, len(w)))] = f"x{int(rng.integers(0, 9))}"
+        if i % 5 == 0:
+            w = w[:10] + common + w[10:]
+        docs.append((i, " ".join(w)))
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.query(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect())
+    assert got == _components(docs)
+
+
+def test_near_duplicates_without_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = [(7, text, 1, 2, 3), (None, text + " more", 1, 2, 3), (None, "quite another text of seven words", 1, 2, 3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, _id long, key long, component long")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.query(frame).collect()}
+    assert got == {(7, 56): 7, (None, 57): 7, (None, 3): None} or got == {(7, 56): 7, (None, 57): 7, (None, 2): None}
+    kept = ngram_join.representatives(frame)
+    assert kept.columns == frame.columns and sorted(r.text for r in kept.collect()) == sorted([text, docs[2][1]])
+
+
+def test_stages_carry_any_column(spark):
+    """Columns named as the operators' own, rows without an id, and rows that repeat id and text but not the source."""
+    names = ["_id", "_sha", "_one", "_mix_source", "_mix_base", "_mix_copy", "row", "id", "sha", "place", "of", "u", "copy", "base", "cut",
+             "closed", "key", "component", "target", "s", "rid", "level", "name", "kept"]
+    rows = [(k if k % 7 else None, f"text number {k % 11} of some words that go on {k % 5}", f"s{k % 3}", "en", *range(len(names))) for k in range(60)]
+    rows += [(100, "the same text twice", "s0", "en", *range(len(names))), (100, "the same text twice", "s1", "en", *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, " + ", ".join(f"{c} long" for c in names))
+    for parts in (1, 5):
+        d = docs.repartition(parts)
+        kept = block_names.distinct_documents(d)
+        assert kept.columns == docs.columns and kept.count() == len({r[1] for r in rows})
+        assert kept.where("doc_id = 100").first().source == block_names.distinct_documents(docs).where("doc_id = 100").first().source
+        assert ngram_join.representatives(d).columns == docs.columns
+        mixed = source_mix.repeated(d)
+        assert mixed.columns == docs.columns
+        taken = {(r.doc_id, r.size): r.taken for r in source_mix.query(d).collect()}
+        words = sum(len(r.text.split()) for r in mixed.collect())
+        assert words == sum(r.taken for r in source_mix.query(d).collect()) and all(v is not None for v in taken.values())
