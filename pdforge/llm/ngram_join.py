@@ -55,12 +55,17 @@ def _mix(x):
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, .. n - 1; a worker keeps one megabyte's, longer ones are made anew."""
     held = worker_cache("shingles")
-    if base not in held or len(held[base]) < n:
-        p = np.full(max(n, 1 << 20), base, dtype=np.uint64)
-        p[0] = 1
-        held[base] = np.cumprod(p, dtype=np.uint64)
-    return held[base][:n]
+    if base not in held:
+        held[base] = _new_powers(base, 1 << 20)
+    return held[base][:n] if n <= 1 << 20 else _new_powers(base, n)
+
+
+def _new_powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, dtype=np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)
 
 
 def flat_sets(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +156,7 @@ def class_rows(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for rows, texts in row_blocks(batch):
+            for rows, texts in row_blocks(batch, 1 << 19):
                 flat, at = flat_sets(texts)
                 f, b = all_fingerprints(flat, at), all_parities(flat, at)
                 yield pa.RecordBatch.from_arrays(
@@ -175,10 +180,10 @@ def frequent_shingles(docs: DataFrame):
             return pa.RecordBatch.from_arrays([pa.array(_long(values[often])), pa.array(counts[often])], names=["g", "c"])
 
         for batch in batches:
-            for _, texts in row_blocks(batch):
+            for _, texts in row_blocks(batch, 1 << 19):
                 held.append(flat_sets(texts)[0])
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield counted()
                     held, size = [], 0
         if held:
@@ -203,7 +208,7 @@ def index_lists(docs: DataFrame, frequent) -> DataFrame:
         often, many = hashes.value, counts.value
         seen = set()
         for batch in batches:
-            for _, texts in row_blocks(batch):
+            for _, texts in row_blocks(batch, 1 << 19):
                 cols = [[], [], [], []]
                 flat, at_ = flat_sets(texts)
                 prints = all_fingerprints(flat, at_)[:, 0].tolist()
@@ -313,10 +318,14 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def counted(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            for k in range(0, len(batch), 2048):
-                part = batch.slice(k, 2048)
+            size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ta", "tb"))
+            # about 2 MB of text at a time
+            cuts = np.unique(np.concatenate([[0], 1 + np.flatnonzero(np.diff(np.cumsum(size) >> 21)), [len(batch)]])).tolist()
+            for k, end in zip(cuts, cuts[1:]):
+                part = batch.slice(k, end - k)
                 x, z = part.column("x").to_pylist(), part.column("z").to_pylist()
                 texts = dict(zip(x, part.column("ta").cast(pa.large_binary()).to_pylist()))
                 texts.update(zip(z, part.column("tb").cast(pa.large_binary()).to_pylist()))

@@ -30,9 +30,9 @@ from pdforge.llm.common import row_blocks, stored, worker_cache
 
 LEAST, LONGEST, TOP, INSIDE = 10, 3, 2000, 50
 #: Phrases a trie, bits of the bitmap, positions and words held before they are summed, first choice per wanted phrase.
-SHARD, FILTER_BITS, HELD, WORDS, CHOICE, SALTS = 1_000_000, 1 << 25, 1_000_000, 100_000, 4, 16
+SHARD, FILTER_BITS, HELD, WORDS, CHOICE, SALTS = 1_000_000, 1 << 25, 1_000_000, 50_000, 4, 16
 #: Rows a batch to Spark, bytes of text a block.
-ROWS, BLOCK = 1 << 16, 1 << 19
+ROWS, BLOCK = 1 << 15, 1 << 18
 HASH_MASK = 0xFFFFFFFF
 DIGITS, DENSE = 3, 32
 BREAK = b"\xff"  # no byte of UTF-8
