@@ -6,20 +6,27 @@ Results are long form (loan_id, feature, phi, ...) so global importance is a
 ``groupBy(feature)`` with partial aggregation and per-loan top factors are a
 per-row array sort (no shuffle).
 
-Tree models: path-dependent TreeSHAP (Lundberg et al., 2018, Algorithm 2)
-over the fitted ensemble, evaluated per partition with ``mapInPandas``; the
-tree table is broadcast once (its size is bounded by the model, not the data).
+Tree models: path-dependent Shapley values (the game of Lundberg et al., 2018)
+over the fitted ensemble. Each leaf has a table of the values of its path's
+features for every pattern of met conditions; Arrow batches look the patterns
+up. The tables are broadcast once (their size is bounded by the model).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pdforge.session import scratch_path
+
+#: Features of a path up to which a leaf keeps a table of all patterns; rows evaluated at once.
+TABLE_FEATURES, SHAP_ROWS = 8, 4096
+
 
 def _impact(phi):
     return (F.when(phi > 0, F.lit("increases_risk")).when(phi < 0, F.lit("decreases_risk"))
@@ -31,16 +38,21 @@ class LinearAttribution:
     coefs: dict
     means: dict
     intercept: float = 0.0
+    columns: dict = field(default_factory=dict)  # feature -> expression the model reads; the column of that name by default
+    shown: dict = field(default_factory=dict)  # feature -> expression to show
 
     @classmethod
-    def fit(cls, background: DataFrame, coefs: dict, intercept: float = 0.0) -> "LinearAttribution":
+    def fit(cls, background: DataFrame, coefs: dict, intercept: float = 0.0, columns: dict | None = None,
+            shown: dict | None = None) -> "LinearAttribution":
         """Means of each feature over the background rows (exact decimal sums)."""
+        columns = columns or {}
         aggs = []
-        for c in coefs:
-            aggs += [F.sum(F.col(c).cast("double").cast("decimal(28,8)")).alias(f"s_{c}"), F.count(c).alias(f"n_{c}")]
+        for i, c in enumerate(coefs):
+            x = columns[c] if c in columns else F.col(c)
+            aggs += [F.sum(x.cast("double").cast("decimal(28,8)")).alias(f"s_{i}"), F.count(x).alias(f"n_{i}")]
         row = background.agg(*aggs).first()  # one row of scalars
-        means = {c: (float(row[f"s_{c}"]) / row[f"n_{c}"]) if row[f"n_{c}"] else 0.0 for c in coefs}
-        return cls(dict(coefs), means, intercept)
+        means = {c: (float(row[f"s_{i}"]) / row[f"n_{i}"]) if row[f"n_{i}"] else 0.0 for i, c in enumerate(coefs)}
+        return cls(dict(coefs), means, intercept, columns, shown or {})
 
     def base_value(self) -> float:
         return self.intercept + sum(self.coefs[c] * self.means[c] for c in self.coefs)
@@ -49,8 +61,8 @@ class LinearAttribution:
         """Per-row array<struct<feature, ordinal, feature_value, phi>> (wide form)."""
         items = []
         for i, (c, w) in enumerate(self.coefs.items()):
-            x = F.col(c).cast("double")
-            items.append(F.struct(F.lit(c).alias("feature"), F.lit(i).alias("ordinal"), x.alias("feature_value"),
+            x = (self.columns[c] if c in self.columns else F.col(c)).cast("double")
+            items.append(F.struct(F.lit(c).alias("feature"), F.lit(i).alias("ordinal"), self.shown.get(c, x).alias("feature_value"),
                                   (F.lit(w) * (x - F.lit(self.means[c]))).alias("phi")))
         return F.array(*items)
 
@@ -97,103 +109,95 @@ def top_factors(attr: DataFrame, k: int = 5, key: str = "loan_id") -> DataFrame:
 # ---------------------------------------------------------------------------
 # TreeSHAP (path-dependent) for MLlib tree ensembles
 # ---------------------------------------------------------------------------
-def _flatten_tree(node, feats, thr, left, right, value, cover, cats):
-    idx = len(feats)
-    feats.append(-1); thr.append(0.0); left.append(-1); right.append(-1)
-    value.append(node.prediction()); cats.append(None)
-    cover.append(float(node.impurityStats().count()))
-    if node.getClass().getSimpleName() == "InternalNode":
-        split = node.split()
-        feats[idx] = split.featureIndex()
-        if split.getClass().getSimpleName() == "ContinuousSplit":
-            thr[idx] = split.threshold()
-        else:
-            cats[idx] = set(float(v) for v in split.leftCategories())
-        left[idx] = _flatten_tree(node.leftChild(), feats, thr, left, right, value, cover, cats)
-        right[idx] = _flatten_tree(node.rightChild(), feats, thr, left, right, value, cover, cats)
-    return idx
-
-
 def tree_tables(model) -> list[dict]:
-    """Per tree: arrays (feature, threshold, left, right, value, cover) and its weight."""
-    out = []
-    weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0] * len(model.trees)
+    """Per tree: arrays (feature, threshold, left, right, value, cover), values already weighted.
+
+    Read from the node table that a saved ensemble consists of: as many rows as the model has nodes.
+    """
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, "trees")
+    model.write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
+    weights = list(model.treeWeights)
     if type(model).__name__.startswith("GBTClassification"):
         weights = [2.0 * w for w in weights]  # probability = 1 / (1 + exp(-2 margin)): log-odds are twice the margin
-    for t, w in zip(model.trees, weights):
-        feats, thr, left, right, value, cover, cats = [], [], [], [], [], [], []
-        _flatten_tree(t._java_obj.rootNode(), feats, thr, left, right, value, cover, cats)
-        out.append({"feature": np.array(feats), "threshold": np.array(thr), "left": np.array(left),
-                    "right": np.array(right), "value": np.array(value) * w, "cover": np.array(cover),
-                    "cats": cats})
+    trees = [[] for _ in weights]
+    for n in nodes:
+        trees[n.treeID].append(n)
+    tables = []
+    for w, own in zip(weights, trees):
+        ordinal = [n.split.numCategories < 0 for n in own]
+        tables.append({
+            "feature": np.array([n.split.featureIndex if n.leftChild >= 0 else -1 for n in own]),
+            "threshold": np.array([n.split.leftCategoriesOrThreshold[0] if n.leftChild >= 0 and o else 0.0 for n, o in zip(own, ordinal)]),
+            "left": np.array([n.leftChild for n in own]), "right": np.array([n.rightChild for n in own]),
+            "value": np.array([n.prediction for n in own]) * w, "cover": np.array([n.impurityStats[0] for n in own]),
+            "cats": [None if o or n.leftChild < 0 else set(n.split.leftCategoriesOrThreshold) for n, o in zip(own, ordinal)]})
+    return tables
+
+
+def _leaf_phi(one: np.ndarray, zero: np.ndarray, value: float) -> np.ndarray:
+    """Shapley values of one leaf: ``one`` (rows x features of its path) tells which features lead there, ``zero`` which
+    share of the cover does.
+
+    The game is a product over the features, each present (one) or averaged (zero), so a feature's value needs only the
+    coefficients of the product of (zero_j + one_j t) over the others, weighted by |S|! (d - |S| - 1)! / d!.
+    """
+    n, d = one.shape
+    weight = np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
+    out = np.empty((n, d))
+    for f in range(d):
+        c = np.zeros((n, d))
+        c[:, 0] = 1.0
+        for j in range(d):
+            if j != f:
+                c[:, 1:] = c[:, 1:] * zero[j] + c[:, :-1] * one[:, [j]]
+                c[:, 0] *= zero[j]
+        out[:, f] = (c @ weight) * (one[:, f] - zero[f]) * value
     return out
 
 
-def _tree_shap_one(tree: dict, x: np.ndarray, phi: np.ndarray):
-    """Algorithm 2 of Lundberg et al. (2018): exact path-dependent SHAP for one tree."""
-    feat, thr, left, right = tree["feature"], tree["threshold"], tree["left"], tree["right"]
-    value, cover, cats = tree["value"], tree["cover"], tree["cats"]
-
-    def goes_left(j):
-        if cats[j] is not None:
-            return x[feat[j]] in cats[j]
-        return x[feat[j]] <= thr[j]
-
-    def extend(path, z, o, i):
-        path = [list(p) for p in path]
-        n = len(path)
-        path.append([i, z, o, 1.0 if n == 0 else 0.0])
-        for k in range(n - 1, -1, -1):
-            path[k + 1][3] += o * path[k][3] * (k + 1) / (n + 1)
-            path[k][3] = z * path[k][3] * (n - k) / (n + 1)
-        return path
-
-    def unwind(path, i):
-        path = [list(p) for p in path]
-        n = len(path) - 1
-        o, z = path[i][2], path[i][1]
-        nxt = path[n][3]
-        for k in range(n - 1, -1, -1):
-            if o != 0:
-                tmp = path[k][3]
-                path[k][3] = nxt * (n + 1) / ((k + 1) * o)
-                nxt = tmp - path[k][3] * z * (n - k) / (n + 1)
-            else:
-                path[k][3] = path[k][3] * (n + 1) / (z * (n - k))
-        for k in range(i, n):
-            path[k][0], path[k][1], path[k][2] = path[k + 1][0], path[k + 1][1], path[k + 1][2]
-        return path[:n]
-
-    def unwound_sum(path, i):
-        n = len(path) - 1
-        o, z = path[i][2], path[i][1]
-        total, nxt = 0.0, path[n][3]
-        for k in range(n - 1, -1, -1):
-            if o != 0:
-                tmp = nxt * (n + 1) / ((k + 1) * o)
-                total += tmp
-                nxt = path[k][3] - tmp * z * (n - k) / (n + 1)
-            else:
-                total += path[k][3] / (z * (n - k) / (n + 1))
-        return total
-
-    def recurse(j, path, z, o, i):
-        path = extend(path, z, o, i)
-        if left[j] < 0:
-            for k in range(1, len(path)):
-                w = unwound_sum(path, k)
-                phi[path[k][0]] += w * (path[k][2] - path[k][1]) * value[j]
-            return
-        hot, cold = (left[j], right[j]) if goes_left(j) else (right[j], left[j])
-        iz, io = 1.0, 1.0
-        k = next((k for k in range(1, len(path)) if path[k][0] == feat[j]), None)
-        if k is not None:
-            iz, io = path[k][1], path[k][2]
-            path = unwind(path, k)
-        recurse(hot, path, iz * cover[hot] / cover[j], io, feat[j])
-        recurse(cold, path, iz * cover[cold] / cover[j], 0.0, feat[j])
-
-    recurse(0, [], 1.0, 1.0, -1)
+def leaf_tables(tree: dict) -> list[tuple]:
+    """Per leaf: (features, conditions as [(feature's place, node, whether left)], zero shares, value, table of all
+    patterns or None where the path has more than ``TABLE_FEATURES`` features)."""
+    left, right, cover = tree["left"], tree["right"], tree["cover"]
+    out, stack = [], [(0, ())]
+    while stack:
+        j, path = stack.pop()
+        if left[j] >= 0:
+            stack += [(int(left[j]), (*path, (j, True))), (int(right[j]), (*path, (j, False)))]
+            continue
+        feats = sorted({int(tree["feature"][a]) for a, _ in path})
+        zero, steps = np.ones(len(feats)), []
+        for a, is_left in path:
+            k = feats.index(int(tree["feature"][a]))
+            zero[k] *= cover[left[a] if is_left else right[a]] / cover[a]
+            steps.append((k, a, is_left))
+        table = None
+        if len(feats) <= TABLE_FEATURES:
+            patterns = (np.arange(1 << len(feats))[:, None] >> np.arange(len(feats))[None, :]) & 1
+            table = _leaf_phi(patterns.astype(float), zero, float(tree["value"][j]))
+        out.append((feats, steps, zero, float(tree["value"][j]), table))
+    return out
+
+
+def tree_shap(tree: dict, leaves: list[tuple], x: np.ndarray, phi: np.ndarray) -> None:
+    """Adds one tree's Shapley values of the rows ``x`` to ``phi``: the decisions of all nodes at once, then each leaf's
+    pattern of met conditions and one look-up."""
+    went = {}
+    for j in np.flatnonzero(np.asarray(tree["left"]) >= 0).tolist():
+        v = x[:, tree["feature"][j]]
+        went[j] = np.isin(v, list(tree["cats"][j])) if tree["cats"][j] is not None else v <= tree["threshold"][j]
+    for feats, steps, zero, value, table in leaves:
+        if not feats:
+            continue
+        met = np.ones((len(x), len(feats)), dtype=bool)
+        for k, j, is_left in steps:
+            met[:, k] &= went[j] == is_left
+        if table is not None:
+            phi[:, feats] += table[met @ (1 << np.arange(len(feats)))]
+        else:
+            phi[:, feats] += _leaf_phi(met.astype(float), zero, value)
 
 
 def expected_value(tree: dict) -> float:
@@ -211,8 +215,7 @@ def tree_shap_frame(rows: DataFrame, model, feature_names: list[str], features_c
     """Long-form (key, feature, phi) plus (key, '__base__', base value) per row.
 
     ``model`` is a fitted GBTClassificationModel / tree model; its log-odds (the
-    prediction of other tree models) are base + sum(phi). Runs per partition in ``mapInPandas``; the flattened trees
-    travel in the task closure (size fixed by the model).
+    prediction of other tree models) are base + sum(phi). Runs over Arrow batches; nothing is evaluated row by row.
     """
     from pyspark.ml.functions import vector_to_array
 
@@ -220,18 +223,18 @@ def tree_shap_frame(rows: DataFrame, model, feature_names: list[str], features_c
     base = float(sum(expected_value(t) for t in trees))
     names = list(feature_names)
     src = rows.select(F.col(key).alias("key"), vector_to_array(features_col).alias("x"))
+    shared = rows.sparkSession.sparkContext.broadcast([(t, leaf_tables(t)) for t in trees])  # size fixed by the model
 
     def run(batches):
         for pdf in batches:
-            out_k, out_f, out_p = [], [], []
-            for k, x in zip(pdf["key"], pdf["x"]):
-                xv = np.asarray(x, dtype=float)
-                phi = np.zeros(len(names))
-                for t in trees:
-                    _tree_shap_one(t, xv, phi)
-                out_k += [k] * (len(names) + 1)
-                out_f += names + ["__base__"]
-                out_p += list(phi) + [base]
-            yield pd.DataFrame({"key": out_k, "feature": out_f, "phi": out_p})
+            for k in range(0, len(pdf), SHAP_ROWS):
+                part = pdf.iloc[k:k + SHAP_ROWS]
+                x = np.array(part["x"].tolist(), dtype=float).reshape(len(part), len(names))
+                phi = np.zeros((len(x), len(names) + 1))
+                phi[:, -1] = base
+                for t, leaves in shared.value:
+                    tree_shap(t, leaves, x, phi)
+                yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), len(names) + 1),
+                                    "feature": np.tile(np.array([*names, "__base__"], dtype=object), len(x)), "phi": phi.ravel()})
 
     return src.mapInPandas(run, "key long, feature string, phi double").withColumnRenamed("key", key)

@@ -48,6 +48,29 @@ def detect_leakage(df: DataFrame) -> DataFrame:
                                           lambda s: s["column"]), ",").alias("columns")))
 
 
+def leakage_by_class(df: DataFrame, target) -> DataFrame:
+    """J3 over the rows: what each registered column that the table has tells of the outcome.
+
+    (category, column, n_values, share_default, share_paid, gap): rows with a value, the share of rows with a value among
+    defaults and among paid loans (null where there is no such loan), and the distance of the two. One aggregate over
+    the registered columns alone, joined with the registry of 40 rows.
+    """
+    present = [c for c in leakage_columns() if c in df.columns]
+    reg = leakage_report(df.sparkSession).select("column", "category", "ordinal")
+    if not present:
+        return reg.limit(0).select("category", "column", F.lit(0).cast("long").alias("n_values"), F.lit(0.0).alias("share_default"),
+                                   F.lit(0.0).alias("share_paid"), F.lit(0.0).alias("gap"))
+    t = df.select(target.alias("_target"), *present)
+    held = lambda c, k: F.count(F.when((F.col("_target") == k) & F.col(c).isNotNull(), 1))
+    one = t.agg(*[F.count(F.when(F.col("_target") == k, 1)).alias(f"n{k}") for k in (0, 1)],
+                *[F.struct(F.count(c).alias("n"), held(c, 0).alias("c0"), held(c, 1).alias("c1")).alias(f"s_{c}") for c in present])
+    share = lambda c, k: F.when(F.col(f"n{k}") > 0, F.col(f"s_{c}.c{k}") / F.col(f"n{k}"))
+    long = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s_{c}.n").alias("n_values"), share(c, 1).alias("share_default"),
+                                                  share(c, 0).alias("share_paid")) for c in present])))
+    return long.join(F.broadcast(reg), "column").select("category", "column", "n_values", "share_default", "share_paid",
+                                                        F.abs(F.col("share_default") - F.col("share_paid")).alias("gap"))
+
+
 def leakage_summary(df: DataFrame) -> DataFrame:
     """One row: total leakage columns found, categories hit, clean flag."""
     by_cat = detect_leakage(df)

@@ -28,7 +28,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,54 +225,109 @@ def lr_param_draws(n_iter: int = 30, seed: int = K.RANDOM_SEED) -> list[dict]:
 
 
 def tune_logistic_regression(cv_rows: DataFrame, spec: ModelSpec, n_iter: int = 30, folds: int = 5,
-                             parallelism: int = 4, seed: int = K.RANDOM_SEED) -> tuple[dict, DataFrame]:
+                             parallelism: int = 8, seed: int = K.RANDOM_SEED) -> tuple[dict, DataFrame]:
     """Random search with stratified folds (``fold`` column, W10), ROC-AUC.
 
-    ``cv_rows`` are train+val rows (optionally a stratified sample, W9).
+    ``cv_rows`` are train+val rows (optionally a stratified sample, W9). The draws and folds run as parallel Spark jobs
+    over frames prepared once a fold.
     Returns the best parameters and a (C, max_iter, cv_auc) results frame.
     """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark.util import inheritable_thread_target
+
     from pdforge.operators.splits import stratified_folds
+    from pdforge.session import materialize
+
     data, total = balanced_weights(fill_missing(cv_rows, spec))
-    data = stratified_folds(data, folds, label=LABEL, seed=seed)
+    data = materialize(stratified_folds(data, folds, label=LABEL, seed=seed), "tune_rows")
     total_train = total * (folds - 1) / folds
-    pipe = lr_pipeline(spec, 1.0, K.LR_MAX_ITER, total_train)
-    lr = pipe.getStages()[-1]
+    stages = lr_pipeline(spec, 1.0, K.LR_MAX_ITER, total_train).getStages()
     draws = lr_param_draws(n_iter, seed)
-    grid = [{lr.regParam: 1.0 / (d["C"] * total_train), lr.maxIter: d["max_iter"]} for d in draws]
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
-                        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction",
-                                                                metricName="areaUnderROC", numBins=0),
-                        parallelism=parallelism, seed=seed)
-    fitted = cv.fit(data)
+    prepared = []
+    for k in range(folds):  # indexer, one-hot and scaler are fitted and applied once a fold
+        front = Pipeline(stages=stages[:-1]).fit(data.where(F.col("fold") != k))
+        rows = materialize(front.transform(data).select("features", LABEL, WEIGHT, "fold"), f"tune_fold{k}")
+        prepared.append((rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)))
+    auc = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0)
+
+    def trial(job: tuple) -> float:
+        d, k = job
+        lr = stages[-1].copy({stages[-1].regParam: 1.0 / (d["C"] * total_train), stages[-1].maxIter: d["max_iter"]})
+        return float(auc.evaluate(lr.fit(prepared[k][0]).transform(prepared[k][1])))
+
+    jobs = [(d, k) for d in draws for k in range(folds)]
+    with ThreadPool(max(1, parallelism)) as pool:
+        scores = pool.map(inheritable_thread_target(trial), jobs, chunksize=1)
+    means = [sum(scores[i * folds:(i + 1) * folds]) / folds for i in range(len(draws))]
     spark = cv_rows.sparkSession
-    rows = [(d["C"], d["max_iter"], float(a)) for d, a in zip(draws, fitted.avgMetrics)]
-    res = spark.createDataFrame(rows, "C double, max_iter int, cv_auc double")
-    best = max(zip(draws, fitted.avgMetrics), key=lambda t: t[1])[0]
+    res = spark.createDataFrame([(d["C"], d["max_iter"], m) for d, m in zip(draws, means)], "C double, max_iter int, cv_auc double")
+    best = max(zip(draws, means), key=lambda t: t[1])[0]
     return best, res
 
 
-def gbt_param_draws(n_trials: int = 50, seed: int = K.RANDOM_SEED) -> list[dict]:
-    """Seeded random draws over the boosted-tree search space (mapped to MLlib ranges)."""
+#: Search space of the boosted trees: (kind, low, high). MLlib's trees have no L1 / L2 terms on leaf values.
+GBT_SPACE = {"n_estimators": ("int", 100, 1000), "learning_rate": ("log", 0.01, 0.3), "num_leaves": ("int", 20, 150),
+             "max_depth": ("int", 3, 12), "min_child_samples": ("int", 20, 200), "subsample": ("real", 0.5, 1.0),
+             "colsample_bytree": ("real", 0.5, 1.0)}
+
+
+def gbt_param_draws(n_trials: int = 50, seed: int = K.RANDOM_SEED, space: dict | None = None) -> list[dict]:
+    """Seeded random draws over the boosted-tree search space."""
     rng = random.Random(seed)
+    draw = {"int": rng.randint, "real": rng.uniform, "log": lambda a, b: math.exp(rng.uniform(math.log(a), math.log(b)))}
+    return [{k: draw[kind](lo, hi) for k, (kind, lo, hi) in (space or GBT_SPACE).items()} for _ in range(n_trials)]
+
+
+def save_params(spark, path: str, model: str, params: dict, score: float) -> int:
+    """Appends a version of a model's best parameters to the parameter table; its number."""
+    version = (latest_params(spark, path, model) or {"version": 0})["version"] + 1
+    spark.createDataFrame([(model, version, json.dumps(params, sort_keys=True), float(score))], PARAMS_SCHEMA) \
+        .coalesce(1).write.mode("append").parquet(path)
+    return version
+
 
-    def logu(a, b):
-        return math.exp(rng.uniform(math.log(a), math.log(b)))
-    return [{"n_estimators": rng.randint(20, 100), "learning_rate": logu(0.01, 0.3),
-             "num_leaves": rng.randint(20, 150), "max_depth": rng.randint(3, 8),
-             "min_child_samples": rng.randint(20, 200), "subsample": rng.uniform(0.5, 1.0),
-             "colsample_bytree": rng.uniform(0.5, 1.0)} for _ in range(n_trials)]
+PARAMS_SCHEMA = "model string, version int, params string, score double"
+
+
+def latest_params(spark, path: str, model: str) -> dict | None:
+    """{version, params, score} of the newest parameters of a model; None where the table has none."""
+    from pyspark.errors import AnalysisException
+    try:
+        table = spark.read.schema(PARAMS_SCHEMA).parquet(path)
+    except AnalysisException:  # no table yet
+        return None
+    row = table.where(F.col("model") == model).orderBy(F.desc("version")).limit(1).collect()
+    return {"version": row[0].version, "params": json.loads(row[0].params), "score": row[0].score} if row else None
 
 
 def tune_gbt(train: DataFrame, val: DataFrame, spec: ModelSpec, n_trials: int = 50,
-             seed: int = K.RANDOM_SEED) -> tuple[dict, DataFrame]:
-    """Fit each draw on train, score exact ROC-AUC on validation."""
+             seed: int = K.RANDOM_SEED, space: dict | None = None, parallelism: int = 4) -> tuple[dict, DataFrame]:
+    """Fit each draw on train, score exact ROC-AUC on validation.
+
+    Indexing and assembly are fitted and written once; the trials search over the trees alone and run as parallel Spark
+    jobs from a few driver threads.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark.util import inheritable_thread_target
+
+    from pdforge.session import materialize
+
     train_w, _ = positive_weight(fill_missing(train, spec))
-    val_f = fill_missing(val, spec)
-    results = []
-    for i, p in enumerate(gbt_param_draws(n_trials, seed)):
-        model = gbt_pipeline(spec, p, seed).fit(train_w)
-        auc = M.curve_metrics(M.curve_table(_labelled(predict_pd(model, val_f)))).first()["roc_auc"]
-        results.append((i, json.dumps(p), float(auc)))
+    draws = gbt_param_draws(n_trials, seed, space)
+    front = Pipeline(stages=gbt_pipeline(spec, draws[0], seed).getStages()[:-1]).fit(train_w)
+    fit_rows = materialize(front.transform(train_w).select("features", LABEL, WEIGHT), "tune_train")
+    val_rows = materialize(front.transform(fill_missing(val, spec)).select("features", LABEL), "tune_val")
+
+    def trial(p: dict) -> float:
+        model = gbt_pipeline(spec, p, seed).getStages()[-1].fit(fit_rows)
+        scored = model.transform(val_rows).select(F.col(LABEL).alias("label"), vector_to_array("probability")[1].alias("score"))
+        return float(M.curve_metrics(M.curve_table(scored)).first()["roc_auc"])
+
+    with ThreadPool(max(1, min(parallelism, len(draws)))) as pool:
+        aucs = pool.map(inheritable_thread_target(trial), draws)
+    results = [(i, json.dumps(p), auc) for i, (p, auc) in enumerate(zip(draws, aucs))]
     spark = train.sparkSession
     res = spark.createDataFrame(results, "trial int, params string, val_auc double")
     best = json.loads(max(results, key=lambda r: r[2])[1])

@@ -277,12 +277,6 @@ def j1_keyed_concat(spark, d):
     return f.join(s, "loan_id")
 
 
-def _registry_values(present_only=None) -> str:
-    rows = LK.registry_rows()
-    vals = ", ".join("('{}', '{}', {})".format(c, cat, i) for c, cat, _, _, i in rows)
-    return f"(VALUES {vals}) AS reg(column_name, category, ordinal)"
-
-
 RAW_COLUMN_NAMES = ["id", "member_id", "url", "policy_code", "loan_id", "loan_status", "loan_amnt", "term",
                     "emp_length", "emp_title", "issue_d", "earliest_cr_line", "last_credit_pull_d", "home_ownership",
                     "verification_status", "application_type", "initial_list_status", "purpose", "addr_state",
@@ -291,22 +285,29 @@ RAW_COLUMN_NAMES = ["id", "member_id", "url", "policy_code", "loan_id", "loan_st
                     "mths_since_last_record", "tax_liens", "inq_last_12m", "num_accts_ever_120_pd", "il_util",
                     "grade", "int_rate", "total_pymnt", "recoveries", "annual_inc_joint", "sec_app_open_acc"]
 
-J3_SQL = W("raw_loans") + f"""SELECT reg.category, count(*) AS n_columns,
-  string_agg(reg.column_name, ',' ORDER BY reg.ordinal) AS columns
-FROM {_registry_values()}
-WHERE reg.column_name IN (SELECT column_name FROM (DESCRIBE SELECT * FROM raw_loans))
-GROUP BY reg.category"""
+LEAK_PRESENT = [c for c in LK.leakage_columns() if c in RAW_COLUMN_NAMES]
+_TARGET_SQL = ("CASE WHEN loan_status IN (" + ", ".join(f"'{x}'" for x in K.DEFAULT_STATUSES) + ") THEN 1 WHEN loan_status IN ("
+               + ", ".join(f"'{x}'" for x in K.NON_DEFAULT_STATUSES) + ") THEN 0 END")
+_SHARE_SQL = "count(CASE WHEN t = {k} THEN {c} END) / nullif(count(CASE WHEN t = {k} THEN 1 END), 0)"
+J3_SQL = (W("raw_loans") + f", r AS (SELECT *, {_TARGET_SQL} AS t FROM raw_loans)\n"
+          + "SELECT *, abs(share_default - share_paid) AS gap FROM (" + " UNION ALL ".join(
+              f"SELECT '{cat}' AS category, '{c}' AS column, count({c}) AS n_values, {_SHARE_SQL.format(k=1, c=c)} AS share_default, "
+              f"{_SHARE_SQL.format(k=0, c=c)} AS share_paid FROM r" for c, cat, _, _, _ in LK.registry_rows() if c in LEAK_PRESENT) + ")")
 
 
 @register("j3_leakage_detection", J3_SQL)
 def j3_leakage_detection(spark, d):
-    return LK.detect_leakage(raw(spark, d))
+    """Registered columns present, with the share of defaults and of paid loans that have a value in them."""
+    return LK.leakage_by_class(raw(spark, d), CL.target_expr())
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-LEAK_PRESENT = [c for c in LK.leakage_columns() if c in RAW_COLUMN_NAMES]
 J4_SQL = W("raw_loans") + " UNION ALL ".join(
-    f"SELECT '{c}' AS column, '{cat}' AS category, count({c}) AS n_values FROM raw_loans"
-    for c, cat, _, _, _ in LK.registry_rows() if c in LEAK_PRESENT)
+    f"SELECT '{c}' AS column, '{cat}' AS category, {_quoted(desc)} AS description, {_quoted(risk)} AS risk, count({c}) AS n_values FROM raw_loans"
+    for c, cat, desc, risk, _ in LK.registry_rows() if c in LEAK_PRESENT)
 
 
 @register("j4_leakage_report", J4_SQL)
@@ -317,7 +318,7 @@ def j4_leakage_report(spark, d):
     counts = r.agg(*[F.count(c).alias(c) for c in present])
     arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_values")) for c in present])
     long = counts.select(F.inline(arr))
-    return long.join(F.broadcast(LK.leakage_report(spark)), "column").select("column", "category", "n_values")
+    return long.join(F.broadcast(LK.leakage_report(spark)), "column").select("column", "category", "description", "risk", "n_values")
 
 
 @register("j5_scalar_broadcast", W("cleaned") + """SELECT p.loan_id, p.annual_inc, m.annual_inc AS annual_inc_median,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pdforge import constants as K
 from pdforge.operators import columns as C
+from pdforge.operators import compiled as CM
 from pdforge.operators import explain as EX
 from pdforge.operators import models as MD
 from pdforge.operators import scoring as SC
@@ -19,8 +20,8 @@ from pdforge.plans.catalog import A8_SQL, features, raw, register, scored, score
 from pdforge.session import scratch_path
 from pdforge.sources import io
 
-# small, fixed training budgets for the registered checks; library defaults stay as documented
-CHECK_GBT = {"n_estimators": 20}
+#: Paths of the models trained in this session, by application, input folder and kind.
+_SAVED: dict = {}
 
 
 def model_data(spark, d):
@@ -41,10 +42,34 @@ def _lr(spark, d):
 
 def _gbt(spark, d, params=None):
     f, spec = model_data(spark, d)
-    m = MD.train_gbt(_split(f, "train"), _split(f, "val"), spec, params or CHECK_GBT)
+    m = MD.train_gbt(_split(f, "train"), _split(f, "val"), spec, params)
     return m, f, spec
 
 
+def saved_model(spark, d, kind: str) -> str:
+    """Folder of the trained baseline ("lr"), challenger ("gbt", library defaults) or the better of both ("champion").
+
+    A model is trained once a session and saved with its metadata (S12); scoring, attribution and comparison read it
+    back (S13), as later jobs would.
+    """
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _SAVED:
+        if kind == "champion":
+            both = {k: MD.load_model(saved_model(spark, d, k)) for k in ("gbt", "lr")}
+            f = _split(model_data(spark, d)[0], "test")
+            for m in both.values():
+                m.test_metrics = MD.evaluate(m.model, MD.fill_missing(f, m.spec), m.threshold)
+            best = MD.champion(list(both.values()))
+            path = scratch_path(spark, "model_champion")
+            MD.save_model(best, path)
+        else:
+            m, _, _ = (_lr if kind == "lr" else _gbt)(spark, d)
+            path = scratch_path(spark, f"model_{kind}")
+            MD.save_model(m, path)
+        _SAVED[key] = path
+    return _SAVED[key]
+
+
 def _test_predictions(m, f, spec):
     return MD.predict_pd(m.model, MD.fill_missing(_split(f, "test"), spec)).select("loan_id", MD.LABEL, "pd")
 
@@ -84,8 +109,9 @@ def t3_logistic_regression(spark, d):
 
 @register("t4_gradient_boosted_trees", OM.TEST_ROWS)
 def t4_gradient_boosted_trees(spark, d):
-    m, f, spec = _gbt(spark, d)
-    return _probabilities(_test_predictions(m, f, spec))
+    f, _ = model_data(spark, d)
+    m = MD.load_model(saved_model(spark, d, "gbt"))
+    return _probabilities(_test_predictions(m, f, m.spec))
 
 
 @register("t5_predict_pd")
@@ -102,26 +128,20 @@ def t6_validation_indicator(spark, d):
         .withColumn("is_val", F.col("split") == "val")
     _, ratio = MD.positive_weight(_split(f, "train"))  # class ratio of the training years alone
     tv = tv.withColumn(MD.WEIGHT, F.when(F.col(MD.LABEL) == 1, ratio).otherwise(1.0))
-    model = MD.gbt_pipeline(spec, CHECK_GBT, validation_col="is_val").fit(tv)
+    model = MD.gbt_pipeline(spec, validation_col="is_val").fit(tv)
     return _probabilities(MD.predict_pd(model, MD.fill_missing(_split(f, "test"), spec)))
 
 
-def _both_models(spark, d):
-    f, spec = model_data(spark, d)
-    train, val, test = _split(f, "train"), _split(f, "val"), MD.fill_missing(_split(f, "test"), spec)
-    gbt = MD.train_gbt(train, val, spec, CHECK_GBT)
-    lr = MD.train_logistic_regression(train, val, spec)
-    for m in (gbt, lr):
-        m.test_metrics = MD.evaluate(m.model, test, m.threshold)
-    return gbt, lr
-
-
 @register("t7_champion")
 def t7_champion(spark, d):
-    gbt, lr = _both_models(spark, d)
-    best = MD.champion([gbt, lr])
-    rows = [(m.name, m.threshold, m.test_metrics["roc_auc"], m.test_metrics["pr_auc"], m.test_metrics["ks_stat_pct"],
-             m.name == best.name) for m in (gbt, lr)]
+    """Both models on the test year, and which of them the saved champion is."""
+    best = MD.load_model(saved_model(spark, d, "champion"))
+    f = _split(model_data(spark, d)[0], "test")
+    rows = []
+    for k in ("gbt", "lr"):
+        m = MD.load_model(saved_model(spark, d, k))
+        t = MD.evaluate(m.model, MD.fill_missing(f, m.spec), m.threshold)
+        rows.append((m.name, m.threshold, t["roc_auc"], t["pr_auc"], t["ks_stat_pct"], m.name == best.name))
     return spark.createDataFrame(rows, "model string, threshold double, roc_auc double, pr_auc double, "
                                        "ks_stat_pct double, is_champion boolean")
 
@@ -130,40 +150,57 @@ def t7_champion(spark, d):
 def t8_lr_random_search(spark, d):
     f, spec = model_data(spark, d)
     rows = SP.stratified_sample(f.where(F.col("split").isin("train", "val")), K.CV_MAX_ROWS, label=MD.LABEL)
-    _, res = MD.tune_logistic_regression(rows, spec, n_iter=4, folds=3)
-    return res
+    return MD.tune_logistic_regression(rows, spec)[1]
+
+
+#: Trials and space of the registered searches of trees; ``MD.GBT_SPACE`` and 50 trials are the library's own.
+SHORT_TRIALS, SHORT_SPACE = 2, {**MD.GBT_SPACE, "n_estimators": ("int", 20, 100), "max_depth": ("int", 3, 8)}
+
+
+def tuned_store(spark, d) -> str:
+    """The parameter table of this session and folder, with the winner of the search of trees."""
+    key = (spark.sparkContext.applicationId, d, "params")
+    if key not in _SAVED:
+        f, spec = model_data(spark, d)
+        best, res = MD.tune_gbt(_split(f, "train"), _split(f, "val"), spec, SHORT_TRIALS, space=SHORT_SPACE)
+        path = scratch_path(spark, "tuned_params")
+        MD.save_params(spark, path, "Gradient-Boosted Trees", best, res.agg(F.max("val_auc")).first()[0])
+        res.write.parquet(f"{path}-trials")
+        _SAVED[key] = path
+    return _SAVED[key]
 
 
 @register("t9_gbt_random_search")
 def t9_gbt_random_search(spark, d):
-    f, spec = model_data(spark, d)
-    draws_budget = 2
-    _, res = MD.tune_gbt(_split(f, "train"), _split(f, "val"), spec, n_trials=draws_budget)
-    return res
+    return spark.read.parquet(tuned_store(spark, d) + "-trials")
 
 
 @register("t10_tuned_params")
 def t10_tuned_params(spark, d):
+    """The challenger trained with the newest parameters of the parameter table."""
     f, spec = model_data(spark, d)
-    best = {"n_estimators": 15, "learning_rate": 0.1, "max_depth": 4}
-    m = MD.train_gbt(_split(f, "train"), _split(f, "val"), spec, best)
+    best = MD.latest_params(spark, tuned_store(spark, d), "Gradient-Boosted Trees")
+    m = MD.train_gbt(_split(f, "train"), _split(f, "val"), spec, best["params"])
     used = m.model.stages[-1]
-    return spark.createDataFrame([(json.dumps(best), used.getMaxIter(), used.getStepSize(), used.getMaxDepth(),
+    return spark.createDataFrame([(json.dumps(best["params"]), best["version"], used.getMaxIter(), used.getStepSize(), used.getMaxDepth(),
                                    m.threshold)],
-                                 "requested string, max_iter int, step_size double, max_depth int, threshold double")
+                                 "requested string, version int, max_iter int, step_size double, max_depth int, threshold double")
 
 
-def _tree_attribution(spark, d):
-    m, f, spec = _gbt(spark, d)
-    rows = MD.fill_missing(_split(f, "test"), spec)
+def _tree_attribution(spark, d, split: str | None = "test"):
+    """Rows of one split, or of all years, with the PD and the long attribution of the saved challenger."""
+    f, _ = model_data(spark, d)
+    m = MD.load_model(saved_model(spark, d, "gbt"))
+    rows = MD.fill_missing(f if split is None else _split(f, split), m.spec)
     prepared = MD.predict_pd(m.model, rows, keep=("features",))
-    names = MD.numeric_inputs(spec) + [f"{c}_idx" for c in spec.categorical]
+    names = MD.numeric_inputs(m.spec) + [f"{c}_idx" for c in m.spec.categorical]
     return prepared, EX.tree_shap_frame(prepared, m.model.stages[-1], names)
 
 
 @register("t11_global_attribution")
 def t11_global_attribution(spark, d):
-    attr = _tree_attribution(spark, d)[1].where(F.col("feature") != "__base__")
+    """Mean absolute attribution of every model input, over the rows of all years."""
+    attr = _tree_attribution(spark, d, None)[1].where(F.col("feature") != "__base__")
     return EX.importance_ranking(EX.mean_abs_attribution(attr))
 
 
@@ -177,6 +214,108 @@ def t13_tree_attribution(spark, d):
         "loan_id", F.coalesce(F.abs(F.col("total") - log_odds) < 1e-6, F.lit(False)).alias("adds_up"))
 
 
+def champion_scored(spark, d, split: str | None = None) -> DataFrame:
+    """Feature rows with the compiled champion's PD: one projection, no transformer and no Python worker."""
+    m = CM.load_compiled(saved_model(spark, d, "champion"))
+    f = SP.with_split(features(spark, d), **K.FIXTURE_SPLIT)
+    return m.score(f if split is None else _split(f, split))
+
+
+@register("s13_compiled_scores", OM.ROUND_TRIP)
+def s13_compiled_scores(spark, d):
+    """Whether each saved model, compiled to columns, gives each test row the PD of MLlib's own transform."""
+    f = _split(model_data(spark, d)[0], "test")
+    out = f.select("loan_id", F.lit(True).alias("same_pd"))
+    for k in ("lr", "gbt"):
+        path = saved_model(spark, d, k)
+        m = MD.load_model(path)
+        own = MD.predict_pd(m.model, MD.fill_missing(f, m.spec), "own").select("loan_id", F.col("own"))
+        got = CM.load_compiled(path).score(f).select("loan_id", "pd")
+        near = own.join(got, "loan_id").select("loan_id", (F.abs(F.col("own") - F.col("pd")) < 1e-9).alias("near"))
+        out = out.join(near, "loan_id", "left").select("loan_id", (F.col("same_pd") & F.coalesce("near", F.lit(False))).alias("same_pd"))
+    return out
+
+
+@register("b1_decision_records_model")
+def b1_decision_records_model(spark, d):
+    """Decision records of the test year with the champion's name and threshold."""
+    m = CM.load_compiled(saved_model(spark, d, "champion"))
+    r = SC.decision_records(champion_scored(spark, d, "test"), "pd", m.threshold, m.name)
+    return r.select("loan_id", "model", "threshold", "probability_of_default", "predicted_default",
+                    "risk_bucket.risk_tier", "policy_decision.decision")
+
+
+@register("b2_score_batch_model")
+def b2_score_batch_model(spark, d):
+    return SC.score_batch(champion_scored(spark, d)).select("loan_id", "probability_of_default", "risk_tier", "credit_grade",
+                                                            "recommended_action", "policy_decision")
+
+
+def _application_inputs(spark, d):
+    from pdforge.plans.catalog_scoring import applications, template
+    m = CM.load_compiled(saved_model(spark, d, "champion"))
+    return applications(spark, d), template(spark, d), lambda rows: m.pd()
+
+
+@register("b4_application_scoring_model")
+def b4_application_scoring_model(spark, d):
+    from pdforge.plans.catalog_scoring import APP_OUT_COLS
+    apps, template, pd_of = _application_inputs(spark, d)
+    return SC.score_applications(apps, template, pd_of).select(*APP_OUT_COLS)
+
+
+@register("b5_scenarios_model")
+def b5_scenarios_model(spark, d):
+    from pdforge.plans.catalog_scoring import template
+    m = CM.load_compiled(saved_model(spark, d, "champion"))
+    out = SC.score_applications(SC.scenario_frame(spark), template(spark, d), lambda rows: m.pd())
+    return out.select("application_id", "scenario", "probability_of_default", "risk_tier", "policy_decision")
+
+
+@register("b6_portfolio_analysis_model")
+def b6_portfolio_analysis_model(spark, d):
+    from pdforge.operators.portfolio import portfolio_summary
+    return portfolio_summary(SC.score_batch(champion_scored(spark, d, "test")))
+
+
+@register("st1_stream_scoring_model")
+def st1_stream_scoring_model(spark, d):
+    """The stream scores arriving applications with the same compiled champion as the batch job."""
+    from pdforge.plans.catalog_scoring import APP_OUT_COLS
+    from pdforge.streaming.scoring_stream import score_application_files
+    apps, template, pd_of = _application_inputs(spark, d)
+    return score_application_files(spark, apps, template, pd_fn=pd_of).select(*APP_OUT_COLS)
+
+
+def _baseline_attribution(spark, d):
+    """(attribution of the fitted baseline, training rows as background; rows of the test year)."""
+    m = CM.load_compiled(saved_model(spark, d, "lr"))
+    f = SP.with_split(features(spark, d), **K.FIXTURE_SPLIT)
+    return m, CM.linear_attribution(m, _split(f, "train")), _split(f, "test")
+
+
+@register("t12_baseline_attribution", OM.ADDITIVE)
+def t12_baseline_attribution(spark, d):
+    """Whether base value and all terms of the fitted baseline (inputs and levels) add up to each row's log-odds."""
+    m, a, test = _baseline_attribution(spark, d)
+    total = F.aggregate(F.transform(a.contributions(), lambda s: s["phi"]), F.lit(a.base_value()), lambda x, y: x + y)
+    return test.select("loan_id", F.coalesce(F.abs(total - m.log_odds) < 1e-6, F.lit(False)).alias("adds_up"))
+
+
+@register("w5_top_features_model")
+def w5_top_features_model(spark, d):
+    """The 15 terms of the fitted baseline with the largest mean absolute attribution."""
+    _, a, test = _baseline_attribution(spark, d)
+    return EX.importance_ranking(EX.mean_abs_attribution(a.explain(test))).limit(15).select("feature", "mean_abs_phi", "importance_rank")
+
+
+@register("w6_top_factors_per_loan_model")
+def w6_top_factors_per_loan_model(spark, d):
+    """Five of all terms of the fitted baseline for each loan, by an in-row sort."""
+    _, a, test = _baseline_attribution(spark, d)
+    return a.top_factors(test, 5)
+
+
 @register("b1_decision_records", OM.DECISIONS)
 def b1_decision_records(spark, d):
     """The decision records, their nested parts as columns."""

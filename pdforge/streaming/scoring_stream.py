@@ -17,12 +17,12 @@ from pdforge.session import scratch_path
 
 
 def scoring_stream(spark: SparkSession, source_dir: str, template, schema=SC.APPLICATION_SCHEMA,
-                   max_files_per_trigger: int = 1000) -> DataFrame:
-    """Streaming DataFrame of scored applications read from ``source_dir``."""
+                   max_files_per_trigger: int = 1000, pd_fn=None) -> DataFrame:
+    """Streaming DataFrame of scored applications read from ``source_dir``; ``pd_fn`` gives the PD column of a model."""
     t = template if isinstance(template, dict) else template.first().asDict()  # one template row
     apps = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
             .parquet(source_dir))
-    return SC.score_applications(apps, t)
+    return SC.score_applications(apps, t, pd_fn)
 
 
 def start_scoring(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, template,
@@ -34,12 +34,12 @@ def start_scoring(spark: SparkSession, source_dir: str, sink_dir: str, checkpoin
     return q.start()
 
 
-def score_application_files(spark: SparkSession, apps: DataFrame, template) -> DataFrame:
+def score_application_files(spark: SparkSession, apps: DataFrame, template, pd_fn=None) -> DataFrame:
     """Land ``apps`` as files, run the stream to completion, return what the sink holds."""
     src = scratch_path(spark, "apps_in")
     apps.write.mode("overwrite").parquet(src)
     sink, chk = scratch_path(spark, "apps_scored"), scratch_path(spark, "apps_chk")
     schema = spark.read.parquet(src).schema
-    q = start_scoring(spark, src, sink, chk, template, schema=schema)
+    q = start_scoring(spark, src, sink, chk, template, schema=schema, pd_fn=pd_fn)
     q.awaitTermination()
     return spark.read.parquet(sink)
