@@ -34,7 +34,7 @@ N = 5
 #: Link when 100 * common >= PERCENT * union, that is 7 * common >= 3 * (sum of sizes) at 75.
 PERCENT = 75
 FREQUENT, FREQUENT_MOST, BLOCK, FILTER_BITS = 32, 200_000, 512, 1 << 22
-STAR_ROUNDS, HUBS, HUB_LISTS = 2, 8, 2
+STAR_ROUNDS, HUBS, HUB_LISTS, BEFORE = 2, 8, 2, 6
 #: Added to the block numbers of a list that is dealt out.
 SPLIT = 1 << 30
 NO_ID = 1 << 62
@@ -393,13 +393,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = told.unionByName(told.select(F.col("z").alias("x"), F.col("x").alias("z"), "common"))
     mixed = mixed.join(told.select(F.col("x").alias("f"), F.col("z").alias("c"), F.col("common").alias("o")).hint("merge"), ["f", "c"], "left")
     mixed = mixed.join(classes.select(F.col("f1").alias("f"), F.col("n").alias("n_"), *BITS).hint("merge"), "f").where("n = n_")
-    mixed = stored(mixed.select("g", "f", "n", "pos", "c", "comp", *BITS, F.when(F.col("f") == F.col("c"), F.col("n")).otherwise(F.col("o")).alias("o")), "nj-mixed")
+    # the lists of a class just before this one: a pair that shares one of them is looked at there, where there is more room
+    own = Window.partitionBy("f").orderBy("pos", "g")
+    mixed = mixed.withColumn("before", F.array(*[F.lag("g", k).over(own) for k in range(1, BEFORE + 1)]))
+    mixed = stored(mixed.select("g", "f", "n", "pos", "c", "comp", "before", *BITS, F.when(F.col("f") == F.col("c"), F.col("n")).otherwise(F.col("o")).alias("o")), "nj-mixed")
     s, t = mixed.alias("s"), mixed.alias("t")
     need = 3 * (F.col("s.n") + F.col("t.n"))
     bound = F.least(F.col("s.o") + F.col("t.n") - F.col("t.o"), F.col("t.o") + F.col("s.n") - F.col("s.o"))
     differ = sum((F.bit_count(F.col(f"s.{b}").bitwiseXOR(F.col(f"t.{b}"))) for b in BITS), F.lit(0))
     rest = s.join(t, (F.col("s.g") == F.col("t.g")) & (F.col("s.f") < F.col("t.f")) & (F.col("s.comp") != F.col("t.comp"))
                   & _room(F.col("s.n"), F.col("s.pos"), F.col("t.n"), F.col("t.pos"))
+                  & ~F.coalesce(F.arrays_overlap("s.before", "t.before"), F.lit(False))
                   & (7 * differ <= F.col("s.n") + F.col("t.n"))
                   & ((F.col("s.c") != F.col("t.c")) | bound.isNull() | (7 * bound >= need))) \
         .select(F.col("s.f").alias("x"), F.col("t.f").alias("z")).distinct().join(known.select("x", "z"), ["x", "z"], "left_anti")
