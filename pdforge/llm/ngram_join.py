@@ -22,6 +22,9 @@ and more are reserved for this); an empty table gives an empty table; columns ot
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ N = 5
 #: Link when 100 * common >= PERCENT * union, that is 7 * common >= 3 * (sum of sizes) at 75.
 PERCENT = 75
 FREQUENT, FREQUENT_MOST, BLOCK, FILTER_BITS = 32, 200_000, 512, 1 << 22
-STAR_ROUNDS, HUBS, HUB_LISTS, BEFORE = 2, 8, 2, 6
+STAR_ROUNDS, HUBS, HUB_LISTS, BEFORE = 2, 8, 2, 3
 #: Added to the block numbers of a list that is dealt out.
 SPLIT = 1 << 30
 NO_ID = 1 << 62
@@ -369,7 +372,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             first = heads.groupBy("g").agg(F.min("f").alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "h")
             star = star.unionByName(heads.join(first, "g").where("f != h").select(*pair(F.col("f"), F.col("h"))))
         else:
-            star = _more_stars(_mixed(lists, comp), turn).select(*pair(F.col("f"), F.col("h")))
+            star = _more_stars(_mixed(lists.select("g", "block", "f", "n"), comp), turn).select(*pair(F.col("f"), F.col("h")))
         star = star.distinct()
         if known is not None:
             star = star.join(known.select("x", "z"), ["x", "z"], "left_anti")
@@ -388,22 +391,24 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             return rows, None
         known = docs.sparkSession.createDataFrame([], "x long, z long, common long, linked boolean")
     # what is left: pairs of a list in different components, bounded by positions and by what the leader tells
-    mixed = _mixed(lists, comp)
+    mixed = _mixed(lists.select("g", "f", "n", "pos", "c"), comp)
     told = known.select("x", "z", "common")
     told = told.unionByName(told.select(F.col("z").alias("x"), F.col("x").alias("z"), "common"))
     mixed = mixed.join(told.select(F.col("x").alias("f"), F.col("z").alias("c"), F.col("common").alias("o")).hint("merge"), ["f", "c"], "left")
     mixed = mixed.join(classes.select(F.col("f1").alias("f"), F.col("n").alias("n_"), *BITS).hint("merge"), "f").where("n = n_")
     # the lists of a class just before this one: a pair that shares one of them is looked at there, where there is more room
     own = Window.partitionBy("f").orderBy("pos", "g")
-    mixed = mixed.withColumn("before", F.array(*[F.lag("g", k).over(own) for k in range(1, BEFORE + 1)]))
-    mixed = stored(mixed.select("g", "f", "n", "pos", "c", "comp", "before", *BITS, F.when(F.col("f") == F.col("c"), F.col("n")).otherwise(F.col("o")).alias("o")), "nj-mixed")
+    last = [f"q{k}" for k in range(1, BEFORE + 1)]
+    mixed = mixed.withColumns({q: F.lag("g", k).over(own) for k, q in enumerate(last, 1)})
+    mixed = stored(mixed.select("g", "f", "n", "pos", "c", "comp", *last, *BITS, F.when(F.col("f") == F.col("c"), F.col("n")).otherwise(F.col("o")).alias("o")), "nj-mixed")
     s, t = mixed.alias("s"), mixed.alias("t")
     need = 3 * (F.col("s.n") + F.col("t.n"))
     bound = F.least(F.col("s.o") + F.col("t.n") - F.col("t.o"), F.col("t.o") + F.col("s.n") - F.col("s.o"))
     differ = sum((F.bit_count(F.col(f"s.{b}").bitwiseXOR(F.col(f"t.{b}"))) for b in BITS), F.lit(0))
+    earlier = F.coalesce(reduce(or_, (F.col(f"s.{a}") == F.col(f"t.{b}") for a in last for b in last)), F.lit(False))
     rest = s.join(t, (F.col("s.g") == F.col("t.g")) & (F.col("s.f") < F.col("t.f")) & (F.col("s.comp") != F.col("t.comp"))
                   & _room(F.col("s.n"), F.col("s.pos"), F.col("t.n"), F.col("t.pos"))
-                  & ~F.coalesce(F.arrays_overlap("s.before", "t.before"), F.lit(False))
+                  & ~earlier
                   & (7 * differ <= F.col("s.n") + F.col("t.n"))
                   & ((F.col("s.c") != F.col("t.c")) | bound.isNull() | (7 * bound >= need))) \
         .select(F.col("s.f").alias("x"), F.col("t.f").alias("z")).distinct().join(known.select("x", "z"), ["x", "z"], "left_anti")
@@ -438,7 +443,7 @@ def _more_stars(mixed: DataFrame, turn: int) -> DataFrame:
     t = stored(mixed.join(big, key), "nj-stars")
     order = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(turn), "f"), "f")
     hubs = (t.where("comp = big").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS)
-            .select(*key, F.col("f").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hpos")))
+            .select(*key, F.col("f").alias("h"), F.col("n").alias("hn")))
     own = Window.partitionBy("f").orderBy(F.desc("total"), F.xxhash64(F.lit(turn), "g"), "g")
     out = t.where("comp != big").withColumn("r", F.row_number().over(own)).where(F.col("r") <= HUB_LISTS)
     return out.join(hubs, key).where(4 * F.least("n", "hn") >= 3 * F.greatest("n", "hn")).select("f", "h")
