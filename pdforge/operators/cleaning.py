@@ -1,9 +1,8 @@
 """Cleaning operators: target, resolved-loan filter, parsing, imputation,
 capping, encoding — and the fitted statistics they need.
 
-Fitted statistics (54 medians, 8 caps) come from one distributed count table
-(``stats.value_counts_long``), checkpointed once and read three times; the
-resulting scalars (one per column, a bounded set) are turned into literals so
+Fitted statistics (54 medians, 8 caps) are exact order statistics found by
+sketching all columns at once (``stats.values_at_ranks``); the resulting scalars (one per column, a bounded set) are turned into literals so
 that applying them is a single projection with no join.
 """
 
@@ -18,8 +17,7 @@ from pyspark.sql import types as T
 from pdforge import constants as K
 from pdforge.functions import encoding, parsing
 from pdforge.operators import columns as C
-from pdforge.operators.stats import quantile_values, value_counts_long
-from pdforge.session import cut_lineage
+from pdforge.operators.stats import interpolation_ranks, sketch_columns, values_at_ranks
 
 RESOLVED_STATUSES = K.DEFAULT_STATUSES + K.NON_DEFAULT_STATUSES
 
@@ -97,26 +95,49 @@ def fit_statistics(df: DataFrame, median_cols=None, cap_cols=None, cap_q: float
                    **kw) -> CleaningStats:
     """Medians of the median columns, then caps at ``cap_q`` of the imputed values.
 
-    One checkpointed (column, value, count) table feeds both passes; the cap
-    pass adds each column's null count at its median instead of re-reading rows.
+    One sketch pass over all columns, one count pass and one pass over the values
+    near the wanted ranks (``stats.values_at_ranks``); no column is unpivoted. A
+    cap's rank counts the imputed rows too: they all sit at the median, so the
+    imputed column's value at a rank is one of two values of the column itself,
+    or the median.
     """
-    median_cols = [c for c in (median_cols or K.MEDIAN_FILL_COLUMNS) if c in df.columns]
-    cap_cols = [c for c in (cap_cols or K.CAP_COLUMNS) if c in df.columns]
+    median_cols = [c for c in (K.MEDIAN_FILL_COLUMNS if median_cols is None else median_cols) if c in df.columns]
+    cap_cols = [c for c in (K.CAP_COLUMNS if cap_cols is None else cap_cols) if c in df.columns]
     all_cols = list(dict.fromkeys(median_cols + cap_cols))
     if not all_cols:
         return CleaningStats({}, {})
-    counts = cut_lineage(value_counts_long(df, all_cols))
-    med = quantile_values(counts.where(F.col("column").isin(*median_cols)), [0.5], **kw) if median_cols else {}
-    medians = {c: med.get((c, 0.5)) for c in median_cols}
-    caps = {}
-    if cap_cols:
-        pairs = [x for c in cap_cols if medians.get(c) is not None for x in (F.lit(c), F.lit(medians[c]))]
-        fill = F.try_element_at(F.create_map(*pairs), F.col("column")) if pairs else F.lit(None).cast("double")
-        imputed = (counts.where(F.col("column").isin(*cap_cols))
-                   .select("column", F.coalesce(F.col("v"), fill).alias("v"), "c")
-                   .groupBy("column", "v").agg(F.sum("c").alias("c")))
-        q = quantile_values(imputed, [cap_q], **kw)
-        caps = {c: q.get((c, float(cap_q))) for c in cap_cols}
+    sketches = sketch_columns(df, all_cols, **{k: v for k, v in kw.items() if k != "finish_rows"})
+    ranks = {c: set() for c in all_cols}
+    med_at, cap_at = {}, {}
+    for c in median_cols:
+        if sketches[c].n:
+            med_at[c] = interpolation_ranks(sketches[c].n, 0.5)
+            ranks[c] |= set(med_at[c][1:])
+    for c in cap_cols:
+        n = sketches[c].n
+        if n:
+            filled = sketches[c].rows - n if c in median_cols else 0
+            cap_at[c] = (filled, *interpolation_ranks(n + filled, cap_q))
+            ranks[c] |= {x for r in cap_at[c][2:] for x in (r, r - filled) if 0 <= x < n}
+    found = values_at_ranks(df, ranks, sketches, **kw)
+
+    def between(h, lo, low, high):
+        return low + (h - lo) * (high - low)
+
+    medians = {c: between(med_at[c][0], med_at[c][1], found[(c, med_at[c][1])], found[(c, med_at[c][2])])
+               if c in med_at else None for c in median_cols}
+
+    def imputed_at(c, r, filled):
+        if not filled:
+            return found[(c, r)]
+        m, before, after = medians[c], found.get((c, r)), found.get((c, r - filled))
+        if before is not None and before < m:
+            return before
+        return after if after is not None and after > m else m
+
+    caps = {c: None for c in cap_cols}
+    for c, (filled, h, lo, hi) in cap_at.items():
+        caps[c] = between(h, lo, imputed_at(c, lo, filled), imputed_at(c, hi, filled))
     return CleaningStats(medians, caps)
 
 

@@ -23,6 +23,7 @@ from pdforge.operators import scoring as SC
 from pdforge.operators import splits as SP
 from pdforge.plans import oracle as O
 from pdforge.plans.cleaning_job import cleaning_statistics, run_cleaning, target_distribution
+from pdforge.session import materialize
 from pdforge.sources.fixtures import raw_loans
 
 QUERIES: dict = {}
@@ -49,8 +50,13 @@ def prepared(spark, d) -> DataFrame:
     return CL.impute_fixed(CL.prepare_for_imputation(raw(spark, d)))
 
 
-def cleaned(spark, d) -> DataFrame:
-    return run_cleaning(raw(spark, d), materialize_raw=True).cleaned
+def cleaned(spark, d, columns: list | None = None) -> DataFrame:
+    return run_cleaning(raw(spark, d), columns=columns).cleaned
+
+
+def prepared_columns(spark, d, columns: list) -> DataFrame:
+    """The named prepared columns, written once: the passes that fit them do not repeat the raw joins."""
+    return materialize(prepared(spark, d).select(*columns), "prepared_columns")
 
 
 def resolved(spark, d) -> DataFrame:
@@ -58,12 +64,21 @@ def resolved(spark, d) -> DataFrame:
     return CL.prepare_for_imputation(raw(spark, d))
 
 
-def features(spark, d) -> DataFrame:
-    return FE.add_features(cleaned(spark, d))
+def features(spark, d, columns: list | None = None) -> DataFrame:
+    return FE.add_features(cleaned(spark, d, columns))
+
+
+#: What the formula PD, the policy rules and the four mandatory features read.
+SCORED_COLUMNS = ["loan_id", "target", "issue_year", "loan_amnt", "annual_inc", "dti", "revol_bal", "revol_util",
+                  "inq_last_6mths", "delinq_2yrs"]
+
+
+def score_features(spark, d) -> DataFrame:
+    return features(spark, d, SCORED_COLUMNS)
 
 
 def scored(spark, d) -> DataFrame:
-    f = SP.with_split(features(spark, d), **K.FIXTURE_SPLIT)
+    f = SP.with_split(score_features(spark, d), **K.FIXTURE_SPLIT)
     return SC.score_batch(SC.with_formula_pd(f))
 
 
@@ -72,7 +87,7 @@ def scored_split(spark, d, name: str, feats: DataFrame | None = None) -> DataFra
 
     Pass ``feats`` to reuse one cleaning run for several splits of the same query.
     """
-    f = feats if feats is not None else features(spark, d)
+    f = feats if feats is not None else score_features(spark, d)
     f = SP.with_split(f.where(SP.split_predicate(name, **K.FIXTURE_SPLIT)), **K.FIXTURE_SPLIT)
     return SC.score_batch(SC.with_formula_pd(f))
 
@@ -271,7 +286,7 @@ def f7_class_counts(spark, d):
 @register("j1_keyed_concat", sql_from("scored", f"""SELECT f.loan_id, f.target, f.loan_amnt, s.probability_of_default, s.risk_tier
 FROM features f JOIN scored s ON f.loan_id = s.loan_id WHERE f.issue_year = {K.FIXTURE_TEST_YEAR}"""))
 def j1_keyed_concat(spark, d):
-    feats = features(spark, d)
+    feats = score_features(spark, d)
     f = feats.where(F.col("issue_year") == K.FIXTURE_TEST_YEAR).select("loan_id", "target", "loan_amnt")
     s = SC.score_batch(SC.with_formula_pd(SP.with_split(feats, **K.FIXTURE_SPLIT))).select("loan_id", "probability_of_default", "risk_tier")
     return f.join(s, "loan_id")
@@ -324,8 +339,8 @@ def j4_leakage_report(spark, d):
 @register("j5_scalar_broadcast", W("cleaned") + """SELECT p.loan_id, p.annual_inc, m.annual_inc AS annual_inc_median,
   coalesce(p.annual_inc, m.annual_inc) AS annual_inc_filled FROM prepared p, med m""")
 def j5_scalar_broadcast(spark, d):
-    p = prepared(spark, d)
-    stats = CL.fit_statistics(p, median_cols=["annual_inc"], cap_cols=["annual_inc"])
+    p = prepared_columns(spark, d, ["loan_id", "annual_inc"])
+    stats = CL.fit_statistics(p, median_cols=["annual_inc"], cap_cols=[])
     m = stats.medians["annual_inc"]
     return p.select("loan_id", "annual_inc", F.lit(m).alias("annual_inc_median"),
                     F.coalesce("annual_inc", F.lit(m)).alias("annual_inc_filled"))
@@ -361,12 +376,14 @@ A4_SQL = W("cleaned") + " UNION ALL ".join(
 
 @register("a3_medians", A3_SQL)
 def a3_medians(spark, d):
-    return CL.fit_statistics_frame(prepared(spark, d)).select("column", "median")
+    p = prepared_columns(spark, d, O.MEDIAN_COLS)
+    return CL.fit_statistics_frame(p, cap_cols=[]).select("column", "median")
 
 
 @register("a4_cap_quantiles", A4_SQL)
 def a4_cap_quantiles(spark, d):
-    return CL.fit_statistics_frame(prepared(spark, d)).where(F.col("column").isin(*O.CAP_COLS)).select("column", "cap")
+    p = prepared_columns(spark, d, O.CAP_COLS)
+    return CL.fit_statistics_frame(p, median_cols=[c for c in O.MEDIAN_COLS if c in O.CAP_COLS]).select("column", "cap")
 
 
 A5_SQL = W("raw_loans") + "SELECT " + ", ".join(f"count(*) - count({c}) AS {c}" for c in RAW_COLUMN_NAMES) + " FROM raw_loans"

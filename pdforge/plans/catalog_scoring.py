@@ -19,6 +19,7 @@ from pdforge.operators import scoring as SC
 from pdforge.operators import splits as SP
 from pdforge.plans import oracle as O
 from pdforge.plans.catalog import (SPLIT_SQL, TIER_RANK_SQL, W, _portfolio_sql, cleaned, features, labelled,
+                                   prepared_columns, score_features,
                                    prepared, raw, register, resolved, scored, scored_split, test_scored)
 
 # ---------------------------------------------------------------------------
@@ -68,8 +69,8 @@ X7_SQL = W("cleaned") + "SELECT p.loan_id, " + ", ".join(
 
 @register("x7_median_fill", X7_SQL)
 def x7_median_fill(spark, d):
-    p = prepared(spark, d)
-    stats = CL.fit_statistics(p)
+    p = prepared_columns(spark, d, ["loan_id", *O.MEDIAN_COLS])
+    stats = CL.fit_statistics(p, cap_cols=[])
     return CL.impute_medians(p, stats).select("loan_id", *O.MEDIAN_COLS)
 
 
@@ -80,7 +81,7 @@ X8_SQL = W("cleaned") + "SELECT p.loan_id, " + ", ".join(
 
 @register("x8_cap_outliers", X8_SQL)
 def x8_cap_outliers(spark, d):
-    p = prepared(spark, d)
+    p = prepared_columns(spark, d, ["loan_id", *O.CAP_COLS])
     stats = CL.fit_statistics(p)
     return CL.cap_outliers(CL.impute_medians(p, stats), stats).select("loan_id", *O.CAP_COLS)
 
@@ -107,10 +108,17 @@ FEATURE_IDS = {"income_to_loan": 11, "loan_pct_of_income": 12, "monthly_debt_dol
                "credit_util_x_balance": 14, "delinq_score": 15, "inquiry_score": 16, "open_acct_ratio": 17,
                "balance_vs_income": 18, "credit_age_group": 19, "revol_bal_vs_limit": 20}
 
+# what the ten features read
+FEATURE_READS = ["loan_amnt", "annual_inc", "dti", "revol_bal", "revol_util", "delinq_2yrs", "pub_rec",
+                 "num_accts_ever_120_pd", "inq_last_6mths", "inq_last_12m", "open_acc", "total_acc", "tot_cur_bal",
+                 "credit_history_months", "total_rev_hi_lim"]
+
 
 def _feature_query(name):
     def q(spark, d):
-        return features(spark, d).select("loan_id", name)
+        if name == "credit_age_group":  # reads no fitted column
+            return resolved(spark, d).select("loan_id", FE.credit_age_group().alias(name))
+        return features(spark, d, ["loan_id", *FEATURE_READS]).select("loan_id", name)
     q.__name__ = f"x{FEATURE_IDS[name]}_{name}"
     return q
 
@@ -311,7 +319,7 @@ M9_SQL = (W("scored") + curve_ctes("split = 'val'", "_v") + metrics_sql("vt", "_
 
 @register("m9_metric_bundle", M9_SQL)
 def m9_metric_bundle(spark, d):
-    feats = features(spark, d)
+    feats = score_features(spark, d)
     val = labelled(scored_split(spark, d, "val", feats))
     test = labelled(scored_split(spark, d, "test", feats))
     t = M.youden_threshold(val, "label", "score")
@@ -336,7 +344,7 @@ ATTR = list(K.FORMULA_PD_COEFS)
 
 
 def attribution_model(spark, d):
-    feats = features(spark, d)
+    feats = score_features(spark, d)
     model = EX.LinearAttribution.fit(scored_split(spark, d, "train", feats), K.FORMULA_PD_COEFS,
                                      K.FORMULA_PD_INTERCEPT)
     return model, scored_split(spark, d, "test", feats)
@@ -583,7 +591,7 @@ def _bundle(spark, d, score_col, feats):
 
 @register("j2_metric_comparison", J2_SQL)
 def j2_metric_comparison(spark, d):
-    feats = features(spark, d)
+    feats = score_features(spark, d)
     baseline = _bundle(spark, d, F.col("probability_of_default"), feats)
     challenger = _bundle(spark, d, F.col("dti").cast("double") / 100.0, feats)
     return M.compare_models(baseline, challenger)

@@ -1,9 +1,9 @@
 """The cleaning job and the feature job as DataFrame plans.
 
 Job shape: one scan -> projections/filters (pushed into the scan) -> one
-checkpointed count table for the fitted statistics (3 small jobs over it) ->
-one projection applying literals -> one global null-count -> write. Features
-are a single extra projection.
+written table of the wanted columns -> sketches, counts and near-rank values
+for the fitted statistics -> one projection applying literals -> one global
+null-count -> write. Features are a single extra projection.
 """
 
 from __future__ import annotations
@@ -28,20 +28,20 @@ class CleaningResult:
 
 
 def run_cleaning(raw: DataFrame, fit_on: Column | None = None, drop_all_null: bool = True,
-                 materialize_prepared: bool = True, materialize_raw: bool = False, **kw) -> CleaningResult:
+                 materialize_prepared: bool = True, columns: list | None = None, **kw) -> CleaningResult:
     """B7 without the sink: returns the cleaned DataFrame and its fitted statistics.
 
     ``fit_on`` restricts the rows used to fit medians / caps (default: all
     resolved loans, as in the original; e.g. ``F.col('issue_year') <= 1999``
     fits on the training years only).
 
-    ``materialize_raw`` first lands a derived raw table as Parquet (the ingest
-    step of the original flow): the resolved-status filter is then pushed into
-    that scan instead of being evaluated above the joins that derive it.
+    ``columns`` names the prepared columns that the caller goes on to read: only
+    these are derived, written, fitted and checked for nulls. A column's statistics
+    depend on no other column, so the values are those of the full run.
     """
-    if materialize_raw:
-        raw = materialize(raw, "raw_loans")
     prepared = CL.prepare_for_imputation(raw)
+    if columns is not None:
+        prepared = prepared.select(*[c for c in prepared.columns if c in set(columns)])
     if materialize_prepared:
         # one pass over the raw joins; stats, null check and the output all read this table
         prepared = materialize(prepared, "prepared_loans")

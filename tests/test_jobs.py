@@ -59,7 +59,7 @@ def test_cleaning_statistics_partition_independent(spark):
     from pdforge.sources.fixtures import raw_loans
     p = CL.impute_fixed(CL.prepare_for_imputation(raw_loans(spark, SF001)))
     a = CL.fit_statistics(p.repartition(1))
-    b = CL.fit_statistics(p.repartition(7), rows_per_bucket=5)
+    b = CL.fit_statistics(p.repartition(7), finish_rows=5, grid=4, accuracy=50)
     assert a == b
 
 

@@ -74,7 +74,7 @@ def test_exact_quantiles_match_numpy(spark):
     b = np.where(rng.random(1001) < 0.2, np.nan, rng.integers(0, 5, 1001).astype(float))
     rows = [(float(x), None if np.isnan(y) else float(y)) for x, y in zip(a, b)]
     df = spark.createDataFrame(rows, "a double, b double")
-    for kw in ({}, {"rows_per_bucket": 50}):
+    for kw in ({}, {"finish_rows": 20, "grid": 8, "accuracy": 50}):
         q = {(r.column, r.p): r.value for r in exact_quantiles(df, ["a", "b"], [0.5, 0.995], **kw).collect()}
         assert q[("a", 0.5)] == pytest.approx(np.percentile(a, 50), abs=1e-9)
         assert q[("a", 0.995)] == pytest.approx(np.percentile(a, 99.5), abs=1e-9)

@@ -21,8 +21,8 @@ def test_null_class_stays_in_bucketed_ranks(spark):
     from pdforge.operators.splits import stratified_folds, stratified_sample
 
     df = spark.range(1000).select(F.col("id").alias("loan_id"), F.when(F.col("id") >= 100, F.col("id") % 2).alias("target"))
-    assert stratified_folds(df, rows_per_bucket=50).count() == 1000
-    got = {r["target"]: r["count"] for r in stratified_sample(df, 100, rows_per_bucket=50).groupBy("target").count().collect()}
+    assert stratified_folds(df, finish_rows=20, grid=8, accuracy=50).count() == 1000
+    got = {r["target"]: r["count"] for r in stratified_sample(df, 100, finish_rows=20, grid=8, accuracy=50).groupBy("target").count().collect()}
     assert got == {None: 10, 0: 45, 1: 45}
 
 

@@ -20,7 +20,7 @@ def _skewed(n=6000, seed=5):
 def test_quantiles_with_hot_value(spark):
     v = _skewed()
     df = spark.createDataFrame([(float(x),) for x in v], "x double").repartition(8)
-    for kw in ({}, {"rows_per_bucket": 100}):
+    for kw in ({}, {"finish_rows": 50, "grid": 8, "accuracy": 50}):
         q = {r.p: r.value for r in exact_quantiles(df, ["x"], [0.1, 0.5, 0.995], **kw).collect()}
         for p in (0.1, 0.5, 0.995):
             assert q[p] == pytest.approx(np.percentile(v, p * 100), abs=1e-9)
@@ -43,7 +43,7 @@ def test_curve_with_hot_score(spark):
 def test_stratified_sample_exact_size_and_mix(spark):
     rows = [(i, 1 if i % 10 == 0 else 0) for i in range(5000)]
     df = spark.createDataFrame(rows, "loan_id long, target int").repartition(8)
-    s = SP.stratified_sample(df, 1000, rows_per_bucket=200)
+    s = SP.stratified_sample(df, 1000, finish_rows=20, grid=8, accuracy=50)
     counts = {r.target: r["count"] for r in s.groupBy("target").count().collect()}
     assert sum(counts.values()) == 1000 and counts[1] == 100
 
@@ -54,7 +54,7 @@ def test_samples_do_not_depend_on_partitioning(spark):
     b = {r.loan_id for r in SP.deterministic_sample(df.repartition(8), 100).collect()}
     assert a == b and len(a) == 100
     fa = {(r.loan_id, r.fold) for r in SP.stratified_folds(df.repartition(1), 5).collect()}
-    fb = {(r.loan_id, r.fold) for r in SP.stratified_folds(df.repartition(8), 5, rows_per_bucket=100).collect()}
+    fb = {(r.loan_id, r.fold) for r in SP.stratified_folds(df.repartition(8), 5, finish_rows=20, grid=8, accuracy=50).collect()}
     assert fa == fb
 
 
