@@ -63,6 +63,20 @@ def parse_dates(df: DataFrame) -> DataFrame:
     return C.drop_raw_dates(out)
 
 
+#: Columns that the cleaning parses, fills or caps.
+REQUIRED_COLUMNS = list(dict.fromkeys(
+    ["loan_status", "term", "emp_length", "issue_d", "earliest_cr_line"] + K.NEVER_HAPPENED_COLUMNS
+    + K.ZERO_FILL_COLUMNS + K.MEDIAN_FILL_COLUMNS + K.CAP_COLUMNS))
+
+
+def require_columns(raw: DataFrame, columns=None) -> DataFrame:
+    """``raw`` itself, or one error that names every column the cleaning would miss."""
+    missing = [c for c in (REQUIRED_COLUMNS if columns is None else columns) if c not in raw.columns]
+    if missing:
+        raise ValueError(f"missing columns {missing}")
+    return raw
+
+
 def prepare_for_imputation(raw: DataFrame) -> DataFrame:
     """Stages before the first global statistic: drop, target, filter, de-leak, parse."""
     raw_cols = list(raw.columns)

@@ -126,6 +126,30 @@ def s1_csv_scan(spark, d):
     return io.read_loans_csv(spark, path).select(*CSV_COLS)
 
 
+def _broken_csv(spark, d) -> str:
+    """The loans as CSV with the columns in another order and an unparsable income in every tenth loan."""
+    from pdforge.sources import io
+    rows = raw(spark, d).select(*CSV_COLS).withColumn(
+        "annual_inc", F.when(F.col("loan_id") % 10 == 3, F.lit("n/a")).otherwise(F.col("annual_inc").cast("string")))
+    return io.write_scratch(rows.select(*reversed(CSV_COLS)), "csv", "broken_csv")
+
+
+@register("s1_csv_contract", sql_from("raw_loans", """SELECT loan_id, loan_status, issue_d, dti,
+  CASE WHEN loan_id % 10 <> 3 THEN annual_inc END AS annual_inc, loan_id % 10 = 3 AS is_bad FROM raw_loans"""))
+def s1_csv_contract(spark, d):
+    from pdforge.sources import io
+    rows = io.read_loans_csv(spark, _broken_csv(spark, d), required=CSV_COLS, keep_bad=True)
+    return rows.select("loan_id", "loan_status", "issue_d", "dti", "annual_inc",
+                       F.col(io.CORRUPT).isNotNull().alias("is_bad"))
+
+
+@register("s1_csv_bad_cells", sql_from("raw_loans", """SELECT unnest(['loan_id', 'loan_amnt', 'annual_inc', 'dti']) AS "column",
+  unnest([0, 0, count(*) FILTER (WHERE loan_id % 10 = 3), 0]) AS bad_cells FROM raw_loans"""))
+def s1_csv_bad_cells(spark, d):
+    from pdforge.sources import io
+    return io.csv_bad_cells(spark, _broken_csv(spark, d))
+
+
 @register("s6_parquet_read", sql_from("raw_loans", "SELECT * FROM raw_loans"))
 def s6_parquet_read(spark, d):
     from pdforge.sources import io

@@ -28,7 +28,8 @@ class CleaningResult:
 
 
 def run_cleaning(raw: DataFrame, fit_on: Column | None = None, drop_all_null: bool = True,
-                 materialize_prepared: bool = True, columns: list | None = None, **kw) -> CleaningResult:
+                 materialize_prepared: bool = True, columns: list | None = None, strict: bool = False,
+                 **kw) -> CleaningResult:
     """B7 without the sink: returns the cleaned DataFrame and its fitted statistics.
 
     ``fit_on`` restricts the rows used to fit medians / caps (default: all
@@ -38,7 +39,12 @@ def run_cleaning(raw: DataFrame, fit_on: Column | None = None, drop_all_null: bo
     ``columns`` names the prepared columns that the caller goes on to read: only
     these are derived, written, fitted and checked for nulls. A column's statistics
     depend on no other column, so the values are those of the full run.
+
+    ``strict`` refuses a raw table that lacks a column to fill or cap; otherwise
+    such a column is left out.
     """
+    if strict:
+        CL.require_columns(raw)
     prepared = CL.prepare_for_imputation(raw)
     if columns is not None:
         prepared = prepared.select(*[c for c in prepared.columns if c in set(columns)])

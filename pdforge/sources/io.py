@@ -15,8 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pdforge import constants as K
 from pdforge.session import scratch_path
 
+#: Column that holds the source line of a row with an unparsable cell.
+CORRUPT = "_bad_line"
+
 RAW_LOAN_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("member_id", T.StringType()),
     T.StructField("url", T.StringType()), T.StructField("policy_code", T.DoubleType()),
@@ -51,15 +55,66 @@ def write_scratch(df: DataFrame, fmt: str, name: str, **options) -> str:
     return path
 
 
-def read_loans_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a declared schema; unparsable cells -> null (PERMISSIVE)."""
-    schema = schema or RAW_LOAN_SCHEMA
-    if isinstance(schema, T.StructType):
-        header_cols = spark.read.option("header", True).csv(path).columns
-        fields = {f.name: f for f in schema.fields}
-        schema = T.StructType([fields.get(c, T.StructField(c, T.StringType())) for c in header_cols])
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+def loan_schema() -> T.StructType:
+    """Types of every raw column the cleaning names: the declared ones, and double for all it fills or caps."""
+    numeric = dict.fromkeys(K.NEVER_HAPPENED_COLUMNS + K.ZERO_FILL_COLUMNS + K.MEDIAN_FILL_COLUMNS + K.CAP_COLUMNS)
+    declared = set(RAW_LOAN_SCHEMA.names)
+    return T.StructType(RAW_LOAN_SCHEMA.fields + [T.StructField(c, T.DoubleType()) for c in numeric if c not in declared])
+
+
+def _csv_header(spark: SparkSession, path: str, required) -> list[str]:
+    """The header's names; one error names every repeated and every missing column."""
+    rows = (spark.read.option("header", False).option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).csv(path).limit(1).collect())  # the first line alone
+    names = list(rows[0]) if rows else []
+    twice = sorted({str(c) for c in names if names.count(c) > 1 or c in (None, "", CORRUPT)})
+    missing = [c for c in required if c not in names]
+    if twice or missing:
+        raise ValueError("; ".join([f"{path}: " + t for t in (
+            twice and f"repeated, empty or reserved columns {twice}", missing and f"missing columns {missing}") if t]))
+    return names
+
+
+def _csv_reader(spark: SparkSession, schema: T.StructType):
+    # enforceSchema off: every file's header is compared with the schema, so a part file whose
+    # columns stand in another order is an error instead of values under wrong names
+    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
+def read_loans_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, required=(),
+                   keep_bad: bool = False) -> DataFrame:
+    """CSV with declared types, columns found by the header's names.
+
+    Columns may stand in any order; undeclared ones are text. Unparsable cells become
+    null; ``keep_bad`` adds the source line of rows with one among the columns that are
+    read (``_bad_line``, else null). A missing ``required`` column, a repeated name or a
+    file with another header is an error.
+    """
+    fields = {f.name: f for f in (schema or loan_schema()).fields}
+    names = _csv_header(spark, path, required)
+    typed = [fields.get(c, T.StructField(c, T.StringType())) for c in names]
+    if keep_bad:
+        typed.append(T.StructField(CORRUPT, T.StringType()))
+    return _csv_reader(spark, T.StructType(typed)).csv(path)
+
+
+def csv_bad_cells(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """S1's data check: (column, bad_cells) of every typed column, non-empty text that is not of its type.
+
+    One aggregate over the text of the file; columns without a bad cell are reported with 0.
+    """
+    fields = {f.name: f for f in (schema or loan_schema()).fields}
+    names = _csv_header(spark, path, ())
+    text = _csv_reader(spark, T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(path)
+    typed = [c for c in names if c in fields and not isinstance(fields[c].dataType, T.StringType)]
+    if not typed:
+        return spark.createDataFrame([], "column string, bad_cells long")
+    bad = text.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(fields[c].dataType).isNull()).alias(f"n{i}")
+                     for i, c in enumerate(typed)])
+    return bad.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("bad_cells"))
+                                         for i, c in enumerate(typed)])))
 
 
 def csv_to_parquet(spark: SparkSession, csv_path: str, out_path: str) -> dict:
