@@ -3,7 +3,9 @@
 A phrase that may differ by k edits is cut into k + 1 pieces: by the pigeonhole principle any occurrence with at
 most k edits holds one piece unchanged. One Aho-Corasick automaton over all pieces locates candidates in the text
 reduced to its words; around each, exact places are read off, and the regex library's bounded-error matching
-(``{e<=k}``, the next match, improved) verifies the rest at word borders and reports span and edits.
+(``{e<=k}``, the next match, improved) verifies the rest at word borders and reports span and edits. A short word that alone tells a phrase from another
+label's ("mit license", "bsd license") must begin a matched word: "mitt license" may pass for a slip, "bad license"
+and "emit license" name no licence.
 
 Defined results: null text counts as empty (0 words, no spans); places are counted as often as they occur; rows are
 independent, so repeated rows repeat their result and an empty table gives an empty table; other columns are not read.
@@ -42,6 +44,21 @@ def seeds(phrase: str, edits: int) -> list[tuple[int, str]]:
     return [(a, phrase[a:b]) for a, b in zip(at, at[1:])]
 
 
+def telling_words(phrases: list[tuple[str, str]], longest: int = 3) -> list[set[str]]:
+    """Per (phrase, label): its words of at most ``longest`` letters that alone tell it from another label's phrase."""
+    out = []
+    for p, label in phrases:
+        words, telling = p.split(" "), set()
+        for q, other in phrases:
+            theirs = q.split(" ")
+            if other != label and len(theirs) == len(words):
+                differ = [w for w, t in zip(words, theirs) if w != t]
+                if len(differ) == 1 and len(differ[0]) <= longest:
+                    telling.add(differ[0])
+        out.append(telling)
+    return out
+
+
 def phrase_scanner(base: dict[str, str], notices: dict[str, str], chars_per_edit: int):
     """A function from a text reduced to words (single spaces between them) to its spans."""
     import ahocorasick
@@ -51,6 +68,7 @@ def phrase_scanner(base: dict[str, str], notices: dict[str, str], chars_per_edit
     budget = [len(p) // chars_per_edit for p, _, _ in phrases]
     fuzzy = [regex.compile(rf"(?e)(?<!\S)(?:{regex.escape(p, literal_spaces=True)}){{e<={k}}}(?!\S)") if k else None
              for (p, _, _), k in zip(phrases, budget)]
+    telling = telling_words([(p, label) for p, label, _ in phrases])
     found: dict[str, list[tuple[int, int]]] = {}
     for i, ((p, _, _), k) in enumerate(zip(phrases, budget)):
         for at, piece in seeds(p, k):
@@ -63,6 +81,18 @@ def phrase_scanner(base: dict[str, str], notices: dict[str, str], chars_per_edit
     def word_border(text: str, a: int, b: int) -> bool:
         return (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
 
+    def altered(i: int, part: str):
+        """Matches of phrase i with edits, its telling words standing whole; a refused one hides none behind it."""
+        m = fuzzy[i].search(part)
+        while m:
+            words = m.group().split(" ")
+            if all(any(w.startswith(t) for w in words) for t in telling[i]):
+                yield m
+                at = m.end()
+            else:
+                at = part.find(" ", m.start()) + 1 or len(part)
+            m = fuzzy[i].search(part, at)
+
     def scan(text: str):
         windows: dict[int, list[list[int]]] = {}
         for end, where in automaton.iter(text):
@@ -81,7 +111,7 @@ def phrase_scanner(base: dict[str, str], notices: dict[str, str], chars_per_edit
         out = []
         for i, spans in windows.items():
             p, label, is_base = phrases[i]
-            done = -1
+            done, counted, words = -1, 0, 0
             for a, b in spans:
                 a = max(text.rfind(" ", 0, a + 1) + 1 if a else 0, done + 1)
                 b = text.find(" ", b)
@@ -101,13 +131,13 @@ def phrase_scanner(base: dict[str, str], notices: dict[str, str], chars_per_edit
                         lo += text[lo:lo + 1] == " "  # a gap begins and ends with a whole word
                         hi -= text[hi - 1:hi] == " "
                         if hi - lo >= len(p) - budget[i]:
-                            for m in fuzzy[i].finditer(text[lo:hi]):
+                            for m in altered(i, text[lo:hi]):
                                 if word_border(text, lo + m.start(), lo + m.end()):
                                     exact.append((lo + m.start(), lo + m.end(), sum(m.fuzzy_counts)))
-                for x, y, e in exact:
-                    first = text.count(" ", 0, x)
-                    out.append({"label": label, "phrase": p, "base": is_base and e == 0, "first_word": first,
-                                "end_word": first + 1 + text.count(" ", x, y), "edits": e,
+                for x, y, e in sorted(exact):
+                    words, counted = words + text.count(" ", counted, x), x
+                    out.append({"label": label, "phrase": p, "base": is_base and e == 0, "first_word": words,
+                                "end_word": words + 1 + text.count(" ", x, y), "edits": e,
                                 "similarity": 1.0 - e / len(p), "matched": text[x:y]})
         out.sort(key=lambda s: (s["first_word"], s["end_word"], s["phrase"]))
         return out
