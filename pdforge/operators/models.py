@@ -22,6 +22,7 @@ import json
 import math
 import random
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -163,9 +164,17 @@ def evaluate(model: PipelineModel, df: DataFrame, threshold: float) -> dict:
 
 def fit_and_calibrate(name: str, pipeline: Pipeline, spec: ModelSpec, train: DataFrame, val: DataFrame) -> TrainedModel:
     model = pipeline.fit(train)
-    val_pred = _labelled(predict_pd(model, val))
-    t = M.youden_threshold(val_pred)
-    return TrainedModel(name, model, spec, t, evaluate(model, val, t))
+    t, bundle = M.calibrate(_labelled(predict_pd(model, val)))
+    return TrainedModel(name, model, spec, t, bundle.first().asDict())
+
+
+def evaluate_together(models: list, test: DataFrame):
+    """Test metrics of several fitted models at their own thresholds: their scores share one curve pass."""
+    scored = [_labelled(predict_pd(m.model, fill_missing(test, m.spec))).select(F.lit(i).alias("model"), F.lit("test").alias("split"), "*")
+              for i, m in enumerate(models)]
+    rows = M.evaluate_models(reduce(DataFrame.unionByName, scored), thresholds={i: m.threshold for i, m in enumerate(models)}).collect()
+    for r in rows:  # one row a model
+        models[r["model"]].test_metrics = {c: r[c] for c in M.BUNDLE}
 
 
 def train_logistic_regression(train: DataFrame, val: DataFrame, spec: ModelSpec, C: float = 1.0,

@@ -96,7 +96,7 @@ def test_scored(spark, d) -> DataFrame:
     return scored_split(spark, d, "test")
 
 
-def labelled(df: DataFrame, score: str = "probability_of_default") -> DataFrame:
+def labelled(df: DataFrame, score: str = "pd") -> DataFrame:
     return df.select("loan_id", F.col("target").cast("int").alias("label"), F.col(score).alias("score"))
 
 

@@ -57,8 +57,7 @@ def saved_model(spark, d, kind: str) -> str:
         if kind == "champion":
             both = {k: MD.load_model(saved_model(spark, d, k)) for k in ("gbt", "lr")}
             f = _split(model_data(spark, d)[0], "test")
-            for m in both.values():
-                m.test_metrics = MD.evaluate(m.model, MD.fill_missing(f, m.spec), m.threshold)
+            MD.evaluate_together(list(both.values()), f)
             best = MD.champion(list(both.values()))
             path = scratch_path(spark, "model_champion")
             MD.save_model(best, path)
@@ -410,7 +409,7 @@ def s10_json_write(spark, d):
     from pdforge.operators.portfolio import tier_validation
     test = scored_split(spark, d, "test")
     bundle = M.metric_bundle(test.select(F.col("target").cast("int").alias("label"),
-                                         F.col("probability_of_default").alias("score")), 0.22)
+                                         F.col("pd").alias("score")), 0.22)
     buckets = tier_validation(test).agg(F.collect_list(F.struct("risk_tier", "count", "avg_pd",
                                                                 "actual_default_rate")).alias("bucket_summary"))
     row = bundle.first().asDict()  # one row of metrics

@@ -191,7 +191,15 @@ def x25_expected_loss(spark, d):
 # ---------------------------------------------------------------------------
 # windows, sorts, sets
 # ---------------------------------------------------------------------------
-def curve_ctes(where: str = "split = 'test'", sfx: str = "", score: str = "probability_of_default") -> str:
+#: Places to which thresholds are shown: exp() of the two engines may differ in a PD's last bit. Curves group the raw PD.
+THRESHOLD_PLACES = 10
+
+
+def shown(column: str = "score"):
+    return F.round(column, THRESHOLD_PLACES)
+
+
+def curve_ctes(where: str = "split = 'test'", sfx: str = "", score: str = "pd") -> str:
     frame = "ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     return f""", g{sfx} AS (SELECT CAST({score} AS DOUBLE) AS score,
       count(*) FILTER (WHERE target = 1) AS pos, count(*) FILTER (WHERE target <> 1) AS neg
@@ -203,9 +211,11 @@ cb{sfx} AS (SELECT *, tp - pos AS tp_before, fp - neg AS fp_before, tp * N - fp
 """
 
 
-@register("w1_cumulative_counts", W("scored") + curve_ctes() + "SELECT score, pos, neg, tp, fp FROM cb")
+@register("w1_cumulative_counts", W("scored") + curve_ctes()
+          + f"SELECT round(score, {THRESHOLD_PLACES}) AS score, pos, neg, tp, fp FROM cb")
 def w1_cumulative_counts(spark, d):
-    return M.curve_table(labelled(test_scored(spark, d)), "label", "score").select("score", "pos", "neg", "tp", "fp")
+    return M.curve_table(labelled(test_scored(spark, d)), "label", "score") \
+        .select(shown().alias("score"), "pos", "neg", "tp", "fp")
 
 
 @register("w2_ordered_tiers", W("scored") + f"""SELECT risk_tier, {TIER_RANK_SQL} AS tier_rank, count(loan_amnt) AS loan_count
@@ -231,20 +241,22 @@ def w7_union_train_val(spark, d):
 
 
 # ---------------------------------------------------------------------------
-# Curve metrics on the test cohort (label = target, score = rounded PD)
+# Curve metrics on the test cohort (label = target, score = PD as computed)
 # ---------------------------------------------------------------------------
-@register("m1_roc_curve", W("scored") + curve_ctes() + """SELECT score AS threshold, tp, fp,
+@register("m1_roc_curve", W("scored") + curve_ctes() + f"""SELECT round(score, {THRESHOLD_PLACES}) AS threshold, tp, fp,
   tp / P AS tpr, fp / N AS fpr FROM cb
 UNION ALL SELECT 'inf'::DOUBLE, 0, 0, 0.0, 0.0""")
 def m1_roc_curve(spark, d):
-    return M.roc_points(M.curve_table(labelled(test_scored(spark, d)), "label", "score"))
+    return M.roc_points(M.curve_table(labelled(test_scored(spark, d)), "label", "score")) \
+        .withColumn("threshold", shown("threshold"))
 
 
-@register("m2_pr_curve", W("scored") + curve_ctes() + """SELECT score AS threshold,
+@register("m2_pr_curve", W("scored") + curve_ctes() + f"""SELECT round(score, {THRESHOLD_PLACES}) AS threshold,
   tp / (tp + fp) AS precision, tp / P AS recall FROM cb
 UNION ALL SELECT NULL::DOUBLE, 1.0, 0.0""")
 def m2_pr_curve(spark, d):
-    return M.pr_points(M.curve_table(labelled(test_scored(spark, d)), "label", "score"))
+    return M.pr_points(M.curve_table(labelled(test_scored(spark, d)), "label", "score")) \
+        .withColumn("threshold", shown("threshold"))
 
 
 def metrics_sql(name: str = "mt", sfx: str = "") -> str:
@@ -284,13 +296,14 @@ def m6_gini(spark, d):
     return M.curve_metrics(M.curve_table(labelled(test_scored(spark, d)), "label", "score")).select("gini")
 
 
-@register("m7_youden_threshold", W("scored") + curve_ctes() + METRICS_SQL + "SELECT youden_threshold, youden_j FROM mt")
+@register("m7_youden_threshold", W("scored") + curve_ctes() + METRICS_SQL
+          + f"SELECT round(youden_threshold, {THRESHOLD_PLACES}) AS youden_threshold, youden_j FROM mt")
 def m7_youden_threshold(spark, d):
     return M.curve_metrics(M.curve_table(labelled(test_scored(spark, d)), "label", "score")) \
-        .select("youden_threshold", "youden_j")
+        .select(shown("youden_threshold").alias("youden_threshold"), "youden_j")
 
 
-def confusion_sql(t: str, where: str = "split = 'test'", score: str = "probability_of_default", sfx: str = "") -> str:
+def confusion_sql(t: str, where: str = "split = 'test'", score: str = "pd", sfx: str = "") -> str:
     return f""", cm{sfx} AS (SELECT count(*) FILTER (WHERE {score} >= {t} AND target = 1) AS tp,
   count(*) FILTER (WHERE {score} >= {t} AND target <> 1) AS fp,
   count(*) FILTER (WHERE NOT ({score} >= {t}) AND target <> 1) AS tn,
@@ -319,11 +332,16 @@ M9_SQL = (W("scored") + curve_ctes("split = 'val'", "_v") + metrics_sql("vt", "_
 
 @register("m9_metric_bundle", M9_SQL)
 def m9_metric_bundle(spark, d):
-    feats = score_features(spark, d)
-    val = labelled(scored_split(spark, d, "val", feats))
-    test = labelled(scored_split(spark, d, "test", feats))
-    t = M.youden_threshold(val, "label", "score")
-    return M.metric_bundle(test, t, "label", "score")
+    scores = model_scores(spark, d, {"formula": F.col("pd")})
+    return M.evaluate_models(scores).select(*M.BUNDLE)
+
+
+def model_scores(spark, d, models: dict) -> DataFrame:
+    """(model, split, label, score) of the validation and test rows: each row is read and cleaned once for all models."""
+    kept = SP.split_predicate("val", **K.FIXTURE_SPLIT) | SP.split_predicate("test", **K.FIXTURE_SPLIT)
+    rows = SC.with_formula_pd(SP.with_split(score_features(spark, d).where(kept), **K.FIXTURE_SPLIT))
+    each = [F.struct(F.lit(name).alias("model"), score.cast("double").alias("score")) for name, score in models.items()]
+    return rows.select("split", F.col("target").cast("int").alias("label"), F.inline(F.array(*each)))
 
 
 @register("m10_tier_monotonicity", W("scored") + f"""SELECT risk_tier, tier_rank, actual_default_rate,
@@ -559,15 +577,19 @@ def st1_stream_scoring(spark, d):
 # Metric comparison, PD model (baseline) vs a one-variable DTI scorecard
 # ---------------------------------------------------------------------------
 SCORECARD = "CAST(dti AS DOUBLE) / 100.0"
-BUNDLE_COLS = ["roc_auc", "pr_auc", "gini", "ks_stat_pct", "accuracy", "default_precision", "default_recall",
-               "default_f1", "threshold"]
+#: The two scores that are compared: the formula PD and a scorecard of one variable.
+MODELS_SQL = {"baseline": "pd", "challenger": SCORECARD}
+
 
+def compared_models() -> dict:
+    return {"baseline": F.col("pd"), "challenger": F.col("dti").cast("double") / 100.0}
 
-def _bundle_sql(score: str, tag: str) -> str:
+
+def _bundle_sql(score: str, tag: str, report: str = "test") -> str:
     sc = f"sc_{tag}"
     base = (curve_ctes("split = 'val'", f"_v{tag}", score) + metrics_sql(f"vt{tag}", f"_v{tag}")
-            + confusion_sql(f"(SELECT youden_threshold FROM vt{tag})", score=score, sfx=tag)
-            + curve_ctes("split = 'test'", f"_t{tag}", score) + metrics_sql(f"mt{tag}", f"_t{tag}"))
+            + confusion_sql(f"(SELECT youden_threshold FROM vt{tag})", f"split = '{report}'", score, tag)
+            + curve_ctes(f"split = '{report}'", f"_t{tag}", score) + metrics_sql(f"mt{tag}", f"_t{tag}"))
     return base + f""", {sc} AS (SELECT round(roc_auc, 4) AS roc_auc, round(pr_auc, 4) AS pr_auc,
   round(2.0 * roc_auc - 1.0, 4) AS gini, round(ks_stat_pct, 2) AS ks_stat_pct, round(accuracy, 4) AS accuracy,
   round(precision, 4) AS default_precision, round(recall, 4) AS default_recall, round(f1, 4) AS default_f1,
@@ -575,26 +597,26 @@ def _bundle_sql(score: str, tag: str) -> str:
 """
 
 
-J2_SQL = (W("scored") + _bundle_sql("probability_of_default", "a") + _bundle_sql(SCORECARD, "b")
+J2_SQL = (W("scored") + _bundle_sql(MODELS_SQL["baseline"], "a") + _bundle_sql(MODELS_SQL["challenger"], "b")
           + "SELECT metric, baseline, challenger, round(challenger - baseline, 4) AS delta FROM ("
           + " UNION ALL ".join(f"SELECT '{c}' AS metric, CAST(a.{c} AS DOUBLE) AS baseline, "
-                               f"CAST(b.{c} AS DOUBLE) AS challenger FROM sc_a a, sc_b b" for c in BUNDLE_COLS) + ")")
-
-
-def _bundle(spark, d, score_col, feats):
-    val = scored_split(spark, d, "val", feats).select(F.col("target").cast("int").alias("label"),
-                                                      score_col.alias("score"))
-    test = scored_split(spark, d, "test", feats).select(F.col("target").cast("int").alias("label"),
-                                                        score_col.alias("score"))
-    return M.metric_bundle(test, M.youden_threshold(val))
+                               f"CAST(b.{c} AS DOUBLE) AS challenger FROM sc_a a, sc_b b" for c in M.BUNDLE) + ")")
 
 
 @register("j2_metric_comparison", J2_SQL)
 def j2_metric_comparison(spark, d):
-    feats = score_features(spark, d)
-    baseline = _bundle(spark, d, F.col("probability_of_default"), feats)
-    challenger = _bundle(spark, d, F.col("dti").cast("double") / 100.0, feats)
-    return M.compare_models(baseline, challenger)
+    return M.compare_models(M.evaluate_models(model_scores(spark, d, compared_models())))
+
+
+_SPLIT_TAGS = [(m, s, f"{m[0]}_{s}") for m in MODELS_SQL for s in ("val", "test")]
+
+
+@register("m9_models_by_split", W("scored") + "".join(_bundle_sql(MODELS_SQL[m], t, s) for m, s, t in _SPLIT_TAGS)
+          + " UNION ALL ".join(f"SELECT '{m}' AS model, '{s}' AS split, {', '.join(M.BUNDLE)} FROM sc_{t}"
+                               for m, s, t in _SPLIT_TAGS))
+def m9_models_by_split(spark, d):
+    """Every model on every labelled split at its validation threshold, from one grouped pass."""
+    return M.evaluate_models(model_scores(spark, d, compared_models()), report=("val", "test"))
 
 
 @register("b7_cleaning_fit_on_train", O.with_ctes("cleaned", fit_where=f"issue_year <= {K.FIXTURE_TRAIN_MAX_YEAR}")

@@ -47,3 +47,19 @@ def test_balanced_weights_sum_to_rows(spark):
     w, total = MD.balanced_weights(_split(f, "train"))
     s = w.agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("n")).first()
     assert s.s == pytest.approx(s.n) and total == s.n
+
+
+def test_models_evaluated_together_have_their_own_test_metrics(spark):
+    """Two fitted models in one curve pass get what each gets alone."""
+    import random
+    rng = random.Random(2)
+    rows = [(float(y) + rng.gauss(0, 1), rng.gauss(0, 1), "AB"[rng.randrange(2)], y) for y in [0, 1] * 150]
+    df = spark.createDataFrame(rows, "x double, z double, grade string, label int")
+    models = []
+    for numeric in (["x"], ["z"]):
+        spec = MD.ModelSpec(numeric, ["grade"])
+        models.append(MD.train_logistic_regression(df, df, spec))
+    MD.evaluate_together(models, df)
+    for m in models:
+        assert m.test_metrics == MD.evaluate(m.model, MD.fill_missing(df, m.spec), m.threshold) == m.val_metrics
+    assert MD.champion(models) is models[0]
