@@ -31,6 +31,8 @@ from pdforge.llm.common import stored
 K, STRIDE = 20, 20
 SAMPLE, PER_LIST, MAX_LISTS, REPLICAS, BORDER, BEAM, DEGREE = 20_000, 256, 16_384, 4, 1.05, 64, 24
 TARGET, LEAST_LISTS, BLOCK = 0.985, 4, 4096
+#: Rows of one Arrow batch of (list, vector) pairs, and pairs whose products are held at once.
+PAIRS = 1 << 14
 
 
 # ---- index -------------------------------------------------------------------------------------------------------
@@ -207,6 +209,30 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64, copy=False)
 
 
+def pair_batches(part, x: np.ndarray, r: np.ndarray, to: np.ndarray, floor: bool):
+    """The rows ``r`` of ``part`` (vectors ``x``) with their lists ``to``: Arrow batches of ``PAIRS`` rows at most, however
+    many lists a row takes."""
+    import pyarrow as pa
+
+    packed = [row.tobytes() for row in x]
+    for a in range(0, len(r), PAIRS):
+        own = r[a:a + PAIRS]
+        at = pa.array(own, type=pa.int64())
+        rest = [part.column("floor").take(at)] if floor else []
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(to[a:a + PAIRS].astype(np.int32)), part.column("vec_id").take(at), pa.array([packed[j] for j in own], type=pa.binary()), *rest],
+            names=["list", "id", "v", "floor"][:3 + len(rest)])
+
+
+def exact_products(qx: np.ndarray, vx: np.ndarray, r: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows ``r`` of qx with rows ``j`` of vx, in the same order of additions for equal vectors."""
+    out = np.empty(len(r))
+    for a in range(0, len(r), PAIRS):
+        b = a + PAIRS
+        out[a:b] = (qx[r[a:b]] * vx[j[a:b]]).sum(axis=1)
+    return out
+
+
 def _augmented(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
     extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(largest ** 2 - (x * x).sum(1), 0.0))
     return np.concatenate([x, extra[:, None]], axis=1)
@@ -238,8 +264,6 @@ def neighbours(vectors: DataFrame, k: int = K, stride: int = STRIDE) -> DataFram
     def route(query: bool, rest: bool = False):
         """Lists of vectors, or of queries: the nearest ``LEAST_LISTS`` of each, or the rest with the query's floor."""
         def run(batches):
-            import pyarrow as pa
-
             for batch in batches:
                 for i in range(0, len(batch), 1024):
                     part = batch.slice(i, 1024)
@@ -250,12 +274,7 @@ def neighbours(vectors: DataFrame, k: int = K, stride: int = STRIDE) -> DataFram
                         r, to = (r[~near], to[~near]) if rest else (r[near], to[near])
                     else:
                         r, to = lists_of(_augmented(x, largest, False), c, links, BORDER, REPLICAS)
-                    packed = [row.tobytes() for row in x]
-                    r_ = pa.array(r, type=pa.int64())
-                    floor = [part.column("floor").take(r_)] if rest else []
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(to.astype(np.int32)), part.column("vec_id").take(r_), pa.array([packed[j] for j in r], type=pa.binary()), *floor],
-                        names=["list", "id", "v", "floor"][:3 + len(floor)])
+                    yield from pair_batches(part, x, r, to, rest)
         return run
 
     def best(queries: DataFrame, posts: DataFrame) -> DataFrame:
@@ -283,7 +302,7 @@ def neighbours(vectors: DataFrame, k: int = K, stride: int = STRIDE) -> DataFram
                 m = min(k, len(vx))
                 edge = np.partition(s, len(vx) - m, axis=1)[:, len(vx) - m]
                 r, j = np.nonzero((s >= edge[:, None] - 1e-9 * max(1.0, largest * largest)) & np.isfinite(s))
-                exact = (qx[i + r] * vx[j]).sum(axis=1)  # the same order of additions for equal vectors
+                exact = exact_products(qx, vx, i + r, j)
                 order = np.lexsort((vi[j], -exact, r))
                 r, j, exact = r[order], j[order], exact[order]
                 first = (np.arange(len(r)) - np.searchsorted(r, r) < k) & (exact >= floor[i + r])

@@ -372,6 +372,32 @@ def test_ratio_reaches_its_target():
     assert np.mean(hits) >= 0.96
 
 
+def test_pairs_of_many_lists_go_out_in_bounded_batches():
+    import pyarrow as pa
+    x = np.random.default_rng(3).normal(size=(500, 8))
+    part = pa.RecordBatch.from_pydict({"vec_id": pa.array(range(500), type=pa.int64()), "floor": pa.array(np.arange(500.0))})
+    r, to = np.repeat(np.arange(500), 90), np.tile(np.arange(90), 500)
+    out = list(posting_ann.pair_batches(part, x, r, to, True))
+    assert max(b.num_rows for b in out) <= posting_ann.PAIRS and sum(b.num_rows for b in out) == len(r)
+    flat = pa.Table.from_batches(out)
+    assert flat["id"].to_pylist() == r.tolist() and flat["list"].to_pylist() == to.tolist() and flat["floor"].to_pylist() == r.tolist()
+    assert flat["v"].to_pylist() == [x[i].tobytes() for i in r]
+    assert list(posting_ann.pair_batches(part, x, r[:0], to[:0], False)) == []
+
+
+def test_products_of_many_ties_stay_small():
+    import tracemalloc
+    rng = np.random.default_rng(4)
+    q, v = rng.normal(size=(128, 64)), np.repeat(rng.normal(size=(1, 64)), 2048, axis=0)
+    r, j = np.nonzero(np.ones((128, 2048), dtype=bool))
+    tracemalloc.start()
+    got = posting_ann.exact_products(q, v, r, j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # all at once take three times 128 MB
+    assert (got == (q[r] * v[j]).sum(axis=1)).all()
+
+
 @pytest.mark.parametrize("name", ["op5_line_spread", "op6_block_names", "op9_source_mix"])
 def test_oracles(spark, name):
     from oracle_harness import compare, duck_connection
