@@ -110,21 +110,42 @@ def _linear_log_odds(trained: MD.TrainedModel) -> Column:
     return out
 
 
+def _text(s: str) -> str:
+    """A string as SQL text, whatever characters it holds."""
+    return f"cast(X'{s.encode().hex()}' as string)"
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _input_texts(trained: MD.TrainedModel) -> list[str]:
+    """The inputs of a tree as SQL text: ``numeric_columns``, then ``level_index`` of each categorical column."""
+    spec = trained.spec
+    out = [f"coalesce(cast({_name(c)} as double), 0.0D)" for c in spec.numeric]
+    out += [f"cast({_name(c)} is null as double)" for c in spec.filled]
+    for c, levels in _levels(trained.model, spec).items():
+        pairs = ", ".join(f"{_text(level)}, {i}" for i, level in enumerate(levels))
+        out.append(f"coalesce(try_element_at(map({pairs}), cast({_name(c)} as string)), {len(levels)})" if levels else "0")
+    return out
+
+
 def _tree_log_odds(trained: MD.TrainedModel) -> Column:
-    """Sum over the trees of nested conditions on the inputs."""
-    inputs = [value for _, value, _ in numeric_columns(trained.spec)]
-    inputs += [level_index(c, levels) for c, levels in _levels(trained.model, trained.spec).items()]
+    """Sum over the trees of nested conditions on the inputs.
 
+    The trees are one SQL text, parsed at once: hundreds of trees as single column calls take a minute on the driver. The
+    inputs are worked out once a row; the conditions read them.
+    """
     def node(t, j):
         if t["left"][j] < 0:
-            return F.lit(float(t["value"][j]))
-        x = inputs[int(t["feature"][j])]
-        test = x.isin(*sorted(t["cats"][j])) if t["cats"][j] is not None else x <= F.lit(float(t["threshold"][j]))
-        return F.when(test, node(t, t["left"][j])).otherwise(node(t, t["right"][j]))
-
-    # an array, so that Spark's code generation deals the trees out over methods
-    parts = [node(t, 0) for t in EX.tree_tables(trained.model.stages[-1])]
-    return F.aggregate(F.array(*parts), F.lit(0.0), lambda a, b: a + b)
+            return f"{float(t['value'][j])!r}D"
+        x, cats = f"x.f{int(t['feature'][j])}", t["cats"][j]
+        test = f"{x} in ({', '.join(str(int(c)) for c in sorted(cats))})" if cats is not None else f"{x} <= {float(t['threshold'][j])!r}D"
+        return f"if({test}, {node(t, t['left'][j])}, {node(t, t['right'][j])})"
+
+    inputs = ", ".join(f"'f{i}', {x}" for i, x in enumerate(_input_texts(trained)))
+    trees = ", ".join(node(t, 0) for t in EX.tree_tables(trained.model.stages[-1]))
+    return F.expr(f"transform(array(named_struct({inputs})), x -> aggregate(array({trees}), 0.0D, (a, b) -> a + b))[0]")
 
 
 def compile_model(trained: MD.TrainedModel) -> CompiledModel:

@@ -56,6 +56,27 @@ def test_compiled_equals_transform(spark, saved, kind):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_trees_compile_in_few_calls(spark, saved, monkeypatch):
+    """Building a column a node takes a minute for 300 trees; the number of calls must not follow the trees."""
+    m = MD.load_model(saved["gbt"])
+    calls = []
+    for name in ("when", "lit", "expr"):
+        monkeypatch.setattr(CM.F, name, lambda *a, _f=getattr(CM.F, name): calls.append(1) or _f(*a))
+    CM._tree_log_odds(m)
+    assert len(calls) <= 10 < sum(len(t["left"]) for t in EX.tree_tables(m.model.stages[-1]))
+
+
+def test_compiled_names_and_levels_of_any_characters(spark):
+    levels = ["it's", "a\\b", "\u00fc`", ""]
+    rows = [(i, float(i % 7), levels[i % 4], int((i % 4 == 1) or i % 7 > 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, ["loan_id", "x y", "k", "label"]).withColumn("weight", F.lit(1.0))
+    spec = MD.ModelSpec(["x y"], ["k"], [], 4)
+    fitted = MD.gbt_pipeline(spec, {"n_estimators": 5, "max_depth": 3, "min_child_samples": 2, "colsample_bytree": 1.0, "subsample": 1.0}).fit(df)
+    own = {r.loan_id: r.pd for r in MD.predict_pd(fitted, df).collect()}
+    got = CM.compile_model(MD.TrainedModel("t", fitted, spec, 0.5, {})).score(df).collect()
+    assert max(abs(own[r.loan_id] - r.pd) for r in got) < 1e-9
+
+
 def test_baseline_attribution_adds_up(spark, saved):
     c = CM.load_compiled(saved["lr"])
     rows = _frame(spark, 200, 5)
