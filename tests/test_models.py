@@ -63,3 +63,25 @@ def test_models_evaluated_together_have_their_own_test_metrics(spark):
     for m in models:
         assert m.test_metrics == MD.evaluate(m.model, MD.fill_missing(df, m.spec), m.threshold) == m.val_metrics
     assert MD.champion(models) is models[0]
+
+
+def test_model_rows_are_cleaned_once_and_spread_over_the_cores(spark, monkeypatch):
+    from pdforge.plans import catalog_models as CMo
+    calls = []
+    monkeypatch.setattr(CMo, "_SAVED", {})
+    monkeypatch.setattr(CMo, "features", lambda s, d, _f=CMo.features: calls.append(d) or _f(s, d).coalesce(1))
+    f, spec = CMo.model_data(spark, SF001)
+    again, spec_again = CMo.model_data(spark, SF001)
+    assert len(calls) == 1 and spec == spec_again and f.schema == again.schema
+    assert f.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    monkeypatch.undo()
+    own = CMo.SP.with_split(MD.model_frame(CMo.features(spark, SF001)), **CMo.K.FIXTURE_SPLIT)
+    cols = ["loan_id", "label", "split", "loan_amnt", "purpose"]
+    assert sorted(map(tuple, f.select(*cols).collect())) == sorted(map(tuple, own.select(*cols).collect()))
+    assert spec == MD.infer_spec(own)
+
+
+def test_spread_bounds_the_rows_of_a_part(spark):
+    df = spark.range(1000).withColumnRenamed("id", "loan_id").coalesce(1)
+    parts = MD.spread(df, rows=40).rdd.glom().map(len).collect()
+    assert len(parts) == 25 and sum(parts) == 1000 and max(parts) < 100
