@@ -145,6 +145,23 @@ def test_linear_search_scores_every_draw(spark):
     assert len(rows) == 3 and best["C"] == max(rows, key=lambda r: r.cv_auc).C and all(0.5 < r.cv_auc <= 1 for r in rows)
 
 
+def test_draws_fitted_together_equal_single_fits(spark, monkeypatch):
+    """Thirty draws of five folds as single fits run thousands of jobs; together they give the same scores."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pdforge.operators.splits import stratified_folds
+    df = _frame(spark).drop("target")
+    data, total = MD.balanced_weights(MD.fill_missing(df, SPEC))
+    data = stratified_folds(data, 2, label="label", seed=MD.K.RANDOM_SEED)
+    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", numBins=0)
+    want = []
+    for d in MD.lr_param_draws(3):
+        fits = [(MD.lr_pipeline(SPEC, d["C"], d["max_iter"], total / 2).fit(data.where(F.col("fold") != k)), data.where(F.col("fold") == k)) for k in range(2)]
+        want.append(sum(auc.evaluate(m.transform(rows)) for m, rows in fits) / 2)
+    monkeypatch.setattr(MD.LogisticRegression, "fit", None)
+    got = [r.cv_auc for r in MD.tune_logistic_regression(df, SPEC, n_iter=3, folds=2)[1].collect()]
+    assert got == pytest.approx(want, abs=1e-3)
+
+
 def test_leakage_depends_on_the_rows(spark):
     from pdforge.plans.catalog import raw
     table = raw(spark, SF001)
