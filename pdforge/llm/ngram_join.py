@@ -6,7 +6,8 @@ last), the class, its size and the position. Skipping by position: a pair is onl
 positions leave room for enough common shingles. Skipping by relation: in a first round each list compares its members
 with one leader only; members that link to it share its component, and what is known of a leader bounds the rest
 (|x & z| <= |c & z| + |x - c|). A bitmap of bucket parities bounds it too: sets differ in at least as many
-shingles as their bitmaps in bits. Star rounds with other leaders repeat until few lists mix components; then every pair
+shingles as their bitmaps in bits. Before any text moves, a pair's sketches are compared: parity bitmaps that grow with
+the set, a bit or two a shingle, so that long sets are told apart too; a pair they refute is known by bounds alone. Star rounds with other leaders repeat until few lists mix components; then every pair
 of a list that lies in different components and passes all bounds is verified on the whole texts. So no link between
 components is missed, and a group of thousands of near copies costs a few comparisons a member, not all pairs.
 
@@ -139,6 +140,25 @@ def all_parities(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(rows, LONGS)
 
 
+def all_sketches(flat: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A parity bitmap of each set with at least a bit a shingle: their number is a power of two, 64 or more."""
+    size = at[1:] - at[:-1]
+    bits = np.left_shift(np.int64(1), np.maximum(6, np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64))
+    begin = np.cumsum(bits) - bits
+    bucket = (flat >> np.uint64(20)).astype(np.int64) & (np.repeat(bits, size) - 1)
+    odd = np.bincount(np.repeat(begin, size) + bucket, minlength=int(bits.sum())) & 1
+    raw = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a:a + b] for a, b in zip((begin // 8).tolist(), (bits // 8).tolist())]
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded, which keeps the parities."""
+    u, v = sorted((np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)), key=len)
+    while len(v) > len(u):
+        v = v[:len(v) // 2] ^ v[len(v) // 2:]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if not len(a) or not len(b):
@@ -154,7 +174,7 @@ def _long(x):
 # ---- index lists -------------------------------------------------------------------------------------------------
 
 def class_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, f1, f2, b0..): size, 128-bit fingerprint and parity bitmap of each document's set."""
+    """(doc_id, n, f1, f2, b0.., sketch): size, 128-bit fingerprint and parity bitmaps of each document's set."""
     def run(batches):
         import pyarrow as pa
 
@@ -164,10 +184,11 @@ def class_rows(docs: DataFrame) -> DataFrame:
                 f, b = all_fingerprints(flat, at), all_parities(flat, at)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(at[1:] - at[:-1]),
-                     pa.array(_long(f[:, 0].copy())), pa.array(_long(f[:, 1].copy())), *[pa.array(b[:, k].copy()) for k in range(LONGS)]],
-                    names=["doc_id", "n", "f1", "f2", *BITS])
+                     pa.array(_long(f[:, 0].copy())), pa.array(_long(f[:, 1].copy())), *[pa.array(b[:, k].copy()) for k in range(LONGS)],
+                     pa.array(all_sketches(flat, at), type=pa.binary())],
+                    names=["doc_id", "n", "f1", "f2", *BITS, "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, " + ", ".join(f"{b} long" for b in BITS))
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, " + ", ".join(f"{b} long" for b in BITS) + ", sketch binary")
 
 
 def frequent_shingles(docs: DataFrame):
@@ -291,13 +312,31 @@ def _room(n1, p1, n2, p2):
 
 # ---- verification ------------------------------------------------------------------------------------------------
 
+def screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(x, z, dx, dz, most, near) of class pairs (x, z): a document of each class, the most shingles that they can have in
+    common by their sketches, and whether that leaves room for a link."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            differ = np.array([sketches_differ(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column("sx"), batch.column("sz"))], dtype=np.int64)
+            both = batch.column("nx").to_numpy() + batch.column("nz").to_numpy()
+            most = (both - differ) // 2
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "z", "dx", "dz")), pa.array(most), pa.array(100 * most >= PERCENT * (both - most))],
+                                             names=["x", "z", "dx", "dz", "most", "near"])
+
+    side = lambda a: reps.select(F.col("f1").alias(a), F.col("rep").alias(f"d{a}"), F.col("n").alias(f"n{a}"), F.col("sketch").alias(f"s{a}"))
+    # pairs, texts and lists all grow with the corpus: shuffle joins at every size
+    p = pairs.join(side("x").hint("merge"), "x").join(side("z").hint("merge"), "z")
+    return p.mapInArrow(run, "x long, z long, dx long, dz long, most long, near boolean")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(x, z, common, linked) of class pairs (x, z), from the whole texts of one document of each class."""
+    """(x, z, common, most, linked) of class pairs (x, z), from the whole texts of one document of each class. Of pairs
+    that their sketches refute only bounds are known: 0 and ``most`` shingles in common."""
     spark = docs.sparkSession
-    # pairs, texts and lists all grow with the corpus: shuffle joins at every size
-    p = pairs.join(reps.select(F.col("f1").alias("x"), F.col("rep").alias("dx")).hint("merge"), "x") \
-        .join(reps.select(F.col("f1").alias("z"), F.col("rep").alias("dz")).hint("merge"), "z")
-    p = stored(p.select("x", "z", "dx", "dz"), "nj-pairs")
+    every = stored(screened(pairs, reps), "nj-pairs")
+    p = every.where("near").select("x", "z", "dx", "dz")
     ids = p.select(F.col("dx").alias("d")).unionByName(p.select(F.col("dz").alias("d"))).distinct()
     # a bitmap of fixed size keeps most other texts out of the shuffle
     bit = F.pmod(F.xxhash64("d"), F.lit(FILTER_BITS))
@@ -345,8 +384,10 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     left = p.join(texts.select(F.col("doc_id").alias("dx"), F.col("text").alias("ta")).hint("merge"), "dx")
     both = left.join(texts.select(F.col("doc_id").alias("dz"), F.col("text").alias("tb")).hint("merge"), "dz")
-    return stored(both.select("x", "z", "ta", "tb").mapInArrow(counted, "x long, z long, common long, linked boolean")
-                  .distinct(), "nj-verified")
+    exact = both.select("x", "z", "ta", "tb").mapInArrow(counted, "x long, z long, common long, linked boolean") \
+        .select("x", "z", "common", F.col("common").alias("most"), "linked")
+    far = every.where("not near").select("x", "z", F.lit(0).cast("long").alias("common"), "most", F.lit(False).alias("linked"))
+    return stored(exact.unionByName(far).distinct(), "nj-verified")
 
 
 # ---- the join ----------------------------------------------------------------------------------------------------
@@ -360,7 +401,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes: doc_id, n, f1, f2, rep; component of each linked class representative)."""
     docs = docs.select(_key().alias("doc_id"), "text")
     rows = stored(class_rows(docs), "nj-rows")
-    classes = stored(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(b).alias(b) for b in BITS]), "nj-classes")
+    classes = stored(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(b).alias(b) for b in [*BITS, "sketch"]]), "nj-classes")
     lists = stored(index_lists(docs, frequent_shingles(docs)), "nj-lists")
     pair = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("z"))
     known, comp = None, None
@@ -389,21 +430,21 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if known is None:
         if lists.isEmpty():
             return rows, None
-        known = docs.sparkSession.createDataFrame([], "x long, z long, common long, linked boolean")
+        known = docs.sparkSession.createDataFrame([], "x long, z long, common long, most long, linked boolean")
     # what is left: pairs of a list in different components, bounded by positions and by what the leader tells
     mixed = _mixed(lists.select("g", "f", "n", "pos", "c"), comp)
-    told = known.select("x", "z", "common")
-    told = told.unionByName(told.select(F.col("z").alias("x"), F.col("x").alias("z"), "common"))
-    mixed = mixed.join(told.select(F.col("x").alias("f"), F.col("z").alias("c"), F.col("common").alias("o")).hint("merge"), ["f", "c"], "left")
+    told = known.select("x", "z", "common", "most")
+    told = told.unionByName(told.select(F.col("z").alias("x"), F.col("x").alias("z"), "common", "most"))
+    mixed = mixed.join(told.select(F.col("x").alias("f"), F.col("z").alias("c"), F.col("common").alias("o"), F.col("most").alias("u")).hint("merge"), ["f", "c"], "left")
     mixed = mixed.join(classes.select(F.col("f1").alias("f"), F.col("n").alias("n_"), *BITS).hint("merge"), "f").where("n = n_")
     # the lists of a class just before this one: a pair that shares one of them is looked at there, where there is more room
     own = Window.partitionBy("f").orderBy("pos", "g")
     last = [f"q{k}" for k in range(1, BEFORE + 1)]
     mixed = mixed.withColumns({q: F.lag("g", k).over(own) for k, q in enumerate(last, 1)})
-    mixed = stored(mixed.select("g", "f", "n", "pos", "c", "comp", *last, *BITS, F.when(F.col("f") == F.col("c"), F.col("n")).otherwise(F.col("o")).alias("o")), "nj-mixed")
+    mixed = stored(mixed.select("g", "f", "n", "pos", "c", "comp", *last, *BITS, *[F.when(F.col("f") == F.col("c"), F.col("n")).otherwise(F.col(o)).alias(o) for o in ("o", "u")]), "nj-mixed")
     s, t = mixed.alias("s"), mixed.alias("t")
     need = 3 * (F.col("s.n") + F.col("t.n"))
-    bound = F.least(F.col("s.o") + F.col("t.n") - F.col("t.o"), F.col("t.o") + F.col("s.n") - F.col("s.o"))
+    bound = F.least(F.col("s.u") + F.col("t.n") - F.col("t.o"), F.col("t.u") + F.col("s.n") - F.col("s.o"))
     differ = sum((F.bit_count(F.col(f"s.{b}").bitwiseXOR(F.col(f"t.{b}"))) for b in BITS), F.lit(0))
     earlier = F.coalesce(reduce(or_, (F.col(f"s.{a}") == F.col(f"t.{b}") for a in last for b in last)), F.lit(False))
     rest = s.join(t, (F.col("s.g") == F.col("t.g")) & (F.col("s.f") < F.col("t.f")) & (F.col("s.comp") != F.col("t.comp"))

@@ -193,6 +193,35 @@ def test_ngram_join_of_short_rows_alone(spark):
     assert got == {k: (min(k, 1), k) for k in range(6)}
 
 
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 63, 64, 65, 700, 1500)]
+    sets += [np.unique(np.concatenate([sets[-1][k:], sets[5][:k]])) for k in (1, 40, 600)]
+    sketches = ngram_join.all_sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for s, a in zip(sets, sketches):
+        assert len(a) * 8 >= max(64, len(s))
+        for t, b in zip(sets, sketches):
+            differ = ngram_join.sketches_differ(a, b)
+            assert differ <= len(np.setxor1d(s, t)) and (differ == 0 or s is not t)
+
+
+def test_ngram_join_moves_no_long_texts_that_cannot_link(spark, monkeypatch):
+    """Long texts that share a fifth of their words are told apart before their texts are shuffled."""
+    docs = [(i, " ".join([*(f"w{k}" for k in range(400)), *(f"x{i}_{k}" for k in range(1600))])) for i in range(6)]
+    docs += [(6, docs[5][1] + " end")]
+    kept = {}
+
+    def stored(df, name):
+        kept.setdefault(name, []).append(own(df, name))
+        return kept[name][-1]
+
+    own = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    got = {r.doc_id: r.component_id for r in ngram_join.query(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: min(i, 5) for i in range(7)}
+    assert {r.doc_id for t in kept["nj-texts"] for r in t.collect()} == {5, 6}
+
+
 def test_ngram_join_below_a_longer_leader(spark):
     """Two near copies of an excerpt; a much longer text that holds it leads all lists they share."""
     a = [f"w{k}" for k in range(60)]
