@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pdforge.llm.common import row_blocks, stored
-from pdforge.llm.tokens import END_ID, text_encoder
+from pdforge.llm.tokens import BLOCK_BYTES, END_ID, text_encoder
 from pdforge.session import scratch_path
 
 SCHEMA = "part int, row long, doc_id long, part_start long, ids array<int>"
@@ -36,7 +36,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         part, row, start = TaskContext.get().partitionId(), 0, 0
         encode = text_encoder(tokenizer, end_id)
         for batch in batches:
-            for rows, texts in row_blocks(batch):
+            for rows, texts in row_blocks(batch, BLOCK_BYTES):
                 ids = encode(texts)
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(sizes)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pdforge.llm.common import row_blocks, stored
-from pdforge.llm.tokens import END_ID, text_encoder
+from pdforge.llm.tokens import BLOCK_BYTES, END_ID, text_encoder
 
 WINDOW, UNIT, DEPTH = 4096, 64, 6
 PIECES = "doc_id long, doc_tokens long, start long, length int, ids binary"
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, tokenizer: s
         encode = text_encoder(tokenizer, end_id)
         last, of = ("ids_crc32", pa.int64()) if digests else ("ids", pa.binary())
         for batch in batches:
-            for rows, texts in row_blocks(batch):
+            for rows, texts in row_blocks(batch, BLOCK_BYTES):
                 out = []
                 for doc, ids in zip(rows.column("doc_id").to_pylist(), encode(texts)):
                     n = len(ids) // 4

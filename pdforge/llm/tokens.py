@@ -14,6 +14,11 @@ from pdforge.llm.common import worker_cache
 #: File name among the public tokenizers, and the id that ends each document.
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+#: Marks whose run after a letter is a piece of its own for the tokenizer: none of them is part of a contraction ('s) or
+#: of a special token (<|endoftext|>).
+MARKS = b".,;:!?*$&%#\"()[]{}-+=/"
+#: Bytes of text that are encoded together: a block's distinct runs are looked up once.
+BLOCK_BYTES = 2 << 20
 #: A generation of the memo ends at so many runs or bytes of text in it; the one before is kept for look-ups.
 MEMO_WORDS, MEMO_BYTES = 400_000, 16 << 20
 
@@ -61,19 +66,20 @@ def text_encoder(path: str | None = None, end_id: int = END_ID):
     end, table = np.array([end_id], dtype="<u4").tobytes(), byte_letters()
 
     def core(w: bytes) -> tuple[bytes, bytes, bool]:
-        """A run without a last full stop or comma after a letter, and in lower case if its letters are Latin and
+        """A run without the marks that follow its last letter, and in lower case if its letters are Latin and
         composed: the tokenizer cuts there and lowers anyway, so fewer distinct runs need encoding. Last, whether the
         rest is nothing but such letters."""
-        tail = b""
-        if w[-1] in b".," and len(w) > 1 and w[-2:-1].isalpha():
-            w, tail = w[:-1], w[-1:]
-        if w.isascii():
-            return (w if b"<|" in w else w.lower()), tail, w.isalpha()
-        s = w.decode()
+        head = w.rstrip(MARKS)
+        letter = head[-1:].isalpha()  # ASCII
+        if head.isascii():
+            if not letter:
+                return (w if b"<|" in w else w.lower()), b"", False
+            return (head if b"<|" in head else head.lower()), w[len(head):], head.isalpha()
+        s = head.decode()
         if s.isalpha() and max(s) < "\u0250" and unicodedata.is_normalized("NFC", s):
             low = s.lower()
-            return low.encode(), tail, low.isalpha() and max(low) < "\u0250" and unicodedata.is_normalized("NFC", low)
-        return w, tail, False
+            return low.encode(), w[len(head):], low.isalpha() and max(low) < "\u0250" and unicodedata.is_normalized("NFC", low)
+        return (head, w[len(head):], False) if letter else (w, b"", False)
 
     def fill(memo: dict, simple: list[bytes], words: list[bytes]) -> None:
         """Encodes runs of lower-case composed Latin letters (``simple``) and others (``words``) into the memo."""

@@ -222,6 +222,24 @@ def test_ngram_join_moves_no_long_texts_that_cannot_link(spark, monkeypatch):
     assert {r.doc_id for t in kept["nj-texts"] for r in t.collect()} == {5, 6}
 
 
+def test_marks_after_letters_are_cut_like_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from pdforge.llm import tokens
+    from pdforge.llm.common import worker_cache
+    tok = Tokenizer.from_file(tokens.tokenizer_path())
+    heads = ["abc", "Née", "NÉE", "İX", "ǅa", "日本", "日本a", "e\u0301t", "a\u0338", "ﬁ", "x1", "it's", "don't", "a'", "<|endoftext|>", "a<|endoftext|>b", "<|", "ß", "ＡＢ", "a_b", "²"]
+    tails = ["", ".", ",", "***", "$$$", "!?", "'s", "'", "...'", ")", "\").", "-a", "--", "|>", "\u0338", "=\u0338", "。", ".1", "1.", "/b."]
+    runs = [h + t for h in heads for t in tails] + tails[1:] + [t + h for h in heads for t in tails]
+    encode = tokens.text_encoder()
+    got = encode([r.encode() for r in runs] + [" ".join(runs).encode()])
+    want = [[*tok.encode(r, add_special_tokens=False).ids, 2] for r in [*runs, " ".join(runs)]]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == want
+    encode(["vé*** VÉ, vé!!".encode()])
+    memo = worker_cache("tokens")[tokens.tokenizer_path()]["memo"]
+    assert {"vé".encode(), b"***", b"!!"} <= set(memo)
+
+
 def test_ngram_join_below_a_longer_leader(spark):
     """Two near copies of an excerpt; a much longer text that holds it leads all lists they share."""
     a = [f"w{k}" for k in range(60)]
