@@ -30,6 +30,7 @@ class Term:
     value: Column
     shown: Column
     coef: float
+    holds: Column | None = None  # of a level: whether the row has it
 
 
 @dataclass
@@ -82,10 +83,11 @@ def linear_terms(trained: MD.TrainedModel) -> tuple[float, list[Term]]:
         terms.append(Term(name, scaled, shown, coefs[i]))
     at, levels = len(terms), _levels(pipeline, spec)
     for k, c in enumerate(spec.categorical):
-        size, index = hot.categorySizes[k], level_index(c, levels[c])
+        size, text = hot.categorySizes[k], F.col(c).cast("string")
         for j in range(size):
-            one = (index == j).cast("double")
-            terms.append(Term(f"{c}={levels[c][j] if j < len(levels[c]) else '(other)'}", one, one, coefs[at + j]))
+            holds = text.eqNullSafe(F.lit(levels[c][j])) if j < len(levels[c]) else ~F.coalesce(text.isin(levels[c]), F.lit(False))
+            one = holds.cast("double")
+            terms.append(Term(f"{c}={levels[c][j] if j < len(levels[c]) else '(other)'}", one, one, coefs[at + j], holds))
         at += size
     if at != len(coefs):
         raise ValueError(f"the model has {len(coefs)} coefficients, its pipeline {at} inputs")
@@ -164,4 +166,5 @@ def linear_attribution(model: CompiledModel, background: DataFrame) -> EX.Linear
     """T12 for a fitted model: every scaled input and every level is a term; their means come from ``background``."""
     names = [t.feature for t in model.terms]
     return EX.LinearAttribution.fit(background, dict(zip(names, [t.coef for t in model.terms])), model.intercept,
-                                    columns={t.feature: t.value for t in model.terms}, shown={t.feature: t.shown for t in model.terms})
+                                    columns={t.feature: t.value for t in model.terms}, shown={t.feature: t.shown for t in model.terms},
+                                    flags={t.feature: t.holds for t in model.terms if t.holds is not None})

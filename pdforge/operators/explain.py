@@ -43,15 +43,22 @@ class LinearAttribution:
 
     @classmethod
     def fit(cls, background: DataFrame, coefs: dict, intercept: float = 0.0, columns: dict | None = None,
-            shown: dict | None = None) -> "LinearAttribution":
-        """Means of each feature over the background rows (exact decimal sums)."""
-        columns = columns or {}
-        aggs = []
+            shown: dict | None = None, flags: dict | None = None) -> "LinearAttribution":
+        """Means of each feature over the background rows (exact decimal sums).
+
+        ``flags`` (feature -> condition, never null) are features of 0 and 1: their sums are counts.
+        """
+        columns, flags = columns or {}, flags or {}
+        aggs = [F.count(F.lit(1)).alias("n")]
         for i, c in enumerate(coefs):
+            if c in flags:
+                aggs.append(F.count_if(flags[c]).alias(f"s_{i}"))
+                continue
             x = columns[c] if c in columns else F.col(c)
             aggs += [F.sum(x.cast("double").cast("decimal(28,8)")).alias(f"s_{i}"), F.count(x).alias(f"n_{i}")]
         row = background.agg(*aggs).first()  # one row of scalars
-        means = {c: (float(row[f"s_{i}"]) / row[f"n_{i}"]) if row[f"n_{i}"] else 0.0 for i, c in enumerate(coefs)}
+        counts = [row["n" if c in flags else f"n_{i}"] for i, c in enumerate(coefs)]
+        means = {c: (float(row[f"s_{i}"]) / n) if n else 0.0 for i, (c, n) in enumerate(zip(coefs, counts))}
         return cls(dict(coefs), means, intercept, columns, shown or {})
 
     def base_value(self) -> float:

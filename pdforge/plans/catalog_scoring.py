@@ -474,8 +474,9 @@ TEMPLATE_FEATURES = list(FE.FEATURE_NAMES)
 TEMPLATE_TEXT = ["purpose", "addr_state"]
 
 
-def template(spark, d) -> DataFrame:
-    f = features(spark, d).where(F.col("issue_year") == K.FIXTURE_TEST_YEAR)
+def template(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    """The template of the test cohort; pass feature ``rows`` that are written already to spare a cleaning run."""
+    f = (features(spark, d) if rows is None else rows).where(F.col("issue_year") == K.FIXTURE_TEST_YEAR)
     num, cat = SC.template_columns(f)
     return SC.template_row(f, num, cat)
 
