@@ -58,14 +58,6 @@ def numeric_columns(spec) -> list[tuple[str, Column, Column]]:
     return own + [(f"{c}_missing", m, m) for c in spec.filled for m in [F.col(c).isNull().cast("double")]]
 
 
-def level_index(column: str, levels: list[str]) -> Column:
-    """Place of a level among the fitted ones; the next place where it is unseen or null."""
-    if not levels:
-        return F.lit(0)
-    pairs = [x for i, level in enumerate(levels) for x in (F.lit(level), F.lit(i))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column).cast("string")), F.lit(len(levels)))
-
-
 def _levels(pipeline, spec) -> dict[str, list[str]]:
     indexer = _stage(pipeline, StringIndexerModel)
     return dict(zip(spec.categorical, [list(x) for x in indexer.labelsArray])) if indexer else {}
@@ -122,7 +114,8 @@ def _name(column: str) -> str:
 
 
 def _input_texts(trained: MD.TrainedModel) -> list[str]:
-    """The inputs of a tree as SQL text: ``numeric_columns``, then ``level_index`` of each categorical column."""
+    """The inputs of a tree as SQL text: ``numeric_columns``, then the place of each categorical column's level among the
+    fitted ones (the next place where it is unseen or null)."""
     spec = trained.spec
     out = [f"coalesce(cast({_name(c)} as double), 0.0D)" for c in spec.numeric]
     out += [f"cast({_name(c)} is null as double)" for c in spec.filled]
