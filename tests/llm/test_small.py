@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 from odd_rows import ROWS, SF001
+from pyspark.sql import functions as F
 
 from pdforge.llm import (block_names, byte_gru, eftrie_lm, elias_fano, license_scan, line_spread, ngram_join,
                          orc_tokens, pack_nnls, posting_ann, source_mix, tokens)
@@ -240,6 +241,32 @@ def test_marks_after_letters_are_cut_like_the_tokenizer():
     assert {"vé".encode(), b"***", b"!!"} <= set(memo)
 
 
+def test_batches_of_long_rows_are_bounded(spark):
+    """The pipeline's stages hand rows on in small batches; a value that the job has set stays."""
+    import corpus_pipeline
+    from pdforge.llm import common
+
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('words and more ', 700)").alias("text"), F.lit("en").alias("lang"))
+
+    def sizes():
+        def run(batches):
+            import pyarrow as pa
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+        return [r.n for r in docs.mapInArrow(run, "n long").collect()]
+
+    own = spark.conf.get(common.BATCH_KEY, None)
+    try:
+        spark.conf.unset(common.BATCH_KEY)
+        corpus_pipeline.language(spark, docs, "")
+        assert max(sizes()) < 1.2 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH_KEY, "4m")
+        corpus_pipeline.near_dedup(spark, docs.limit(5), "")
+        assert spark.conf.get(common.BATCH_KEY) == "4m"
+    finally:
+        spark.conf.unset(common.BATCH_KEY) if own is None else spark.conf.set(common.BATCH_KEY, own)
+
+
 def test_ngram_join_below_a_longer_leader(spark):
     """Two near copies of an excerpt; a much longer text that holds it leads all lists they share."""
     a = [f"w{k}" for k in range(60)]
