@@ -42,9 +42,10 @@ def text_encoder(path: str | None = None, end_id: int = END_ID):
     the end id included."""
     import os
     import unicodedata
-    from itertools import chain
 
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -101,24 +102,30 @@ def text_encoder(path: str | None = None, end_id: int = END_ID):
         if len(state["memo"]) > MEMO_WORDS or state["bytes"] > MEMO_BYTES:
             state["old"], state["memo"], state["bytes"] = state["memo"], {}, 0
         memo, old = state["memo"], state["old"]
-        runs = [t.split() for t in texts]
-        # a block's distinct runs are looked up once in the large memo, its tokens in a small dictionary
-        own = dict.fromkeys(chain.from_iterable(runs))
+        # Arrow splits and numbers the runs; only a block's distinct ones become Python objects (and an empty one, where
+        # white space begins or ends a text, or nothing else is in it)
+        runs = pc.ascii_split_whitespace(pa.array(texts, type=pa.large_binary()).view(pa.large_string()))
+        last = runs.offsets.to_numpy().astype(np.int64)
+        numbered = runs.flatten().dictionary_encode()
+        own = numbered.dictionary.view(pa.large_binary()).to_pylist()
+        del runs
+        memo[b""] = b""
+        found = list(map(memo.get, own))
         new = []
-        for w in own:
-            ids = memo.get(w)
+        for k, ids in enumerate(found):
             if ids is None:
+                w = own[k]
                 ids = old.get(w)
                 if ids is None:
-                    new.append(w)
+                    new.append(k)
                     continue
-                memo[w] = ids
+                memo[w] = found[k] = ids
                 state["bytes"] += len(w)
-            own[w] = ids
         if new:
-            state["bytes"] += sum(map(len, new))
             simple, others, cores = set(), set(), []
-            for w in new:
+            for k in new:
+                w = own[k]
+                state["bytes"] += len(w)
                 if w.isalpha() and w.islower():  # ASCII letters alone
                     simple.add(w)
                 else:
@@ -135,8 +142,13 @@ def text_encoder(path: str | None = None, end_id: int = END_ID):
             fill(memo, list(simple), list(others))
             for w, c, tail in cores:
                 memo[w] = memo[c] + memo[tail] if tail else memo[c]
-            own.update((w, memo[w]) for w in new)
-        get = own.__getitem__
-        return [b"".join(map(get, r)) + end for r in runs]
+            for k in new:
+                found[k] = memo[own[k]]
+        # every run's ids one after the other, the end id after each text's last run
+        at = np.insert(numbered.indices.to_numpy().astype(np.int64), last[1:], len(found))
+        ids = pa.array([*found, end], type=pa.large_binary()).take(pa.array(at))
+        cuts = np.frombuffer(ids.buffers()[1], dtype=np.int64)[last + np.arange(len(last))].tolist() if len(at) else [0]
+        raw = memoryview(ids.buffers()[2]) if cuts[-1] else b""
+        return [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     return encode

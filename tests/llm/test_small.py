@@ -241,6 +241,23 @@ def test_marks_after_letters_are_cut_like_the_tokenizer():
     assert {"vé".encode(), b"***", b"!!"} <= set(memo)
 
 
+def test_runs_that_repeat_are_no_objects():
+    """Only distinct runs become Python objects; white space at the ends and texts of nothing else give no ids."""
+    import tracemalloc
+
+    text = b"some words that repeat " * 75_000
+    encode = tokens.text_encoder()
+    encode([b"some words that repeat"])
+    tracemalloc.start()
+    got = encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(got[0])
+    odd = ["", " ", "\n\t\n", " a b ", "\x0bx\x1cy\x0c z", "ä \u00a0y"]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encode([t.encode() for t in odd])] == [_token_ids(t) for t in odd]
+    assert encode([]) == []
+
+
 def test_batches_of_long_rows_are_bounded(spark):
     """The pipeline's stages hand rows on in small batches; a value that the job has set stays."""
     import corpus_pipeline
