@@ -35,3 +35,13 @@ def test_means_of_flags_are_counts(spark):
     assert plain.means == counted.means == {"k=a": 0.5, "x": -0.625 / 3}
     empty = EX.LinearAttribution.fit(df.limit(0), coefs, columns=columns, flags={"k=a": flag})
     assert empty.means == {"k=a": 0.0, "x": 0.0}
+
+
+def test_the_search_of_the_baseline_reads_every_row(spark, monkeypatch):
+    from pdforge.plans import catalog_models as CMo
+    seen = []
+    monkeypatch.setattr(CMo.K, "CV_MAX_ROWS", 100, raising=False)  # the cap it once had
+    monkeypatch.setattr(CMo.MD, "tune_logistic_regression", lambda rows, spec: (None, seen.append(rows.count()) or rows))
+    CMo.t8_lr_random_search(spark, SF001)
+    f = CMo.model_data(spark, SF001)[0]
+    assert seen == [f.where(F.col("split").isin("train", "val")).count()] and seen[0] > 100
