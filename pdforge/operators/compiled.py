@@ -2,8 +2,9 @@
 
 ``load_model`` gives the fitted pipeline and its metadata; ``compile_model`` turns indexer maps, one-hot positions, scaler
 and coefficients, or the trees' node table, into one log-odds expression. Batch scoring, applications and streams then
-stay projections of built-in functions: no MLlib transformer, vector column or Python worker runs per row, and the same
-saved champion serves all of them with its own name and threshold.
+stay projections without a Python worker, and the same saved champion serves all of them with its own name and threshold.
+Frames of rows are scored by ``score``: hundreds of trees are interpreted as an expression, so there the ensemble's own
+transformer walks them, over the same inputs.
 
 A numeric input that is null counts as 0 (with its missing indicator where the model has one); a level that the model has
 not seen takes the indexer's extra place, as in MLlib.
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoderModel, StandardScalerModel, StringIndexerModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +42,28 @@ class CompiledModel:
     log_odds: Column
     terms: list | None = None  # of linear models
     intercept: float = 0.0
+    trees: object = None  # the fitted ensemble, of trees
+    inputs: list | None = None  # SQL texts of what it reads, in order
 
     def pd(self) -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.log_odds))
+        return _probability(self.log_odds)
 
     def score(self, df: DataFrame, out: str = "pd") -> DataFrame:
-        return df.withColumn(out, self.pd())
+        if self.trees is None:
+            return df.withColumn(out, self.pd())
+        walker = self.trees.copy({self.trees.featuresCol: INPUTS, self.trees.rawPredictionCol: MARGIN, self.trees.predictionCol: "",
+                                  self.trees.probabilityCol: ""})
+        x = array_to_vector(F.array(*[F.expr(f"cast({t} as double)") for t in self.inputs]))
+        scored = walker.transform(df.withColumn(INPUTS, x))
+        return scored.withColumn(out, _probability(F.lit(2.0) * vector_to_array(MARGIN)[1])).drop(INPUTS, MARGIN)
+
+
+#: Columns of a frame while its rows are scored.
+INPUTS, MARGIN = "_tree_inputs", "_tree_margin"
+
+
+def _probability(log_odds: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds))
 
 
 def _stage(pipeline, kind):
@@ -147,7 +165,7 @@ def compile_model(trained: MD.TrainedModel) -> CompiledModel:
     if _stage(trained.model, LogisticRegressionModel) is not None:
         intercept, terms = linear_terms(trained)
         return CompiledModel(trained.name, trained.threshold, _linear_log_odds(trained), terms, intercept)
-    return CompiledModel(trained.name, trained.threshold, _tree_log_odds(trained))
+    return CompiledModel(trained.name, trained.threshold, _tree_log_odds(trained), trees=trained.model.stages[-1], inputs=_input_texts(trained))
 
 
 def load_compiled(path: str) -> CompiledModel:

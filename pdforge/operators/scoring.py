@@ -120,12 +120,15 @@ def override_template(apps: DataFrame, template: DataFrame | dict, fields=K.APPL
 
 
 def score_applications(apps: DataFrame, template, pd_fn=None) -> DataFrame:
-    """Applications -> template overrides -> features -> PD -> decision columns."""
+    """Applications -> template overrides -> features -> PD -> decision columns.
+
+    ``pd_fn`` gives the PD of a model for the rows, as a column or as the rows with a column ``pd``.
+    """
     from pdforge.functions.features import FEATURE_NAMES
     rows = override_template(apps, template)
     rows = add_features(rows.drop(*[c for c in FEATURE_NAMES if c in rows.columns]))
-    rows = rows.withColumn("pd", pd_fn(rows) if pd_fn else R.formula_pd())
-    return score_batch(rows)
+    pd = pd_fn(rows) if pd_fn else R.formula_pd()
+    return score_batch(pd if isinstance(pd, DataFrame) else rows.withColumn("pd", pd))
 
 
 def scenario_frame(spark: SparkSession) -> DataFrame:

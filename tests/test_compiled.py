@@ -170,3 +170,20 @@ def test_leakage_depends_on_the_rows(spark):
     assert full.keys() == none.keys() and full
     assert all(r.n_values == 0 and r.gap is None for r in none.values()) and any(r.n_values > 0 for r in full.values())
     assert LK.leakage_by_class(table.select("loan_id", "loan_status"), CL.target_expr()).collect() == []
+
+
+def test_rows_are_scored_without_interpreting_the_trees(spark, saved):
+    """Hundreds of trees as one expression are interpreted for every row; frames and streams of rows walk the ensemble."""
+    from pdforge.operators import scoring as SC
+    c = CM.load_compiled(saved["gbt"])
+    rows = _frame(spark, 300, 8).drop("label", "target").unionByName(_strange(spark)).withColumn("features", F.lit("own"))
+    scored = c.score(rows)
+    assert scored.columns == [*rows.columns, "pd"] and {r.features for r in scored.collect()} == {"own"}
+    assert "aggregate(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert scored.where(F.abs(F.col("pd") - c.pd()) > 1e-12).count() == 0
+    template = {"inq_last_6mths": 0.0, "open_acc": 5.0, "total_acc": 9.0, "total_rev_hi_lim": 9000.0, "tot_cur_bal": 1e5, "tax_liens": 0.0,
+                "pub_rec": 0.0, "inq_last_12m": 1.0, "num_accts_ever_120_pd": 0.0, "credit_history_months": 99.0, "a": 0.2, "b": 0.4,
+                "fixed": 2.5, "k": "car", "mths_since_last_delinq": 999.0}
+    cols = ["application_id", "probability_of_default", "policy_decision"]
+    one, two = (SC.score_applications(SC.scenario_frame(spark), template, f).select(*cols).collect() for f in (c.score, lambda rows: c.pd()))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and len(one) == 4
