@@ -7,9 +7,10 @@ Results are long form (loan_id, feature, phi, ...) so global importance is a
 per-row array sort (no shuffle).
 
 Tree models: path-dependent Shapley values (the game of Lundberg et al., 2018)
-over the fitted ensemble. Each leaf has a table of the values of its path's
-features for every pattern of met conditions; Arrow batches look the patterns
-up. The tables are broadcast once (their size is bounded by the model).
+over the fitted ensemble. Each piece of a tree (a subtree with the conditions
+that lead to it) has a table of the values of its features for every pattern of
+decisions; Arrow batches look the patterns up, a column of rows at a time. The
+tables are broadcast once (their size is bounded by the model).
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pdforge.session import scratch_path
 
-#: Features of a path up to which a leaf keeps a table of all patterns; rows evaluated at once.
-TABLE_FEATURES, SHAP_ROWS = 8, 4096
+#: Features of a path up to which a leaf keeps a table of all patterns; rows evaluated at once; decisions of a piece.
+TABLE_FEATURES, SHAP_ROWS, PIECE_NODES = 8, 8192, 9
 
 
 def _impact(phi):
@@ -207,6 +208,64 @@ def tree_shap(tree: dict, leaves: list[tuple], x: np.ndarray, phi: np.ndarray) -
             phi[:, feats] += _leaf_phi(met.astype(float), zero, value)
 
 
+def piece_tables(tree: dict) -> tuple[list, list]:
+    """The tree in pieces of at most ``PIECE_NODES`` decisions: ([(nodes, features, values of each feature by pattern)], the
+    leaves whose path alone has more).
+
+    A piece is a subtree and the nodes above it. Its table has a row for every pattern of decisions (a bit a node, the first
+    node's the highest, set where the row goes left): the sums of its leaves' values.
+    """
+    left, right = tree["left"], tree["right"]
+    leaves = {tuple((j, is_left) for _, j, is_left in leaf[1]): leaf for leaf in leaf_tables(tree)}
+
+    def inside(j):
+        return [j, *inside(int(left[j])), *inside(int(right[j]))] if left[j] >= 0 else []
+
+    pieces, long, stack = [], [], [(0, ())]
+    while stack:
+        j, path = stack.pop()
+        nodes = [a for a, _ in path] + inside(j)
+        if len(nodes) > PIECE_NODES:
+            if left[j] >= 0:
+                stack += [(int(left[j]), (*path, (j, True))), (int(right[j]), (*path, (j, False)))]
+            else:
+                long.append(leaves[path])
+            continue
+        own = [leaf for way, leaf in leaves.items() if way[:len(path)] == path and leaf[0]]
+        feats = sorted({f for leaf in own for f in leaf[0]})
+        went = (np.arange(1 << len(nodes))[:, None] >> np.arange(len(nodes) - 1, -1, -1)) & 1 == 1
+        values = np.zeros((1 << len(nodes), len(feats)))
+        for fs, steps, zero, value, table in own:
+            met = np.ones((len(went), len(fs)), dtype=bool)
+            for k, a, is_left in steps:
+                met[:, k] &= went[:, nodes.index(a)] == is_left
+            found = table[met @ (1 << np.arange(len(fs)))] if table is not None else _leaf_phi(met.astype(float), zero, value)
+            values[:, [feats.index(f) for f in fs]] += found
+        if feats:
+            pieces.append((nodes, feats, np.ascontiguousarray(values.T)))
+    return pieces, long
+
+
+def tree_shap_columns(tree: dict, pieces: list, long: list, x: np.ndarray, phi: np.ndarray) -> None:
+    """``tree_shap`` by pieces; rows are columns of ``x`` and ``phi``."""
+    went = {}
+    for j in np.flatnonzero(tree["left"] >= 0).tolist():
+        v = x[tree["feature"][j]]
+        went[j] = np.isin(v, list(tree["cats"][j])) if tree["cats"][j] is not None else v <= tree["threshold"][j]
+    for nodes, feats, values in pieces:
+        pattern = np.zeros(x.shape[1], dtype=np.intp)
+        for j in nodes:
+            pattern <<= 1
+            pattern |= went[j]
+        for f, of in zip(feats, values):
+            phi[f] += of[pattern]
+    for feats, steps, zero, value, table in long:
+        met = np.ones((x.shape[1], len(feats)), dtype=bool)
+        for k, j, is_left in steps:
+            met[:, k] &= went[j] == is_left
+        phi[feats] += (table[met @ (1 << np.arange(len(feats)))] if table is not None else _leaf_phi(met.astype(float), zero, value)).T
+
+
 def expected_value(tree: dict) -> float:
     """Cover-weighted mean leaf value of one tree."""
     left, right, value, cover = tree["left"], tree["right"], tree["value"], tree["cover"]
@@ -228,20 +287,24 @@ def tree_shap_frame(rows: DataFrame, model, feature_names: list[str], features_c
 
     trees = tree_tables(model)
     base = float(sum(expected_value(t) for t in trees))
-    names = list(feature_names)
+    names = [*feature_names, "__base__"]
     src = rows.select(F.col(key).alias("key"), vector_to_array(features_col).alias("x"))
-    shared = rows.sparkSession.sparkContext.broadcast([(t, leaf_tables(t)) for t in trees])  # size fixed by the model
+    shared = rows.sparkSession.sparkContext.broadcast([(t, *piece_tables(t)) for t in trees])  # size fixed by the model
 
     def run(batches):
-        for pdf in batches:
-            for k in range(0, len(pdf), SHAP_ROWS):
-                part = pdf.iloc[k:k + SHAP_ROWS]
-                x = np.array(part["x"].tolist(), dtype=float).reshape(len(part), len(names))
-                phi = np.zeros((len(x), len(names) + 1))
-                phi[:, -1] = base
-                for t, leaves in shared.value:
-                    tree_shap(t, leaves, x, phi)
-                yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), len(names) + 1),
-                                    "feature": np.tile(np.array([*names, "__base__"], dtype=object), len(x)), "phi": phi.ravel()})
-
-    return src.mapInPandas(run, "key long, feature string, phi double").withColumnRenamed("key", key)
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(0, len(batch), SHAP_ROWS):
+                part = batch.slice(k, SHAP_ROWS)
+                x = np.ascontiguousarray(part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(part), len(names) - 1).T)
+                phi = np.zeros((len(names), len(part)))
+                phi[-1] = base
+                for t, pieces, long in shared.value:
+                    tree_shap_columns(t, pieces, long, x, phi)
+                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(names))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(ends, pa.array(phi.T.ravel()))], names=["key", "phi"])
+
+    wide = src.mapInArrow(run, T.StructType([src.schema["key"], T.StructField("phi", T.ArrayType(T.DoubleType()))]))
+    return wide.select("key", F.posexplode("phi").alias("at", "phi")) \
+        .select(F.col("key").alias(key), F.element_at(F.array(*[F.lit(n) for n in names]), F.col("at") + 1).alias("feature"), "phi")

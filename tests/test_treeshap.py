@@ -60,3 +60,40 @@ def test_tree_shap_matches_brute_force(spark):
     base = {r.loan_id: r.phi for r in EX.tree_shap_frame(df.where("loan_id = 0"), model, ["a", "b", "c"])
             .where(F.col("feature") == "__base__").collect()}
     assert base[0] == pytest.approx(sum(_cond_expectation(t, np.zeros(3), set()) for t in trees), abs=1e-12)
+
+
+def _grown(rng, depth, features):
+    """A random tree in MLlib's order with covers that add up; a few nodes split by levels."""
+    t = {k: [] for k in ("feature", "threshold", "left", "right", "value", "cover", "cats")}
+
+    def put(level, cover):
+        at = len(t["left"])
+        leaf = level == 0 or (level < depth and rng.random() < 0.15)
+        levels = set(rng.choice(4, 2, replace=False).tolist()) if rng.random() < 0.2 else None
+        for k, v in (("feature", -1 if leaf else int(rng.integers(features))), ("threshold", float(rng.integers(0, 4))), ("left", -1), ("right", -1),
+                     ("value", float(rng.normal())), ("cover", float(cover)), ("cats", None if leaf else levels)):
+            t[k].append(v)
+        if not leaf:
+            share = rng.uniform(0.2, 0.8)
+            t["left"][at] = put(level - 1, cover * share)
+            t["right"][at] = put(level - 1, cover * (1 - share))
+        return at
+
+    put(depth, 1000.0)
+    return {k: v if k == "cats" else np.array(v) for k, v in t.items()}
+
+
+@pytest.mark.parametrize("depth", [0, 2, 5, 11])
+def test_pieces_of_a_tree_give_the_values_of_its_leaves(depth, monkeypatch):
+    """One look-up a piece stands for one a leaf; paths longer than a piece keep their leaves."""
+    rng = np.random.default_rng(depth)
+    x = rng.integers(0, 5, (50, 7)).astype(float)
+    for tree in (_grown(rng, depth, 7) for _ in range(3)):
+        pieces, long = EX.piece_tables(tree)
+        leaves = int((tree["left"] < 0).sum())
+        assert len(pieces) < max(2, leaves) and all(len(nodes) <= EX.PIECE_NODES for nodes, _, _ in pieces)
+        assert bool(long) == (depth > EX.PIECE_NODES)
+        want, got = np.zeros((50, 7)), np.zeros((7, 50))
+        EX.tree_shap(tree, EX.leaf_tables(tree), x, want)
+        EX.tree_shap_columns(tree, pieces, long, np.ascontiguousarray(x.T), got)
+        assert np.abs(got.T - want).max() < 1e-12
