@@ -35,13 +35,12 @@ PARAMS = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight",
           "subsamplingRate": 0.8, "featureSubsetStrategy": "0.6", "maxBins": 32, "seed": 5}
 
 
-@pytest.mark.parametrize("one_task", [True, False])
+@pytest.mark.parametrize("cells", [B.CELLS, 200])  # the second: a level takes several passes
 @pytest.mark.parametrize("weights", [(1.0, 2.37), (1.0, 0.5, 3.0, 2.0)])
-def test_trees_are_those_of_mllib(spark, monkeypatch, one_task, weights):
+def test_trees_are_those_of_mllib(spark, monkeypatch, cells, weights):
     rows = _rows(spark, weights=weights)
-    if not one_task:
-        monkeypatch.setattr(B, "ONE_TASK", 0)
-        monkeypatch.setattr(B, "CELLS", 200)  # a level takes several passes
+    monkeypatch.setattr(B, "MLLIB_ROWS", 0)
+    monkeypatch.setattr(B, "CELLS", cells)
     monkeypatch.setattr(B, "ROWS", 700)
     want, want_weights = _nodes(spark, GBTClassifier(**PARAMS).fit(rows))
     model = B.BoostedTrees(**PARAMS).fit(rows)
@@ -54,18 +53,15 @@ def test_trees_are_those_of_mllib(spark, monkeypatch, one_task, weights):
     assert model.transform(rows).where(F.col("probability").isNull()).count() == 0 and model.getMaxIter() == 8
 
 
-def test_no_job_a_level(spark, monkeypatch):
-    """MLlib runs a job or more a tree level over all rows; small tables need none, large ones one."""
-    rows, sc, jobs = _rows(spark), spark.sparkContext, {}
-    for limit in (B.ONE_TASK, 0):
-        monkeypatch.setattr(B, "ONE_TASK", limit)
-        group = f"boosting-{limit}"
-        sc.setJobGroup(group, group)
-        B.BoostedTrees(**PARAMS).fit(rows)
-        jobs[limit] = len(sc.statusTracker().getJobIdsForGroup(group))
-        sc.setLocalProperty("spark.jobGroup.id", None)
-    few, many = jobs.values()
-    assert few < 25 and many - few <= PARAMS["maxIter"] * PARAMS["maxDepth"]
+def test_many_rows_take_one_job_a_level_few_mllib(spark, monkeypatch):
+    rows, jobs = _rows(spark), {}
+    own = B.boosted
+    monkeypatch.setattr(B, "boosted", lambda passed, shape, plan: own(lambda work: jobs.update(n=jobs.get("n", 0) + 1) or passed(work), shape, plan))
+    few = B.BoostedTrees(**PARAMS).fit(rows)
+    assert not jobs and _nodes(spark, few) == _nodes(spark, GBTClassifier(**PARAMS).fit(rows))
+    monkeypatch.setattr(B, "MLLIB_ROWS", 2999)
+    B.BoostedTrees(**PARAMS).fit(rows)
+    assert 0 < jobs["n"] <= PARAMS["maxIter"] * PARAMS["maxDepth"] + 1
 
 
 def test_draws_do_not_depend_on_the_lanes(spark):
@@ -74,7 +70,8 @@ def test_draws_do_not_depend_on_the_lanes(spark):
     assert (long[:200] == short).all() and 0.78 < long.mean() < 0.82 and B.drawn(1, 5, 1.0).all()
 
 
-def test_one_class_and_constant_columns(spark):
+def test_one_class_and_constant_columns(spark, monkeypatch):
+    monkeypatch.setattr(B, "MLLIB_ROWS", 0)
     rows = _rows(spark, 200).withColumn("label", F.lit(1))
     model = B.BoostedTrees(**{**PARAMS, "maxIter": 2}).fit(rows)
     assert {r.numNodes for r in model.trees} == {1} and model.transform(rows).where("prediction = 1").count() == 200
